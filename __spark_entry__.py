@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custlens.operators import chartdata as V
 from custlens.operators import describe as D
+from custlens.operators import wrangle as W
 from custlens.sources import io as IO
 from custlens.sources import profiling as P
 
@@ -101,6 +103,173 @@ def q_roles(spark, d):
     return P.roles(P.profile(_t(spark, d, "documents")))
 
 
+# ---------------------------------------------------------------- wrangling
+def _events_nulls(spark, d):
+    e = _t(spark, d, "events")
+    return e.withColumn("value", F.when(F.col("event_id") % 17 == 0, None).otherwise(F.col("value")))
+
+
+def q_impute_median(spark, d):
+    out = W.impute(_events_nulls(spark, d), "value", "median")
+    return _round(out.select("event_id", "value"), {"value": 4})
+
+
+def q_impute_mean(spark, d):
+    out = W.impute(_events_nulls(spark, d), "value", "mean")
+    return _round(out.select("event_id", "value"), {"value": 4})
+
+
+def q_drop_missing(spark, d):
+    return W.drop_missing(_events_nulls(spark, d), ["value"]).select("event_id", "value")
+
+
+def q_drop_report(spark, d):
+    return W.drop_report(_events_nulls(spark, d), ["value"])
+
+
+def q_filter_num_median(spark, d):
+    li = _t(spark, d, "lineitem")
+    return W.filter_num(li, "l_quantity", ">=").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def q_filter_num_value(spark, d):
+    li = _t(spark, d, "lineitem")
+    return W.filter_num(li, "l_discount", "==", 0.05).select("l_orderkey", "l_linenumber", "l_discount")
+
+
+def q_filter_in(spark, d):
+    c = _t(spark, d, "customer")
+    return W.filter_in(c, "c_mktsegment", ["BUILDING", "MACHINERY"]).select("c_custkey", "c_mktsegment")
+
+
+def q_filter_in_empty(spark, d):
+    return W.filter_in(_t(spark, d, "customer"), "c_mktsegment", []).select("c_custkey")
+
+
+def q_filter_preview(spark, d):
+    return W.filter_preview(_t(spark, d, "lineitem"), F.col("l_discount") >= 0.05)
+
+
+def q_pool_rare(spark, d):
+    return W.pool_rare(_t(spark, d, "part"), "p_type", 2).select("p_partkey", "p_type", "p_type_reduced")
+
+
+def q_bin_equal_width(spark, d):
+    out = W.bin_equal_width(_t(spark, d, "part"), "p_retailprice", 5)
+    out = out.select("p_partkey", "p_retailprice_group", "p_retailprice_bin", "p_retailprice_lo", "p_retailprice_hi")
+    return _round(out, {"p_retailprice_lo": 6, "p_retailprice_hi": 6})
+
+
+def q_date_features(spark, d):
+    out = W.date_features(_t(spark, d, "orders"), "o_orderdate", as_of="2002-01-01")
+    return out.drop("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+# ---------------------------------------------------------------- describe
+def q_summary_by_group(spark, d):
+    return _round_measure(D.summary_measures(_t(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"]))
+
+
+def q_box_stats(spark, d):
+    out = D.box_stats(_t(spark, d, "customer"), "c_acctbal")
+    return _round(out, {c: 6 for c in ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
+                                         "whisker_low", "whisker_high"]})
+
+
+def q_box_stats_by(spark, d):
+    out = D.box_stats(_t(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return _round(out, {c: 4 for c in ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
+                                         "whisker_low", "whisker_high"]})
+
+
+def q_outliers_iqr(spark, d):
+    out = D.outliers(_t(spark, d, "lineitem"), "l_extendedprice", "iqr")
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+def q_outliers_z(spark, d):
+    out = D.outliers(_t(spark, d, "lineitem"), "l_extendedprice", "z", cut=3.0)
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+def q_outlier_counts(spark, d):
+    return _round(D.outlier_counts(_t(spark, d, "lineitem"), "l_extendedprice"),
+                  {"lower_fence": 4, "upper_fence": 4})
+
+
+def q_add_zscore(spark, d):
+    out = D.add_zscore(_t(spark, d, "customer"), "c_acctbal").select("c_custkey", "c_acctbal_z")
+    return _round(out, {"c_acctbal_z": 8})
+
+
+def q_add_outlier_flag(spark, d):
+    out = D.add_outlier_flag(_t(spark, d, "lineitem"), "l_extendedprice")
+    return out.select("l_orderkey", "l_linenumber", "l_extendedprice_outlier")
+
+
+def q_percentile_rank(spark, d):
+    out = D.add_percentile_rank(_t(spark, d, "lineitem"), "l_quantity")
+    return out.select("l_orderkey", "l_linenumber", "l_quantity_pctile")
+
+
+def q_percentile_rank_unrounded(spark, d):
+    out = D.add_percentile_rank(_t(spark, d, "customer"), "c_acctbal", decimals=None)
+    return _round(out.select("c_custkey", "c_acctbal_pctile"), {"c_acctbal_pctile": 8})
+
+
+_STD_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def q_standardize(spark, d):
+    out = D.standardize(_t(spark, d, "lineitem"), _STD_COLS)
+    out = out.select("l_orderkey", "l_linenumber", *[f"{c}_z" for c in _STD_COLS])
+    return _round(out, {f"{c}_z": 8 for c in _STD_COLS})
+
+
+def q_scale_report(spark, d):
+    out = D.scale_report(_t(spark, d, "lineitem"), _STD_COLS)
+    return _round(out, {"mean": 6, "sd": 6, "min": 6, "max": 6})
+
+
+# ---------------------------------------------------------------- chart data
+def q_frequency(spark, d):
+    return _round(V.frequency(_t(spark, d, "part"), "p_type"), {"share": 8})
+
+
+def q_frequency_events(spark, d):
+    return _round(V.frequency(_t(spark, d, "events"), "event_type"), {"share": 8})
+
+
+def q_histogram(spark, d):
+    return _round(V.histogram(_t(spark, d, "lineitem"), "l_quantity", 10), {"lo": 6, "hi": 6})
+
+
+def q_histogram_multi(spark, d):
+    return _round(V.histogram(_t(spark, d, "part"), ["p_retailprice", "p_size"], 8), {"lo": 6, "hi": 6})
+
+
+def q_skew_label(spark, d):
+    return _round(V.skew_label(_t(spark, d, "customer"), "c_acctbal"), {"skewness": 8})
+
+
+def q_crosstab(spark, d):
+    return V.crosstab(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
+
+
+def q_crosstab_row(spark, d):
+    out = V.crosstab(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority", normalize="row")
+    return _round(out, {"row_pct": 8})
+
+
+def q_scatter(spark, d):
+    return V.scatter_points(_t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", color="l_returnflag")
+
+
+def q_monthly_series(spark, d):
+    return _round(V.monthly_series(_t(spark, d, "orders"), "o_orderdate", "o_totalprice"), {"total": 2})
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "summary_measures": q_summary_measures,
@@ -108,6 +277,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shape": q_shape,
         "profile": q_profile,
         "roles": q_roles,
+        "impute_median": q_impute_median,
+        "impute_mean": q_impute_mean,
+        "drop_missing": q_drop_missing,
+        "drop_report": q_drop_report,
+        "filter_num_median": q_filter_num_median,
+        "filter_num_value": q_filter_num_value,
+        "filter_in": q_filter_in,
+        "filter_in_empty": q_filter_in_empty,
+        "filter_preview": q_filter_preview,
+        "pool_rare": q_pool_rare,
+        "bin_equal_width": q_bin_equal_width,
+        "date_features": q_date_features,
+        "summary_by_group": q_summary_by_group,
+        "box_stats": q_box_stats,
+        "box_stats_by": q_box_stats_by,
+        "outliers_iqr": q_outliers_iqr,
+        "outliers_z": q_outliers_z,
+        "outlier_counts": q_outlier_counts,
+        "add_zscore": q_add_zscore,
+        "add_outlier_flag": q_add_outlier_flag,
+        "percentile_rank": q_percentile_rank,
+        "percentile_rank_unrounded": q_percentile_rank_unrounded,
+        "standardize": q_standardize,
+        "scale_report": q_scale_report,
+        "frequency": q_frequency,
+        "frequency_events": q_frequency_events,
+        "histogram": q_histogram,
+        "histogram_multi": q_histogram_multi,
+        "skew_label": q_skew_label,
+        "crosstab": q_crosstab,
+        "crosstab_row": q_crosstab_row,
+        "scatter": q_scatter,
+        "monthly_series": q_monthly_series,
     }
 
 
@@ -149,6 +351,113 @@ SELECT "column",
 FROM p
 """
 
+_EVENTS_NULLS = "(SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value FROM events)"
+
+
+def _hist_bin_sql(x: str, lo: str, hi: str, n: int) -> str:
+    step = f"(({hi}) - ({lo})) / {n}"
+    terms = " + ".join(f"CASE WHEN {x} >= {k} * {step} + ({lo}) THEN 1 ELSE 0 END" for k in range(1, n))
+    return f"(1 + {terms})"
+
+
+def _bin_equal_width_sql() -> str:
+    n = 5
+    step = "((hi - lo) / 5)"
+    edge = lambda k: f"({k} * {step} + lo)" if k < n else "hi"
+    e0 = f"(lo - (hi - lo) * 0.001)"
+    edges = [e0] + [edge(k) for k in range(1, n + 1)]
+    binx = "(1 + " + " + ".join(f"CASE WHEN p_retailprice > {edges[k]} THEN 1 ELSE 0 END" for k in range(1, n)) + ")"
+    lab = lambda e: f"CAST(round({e}, 3) AS VARCHAR)"
+    cases_lab = " ".join(f"WHEN {k + 1} THEN '(' || {lab(edges[k])} || ', ' || {lab(edges[k + 1])} || ']'" for k in range(n))
+    cases_lo = " ".join(f"WHEN {k + 1} THEN {edges[k]}" for k in range(n))
+    cases_hi = " ".join(f"WHEN {k + 1} THEN {edges[k + 1]}" for k in range(n))
+    return f"""
+    WITH mm AS (SELECT min(p_retailprice) lo, max(p_retailprice) hi FROM part),
+    b AS (SELECT p_partkey, p_retailprice, lo, hi, CAST({binx} AS INTEGER) AS bin FROM part, mm)
+    SELECT p_partkey, CASE bin {cases_lab} END AS p_retailprice_group, bin AS p_retailprice_bin,
+           round(CASE bin {cases_lo} END, 6) AS p_retailprice_lo, round(CASE bin {cases_hi} END, 6) AS p_retailprice_hi
+    FROM b"""
+
+
+def _hist_sql(table: str, cols: list[str], n: int) -> str:
+    parts = []
+    for c in cols:
+        parts.append(f"""
+        SELECT '{c}' AS "column", g.bin, round(g.k * ((hi - lo) / {n}) + lo, 6) AS lo,
+               round(CASE WHEN g.bin = {n} THEN hi ELSE g.bin * ((hi - lo) / {n}) + lo END, 6) AS hi,
+               CAST(count(x.v) AS BIGINT) AS count
+        FROM (SELECT CASE WHEN min({c}) = max({c}) THEN min({c}) - 0.5 ELSE min({c}) END::DOUBLE lo,
+                     CASE WHEN min({c}) = max({c}) THEN max({c}) + 0.5 ELSE max({c}) END::DOUBLE hi FROM {table}) mm
+        CROSS JOIN (SELECT range + 1 AS bin, range AS k FROM range({n})) g
+        LEFT JOIN (SELECT {c}::DOUBLE AS v FROM {table} WHERE {c} IS NOT NULL) x
+          ON {_hist_bin_sql('x.v', 'lo', 'hi', n)} = g.bin
+        GROUP BY g.bin, g.k, lo, hi""")
+    return " UNION ALL ".join(parts)
+
+
+_DATE_SQL = """
+SELECT o_orderkey,
+  CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'Winter' WHEN month(o_orderdate) IN (3, 4, 5) THEN 'Spring'
+       WHEN month(o_orderdate) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS o_orderdate_season,
+  strftime(o_orderdate, '%B') AS o_orderdate_month,
+  'Q' || CAST(quarter(o_orderdate) AS VARCHAR) AS o_orderdate_quarter,
+  CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year,
+  strftime(o_orderdate, '%A') AS o_orderdate_dayofweek,
+  CASE WHEN isodow(o_orderdate) >= 6 THEN 1 ELSE 0 END AS o_orderdate_weekend,
+  CAST(datediff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS INTEGER) AS o_orderdate_days_since,
+  CAST(round_even(datediff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') / 30.44, 1) AS DOUBLE) AS o_orderdate_months_since,
+  CASE WHEN month(o_orderdate) IN (11, 12) THEN 1 ELSE 0 END AS o_orderdate_holiday_season
+FROM orders
+"""
+
+
+def _box_sql(table: str, col: str, by: str | None, dec: int) -> str:
+    g = f"{by}, " if by else ""
+    gb = f"GROUP BY {by}" if by else ""
+    j = f"USING ({by})" if by else "ON TRUE"
+    r = lambda e: f"round({e}, {dec})"
+    return f"""
+    WITH q AS (SELECT {g}quantile_cont({col}, 0.25) q1, quantile_cont({col}, 0.5) median, quantile_cont({col}, 0.75) q3
+               FROM {table} {gb}),
+    f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM q)
+    SELECT {g}{r('q1')} q1, {r('median')} median, {r('q3')} q3, {r('iqr')} iqr, {r('lower_fence')} lower_fence,
+           {r('upper_fence')} upper_fence, count(*) AS n,
+           {r(f'min(CASE WHEN {col} BETWEEN lower_fence AND upper_fence THEN {col} END)')} whisker_low,
+           {r(f'max(CASE WHEN {col} BETWEEN lower_fence AND upper_fence THEN {col} END)')} whisker_high,
+           count(*) FILTER (WHERE NOT ({col} BETWEEN lower_fence AND upper_fence)) AS n_outliers
+    FROM {table} JOIN f {j}
+    GROUP BY {g}q1, median, q3, iqr, lower_fence, upper_fence"""
+
+
+_FENCE_CTE = """f AS (SELECT quantile_cont(l_extendedprice, 0.25) - 1.5 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS lo,
+                      quantile_cont(l_extendedprice, 0.75) + 1.5 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) AS hi
+               FROM lineitem)"""
+
+_Z_CTE = "z AS (SELECT avg(l_extendedprice) m, stddev_samp(l_extendedprice) s FROM lineitem)"
+
+
+def _std_sql() -> str:
+    cols = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 8) AS {c}_z" for c in _STD_COLS)
+    return f"SELECT l_orderkey, l_linenumber, {cols} FROM lineitem"
+
+
+def _scale_sql() -> str:
+    parts = []
+    for c in _STD_COLS:
+        z = f"(({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_samp({c}) FROM lineitem))"
+        for stage, e in (("before", c), ("after", z)):
+            parts.append(
+                f"SELECT '{c}' AS \"column\", '{stage}' AS stage, round(avg({e}), 6) AS mean, round(stddev_samp({e}), 6) AS sd, "
+                f"round(min({e}), 6) AS min, round(max({e}), 6) AS max FROM lineitem")
+    return " UNION ALL ".join(parts)
+
+
+def _pct_sql(table: str, key: str, col: str, rounding: str) -> str:
+    return f"""
+    SELECT {key}, {rounding} AS {col}_pctile FROM (
+      SELECT {key}, (rank() OVER (ORDER BY {col}) + (count(*) OVER (PARTITION BY {col}) - 1) / 2.0)
+                    / count({col}) OVER () * 100.0 AS p FROM {table})"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -157,4 +466,66 @@ def oracle_sql() -> dict[str, str]:
         "shape": "SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_cols FROM lineitem",
         "profile": _PROFILE_SQL,
         "roles": _ROLES_SQL,
+        "impute_median": f"""SELECT event_id, round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM {_EVENTS_NULLS})), 4) AS value
+                             FROM {_EVENTS_NULLS}""",
+        "impute_mean": f"""SELECT event_id, round(coalesce(value, (SELECT avg(value) FROM {_EVENTS_NULLS})), 4) AS value
+                           FROM {_EVENTS_NULLS}""",
+        "drop_missing": f"SELECT event_id, value FROM {_EVENTS_NULLS} WHERE value IS NOT NULL",
+        "drop_report": f"""SELECT count(*) AS rows_before, count(value) AS rows_kept, count(*) - count(value) AS rows_dropped
+                           FROM {_EVENTS_NULLS}""",
+        "filter_num_median": """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+                                WHERE l_quantity >= (SELECT quantile_cont(l_quantity, 0.5) FROM lineitem)""",
+        "filter_num_value": "SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_discount = 0.05",
+        "filter_in": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
+        "filter_in_empty": "SELECT c_custkey FROM customer",
+        "filter_preview": "SELECT count(*) FILTER (WHERE l_discount >= 0.05) AS kept, count(*) AS total FROM lineitem",
+        "pool_rare": """WITH rare AS (SELECT p_type FROM part GROUP BY p_type ORDER BY count(*), p_type LIMIT 2)
+                        SELECT p_partkey, p_type, CASE WHEN p_type IN (SELECT p_type FROM rare) THEN 'Other' ELSE p_type END
+                               AS p_type_reduced FROM part""",
+        "bin_equal_width": _bin_equal_width_sql(),
+        "date_features": _DATE_SQL,
+        "summary_by_group": _sql_summary("lineitem", "l_extendedprice", by="l_returnflag"),
+        "box_stats": _box_sql("customer", "c_acctbal", None, 6),
+        "box_stats_by": _box_sql("lineitem", "l_extendedprice", "l_returnflag", 4),
+        "outliers_iqr": f"""WITH {_FENCE_CTE} SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, f
+                            WHERE l_extendedprice < lo OR l_extendedprice > hi""",
+        "outliers_z": f"""WITH {_Z_CTE} SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, z
+                          WHERE abs((l_extendedprice - m) / s) > 3""",
+        "outlier_counts": f"""WITH {_FENCE_CTE}, {_Z_CTE}
+            SELECT round(lo, 4) AS lower_fence, round(hi, 4) AS upper_fence,
+                   count(*) FILTER (WHERE l_extendedprice < lo OR l_extendedprice > hi) AS n_iqr,
+                   count(*) FILTER (WHERE abs((l_extendedprice - m) / s) > 3) AS n_z
+            FROM lineitem, f, z GROUP BY lo, hi""",
+        "add_zscore": """SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 8)
+                         AS c_acctbal_z FROM customer""",
+        "add_outlier_flag": f"""WITH {_FENCE_CTE} SELECT l_orderkey, l_linenumber,
+            CASE WHEN l_extendedprice < lo OR l_extendedprice > hi THEN 1 ELSE 0 END AS l_extendedprice_outlier
+            FROM lineitem, f""",
+        "percentile_rank": _pct_sql("lineitem", "l_orderkey, l_linenumber", "l_quantity", "CAST(round_even(p, 1) AS DOUBLE)"),
+        "percentile_rank_unrounded": _pct_sql("customer", "c_custkey", "c_acctbal", "round(p, 8)"),
+        "standardize": _std_sql(),
+        "scale_report": _scale_sql(),
+        "frequency": """SELECT p_type, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 8) AS share
+                        FROM part WHERE p_type IS NOT NULL GROUP BY p_type""",
+        "frequency_events": """SELECT event_type, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 8) AS share
+                               FROM events WHERE event_type IS NOT NULL GROUP BY event_type""",
+        "histogram": _hist_sql("lineitem", ["l_quantity"], 10),
+        "histogram_multi": _hist_sql("part", ["p_retailprice", "p_size"], 8),
+        "skew_label": """SELECT round(skewness(c_acctbal), 8) AS skewness,
+                                CASE WHEN skewness(c_acctbal) > 0.5 THEN 'right-skewed'
+                                     WHEN skewness(c_acctbal) < -0.5 THEN 'left-skewed' ELSE 'roughly symmetric' END AS label
+                         FROM customer""",
+        "crosstab": """SELECT s.o_orderstatus, p.o_orderpriority, count(o.o_orderkey) AS count
+                       FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p
+                       LEFT JOIN orders o ON o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = p.o_orderpriority
+                       GROUP BY ALL""",
+        "crosstab_row": """SELECT *, round(count * 100.0 / sum(count) OVER (PARTITION BY o_orderstatus), 8) AS row_pct FROM (
+                       SELECT s.o_orderstatus, p.o_orderpriority, count(o.o_orderkey) AS count
+                       FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p
+                       LEFT JOIN orders o ON o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = p.o_orderpriority
+                       GROUP BY ALL)""",
+        "scatter": """SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
+                      WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL""",
+        "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
+                             FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }

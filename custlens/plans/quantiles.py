@@ -73,6 +73,13 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", brackets, accuracy).alias("_ap"),
     )
+    first = first.cache()
+    biggest = first.agg(F.max("_n").alias("m")).collect()[0]["m"] or 0
+    if biggest <= band_limit:
+        # every group is small enough for the exact in-memory aggregate
+        exact = base.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q"))
+        first.unpersist()
+        return exact.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     targets = _targets(first, keys, probs, eps).select(*keys, "pid", "h", "r_lo", "r_hi", "lo", "hi", "_min", "_max")
     tkeys = keys + ["pid"]
     targets = targets.withColumn("below", F.lit(None).cast("long"))
