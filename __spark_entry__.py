@@ -13,7 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custlens.operators import anova as A
 from custlens.operators import chartdata as V
+from custlens.operators import correlate as C
+from custlens.operators import hypothesis as H
 from custlens.operators import describe as D
 from custlens.operators import wrangle as W
 from custlens.sources import io as IO
@@ -270,6 +273,115 @@ def q_monthly_series(spark, d):
 
 
 
+# ---------------------------------------------------------------- correlation
+_CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def q_corr_pearson(spark, d):
+    return _round(C.corr(_t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "pearson"), {"r": 10})
+
+
+def q_corr_spearman(spark, d):
+    return _round(C.corr(_t(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "spearman"), {"r": 10})
+
+
+def q_corr_kendall(spark, d):
+    return _round(C.corr(_t(spark, d, "lineitem"), "l_quantity", "l_discount", "kendall"), {"r": 10})
+
+
+def q_corr_kendall_customer(spark, d):
+    return _round(C.corr(_t(spark, d, "customer"), "c_acctbal", "c_nationkey", "kendall"), {"r": 10})
+
+
+def q_corr_matrix(spark, d):
+    return _round(C.corr_matrix(_t(spark, d, "lineitem"), _CORR_COLS, "pearson"), {"r": 10})
+
+
+def q_corr_matrix_spearman(spark, d):
+    return _round(C.corr_matrix(_t(spark, d, "lineitem"), _CORR_COLS[:3], "spearman"), {"r": 10})
+
+
+def q_corr_report(spark, d):
+    return _round(C.corr_report(_t(spark, d, "customer"), "c_acctbal", "c_custkey", "pearson"), {"r": 10})
+
+
+# ---------------------------------------------------------------- hypothesis tests
+def q_ttest_1samp(spark, d):
+    out = H.ttest_1samp(_t(spark, d, "lineitem"), "l_quantity", 25.0)
+    return _round(out.select("n", "mean", "mu", "t", "df"), {"mean": 8, "t": 8})
+
+
+def q_ttest_1samp_median(spark, d):
+    out = H.ttest_1samp(_t(spark, d, "customer"), "c_acctbal")
+    return _round(out.select("n", "mean", "mu", "t", "df"), {"mean": 8, "mu": 8, "t": 8})
+
+
+def q_ttest_welch(spark, d):
+    out = H.ttest_welch(_t(spark, d, "lineitem"), "l_quantity", "l_linestatus", "F", "O")
+    return _round(out.drop("p", "significant"), {"mean_a": 8, "mean_b": 8, "t": 8, "df": 6})
+
+
+def q_ttest_paired(spark, d):
+    out = H.ttest_paired(_t(spark, d, "lineitem"), "l_discount", "l_tax")
+    return _round(out.drop("p", "significant"), {"mean_a": 10, "mean_b": 10, "mean_change": 10, "t": 8})
+
+
+def q_chi2_orders(spark, d):
+    out = H.chi2_independence(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
+    return _round(out, {"chi2": 8, "p": 10, "cramers_v": 10, "min_expected": 8})
+
+
+def q_chi2_yates(spark, d):
+    out = H.chi2_independence(_t(spark, d, "labels"), "quality", "toxic")
+    return _round(out.drop("p", "significant"), {"chi2": 8, "cramers_v": 10, "min_expected": 8})
+
+
+def q_chi2_expected(spark, d):
+    out = H.chi2_expected(_t(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
+    return _round(out, {"expected": 8, "contribution": 8})
+
+
+# ---------------------------------------------------------------- ANOVA
+def q_anova_oneway(spark, d):
+    out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag"])
+    return _round(out, {"sum_sq": 4, "F": 8, "p": 10})
+
+
+def q_anova_twoway(spark, d):
+    out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"])
+    return _round(out, {"sum_sq": 4, "F": 8, "p": 10})
+
+
+def q_anova_twoway_interaction(spark, d):
+    out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"], interactions=True)
+    return _round(out, {"sum_sq": 4, "F": 8, "p": 10})
+
+
+def q_anova_threeway(spark, d):
+    out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus", "l_linenumber"],
+                  interactions=True)
+    return _round(out, {"sum_sq": 4, "F": 8, "p": 10})
+
+
+def q_group_means(spark, d):
+    out = A.group_means(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"])
+    return _round(out, {"mean": 8})
+
+
+def q_posthoc_tukey(spark, d):
+    out = A.posthoc(_t(spark, d, "lineitem"), "l_quantity", "l_returnflag", "tukey")
+    return _round(out, {"meandiff": 8, "p_adj": 6, "lower": 6, "upper": 6})
+
+
+def q_posthoc_scheffe(spark, d):
+    return _round(A.posthoc(_t(spark, d, "lineitem"), "l_quantity", "l_returnflag", "scheffe"), {"p": 10})
+
+
+def q_posthoc_bonferroni(spark, d):
+    return _round(A.posthoc(_t(spark, d, "lineitem"), "l_quantity", "l_returnflag", "bonferroni"), {"p": 10})
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "summary_measures": q_summary_measures,
@@ -310,6 +422,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "crosstab_row": q_crosstab_row,
         "scatter": q_scatter,
         "monthly_series": q_monthly_series,
+        "corr_pearson": q_corr_pearson,
+        "corr_spearman": q_corr_spearman,
+        "corr_kendall": q_corr_kendall,
+        "corr_kendall_customer": q_corr_kendall_customer,
+        "corr_matrix": q_corr_matrix,
+        "corr_matrix_spearman": q_corr_matrix_spearman,
+        "corr_report": q_corr_report,
+        "ttest_1samp": q_ttest_1samp,
+        "ttest_1samp_median": q_ttest_1samp_median,
+        "ttest_welch": q_ttest_welch,
+        "ttest_paired": q_ttest_paired,
+        "chi2_orders": q_chi2_orders,
+        "chi2_yates": q_chi2_yates,
+        "chi2_expected": q_chi2_expected,
+        "anova_oneway": q_anova_oneway,
+        "anova_twoway": q_anova_twoway,
+        "anova_twoway_interaction": q_anova_twoway_interaction,
+        "anova_threeway": q_anova_threeway,
+        "group_means": q_group_means,
+        "posthoc_tukey": q_posthoc_tukey,
+        "posthoc_scheffe": q_posthoc_scheffe,
+        "posthoc_bonferroni": q_posthoc_bonferroni,
     }
 
 
@@ -459,6 +593,110 @@ def _pct_sql(table: str, key: str, col: str, rounding: str) -> str:
                     / count({col}) OVER () * 100.0 AS p FROM {table})"""
 
 
+def _kendall_sql(table: str, a: str, b: str) -> str:
+    return f"""
+    WITH p AS (SELECT {a}::DOUBLE x, {b}::DOUBLE y FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+    c AS (SELECT x, y, count(*)::DOUBLE w FROM p GROUP BY x, y),
+    s AS (SELECT sum(c1.w * c2.w * sign(c1.x - c2.x) * sign(c1.y - c2.y)) / 2 AS s FROM c c1, c c2),
+    t AS (SELECT count(*)::DOUBLE n FROM p),
+    tx AS (SELECT sum(k * (k - 1) / 2) v FROM (SELECT count(*)::DOUBLE k FROM p GROUP BY x)),
+    ty AS (SELECT sum(k * (k - 1) / 2) v FROM (SELECT count(*)::DOUBLE k FROM p GROUP BY y))
+    SELECT '{a}' AS col_a, '{b}' AS col_b, 'kendall' AS method, CAST(n AS BIGINT) AS n,
+           round(s / sqrt((n * (n - 1) / 2 - tx.v) * (n * (n - 1) / 2 - ty.v)), 10) AS r
+    FROM s, t, tx, ty"""
+
+
+def _avg_rank_sql(c: str) -> str:
+    return f"(rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0)"
+
+
+def _spearman_sql(table: str, a: str, b: str) -> str:
+    return f"""
+    WITH p AS (SELECT {a}::DOUBLE x, {b}::DOUBLE y FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+    r AS (SELECT {_avg_rank_sql('x')} rx, {_avg_rank_sql('y')} ry FROM p)
+    SELECT '{a}' AS col_a, '{b}' AS col_b, 'spearman' AS method, count(*) AS n, round(corr(rx, ry), 10) AS r FROM r"""
+
+
+def _corr_matrix_sql(cols: list[str]) -> str:
+    parts = []
+    for x in cols:
+        for y in cols:
+            r = "1.0" if x == y else f"round(corr({x}, {y}), 10)"
+            src = "" if x == y else " FROM lineitem"
+            parts.append(f"SELECT '{x}' AS col_a, '{y}' AS col_b, {r} AS r{src}")
+    return " UNION ALL ".join(parts)
+
+
+def _spearman_matrix_sql(cols: list[str]) -> str:
+    parts = []
+    for x in cols:
+        for y in cols:
+            if x == y:
+                parts.append(f"SELECT '{x}' AS col_a, '{y}' AS col_b, 1.0 AS r")
+            else:
+                parts.append(f"SELECT col_a, col_b, r FROM ({_spearman_sql('lineitem', x, y)})")
+    return " UNION ALL ".join(parts)
+
+
+_CHI_CELLS = """
+    cells AS (SELECT s.o_orderstatus, p.o_orderpriority, count(o.o_orderkey)::DOUBLE AS obs
+              FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p
+              LEFT JOIN orders o ON o.o_orderstatus = s.o_orderstatus AND o.o_orderpriority = p.o_orderpriority
+              GROUP BY ALL),
+    ex AS (SELECT *, sum(obs) OVER (PARTITION BY o_orderstatus) * sum(obs) OVER (PARTITION BY o_orderpriority)
+                      / sum(obs) OVER () AS e FROM cells)"""
+
+_CHI_ORDERS_SQL = f"""
+WITH {_CHI_CELLS},
+st AS (SELECT sum((obs - e) * (obs - e) / e) x, sum(obs) n, min(e) me FROM ex)
+SELECT round(x, 8) AS chi2, CAST(8 AS BIGINT) AS dof,
+       round(exp(-x / 2) * (1 + x / 2 + pow(x / 2, 2) / 2 + pow(x / 2, 3) / 6), 10) AS p,
+       CAST(n AS BIGINT) AS n, round(sqrt(x / (n * 2)), 10) AS cramers_v,
+       CASE WHEN sqrt(x / (n * 2)) < 0.1 THEN 'negligible' WHEN sqrt(x / (n * 2)) < 0.3 THEN 'weak'
+            WHEN sqrt(x / (n * 2)) < 0.5 THEN 'moderate' ELSE 'strong' END AS strength,
+       round(me, 8) AS min_expected, me < 5 AS low_expected,
+       exp(-x / 2) * (1 + x / 2 + pow(x / 2, 2) / 2 + pow(x / 2, 3) / 6) < 0.05 AS significant
+FROM st"""
+
+_CHI_YATES_SQL = """
+WITH cells AS (SELECT q.quality, t.toxic, count(l.doc_id)::DOUBLE obs
+               FROM (SELECT DISTINCT quality FROM labels) q CROSS JOIN (SELECT DISTINCT toxic FROM labels) t
+               LEFT JOIN labels l ON l.quality = q.quality AND l.toxic = t.toxic GROUP BY ALL),
+ex AS (SELECT *, sum(obs) OVER (PARTITION BY quality) * sum(obs) OVER (PARTITION BY toxic) / sum(obs) OVER () AS e
+       FROM cells),
+st AS (SELECT sum(pow(abs(obs - e) - least(0.5, abs(obs - e)), 2) / e) x, sum(obs) n, min(e) me FROM ex)
+SELECT round(x, 8) AS chi2, CAST(1 AS BIGINT) AS dof, CAST(n AS BIGINT) AS n, round(sqrt(x / n), 10) AS cramers_v,
+       CASE WHEN sqrt(x / n) < 0.1 THEN 'negligible' WHEN sqrt(x / n) < 0.3 THEN 'weak'
+            WHEN sqrt(x / n) < 0.5 THEN 'moderate' ELSE 'strong' END AS strength,
+       round(me, 8) AS min_expected, me < 5 AS low_expected
+FROM st"""
+
+_CHI_EXPECTED_SQL = f"""
+WITH {_CHI_CELLS}
+SELECT o_orderstatus, o_orderpriority, CAST(obs AS BIGINT) AS observed, round(e, 8) AS expected,
+       round((obs - e) * (obs - e) / e, 8) AS contribution FROM ex"""
+
+_ANOVA1_SQL = """
+WITH g AS (SELECT l_returnflag, count(*) n, avg(l_quantity) m, var_pop(l_quantity) * count(*) ss FROM lineitem
+           GROUP BY l_returnflag),
+t AS (SELECT sum(n) n, sum(n * m) / sum(n) gm, sum(ss) ssw, count(*) k FROM g),
+b AS (SELECT sum(g.n * (g.m - t.gm) * (g.m - t.gm)) ssb FROM g, t),
+f AS (SELECT ssb, ssw, k - 1 AS d1, n - k AS d2, (ssb / (k - 1)) / (ssw / (n - k)) AS fv FROM b, t)
+SELECT 'l_returnflag' AS term, round(ssb, 4) AS sum_sq, CAST(d1 AS DOUBLE) AS df, round(fv, 8) AS F,
+       round(pow(1 + 2 * fv / d2, -d2 / 2), 10) AS p, pow(1 + 2 * fv / d2, -d2 / 2) < 0.05 AS significant FROM f
+UNION ALL
+SELECT 'Residual', round(ssw, 4), CAST(d2 AS DOUBLE), NULL, NULL, FALSE FROM f"""
+
+_SCHEFFE_SQL = """
+WITH g AS (SELECT l_returnflag AS grp, count(*) n, avg(l_quantity) m FROM lineitem GROUP BY l_returnflag),
+t AS (SELECT sum(n) n, count(*) k FROM g),
+w AS (SELECT sum(pow(l_quantity - g.m, 2)) / ((SELECT n FROM t) - (SELECT k FROM t)) mse
+      FROM lineitem JOIN g ON l_returnflag = g.grp),
+pr AS (SELECT a.grp g1, b.grp g2, pow(a.m - b.m, 2) / (w.mse * (1.0 / a.n + 1.0 / b.n) * (t.k - 1)) fv, t.n - t.k d2
+       FROM g a JOIN g b ON a.grp < b.grp, w, t)
+SELECT g1 AS group1, g2 AS group2, round(pow(1 + 2 * fv / d2, -d2 / 2), 10) AS p FROM pr"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "summary_measures": _sql_summary("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1996-01-01'"),
@@ -526,6 +764,44 @@ def oracle_sql() -> dict[str, str]:
                        GROUP BY ALL)""",
         "scatter": """SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem
                       WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL""",
+        "corr_pearson": """SELECT 'l_quantity' AS col_a, 'l_extendedprice' AS col_b, 'pearson' AS method,
+                                  count(*) AS n, round(corr(l_quantity, l_extendedprice), 10) AS r FROM lineitem""",
+        "corr_spearman": _spearman_sql("lineitem", "l_quantity", "l_extendedprice"),
+        "corr_kendall": _kendall_sql("lineitem", "l_quantity", "l_discount"),
+        "corr_kendall_customer": _kendall_sql("customer", "c_acctbal", "c_nationkey"),
+        "corr_matrix": _corr_matrix_sql(_CORR_COLS),
+        "corr_matrix_spearman": _spearman_matrix_sql(_CORR_COLS[:3]),
+        "corr_report": """SELECT 'c_acctbal' AS col_a, 'c_custkey' AS col_b, 'pearson' AS method, count(*) AS n,
+                                 round(corr(c_acctbal, c_custkey), 10) AS r,
+                                 CASE WHEN abs(corr(c_acctbal, c_custkey)) < 0.1 THEN 'very weak / none'
+                                      WHEN abs(corr(c_acctbal, c_custkey)) < 0.3 THEN 'weak'
+                                      WHEN abs(corr(c_acctbal, c_custkey)) < 0.7 THEN 'moderate' ELSE 'strong' END AS strength,
+                                 CASE WHEN corr(c_acctbal, c_custkey) > 0 THEN 'positive'
+                                      WHEN corr(c_acctbal, c_custkey) < 0 THEN 'negative' ELSE 'none' END AS direction
+                          FROM customer""",
+        "ttest_1samp": """SELECT count(*) AS n, round(avg(l_quantity), 8) AS mean, 25.0 AS mu,
+                                 round((avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))), 8) AS t,
+                                 CAST(count(*) - 1 AS DOUBLE) AS df FROM lineitem""",
+        "ttest_1samp_median": """SELECT count(*) AS n, round(avg(c_acctbal), 8) AS mean, round(median(c_acctbal), 8) AS mu,
+                                 round((avg(c_acctbal) - median(c_acctbal)) / (stddev_samp(c_acctbal) / sqrt(count(*))), 8) AS t,
+                                 CAST(count(*) - 1 AS DOUBLE) AS df FROM customer""",
+        "ttest_welch": """WITH a AS (SELECT count(*) n, avg(l_quantity) m, var_samp(l_quantity) v FROM lineitem WHERE l_linestatus = 'F'),
+                          b AS (SELECT count(*) n, avg(l_quantity) m, var_samp(l_quantity) v FROM lineitem WHERE l_linestatus = 'O')
+                          SELECT 'F' AS group_a, 'O' AS group_b, a.n AS n_a, b.n AS n_b, round(a.m, 8) AS mean_a,
+                                 round(b.m, 8) AS mean_b, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 8) AS t,
+                                 round(pow(a.v / a.n + b.v / b.n, 2) / (pow(a.v / a.n, 2) / (a.n - 1) + pow(b.v / b.n, 2) / (b.n - 1)), 6) AS df
+                          FROM a, b""",
+        "ttest_paired": """SELECT count(*) AS n, round(avg(l_discount), 10) AS mean_a, round(avg(l_tax), 10) AS mean_b,
+                                  round(avg(l_tax) - avg(l_discount), 10) AS mean_change,
+                                  round(avg(l_discount - l_tax) / (stddev_samp(l_discount - l_tax) / sqrt(count(*))), 8) AS t,
+                                  CAST(count(*) - 1 AS DOUBLE) AS df FROM lineitem""",
+        "chi2_orders": _CHI_ORDERS_SQL,
+        "chi2_yates": _CHI_YATES_SQL,
+        "chi2_expected": _CHI_EXPECTED_SQL,
+        "anova_oneway": _ANOVA1_SQL,
+        "group_means": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 8) AS mean
+                          FROM lineitem GROUP BY ALL""",
+        "posthoc_scheffe": _SCHEFFE_SQL,
         "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
