@@ -17,6 +17,7 @@ from custlens.operators import anova as A
 from custlens.operators import chartdata as V
 from custlens.operators import correlate as C
 from custlens.operators import hypothesis as H
+from custlens.operators import regression as R
 from custlens.operators import describe as D
 from custlens.operators import wrangle as W
 from custlens.sources import io as IO
@@ -382,6 +383,98 @@ def q_posthoc_bonferroni(spark, d):
 
 
 
+# ---------------------------------------------------------------- OLS regression
+_OLS = R.OlsSpec("l_extendedprice", ("l_quantity", "l_discount"))
+_OLS_SQ = R.OlsSpec("l_extendedprice", ("l_quantity",), square="l_quantity")
+_OLS_LOG = R.OlsSpec("l_extendedprice", ("l_quantity", "l_discount"), log_x="l_quantity", log_y=True)
+_OLS_CAT = R.OlsSpec("l_extendedprice", ("l_quantity",), ("l_returnflag",))
+
+
+def _keyed_lineitem(spark, d):
+    li = _t(spark, d, "lineitem")
+    return li.withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+
+
+def q_ols_coefficients(spark, d):
+    res = R.ols(_t(spark, d, "lineitem"), _OLS)
+    return _round(res.coefficients(spark).select("term", "coef", "se", "t"), {"coef": 6, "se": 6, "t": 6})
+
+
+def q_ols_fit_stats(spark, d):
+    res = R.ols(_t(spark, d, "lineitem"), _OLS)
+    return _round(res.fit_stats(spark), {"r2": 10, "adj_r2": 10, "f": 6, "f_p": 10, "rmse": 6})
+
+
+def q_ols_residuals(spark, d):
+    li = _t(spark, d, "lineitem")
+    out = R.ols(li, _OLS).residuals(li).select("l_orderkey", "l_linenumber", "fitted", "resid")
+    return _round(out, {"fitted": 4, "resid": 4})
+
+
+def q_ols_square(spark, d):
+    res = R.ols(_t(spark, d, "lineitem"), _OLS_SQ)
+    tp = res.turning_point()
+    out = res.coefficients(spark).select("term", "coef", "se", "t").withColumn("turning_point", F.lit(tp))
+    return _round(out, {"coef": 6, "se": 6, "t": 6, "turning_point": 6})
+
+
+def q_ols_log(spark, d):
+    res = R.ols(_t(spark, d, "lineitem"), _OLS_LOG)
+    return _round(res.coefficients(spark).select("term", "coef", "se", "t"), {"coef": 8, "se": 8, "t": 6})
+
+
+def q_ols_categorical(spark, d):
+    res = R.ols(_t(spark, d, "lineitem"), _OLS_CAT)
+    return _round(res.coefficients(spark), {"coef": 6, "se": 6, "t": 6, "p": 8, "ci_low": 6, "ci_high": 6})
+
+
+def q_check_positive(spark, d):
+    return R.check_positive(_t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_extendedprice"])
+
+
+def _resid(spark, d):
+    li = _t(spark, d, "lineitem")
+    return R.ols(li, _OLS).residuals(li)
+
+
+def q_qq_points(spark, d):
+    return _round(R.qq_points(_resid(spark, d), "resid", 50), {"theoretical": 8, "sample": 8})
+
+
+def q_resid_histogram(spark, d):
+    return _round(V.histogram(_resid(spark, d), "resid", 30), {"lo": 4, "hi": 4})
+
+
+def q_vif(spark, d):
+    return _round(R.vif(_t(spark, d, "lineitem"), ["l_quantity", "l_discount"]), {"vif": 10})
+
+
+def q_breusch_pagan(spark, d):
+    li = _t(spark, d, "lineitem")
+    return _round(R.breusch_pagan(li, R.ols(li, _OLS)), {"lm": 6, "p": 10})
+
+
+def q_durbin_watson(spark, d):
+    # the order must be total: (orderkey, linenumber) repeats in this table
+    return _round(R.durbin_watson(_resid(spark, d), "resid", _LI_ORDER), {"dw": 10})
+
+
+def q_jarque_bera(spark, d):
+    return _round(R.jarque_bera(_resid(spark, d), "resid"), {"jb": 6, "p": 10, "skewness": 10, "kurtosis": 10})
+
+
+def q_holdout_rmse(spark, d):
+    li = _keyed_lineitem(spark, d)
+    v = R.holdout_rmse(li, _OLS, "row_key", 0.7, 42)
+    return spark.createDataFrame([(round(v, 6),)], "holdout_rmse double")
+
+
+def q_compare_square(spark, d):
+    return _round(R.compare_square(_keyed_lineitem(spark, d), _OLS_SQ, "row_key"),
+                  {"holdout_rmse": 6, "cv_rmse": 6})
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "summary_measures": q_summary_measures,
@@ -444,6 +537,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "posthoc_tukey": q_posthoc_tukey,
         "posthoc_scheffe": q_posthoc_scheffe,
         "posthoc_bonferroni": q_posthoc_bonferroni,
+        "ols_coefficients": q_ols_coefficients,
+        "ols_fit_stats": q_ols_fit_stats,
+        "ols_residuals": q_ols_residuals,
+        "ols_square": q_ols_square,
+        "ols_log": q_ols_log,
+        "ols_categorical": q_ols_categorical,
+        "check_positive": q_check_positive,
+        "qq_points": q_qq_points,
+        "resid_histogram": q_resid_histogram,
+        "vif": q_vif,
+        "breusch_pagan": q_breusch_pagan,
+        "durbin_watson": q_durbin_watson,
+        "jarque_bera": q_jarque_bera,
+        "holdout_rmse": q_holdout_rmse,
+        "compare_square": q_compare_square,
     }
 
 
@@ -697,6 +805,71 @@ pr AS (SELECT a.grp g1, b.grp g2, pow(a.m - b.m, 2) / (w.mse * (1.0 / a.n + 1.0
 SELECT g1 AS group1, g2 AS group2, round(pow(1 + 2 * fv / d2, -d2 / 2), 10) AS p FROM pr"""
 
 
+def _ols2_ctes(src: str) -> str:
+    """CTEs fitting y ~ x1 + x2 in closed form over ``src`` (columns y, x1, x2)."""
+    return f"""
+    st AS (SELECT count(*)::DOUBLE n, avg(x1) m1, avg(x2) m2, avg(y) my,
+                  var_pop(x1) * count(*) s11, var_pop(x2) * count(*) s22, covar_pop(x1, x2) * count(*) s12,
+                  covar_pop(x1, y) * count(*) s1y, covar_pop(x2, y) * count(*) s2y, var_pop(y) * count(*) syy FROM ({src})),
+    fa AS (SELECT *, s11 * s22 - s12 * s12 AS det FROM st),
+    fb AS (SELECT *, (s22 * s1y - s12 * s2y) / det AS b1, (s11 * s2y - s12 * s1y) / det AS b2 FROM fa),
+    fit AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, syy - (b1 * s1y + b2 * s2y) AS rss,
+                   (syy - (b1 * s1y + b2 * s2y)) / (n - 3) AS s2 FROM fb)"""
+
+
+def _ols2_coef_sql(src: str, names: tuple[str, str], dec: int = 6) -> str:
+    se0 = "sqrt(s2 * (1 / n + (m1 * m1 * s22 - 2 * m1 * m2 * s12 + m2 * m2 * s11) / det))"
+    se1, se2 = "sqrt(s2 * s22 / det)", "sqrt(s2 * s11 / det)"
+    rows = [("Intercept", "b0", se0), (names[0], "b1", se1), (names[1], "b2", se2)]
+    sel = " UNION ALL ".join(
+        f"SELECT '{t}' AS term, round({b}, {dec}) AS coef, round({se}, {dec}) AS se, round({b} / {se}, 6) AS t FROM fit"
+        for t, b, se in rows)
+    return f"WITH {_ols2_ctes(src)} {sel}"
+
+
+_SQ_SRC = "SELECT l_extendedprice AS y, l_quantity AS x1, l_quantity * l_quantity AS x2 FROM lineitem"
+_LI_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
+_LI2 = ("SELECT l_extendedprice AS y, l_quantity AS x1, l_discount AS x2, l_orderkey, l_linenumber, l_partkey, "
+        "l_suppkey, l_extendedprice, l_shipdate FROM lineitem")
+
+_RESID_CTE = f"""{_ols2_ctes(_LI2)},
+    res AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, x1, x2, b0 + b1 * x1 + b2 * x2 AS fitted, y - (b0 + b1 * x1 + b2 * x2) AS e
+            FROM ({_LI2}), fit)"""
+
+_ROWKEY_SCORE = "(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || ':42'), 1, 8))::BIGINT / 4294967296.0)"
+
+
+def _qq_sql(m: int) -> str:
+    from custlens.functions.dist import norm_ppf
+
+    probs = [j / (m + 1) for j in range(1, m + 1)]
+    qs = ", ".join(f"quantile_cont(z, {p!r})" for p in probs)
+    theo = ", ".join(repr(norm_ppf(p)) for p in probs)
+    return f"""WITH {_RESID_CTE},
+    z AS (SELECT (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS z FROM res),
+    q AS (SELECT [{qs}] AS qs FROM z)
+    SELECT round(unnest([{theo}]), 8) AS theoretical, round(unnest(qs), 8) AS sample FROM q"""
+
+
+def _resid_hist_sql() -> str:
+    n = 30
+    return f"""WITH {_RESID_CTE},
+    mm AS (SELECT min(e) lo, max(e) hi FROM res),
+    g AS (SELECT range + 1 AS bin, range AS k FROM range({n}))
+    SELECT 'resid' AS "column", g.bin, round(g.k * ((hi - lo) / {n}) + lo, 4) AS lo,
+           round(CASE WHEN g.bin = {n} THEN hi ELSE g.bin * ((hi - lo) / {n}) + lo END, 4) AS hi,
+           CAST(count(res.e) AS BIGINT) AS count
+    FROM mm CROSS JOIN g LEFT JOIN res ON {_hist_bin_sql('res.e', 'mm.lo', 'mm.hi', n)} = g.bin
+    GROUP BY g.bin, g.k, lo, hi"""
+
+
+def _holdout_sql() -> str:
+    src = f"SELECT l_extendedprice AS y, l_quantity AS x1, l_discount AS x2 FROM lineitem WHERE {_ROWKEY_SCORE} < 0.7"
+    return f"""WITH {_ols2_ctes(src)}
+    SELECT round(sqrt(avg(pow(l_extendedprice - (b0 + b1 * l_quantity + b2 * l_discount), 2))), 6) AS holdout_rmse
+    FROM lineitem, fit WHERE {_ROWKEY_SCORE} >= 0.7"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "summary_measures": _sql_summary("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1996-01-01'"),
@@ -802,6 +975,37 @@ def oracle_sql() -> dict[str, str]:
         "group_means": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 8) AS mean
                           FROM lineitem GROUP BY ALL""",
         "posthoc_scheffe": _SCHEFFE_SQL,
+        "ols_coefficients": _ols2_coef_sql(_LI2, ("l_quantity", "l_discount")),
+        "ols_fit_stats": f"""WITH {_ols2_ctes(_LI2)}
+            SELECT round(1 - rss / syy, 10) AS r2, round(1 - (rss / syy) * (n - 1) / (n - 3), 10) AS adj_r2,
+                   round(((syy - rss) / 2) / s2, 6) AS f, round(pow(1 + 2 * (((syy - rss) / 2) / s2) / (n - 3), -(n - 3) / 2), 10) AS f_p,
+                   CAST(n AS BIGINT) AS n, 2.0 AS df_model, n - 3 AS df_resid, round(sqrt(rss / n), 6) AS rmse FROM fit""",
+        "ols_residuals": f"WITH {_RESID_CTE} SELECT l_orderkey, l_linenumber, round(fitted, 4) AS fitted, round(e, 4) AS resid FROM res",
+        "ols_square": f"""SELECT *, round((WITH {_ols2_ctes(_SQ_SRC)} SELECT -b1 / (2 * b2) FROM fit), 6) AS turning_point
+                          FROM ({_ols2_coef_sql(_SQ_SRC, ("l_quantity", "l_quantity^2"))})""",
+        "ols_log": _ols2_coef_sql("SELECT ln(l_extendedprice) AS y, ln(l_quantity) AS x1, l_discount AS x2 FROM lineitem",
+                                  ("log(l_quantity)", "l_discount"), 8),
+        "check_positive": """SELECT 'l_quantity' AS "column", bool_and(l_quantity > 0) AS all_positive FROM lineitem
+                             UNION ALL SELECT 'l_discount', bool_and(l_discount > 0) FROM lineitem
+                             UNION ALL SELECT 'l_extendedprice', bool_and(l_extendedprice > 0) FROM lineitem""",
+        "qq_points": _qq_sql(50),
+        "resid_histogram": _resid_hist_sql(),
+        "vif": """SELECT 'l_quantity' AS "column", round(1 / (1 - pow(corr(l_quantity, l_discount), 2)), 10) AS vif FROM lineitem
+                  UNION ALL SELECT 'l_discount', round(1 / (1 - pow(corr(l_quantity, l_discount), 2)), 10) FROM lineitem""",
+        "breusch_pagan": f"""WITH {_RESID_CTE},
+            aux AS (SELECT corr(x1, e * e) r1, corr(x2, e * e) r2, corr(x1, x2) r12, count(*)::DOUBLE n FROM res),
+            lm AS (SELECT n * (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS lm FROM aux)
+            SELECT round(lm, 6) AS lm, 2.0 AS df, round(exp(-lm / 2), 10) AS p FROM lm""",
+        "durbin_watson": f"""WITH {_RESID_CTE},
+            d AS (SELECT e, e - lag(e) OVER (ORDER BY {", ".join(_LI_ORDER)}) AS de FROM res)
+            SELECT round(sum(coalesce(de * de, 0)) / sum(e * e), 10) AS dw, count(*) AS n FROM d""",
+        "jarque_bera": f"""WITH {_RESID_CTE},
+            m AS (SELECT avg(e) mu, count(*) n FROM res),
+            c AS (SELECT avg(pow(e - mu, 2)) m2, avg(pow(e - mu, 3)) m3, avg(pow(e - mu, 4)) m4, any_value(n) n FROM res, m),
+            g AS (SELECT m3 / pow(m2, 1.5) s, m4 / (m2 * m2) - 3 k, n FROM c)
+            SELECT round(n / 6.0 * (s * s + k * k / 4), 6) AS jb, round(exp(-(n / 6.0 * (s * s + k * k / 4)) / 2), 10) AS p,
+                   round(s, 10) AS skewness, round(k, 10) AS kurtosis, n FROM g""",
+        "holdout_rmse": _holdout_sql(),
         "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
