@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from custlens.operators import anova as A
 from custlens.operators import chartdata as V
 from custlens.operators import correlate as C
+from custlens.operators import classify as M
 from custlens.operators import hypothesis as H
+from custlens.operators import logistic as L
 from custlens.operators import regression as R
 from custlens.operators import describe as D
 from custlens.operators import wrangle as W
@@ -475,6 +477,100 @@ def q_compare_square(spark, d):
 
 
 
+# ---------------------------------------------------------------- logistic regression
+_LOGIT_X = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _li_target(spark, d):
+    li = _keyed_lineitem(spark, d)
+    return li.withColumn("is_return", (F.col("l_returnflag") == "R").cast("int"))
+
+
+def q_logit_coefficients(spark, d):
+    res = L.logit(_li_target(spark, d), "is_return", _LOGIT_X)
+    return _round(res.coefficients(spark), {"coef": 8, "se": 8, "z": 6, "p": 8, "odds_ratio": 8})
+
+
+def q_logit_fit_stats(spark, d):
+    res = L.logit(_li_target(spark, d), "is_return", _LOGIT_X)
+    return _round(res.fit_stats(spark), {"base_rate": 10, "pseudo_r2": 10, "deviance": 4, "null_deviance": 4})
+
+
+def q_logit_score_profile(spark, d):
+    li = _li_target(spark, d)
+    res = L.logit(li, "is_return", _LOGIT_X)
+    return _round(res.score(res.median_profile(li)), {"probability": 8})
+
+
+def q_logit_holdout(spark, d):
+    data = L.stratified_split(_li_target(spark, d), "is_return", "row_key")
+    res = L.logit(data.where("_train"), "is_return", _LOGIT_X)
+    test = res.score(data.where(~F.col("_train")))
+    return L.confusion(test, "is_return", (F.col("probability") >= 0.3).cast("int"))
+
+
+def q_stratified_split(spark, d):
+    data = L.stratified_split(_li_target(spark, d), "is_return", "row_key")
+    return data.groupBy("is_return", "_train").agg(F.count("*").alias("n")).withColumnRenamed("_train", "train")
+
+
+def _scored(spark, d):
+    return _li_target(spark, d).withColumn("score", F.col("l_discount") * 10.0)
+
+
+def q_confusion(spark, d):
+    return _round(L.confusion(_scored(spark, d), "is_return", (F.col("score") >= 0.5).cast("int")),
+                  {"accuracy": 10, "sensitivity": 10, "specificity": 10})
+
+
+def q_cutoff_sweep(spark, d):
+    return _round(L.cutoff_sweep(_scored(spark, d), "is_return", "score"),
+                  {"cutoff": 2, "accuracy": 10, "sensitivity": 10, "specificity": 10})
+
+
+# ---------------------------------------------------------------- classifiers
+_EMB_X = ["e1", "e2", "e3", "e4"]
+
+
+def _emb(spark, d):
+    e = _t(spark, d, "embeddings")
+    cols = [F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(_EMB_X)]
+    return e.select("vec_id", *cols, (F.col("label") < 5).cast("int").alias("y"))
+
+
+def _emb_split(spark, d):
+    return M.prepare(_emb(spark, d), _EMB_X, "y", "vec_id")
+
+
+def q_scaler(spark, d):
+    s = M.fit_scaler(_emb_split(spark, d).where("_train"), _EMB_X)
+    return _round(s, {c: 10 for c in s.columns})
+
+
+def q_knn(spark, d):
+    return M.knn_classify(_emb_split(spark, d), _EMB_X, "y", "vec_id", k=5)
+
+
+def q_naive_bayes(spark, d):
+    return M.gaussian_nb(_emb_split(spark, d), _EMB_X, "y", "vec_id")
+
+
+def q_tree_rules(spark, d):
+    model, _ = M.tree(_emb_split(spark, d), _EMB_X, "y", "vec_id", depth=3)
+    return M.tree_rules(spark, model, _EMB_X)
+
+
+def q_forest_importance(spark, d):
+    model, _ = M.forest(_emb_split(spark, d), _EMB_X, "y", "vec_id", trees=200)
+    return _round(M.importance(spark, model, _EMB_X), {"importance": 8})
+
+
+def q_compare_classifiers(spark, d):
+    out = M.compare_classifiers(_emb_split(spark, d), _EMB_X, "y", "vec_id")
+    return _round(out, {"accuracy": 10, "sensitivity": 10, "specificity": 10})
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "summary_measures": q_summary_measures,
@@ -552,6 +648,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "jarque_bera": q_jarque_bera,
         "holdout_rmse": q_holdout_rmse,
         "compare_square": q_compare_square,
+        "logit_coefficients": q_logit_coefficients,
+        "logit_fit_stats": q_logit_fit_stats,
+        "logit_score_profile": q_logit_score_profile,
+        "logit_holdout": q_logit_holdout,
+        "stratified_split": q_stratified_split,
+        "confusion": q_confusion,
+        "cutoff_sweep": q_cutoff_sweep,
+        "scaler": q_scaler,
+        "knn": q_knn,
+        "naive_bayes": q_naive_bayes,
+        "tree_rules": q_tree_rules,
+        "forest_importance": q_forest_importance,
+        "compare_classifiers": q_compare_classifiers,
     }
 
 
@@ -870,6 +979,74 @@ def _holdout_sql() -> str:
     FROM lineitem, fit WHERE {_ROWKEY_SCORE} >= 0.7"""
 
 
+_HASH42 = "(('0x' || substr(md5(CAST({k} AS VARCHAR) || ':42'), 1, 8))::BIGINT / 4294967296.0)"
+
+_STRAT_SQL = f"""
+WITH b AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_return,
+                  {_HASH42.format(k="CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)")} AS s FROM lineitem),
+c AS (SELECT is_return, quantile_cont(s, 0.7) AS cut FROM b GROUP BY is_return)
+SELECT is_return, s <= cut AS train, count(*) AS n FROM b JOIN c USING (is_return) GROUP BY ALL"""
+
+_SCORE_SRC = "(SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_discount * 10.0 AS score FROM lineitem)"
+
+
+def _ratio_sql(tp="tp", fp="fp", tn="tn", fn="fn") -> str:
+    return (f"round(({tp} + {tn}) / ({tp} + {fp} + {tn} + {fn})::DOUBLE, 10) AS accuracy, "
+            f"round(CASE WHEN {tp} + {fn} > 0 THEN {tp} / ({tp} + {fn})::DOUBLE END, 10) AS sensitivity, "
+            f"round(CASE WHEN {tn} + {fp} > 0 THEN {tn} / ({tn} + {fp})::DOUBLE END, 10) AS specificity")
+
+
+_CONFUSION_SQL = f"""
+WITH c AS (SELECT count(*) FILTER (WHERE y = 1 AND score >= 0.5) tp, count(*) FILTER (WHERE y = 0 AND score >= 0.5) fp,
+                  count(*) FILTER (WHERE y = 0 AND score < 0.5) tn, count(*) FILTER (WHERE y = 1 AND score < 0.5) fn
+           FROM {_SCORE_SRC})
+SELECT tp, fp, tn, fn, {_ratio_sql()} FROM c"""
+
+_SWEEP_SQL = f"""
+WITH g AS (SELECT round(0.05 * range, 2) AS cutoff FROM range(1, 19)),
+c AS (SELECT cutoff, count(*) FILTER (WHERE y = 1 AND score >= cutoff) tp, count(*) FILTER (WHERE y = 0 AND score >= cutoff) fp,
+             count(*) FILTER (WHERE y = 0 AND score < cutoff) tn, count(*) FILTER (WHERE y = 1 AND score < cutoff) fn
+      FROM g, {_SCORE_SRC} GROUP BY cutoff)
+SELECT cutoff, tp, fp, tn, fn, {_ratio_sql()} FROM c"""
+
+_EMB_SPLIT = f"""
+    base AS (SELECT vec_id, embedding[1]::DOUBLE e1, embedding[2]::DOUBLE e2, embedding[3]::DOUBLE e3, embedding[4]::DOUBLE e4,
+                    CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, {_HASH42.format(k="vec_id")} AS s FROM embeddings),
+    cut AS (SELECT y, quantile_cont(s, 0.7) AS c FROM base GROUP BY y),
+    sp AS (SELECT base.*, s <= c AS train FROM base JOIN cut USING (y)),
+    sc AS (SELECT avg(e1) m1, stddev_pop(e1) s1, avg(e2) m2, stddev_pop(e2) s2, avg(e3) m3, stddev_pop(e3) s3,
+                  avg(e4) m4, stddev_pop(e4) s4 FROM sp WHERE train)"""
+
+_SCALER_SQL = f"""WITH {_EMB_SPLIT}
+SELECT round(m1, 10) AS e1_mean, round(m2, 10) AS e2_mean, round(m3, 10) AS e3_mean, round(m4, 10) AS e4_mean,
+       round(s1, 10) AS e1_sd, round(s2, 10) AS e2_sd, round(s3, 10) AS e3_sd, round(s4, 10) AS e4_sd FROM sc"""
+
+_KNN_SQL = f"""WITH {_EMB_SPLIT},
+    z AS (SELECT vec_id, y, train, (e1 - m1) / s1 z1, (e2 - m2) / s2 z2, (e3 - m3) / s3 z3, (e4 - m4) / s4 z4 FROM sp, sc),
+    pr AS (SELECT te.vec_id tid, te.y ty, tr.vec_id rid, tr.y ry,
+                  0.0 + pow(te.z1 - tr.z1, 2) + pow(te.z2 - tr.z2, 2) + pow(te.z3 - tr.z3, 2) + pow(te.z4 - tr.z4, 2) AS d
+           FROM z te JOIN z tr ON NOT te.train AND tr.train),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY d, rid) rn FROM pr),
+    v AS (SELECT tid, ty, ry, count(*) c FROM rk WHERE rn <= 5 GROUP BY ALL),
+    best AS (SELECT tid, ty, arg_max(ry, c * 10 - ry) AS pred FROM v GROUP BY tid, ty)
+SELECT tid AS vec_id, CAST(ty AS INTEGER) AS truth, CAST(pred AS INTEGER) AS pred FROM best"""
+
+_NB_SQL = f"""WITH {_EMB_SPLIT},
+    eps AS (SELECT greatest(var_pop(e1), var_pop(e2), var_pop(e3), var_pop(e4)) * 1e-9 AS e FROM sp WHERE train),
+    cls AS (SELECT y AS cls, count(*) nc, avg(e1) m1, avg(e2) m2, avg(e3) m3, avg(e4) m4,
+                   var_pop(e1) + (SELECT e FROM eps) v1, var_pop(e2) + (SELECT e FROM eps) v2,
+                   var_pop(e3) + (SELECT e FROM eps) v3, var_pop(e4) + (SELECT e FROM eps) v4 FROM sp WHERE train GROUP BY y),
+    tot AS (SELECT count(*)::DOUBLE n FROM sp WHERE train),
+    scored AS (SELECT t.vec_id, t.y, c.cls,
+                  ln(c.nc / tot.n)
+                  - 0.5 * ln(2 * pi() * v1) - pow(t.e1 - m1, 2) / (2 * v1)
+                  - 0.5 * ln(2 * pi() * v2) - pow(t.e2 - m2, 2) / (2 * v2)
+                  - 0.5 * ln(2 * pi() * v3) - pow(t.e3 - m3, 2) / (2 * v3)
+                  - 0.5 * ln(2 * pi() * v4) - pow(t.e4 - m4, 2) / (2 * v4) AS ll
+           FROM sp t, cls c, tot WHERE NOT t.train)
+SELECT vec_id, CAST(y AS INTEGER) AS truth, CAST(arg_max(cls, ll) AS INTEGER) AS pred FROM scored GROUP BY vec_id, y"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "summary_measures": _sql_summary("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1996-01-01'"),
@@ -1006,6 +1183,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT round(n / 6.0 * (s * s + k * k / 4), 6) AS jb, round(exp(-(n / 6.0 * (s * s + k * k / 4)) / 2), 10) AS p,
                    round(s, 10) AS skewness, round(k, 10) AS kurtosis, n FROM g""",
         "holdout_rmse": _holdout_sql(),
+        "stratified_split": _STRAT_SQL,
+        "confusion": _CONFUSION_SQL,
+        "cutoff_sweep": _SWEEP_SQL,
+        "scaler": _SCALER_SQL,
+        "knn": _KNN_SQL,
+        "naive_bayes": _NB_SQL,
         "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
