@@ -20,6 +20,8 @@ from custlens.operators import classify as M
 from custlens.operators import hypothesis as H
 from custlens.operators import logistic as L
 from custlens.operators import regression as R
+from custlens.operators import segment as G
+from custlens.operators import text as T
 from custlens.operators import describe as D
 from custlens.operators import wrangle as W
 from custlens.sources import io as IO
@@ -571,6 +573,135 @@ def q_compare_classifiers(spark, d):
 
 
 
+# ---------------------------------------------------------------- segmentation
+_SEG_X = ["c_acctbal", "total_spend", "n_orders"]
+
+
+def _customers(spark, d):
+    o = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.sum("o_totalprice").alias("total_spend"), F.count("*").alias("n_orders"))
+    return _t(spark, d, "customer").join(o, "c_custkey", "inner")
+
+
+def q_cluster_scaled(spark, d):
+    out = G.scale_for_clustering(_customers(spark, d), _SEG_X).select("c_custkey", *[f"{c}_z" for c in _SEG_X])
+    return _round(out, {f"{c}_z": 8 for c in _SEG_X})
+
+
+def q_elbow(spark, d):
+    return _round(G.elbow(_customers(spark, d), _SEG_X, range(1, 8)), {"inertia": 4})
+
+
+def q_kmeans_segments(spark, d):
+    seg = G.kmeans_segments(_customers(spark, d), _SEG_X, 4, restarts=10)
+    return seg.labels.select("c_custkey", "cluster")
+
+
+def q_ward_segments(spark, d):
+    return G.ward_segments(_customers(spark, d), _SEG_X, 4).select("c_custkey", "cluster")
+
+
+def q_ward_merges(spark, d):
+    return _round(G.ward_merges(_customers(spark, d), _SEG_X, last=30), {"height": 8})
+
+
+def q_silhouette(spark, d):
+    c = G.scale_for_clustering(_customers(spark, d), _SEG_X)
+    return _round(G.silhouette_table(c, [f"{x}_z" for x in _SEG_X], "c_mktsegment"), {"silhouette": 10})
+
+
+def q_cluster_sizes(spark, d):
+    return G.cluster_sizes(_customers(spark, d), "c_mktsegment")
+
+
+def q_cluster_profiles(spark, d):
+    return _round(G.cluster_profiles(_customers(spark, d), _SEG_X, "c_mktsegment"), {c: 6 for c in _SEG_X})
+
+
+def q_compare_segments(spark, d):
+    cust = _customers(spark, d)
+    km = G.kmeans_segments(cust, _SEG_X, 4, restarts=3).labels.select("c_custkey", F.col("cluster").alias("kmeans"))
+    wd = G.ward_segments(cust, _SEG_X, 4).select("c_custkey", F.col("cluster").alias("ward"))
+    return G.compare_segments(km.join(wd, "c_custkey"), "kmeans", "ward")
+
+
+
+# ---------------------------------------------------------------- text
+# a small polarity lexicon and aspect list over words that occur in `documents`
+_LEXICON = [("rewh", 0.5), ("orre", -0.4), ("thatin", 0.8), ("ononst", -0.6), ("inoran", 0.3),
+            ("orantion", -0.2), ("hehely", 1.0), ("ble", -1.0), ("tion", 0.1), ("ther", -0.3)]
+_ASPECTS = [("service", ["rewh", "hehely"]), ("value", ["thatin", "orre"]), ("quality", ["ononst", "ble"]),
+            ("missing", ["zzzz"])]
+
+
+def _docs_en(spark, d):
+    return _t(spark, d, "documents").where(F.col("lang") == "en")
+
+
+def _lexicon(spark):
+    return spark.createDataFrame(_LEXICON, "word string, polarity double")
+
+
+def _doc_polarity(spark, d):
+    docs = _t(spark, d, "documents")
+    pol = T.polarity(docs, "doc_id", "text", _lexicon(spark))
+    return docs.join(pol, "doc_id")
+
+
+def q_tokens(spark, d):
+    return T.tokens(_docs_en(spark, d), "doc_id", "text")
+
+
+def q_word_counts(spark, d):
+    return T.word_counts(_docs_en(spark, d), "text", stem=False)
+
+
+def q_top_words(spark, d):
+    return T.top_words(_docs_en(spark, d), "text", 15)
+
+
+def q_top_words_unstemmed(spark, d):
+    return T.top_words(_docs_en(spark, d), "text", 15, stem=False)
+
+
+def q_top_words_english_stop(spark, d):
+    return T.top_words(_t(spark, d, "documents"), "text", 15, stem=False, stop=T.english_stop_words())
+
+
+def q_word_weights(spark, d):
+    return _round(T.word_weights(_docs_en(spark, d), "text", stem=False), {"weight": 10})
+
+
+def q_polarity(spark, d):
+    return _round(T.polarity(_t(spark, d, "documents"), "doc_id", "text", _lexicon(spark)), {"polarity": 10})
+
+
+def q_polarity_summary(spark, d):
+    return _round(T.polarity_summary(_doc_polarity(spark, d)),
+                  {"share_positive": 10, "share_negative": 10, "mean_polarity": 10})
+
+
+def q_polarity_histogram(spark, d):
+    # polarity is an average of lexicon values and lands on bin edges; round it
+    # first so that summation order cannot move a value across an edge
+    pol = _round(_doc_polarity(spark, d), {"polarity": 10})
+    return _round(V.histogram(pol, "polarity", 30), {"lo": 8, "hi": 8})
+
+
+def q_polarity_rating_corr(spark, d):
+    j = _doc_polarity(spark, d).join(_t(spark, d, "labels"), "doc_id")
+    return _round(C.corr(j, "polarity", "quality"), {"r": 10})
+
+
+def q_aspect_sentiment(spark, d):
+    return _round(T.aspect_sentiment(_doc_polarity(spark, d), "text", "polarity", _ASPECTS), {"mean_polarity": 10})
+
+
+def q_topics(spark, d):
+    return _round(T.topics(_docs_en(spark, d), "text", k=3, min_df=5, top=8), {"weight": 8})
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "summary_measures": q_summary_measures,
@@ -661,6 +792,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tree_rules": q_tree_rules,
         "forest_importance": q_forest_importance,
         "compare_classifiers": q_compare_classifiers,
+        "cluster_scaled": q_cluster_scaled,
+        "elbow": q_elbow,
+        "kmeans_segments": q_kmeans_segments,
+        "ward_segments": q_ward_segments,
+        "ward_merges": q_ward_merges,
+        "silhouette": q_silhouette,
+        "cluster_sizes": q_cluster_sizes,
+        "cluster_profiles": q_cluster_profiles,
+        "compare_segments": q_compare_segments,
+        "tokens": q_tokens,
+        "word_counts": q_word_counts,
+        "top_words": q_top_words,
+        "top_words_unstemmed": q_top_words_unstemmed,
+        "top_words_english_stop": q_top_words_english_stop,
+        "word_weights": q_word_weights,
+        "polarity": q_polarity,
+        "polarity_summary": q_polarity_summary,
+        "polarity_histogram": q_polarity_histogram,
+        "polarity_rating_corr": q_polarity_rating_corr,
+        "aspect_sentiment": q_aspect_sentiment,
+        "topics": q_topics,
     }
 
 
@@ -731,17 +883,23 @@ def _bin_equal_width_sql() -> str:
 
 
 def _hist_sql(table: str, cols: list[str], n: int) -> str:
+    # edges are materialised once, then rows are compared with them (no
+    # arithmetic inside the comparison that an optimizer could rearrange)
     parts = []
     for c in cols:
+        edge_cols = ", ".join(f"{k} * ((hi - lo) / {n}) + lo AS e{k}" for k in range(1, n))
+        binx = "1 + " + " + ".join(f"CASE WHEN x.v >= ed.e{k} THEN 1 ELSE 0 END" for k in range(1, n))
         parts.append(f"""
         SELECT '{c}' AS "column", g.bin, round(g.k * ((hi - lo) / {n}) + lo, 6) AS lo,
                round(CASE WHEN g.bin = {n} THEN hi ELSE g.bin * ((hi - lo) / {n}) + lo END, 6) AS hi,
-               CAST(count(x.v) AS BIGINT) AS count
+               CAST(count(xb.bin) AS BIGINT) AS count
         FROM (SELECT CASE WHEN min({c}) = max({c}) THEN min({c}) - 0.5 ELSE min({c}) END::DOUBLE lo,
                      CASE WHEN min({c}) = max({c}) THEN max({c}) + 0.5 ELSE max({c}) END::DOUBLE hi FROM {table}) mm
         CROSS JOIN (SELECT range + 1 AS bin, range AS k FROM range({n})) g
-        LEFT JOIN (SELECT {c}::DOUBLE AS v FROM {table} WHERE {c} IS NOT NULL) x
-          ON {_hist_bin_sql('x.v', 'lo', 'hi', n)} = g.bin
+        LEFT JOIN (SELECT {binx} AS bin FROM (SELECT {c}::DOUBLE AS v FROM {table} WHERE {c} IS NOT NULL) x,
+                   (SELECT {edge_cols} FROM (SELECT CASE WHEN min({c}) = max({c}) THEN min({c}) - 0.5 ELSE min({c}) END::DOUBLE lo,
+                     CASE WHEN min({c}) = max({c}) THEN max({c}) + 0.5 ELSE max({c}) END::DOUBLE hi FROM {table})) ed) xb
+          ON xb.bin = g.bin
         GROUP BY g.bin, g.k, lo, hi""")
     return " UNION ALL ".join(parts)
 
@@ -1047,6 +1205,48 @@ _NB_SQL = f"""WITH {_EMB_SPLIT},
 SELECT vec_id, CAST(y AS INTEGER) AS truth, CAST(arg_max(cls, ll) AS INTEGER) AS pred FROM scored GROUP BY vec_id, y"""
 
 
+_CUST = """(SELECT c.*, o.total_spend, o.n_orders FROM customer c JOIN
+            (SELECT o_custkey, sum(o_totalprice) AS total_spend, count(*) AS n_orders FROM orders GROUP BY o_custkey) o
+            ON c.c_custkey = o.o_custkey)"""
+
+_Z_SQL = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}_z" for c in _SEG_X)
+
+_SIL_SQL = f"""
+WITH z AS (SELECT c_mktsegment AS c, {_Z_SQL} FROM {_CUST}),
+x AS (SELECT c, c_acctbal_z x1, total_spend_z x2, n_orders_z x3, x1 * x1 + x2 * x2 + x3 * x3 AS q FROM z),
+cl AS (SELECT c, count(*) n, sum(q) sq, sum(x1) s1, sum(x2) s2, sum(x3) s3 FROM x GROUP BY c),
+d AS (SELECT x.c AS own, cl.c AS other, cl.n, (x.q * cl.n - 2 * (x.x1 * cl.s1 + x.x2 * cl.s2 + x.x3 * cl.s3) + cl.sq) AS tot,
+             x.x1, x.x2, x.x3 FROM x, cl),
+per AS (SELECT own, x1, x2, x3,
+               max(CASE WHEN own = other AND n > 1 THEN tot / (n - 1) END) AS a,
+               max(CASE WHEN own = other THEN n END) AS nown,
+               min(CASE WHEN own <> other THEN tot / n END) AS b FROM d GROUP BY own, x1, x2, x3)
+SELECT round(avg(CASE WHEN nown > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 10) AS silhouette, count(*) AS n FROM per"""
+
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(T.REFERENCE_STOP_WORDS)))
+_EN_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(T.english_stop_words())))
+_TOK_SQL = f"""(SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos
+               FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'))"""
+_WC_SQL = f"""SELECT token AS word, count(*) AS count FROM {_TOK_SQL}
+              WHERE length(token) >= 3 AND token NOT IN ({_STOP_SQL}) GROUP BY token"""
+_LEX_SQL = "(VALUES " + ", ".join(f"('{w}', {p!r})" for w, p in _LEXICON) + ") AS lex(word, polarity)"
+_POL_SQL = f"""(SELECT d.doc_id, coalesce(p.pol, 0.0) AS polarity, coalesce(p.n, 0) AS n_matched, d.text
+   FROM documents d LEFT JOIN (
+     SELECT doc_id, avg(greatest(-1.0, least(1.0, lex.polarity))) AS pol, count(*) AS n
+     FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE text IS NOT NULL) t
+     JOIN {_LEX_SQL} USING (word) GROUP BY doc_id) p USING (doc_id) WHERE d.text IS NOT NULL)"""
+
+
+def _aspect_sql() -> str:
+    parts = []
+    for name, kws in _ASPECTS:
+        cond = " OR ".join(f"contains(lower(text), '{k}')" for k in kws)
+        parts.append(f"SELECT '{name}' AS aspect, count(*) AS n, round(avg(polarity), 10) AS mean_polarity "
+                     f"FROM {_POL_SQL} WHERE {cond} HAVING count(*) > 0")
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "summary_measures": _sql_summary("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1996-01-01'"),
@@ -1189,6 +1389,27 @@ def oracle_sql() -> dict[str, str]:
         "scaler": _SCALER_SQL,
         "knn": _KNN_SQL,
         "naive_bayes": _NB_SQL,
+        "cluster_scaled": f"""SELECT c_custkey, {", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 8) AS {c}_z" for c in _SEG_X)}
+                              FROM {_CUST}""",
+        "silhouette": _SIL_SQL,
+        "cluster_sizes": f"SELECT c_mktsegment, count(*) AS n FROM {_CUST} GROUP BY 1",
+        "cluster_profiles": f"""SELECT c_mktsegment, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _SEG_X)}
+                                FROM {_CUST} GROUP BY 1""",
+        "tokens": f"SELECT doc_id, pos, token FROM {_TOK_SQL} WHERE length(token) >= 3 AND token NOT IN ({_STOP_SQL})",
+        "word_counts": _WC_SQL,
+        "top_words_unstemmed": f"SELECT * FROM ({_WC_SQL}) ORDER BY count DESC, word LIMIT 15",
+        "top_words_english_stop": f"""SELECT token AS word, count(*) AS count FROM
+               (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)
+               WHERE length(token) >= 3 AND token NOT IN ({_EN_STOP_SQL}) GROUP BY token ORDER BY count DESC, word LIMIT 15""",
+        "word_weights": f"SELECT word, count, round(count / max(count) OVER (), 10) AS weight FROM ({_WC_SQL})",
+        "polarity": f"SELECT doc_id, round(polarity, 10) AS polarity, n_matched FROM {_POL_SQL}",
+        "polarity_summary": f"""SELECT round(avg(CASE WHEN polarity > 0.05 THEN 1.0 ELSE 0.0 END), 10) AS share_positive,
+                                       round(avg(CASE WHEN polarity < -0.05 THEN 1.0 ELSE 0.0 END), 10) AS share_negative,
+                                       round(avg(polarity), 10) AS mean_polarity, count(*) AS n FROM {_POL_SQL}""",
+        "polarity_histogram": _hist_sql(f"(SELECT round(polarity, 10) AS polarity FROM {_POL_SQL}) pp", ["polarity"], 30).replace("round(g.k", "round(g.k").replace(", 6) AS lo", ", 8) AS lo").replace(", 6) AS hi", ", 8) AS hi"),
+        "polarity_rating_corr": f"""SELECT 'polarity' AS col_a, 'quality' AS col_b, 'pearson' AS method, count(*) AS n,
+                                           round(corr(polarity, quality), 10) AS r FROM {_POL_SQL} p JOIN labels USING (doc_id)""",
+        "aspect_sentiment": _aspect_sql(),
         "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
