@@ -18,6 +18,7 @@ from custlens.operators import chartdata as V
 from custlens.operators import correlate as C
 from custlens.operators import classify as M
 from custlens.operators import hypothesis as H
+from custlens.operators import images as I
 from custlens.operators import logistic as L
 from custlens.operators import regression as R
 from custlens.operators import segment as G
@@ -702,6 +703,30 @@ def q_topics(spark, d):
 
 
 
+# ---------------------------------------------------------------- image colour statistics
+def _pixels(spark, d):
+    """A pixel table derived from `embeddings`: one 'image' per label, the
+    first three components mapped to 0..255 colour channels."""
+    e = _t(spark, d, "embeddings")
+    ch = lambda i: F.floor((F.element_at("embedding", i).cast("double") + 1.0) * 127.5).cast("double")
+    return e.select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("image"),
+                    ch(1).alias("r"), ch(2).alias("g"), ch(3).alias("b"))
+
+
+def q_image_stats(spark, d):
+    return _round(I.image_stats(_pixels(spark, d)), {"brightness": 8, "colorfulness": 8})
+
+
+def q_image_batch_summary(spark, d):
+    out = I.batch_summary(I.image_stats(_pixels(spark, d)))
+    return _round(out, {c: 8 for c in out.columns if c != "n_images"})
+
+
+def q_dominant_colors(spark, d):
+    return _round(I.dominant_colors(_pixels(spark, d), k=5), {"share": 8})
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "summary_measures": q_summary_measures,
@@ -813,6 +838,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "polarity_rating_corr": q_polarity_rating_corr,
         "aspect_sentiment": q_aspect_sentiment,
         "topics": q_topics,
+        "image_stats": q_image_stats,
+        "image_batch_summary": q_image_batch_summary,
+        "dominant_colors": q_dominant_colors,
     }
 
 
@@ -1247,6 +1275,15 @@ def _aspect_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
+_PIX_SQL = """(SELECT 'label-' || CAST(label AS VARCHAR) AS image,
+                      floor((embedding[1]::DOUBLE + 1.0) * 127.5) AS r, floor((embedding[2]::DOUBLE + 1.0) * 127.5) AS g,
+                      floor((embedding[3]::DOUBLE + 1.0) * 127.5) AS b FROM embeddings)"""
+
+_IMG_STATS_SQL = f"""SELECT image, count(*) AS n_pixels, avg((r + g + b) / 3.0) AS brightness,
+       sqrt(var_pop(r - g) + var_pop(0.5 * (r + g) - b)) + 0.3 * sqrt(pow(avg(r - g), 2) + pow(avg(0.5 * (r + g) - b), 2)) AS colorfulness
+FROM {_PIX_SQL} GROUP BY image"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "summary_measures": _sql_summary("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1996-01-01'"),
@@ -1410,6 +1447,10 @@ def oracle_sql() -> dict[str, str]:
         "polarity_rating_corr": f"""SELECT 'polarity' AS col_a, 'quality' AS col_b, 'pearson' AS method, count(*) AS n,
                                            round(corr(polarity, quality), 10) AS r FROM {_POL_SQL} p JOIN labels USING (doc_id)""",
         "aspect_sentiment": _aspect_sql(),
+        "image_stats": f"SELECT image, n_pixels, round(brightness, 8) AS brightness, round(colorfulness, 8) AS colorfulness FROM ({_IMG_STATS_SQL})",
+        "image_batch_summary": f"""SELECT count(*) AS n_images, round(avg(brightness), 8) AS brightness_mean,
+                round(stddev_samp(brightness), 8) AS brightness_sd, round(avg(colorfulness), 8) AS colorfulness_mean,
+                round(stddev_samp(colorfulness), 8) AS colorfulness_sd FROM ({_IMG_STATS_SQL})""",
         "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
