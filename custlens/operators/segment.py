@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from custlens.functions.columns import clean_num
 from custlens.operators.describe import standardize
 from custlens.operators.regression import complete_rows
+from custlens.plans.kmeans import Run, assign_expr, best_of, fit_many
 
 
 def scale_for_clustering(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -28,34 +29,34 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="_features").transform(df)
 
 
-def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 8), seed: int = 42,
-          restarts: int = 1) -> DataFrame:
-    """(k, inertia) on the standardised columns.  k = 1 is the total sum of
-    squares about the mean (Spark's k-means refuses k = 1)."""
+def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 8), restarts: int = 10,
+          seed: int = 42) -> DataFrame:
+    """(k, inertia) on the standardised columns, best of ``restarts`` runs for
+    every k; all k and restarts advance together in shared passes.  k = 1 is
+    the total sum of squares about the mean."""
     z = [f"{c}_z" for c in cols]
-    data = _vectors(scale_for_clustering(df, cols), z).select("_features", *z).cache()
+    data = scale_for_clustering(df, cols).select(*z)
+    runs, owner = [], {}
+    for k in ks:
+        if k > 1:
+            for r in range(restarts):
+                runs.append(Run(len(runs), int(k), seed + r))
+                owner[runs[-1].run] = int(k)
+    res = fit_many(data, z, runs) if runs else {}
+    best: dict[int, float] = {}
+    for run, (_, inertia) in res.items():
+        k = owner[run]
+        best[k] = min(best.get(k, float("inf")), inertia)
     rows = []
     for k in ks:
         if k == 1:
             tss = data.select(sum((F.col(c) ** 2 for c in z), F.lit(0.0)).alias("s")).agg(F.sum("s")).collect()[0][0]
             rows.append((1, float(tss or 0.0)))
         else:
-            rows.append((int(k), _best_kmeans(data, k, seed, restarts)[1]))
-    data.unpersist()
+            rows.append((int(k), best[int(k)]))
     return df.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
-def _best_kmeans(data: DataFrame, k: int, seed: int, restarts: int):
-    best = None
-    for r in range(restarts):
-        m = KMeans(k=k, seed=seed + r, featuresCol="_features", predictionCol="_cluster", maxIter=100,
-                   tol=1e-4).fit(data)
-        cost = float(m.summary.trainingCost)
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    return best
-
-
 @dataclass(frozen=True)
 class Segmentation:
     labels: DataFrame  # input rows + cluster column
@@ -65,13 +66,22 @@ class Segmentation:
 
 def kmeans_segments(df: DataFrame, cols: Sequence[str], k: int, restarts: int = 10, seed: int = 42,
                     label: str = "cluster") -> Segmentation:
-    """K-means (k-means|| init) on standardised columns, best of ``restarts``
-    seeds by within-cluster sum of squares; the table is cached across starts."""
+    """K-means (k-means++ seeding, Lloyd iterations) on standardised columns,
+    best of ``restarts`` runs by within-cluster sum of squares.  The restarts
+    share their passes over the rows; labels come from a JVM expression with
+    the chosen centres."""
+    z = [f"{c}_z" for c in cols]
+    data = scale_for_clustering(df, cols)
+    centers, inertia = best_of(data.select(*z), z, k, restarts, seed)
+    return Segmentation(data.withColumn(label, assign_expr(z, centers)), centers, inertia)
+
+
+def kmeans_ml(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, label: str = "cluster") -> DataFrame:
+    """Single ``pyspark.ml`` k-means (k-means|| seeding) on standardised columns."""
     z = [f"{c}_z" for c in cols]
-    data = _vectors(scale_for_clustering(df, cols), z).cache()
-    model, cost = _best_kmeans(data, k, seed, restarts)
-    out = model.transform(data).withColumnRenamed("_cluster", label).drop("_features")
-    return Segmentation(out, np.array([c for c in model.clusterCenters()]), cost)
+    data = _vectors(scale_for_clustering(df, cols), z)
+    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=label, maxIter=100, tol=1e-4).fit(data)
+    return model.transform(data).drop("_features")
 
 
 # ---------------------------------------------------------------- Ward
