@@ -151,9 +151,10 @@ def bin_equal_width(df: DataFrame, col: str, n: int, name: str | None = None) ->
     for e in edges[1:-1]:
         b = b + F.when(x > F.lit(e), 1).otherwise(0)
     b = F.when(x.isNotNull(), b)
-    lab = F.element_at(F.array(*[F.lit(s) for s in labels]), b)
-    lo = F.element_at(F.array(*[F.lit(e) for e in edges[:-1]]), b)
-    hi = F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), b)
+    # element_at is guarded: with a NULL index it must give NULL
+    lab = F.when(b.isNotNull(), F.element_at(F.array(*[F.lit(s) for s in labels]), b))
+    lo = F.when(b.isNotNull(), F.element_at(F.array(*[F.lit(e) for e in edges[:-1]]), b))
+    hi = F.when(b.isNotNull(), F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), b))
     return df.withColumns({name: lab, f"{col}_bin": b.cast("int"), f"{col}_lo": lo, f"{col}_hi": hi})
 
 

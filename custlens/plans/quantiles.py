@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from custlens.functions.columns import clean_num
 from custlens.plans.common import attach
+from custlens.session import cut_lineage
 
 _SUBBINS = 1024
 
@@ -85,7 +86,9 @@ def exact_quantiles(
     targets = targets.withColumn("below", F.lit(None).cast("long"))
 
     for _ in range(max_rounds):
-        targets = targets.cache()
+        # the targets table is small (groups x probabilities); checkpointing it
+        # keeps every round's plan the same size
+        targets = cut_lineage(targets)
         joined = attach(base, targets.select(*tkeys, "lo", "hi"), keys)
         counts = joined.groupBy(*tkeys).agg(
             F.count_if(F.col("_v") < F.col("lo")).alias("below"),
@@ -96,13 +99,13 @@ def exact_quantiles(
         t2 = targets.drop("below").join(counts, tkeys, "inner")
         ok = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("band") > F.col("r_hi"))
         # a bracket that misses (approximation guarantee not met) is widened to the full range
-        t2 = t2.withColumn("valid", ok).cache()
+        t2 = cut_lineage(t2.withColumn("valid", ok))
+        multi_valued = F.col("band_min") < F.col("band_max")
         status = t2.agg(
             F.count_if(~F.col("valid")).alias("bad"),
-            F.max(F.when(F.col("valid"), F.col("band"))).alias("widest"),
+            F.max(F.when(F.col("valid") & multi_valued, F.col("band"))).alias("widest"),
         ).collect()[0]
         if status["bad"]:
-            targets.unpersist()
             targets = t2.select(
                 *keys, "pid", "h", "r_lo", "r_hi",
                 F.when(F.col("valid"), F.col("lo")).otherwise(F.col("_min")).alias("lo"),
@@ -110,7 +113,6 @@ def exact_quantiles(
                 "_min", "_max", F.lit(None).cast("long").alias("below"),
             )
             continue
-        targets.unpersist()
         targets = t2
         if (status["widest"] or 0) <= band_limit:
             break
@@ -158,6 +160,7 @@ def exact_quantiles(
     picked = picked.join(multi.select(*tkeys, "h", "r_lo"), tkeys, "inner")
     allq = single.unionByName(picked)
     allq = allq.withColumn("q", F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo")))
+    first.unpersist()
     out = allq.groupBy(*keys).agg(
         *[F.max(F.when(F.col("pid") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
     )
