@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed application has no stream surface (no sources, watermarks,
+windows or state), so no streaming operators are provided.  Every operator in
+this library is a plain DataFrame function and can be applied to each
+micro-batch of a Structured Streaming query with ``foreachBatch`` when needed.
+"""
