@@ -234,22 +234,26 @@ def breusch_pagan(df: DataFrame, res: OlsResult) -> DataFrame:
     return df.sparkSession.createDataFrame([(float(lm), float(k), dist.chi2_sf(lm, k))], "lm double, df double, p double")
 
 
-def durbin_watson(df: DataFrame, resid: str, order_by: Sequence[str], buckets: int = 256) -> DataFrame:
+def durbin_watson(df: DataFrame, resid: str, order_by: Sequence[str]) -> DataFrame:
     """Durbin-Watson statistic of a residual column in the order of
     ``order_by``, without a global sort into one task.
 
-    Rows are cut into range buckets on the first order column (literal-free
-    bounds from ``percentile_approx``); differences inside a bucket use ``lag``
-    over a window partitioned by bucket; the differences across bucket
-    borders come from the (first, last) residual of each bucket, a table of
-    at most ``buckets`` rows.  One row (dw, n)."""
+    The order must be total (ties have no defined order).  Rows are cut into
+    range buckets on the first order column (numeric, date or timestamp;
+    literal bounds from ``percentile_approx``, more buckets for more rows);
+    differences inside a bucket use ``lag`` over a window partitioned by
+    bucket; differences across bucket borders come from the (first, last)
+    residual of each bucket, a table of one row per bucket.  One row (dw, n)."""
+    from pyspark.sql.types import DateType
+
+    from custlens.plans.ranks import range_buckets
+
     order = list(order_by)
     e = clean_num(resid)
     data = df.select(*order, e.alias("_e")).where(F.col("_e").isNotNull())
-    probs = [i / buckets for i in range(1, buckets)]
-    bnd = data.agg(F.percentile_approx(order[0], probs, 10000).alias("_b"))
-    data = data.crossJoin(F.broadcast(bnd)).withColumn(
-        "_bkt", F.size(F.filter(F.col("_b"), lambda b: b < F.col(order[0])))).drop("_b")
+    first = F.col(order[0])
+    key0 = F.unix_date(first) if isinstance(df.schema[order[0]].dataType, DateType) else first.cast("double")
+    data = range_buckets(data.withColumn("_o0", key0), "_o0", "_bkt").drop("_o0")
     w = Window.partitionBy("_bkt").orderBy(*order)
     within = data.withColumn("_d", F.col("_e") - F.lag("_e").over(w))
     key = F.struct(*[F.col(c) for c in order])

@@ -3,6 +3,7 @@ weights, dictionary polarity, aspect sentiment and LDA topics."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.porter import stem as porter_stem
+from custlens.plans.common import spread
 
 # fixed values: stop words the reference drops before counting words, in its order
 REFERENCE_STOP_WORDS = """the a an and my is was for of to in from at this that with such very i me it be so
@@ -56,7 +58,8 @@ def tokens(df: DataFrame, key: str, text: str, stop: Iterable[str] | None = REFE
     words and tokens shorter than ``min_len`` dropped; ``pos`` is the position
     among all runs."""
     stop = sorted(set(stop or []))
-    t = df.where(F.col(text).isNotNull()).select(key, F.posexplode(_words(text)).alias("pos", "token"))
+    src = spread(df.select(key, text))
+    t = src.where(F.col(text).isNotNull()).select(key, F.posexplode(_words(text)).alias("pos", "token"))
     cond = F.length("token") >= min_len
     if stop:
         cond = cond & ~F.col("token").isin(stop)
@@ -113,13 +116,20 @@ def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations:
     predecessor is taken inside the row (array shift), so no window or
     per-document shuffle is needed; the lexicon is broadcast when it is
     checked to be small."""
-    docs = df.where(F.col(text).isNotNull()).select(key, _words(text).alias("_w"))
-    pairs = docs.select(key, F.posexplode("_w").alias("_pos", "word"),
-                        F.col("_w").alias("_all")).select(
-        key, "word", F.when(F.col("_pos") > 0, F.element_at("_all", F.col("_pos"))).alias("_prev"))
+    docs = spread(df.select(key, text)).where(F.col(text).isNotNull()).select(key, _words(text).alias("_w"))
+    if negations or intensifiers is not None:
+        # pair every word with its predecessor inside the row (shifted copy of
+        # the array, zipped), so each exploded row carries two words only
+        shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))))
+        pairs = docs.select(key, F.explode_outer(F.arrays_zip(F.col("_w").alias("word"),
+                                                               shifted.alias("_prev"))).alias("_z"))
+        pairs = pairs.select(key, F.col("_z.word").alias("word"), F.col("_z._prev").alias("_prev"))
+    else:
+        # explode_outer keeps texts without words (they score 0)
+        pairs = docs.select(key, F.explode_outer("_w").alias("word"))
     lex = lexicon.select(F.lower(F.col("word")).alias("word"), F.col("polarity").cast("double").alias("_p"))
     lex = F.broadcast(lex) if lexicon.count() <= LEXICON_BROADCAST_ROWS else lex
-    m = pairs.join(lex, "word", "inner")
+    m = pairs.join(lex, "word", "left")
     val = F.col("_p")
     if negations:
         val = F.when(F.col("_prev").isin(list(negations)), val * F.lit(negation_factor)).otherwise(val)
@@ -127,11 +137,12 @@ def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations:
         ints = F.broadcast(intensifiers.select(F.col("word").alias("_prev"), F.col("intensity").alias("_i")))
         m = m.join(ints, "_prev", "left")
         val = val * F.coalesce(F.col("_i"), F.lit(1.0))
-    per = m.groupBy(key).agg(F.avg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), val))).alias("_pol"),
-                             F.count("*").alias("_n"))
-    keys = docs.select(key)
-    return keys.join(per, key, "left").select(
-        key, F.coalesce("_pol", F.lit(0.0)).alias("polarity"), F.coalesce("_n", F.lit(0)).alias("n_matched"))
+    # one pass over all words of all texts, partially aggregated per text
+    # greatest/least skip NULLs, so unmatched words must stay NULL explicitly
+    clamped = F.when(val.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), val)))
+    per = m.groupBy(key).agg(F.avg(clamped).alias("_pol"),
+                             F.count(val).alias("_n"))
+    return per.select(key, F.coalesce("_pol", F.lit(0.0)).alias("polarity"), F.col("_n").alias("n_matched"))
 
 
 def polarity_summary(df: DataFrame, pol: str = "polarity") -> DataFrame:
@@ -142,7 +153,17 @@ def polarity_summary(df: DataFrame, pol: str = "polarity") -> DataFrame:
                   F.avg(p).alias("mean_polarity"), F.count(p).alias("n"))
 
 
+MAX_ASPECT_ROWS = 10_000
+
+
 def _aspect_list(aspects) -> list[tuple[int, str, list[str]]]:
+    """Aspects as (index, name, keywords): from a dict, a list of pairs, or a
+    DataFrame (aspect, keywords array) - a dictionary table of checked size."""
+    if isinstance(aspects, DataFrame):
+        rows = aspects.select("aspect", "keywords").limit(MAX_ASPECT_ROWS + 1).collect()
+        if len(rows) > MAX_ASPECT_ROWS:
+            raise ValueError(f"aspect table larger than {MAX_ASPECT_ROWS} rows")
+        aspects = [(r["aspect"], list(r["keywords"] or [])) for r in rows]
     items = list(aspects.items()) if isinstance(aspects, Mapping) else list(aspects)
     out = []
     for i, (name, kws) in enumerate(items):
@@ -161,18 +182,19 @@ def aspect_sentiment(df: DataFrame, text: str, pol: str = "polarity", aspects=DE
     array of aspects it mentions from literal expressions (no join with the
     aspect list), then one ``groupBy``.  Aspects without a mention are left
     out; an aspect listed twice gives two rows."""
-    low = F.lower(F.col(text))
+    low = F.col("_low")
     hits = []
     for i, name, kws in _aspect_list(aspects):
-        if whole_word:
-            cond = F.lit(False)
-            for k in kws:
-                cond = cond | low.rlike(r"\b" + k.replace("\\", "\\\\") + r"\b")
-        else:
-            cond = F.exists(F.array(*[F.lit(k) for k in kws]), lambda k: F.instr(low, k) > 0)
+        cond = F.lit(False)
+        for k in kws:
+            if whole_word:
+                cond = cond | low.rlike(r"\b" + re.escape(k) + r"\b")
+            else:
+                cond = cond | low.contains(k)
         hits.append(F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(name).alias("aspect"))))
-    tagged = df.where(F.col(text).isNotNull()).select(
-        F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("_a"), F.col(pol).alias("_pol"))
+    # lower-case once per row; one codegen'd OR of substring tests per aspect
+    lowered = df.where(F.col(text).isNotNull()).select(F.lower(F.col(text)).alias("_low"), F.col(pol).alias("_pol"))
+    tagged = lowered.select(F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("_a"), "_pol")
     out = tagged.groupBy("_a.i", "_a.aspect").agg(F.count("*").alias("n"), F.avg("_pol").alias("mean_polarity"))
     return out.select("aspect", "n", "mean_polarity").orderBy("mean_polarity", "aspect")
 
@@ -182,7 +204,7 @@ def topics(df: DataFrame, text: str, k: int = 3, min_df: int = 5, top: int = 8,
     """LDA topics: (topic, rank, term, weight) for the ``top`` terms of each of
     ``k`` topics.  Tokens of two or more word characters, English stop words
     removed, terms in at least ``min_df`` documents."""
-    docs = df.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
+    docs = spread(df.select(text)).where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
     tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="\\b\\w\\w+\\b", gaps=False,
                          toLowercase=True).transform(docs)
     clean = StopWordsRemover(inputCol="_tok", outputCol="_words").transform(tok)

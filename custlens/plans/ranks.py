@@ -25,23 +25,53 @@ def _bucket_expr(value: str, bounds: str) -> F.Column:
     return F.size(F.filter(F.col(bounds), lambda b: b < F.col(value)))
 
 
+def bucket_count(n_items: int, per_bucket: int = 2_000_000, lo: int = 64, hi: int = 16384) -> int:
+    """Buckets so that one bucket holds about ``per_bucket`` items."""
+    return int(min(hi, max(lo, -(-n_items // per_bucket))))
+
+
+def range_buckets(df: DataFrame, value: str, out: str, n_items: int | None = None) -> DataFrame:
+    """Append ``out`` = index of the range bucket of the numeric column
+    ``value``: quantile bounds from ``percentile_approx`` (a bounded list of
+    at most a few thousand numbers) and a binary search in the JVM
+    (``Bucketizer``).  A function of the value, so equal values share a
+    bucket; retries see the same literal bounds."""
+    from pyspark.ml.feature import Bucketizer
+
+    n = n_items if n_items is not None else df.count()
+    b = bucket_count(n)
+    probs = [i / b for i in range(1, b)]
+    x = F.col(value).cast("double")
+    bounds = df.agg(F.percentile_approx(x, probs, max(10000, 10 * b)).alias("_b")).collect()[0]["_b"] or []
+    splits = [-float("inf")] + sorted(set(float(v) for v in bounds)) + [float("inf")]
+    tmp = f"_{out}_x"
+    bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return bz.transform(df.withColumn(tmp, x)).withColumn(out, F.col(out).cast("int")).drop(tmp)
+
+
 def value_ranks(df: DataFrame, value_col: str, by: Sequence[str] = (), buckets: int = RANK_BUCKETS) -> DataFrame:
     """Average rank of every distinct value of the (already clean, non-null)
     column ``value_col`` within its group: (by..., value_col, _cnt, _avg_rank).
 
-    Distinct values with counts are cut into quantile buckets by literal-free
+    Distinct values with counts are cut into quantile buckets by literal
     bounds from ``percentile_approx``; bucket totals give offsets (a table of
     groups x buckets), a window per (group, bucket) gives the position inside.
+    Ungrouped, the bucket count grows with the number of distinct values and
+    the bucket is found by binary search; grouped, each group gets
+    ``buckets`` quantile buckets of its own.
     """
     keys = list(by)
     vc = df.groupBy(*keys, value_col).agg(F.count("*").alias("_cnt"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = vc.groupBy(*keys).agg(F.percentile_approx(value_col, probs, 10000).alias("_bounds"))
-    vcb = attach(vc, bounds, keys).withColumn("_bkt", _bucket_expr(value_col, "_bounds")).drop("_bounds")
+    if keys:
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = vc.groupBy(*keys).agg(F.percentile_approx(value_col, probs, 10000).alias("_bounds"))
+        vcb = attach(vc, bounds, keys).withColumn("_bkt", _bucket_expr(value_col, "_bounds")).drop("_bounds")
+    else:
+        vcb = range_buckets(vc, value_col, "_bkt")
     totals = vcb.groupBy(*keys, "_bkt").agg(F.sum("_cnt").alias("_btot"))
     wg = Window.partitionBy(*keys).orderBy("_bkt") if keys else Window.orderBy("_bkt")
-    # the totals table has at most `buckets` rows per group, so even the
-    # ungrouped window here sorts only `buckets` rows
+    # the totals table has at most one row per bucket and group, so even the
+    # ungrouped window here sorts only a few thousand rows
     offsets = totals.withColumn("_off", F.sum("_btot").over(wg) - F.col("_btot")).drop("_btot")
     wb = Window.partitionBy(*keys, "_bkt").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
     inb = vcb.withColumn("_before", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)))
