@@ -727,6 +727,45 @@ def q_dominant_colors(spark, d):
 
 
 
+# ---------------------------------------------------------------- sources and pipelines
+def q_read_table(spark, d):
+    return IO.read_table(spark, f"{d}/part.parquet").select("p_partkey", "p_type", "p_size")
+
+
+def q_catalog_default(spark, d):
+    cat = IO.Catalog({"parts": f"{d}/part.parquet", "nations": f"{d}/nation.parquet"}, default="nations")
+    return cat.load(spark, "no-such-dataset")
+
+
+def q_pipeline(spark, d):
+    pipe = IO.Pipeline([
+        lambda df: W.filter_in(df, "event_type", ["click", "view"]),
+        lambda df: W.impute(df, "value", "mean"),
+    ])
+    out = pipe.apply(_events_nulls(spark, d)).select("event_id", "event_type", "value")
+    return _round(out, {"value": 4})
+
+
+def q_outliers_first15(spark, d):
+    out = D.outliers(_t(spark, d, "events"), "value", "iqr").orderBy("event_id").limit(15)
+    return out.select("event_id", "value")
+
+
+def q_outlier_counts_events(spark, d):
+    return _round(D.outlier_counts(_t(spark, d, "events"), "value"), {"lower_fence": 6, "upper_fence": 6})
+
+
+def q_zscore_histogram(spark, d):
+    z = D.add_zscore(_t(spark, d, "customer"), "c_acctbal")
+    return _round(V.histogram(z, ["c_acctbal", "c_acctbal_z"], 20), {"lo": 6, "hi": 6})
+
+
+def q_kfold_rmse(spark, d):
+    v = R.kfold_rmse(_keyed_lineitem(spark, d), _OLS, "row_key", 5, 42)
+    return spark.createDataFrame([(round(v, 6),)], "cv_rmse double")
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "summary_measures": q_summary_measures,
@@ -841,6 +880,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "image_stats": q_image_stats,
         "image_batch_summary": q_image_batch_summary,
         "dominant_colors": q_dominant_colors,
+        "read_table": q_read_table,
+        "catalog_default": q_catalog_default,
+        "pipeline": q_pipeline,
+        "outliers_first15": q_outliers_first15,
+        "outlier_counts_events": q_outlier_counts_events,
+        "zscore_histogram": q_zscore_histogram,
+        "kfold_rmse": q_kfold_rmse,
     }
 
 
@@ -1284,6 +1330,33 @@ _IMG_STATS_SQL = f"""SELECT image, count(*) AS n_pixels, avg((r + g + b) / 3.0)
 FROM {_PIX_SQL} GROUP BY image"""
 
 
+_EV_FENCE = """f AS (SELECT quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lo,
+                      quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS hi
+               FROM events)"""
+
+
+def _kfold_sql() -> str:
+    score = _ROWKEY_SCORE
+    return f"""
+    WITH g AS (SELECT avg(l_quantity) c1, avg(l_discount) c2, avg(l_extendedprice) cy FROM lineitem),
+    z AS (SELECT least(floor({score} * 5), 4) AS fold, l_quantity - c1 AS a, l_discount - c2 AS b,
+                 l_extendedprice - cy AS y FROM lineitem, g),
+    fs AS (SELECT fold, count(*)::DOUBLE n, sum(a) sa, sum(b) sb, sum(y) sy, sum(a * a) saa, sum(b * b) sbb,
+                  sum(a * b) sab, sum(a * y) say, sum(b * y) sby, sum(y * y) syy FROM z GROUP BY fold),
+    tot AS (SELECT sum(n) n, sum(sa) sa, sum(sb) sb, sum(sy) sy, sum(saa) saa, sum(sbb) sbb, sum(sab) sab,
+                   sum(say) say, sum(sby) sby, sum(syy) syy FROM fs),
+    tr AS (SELECT fs.fold, t.n - fs.n n, t.sa - fs.sa sa, t.sb - fs.sb sb, t.sy - fs.sy sy, t.saa - fs.saa saa,
+                  t.sbb - fs.sbb sbb, t.sab - fs.sab sab, t.say - fs.say say, t.sby - fs.sby sby FROM fs, tot t),
+    cen AS (SELECT fold, sa / n ma, sb / n mb, sy / n my, saa - sa * sa / n caa, sbb - sb * sb / n cbb,
+                   sab - sa * sb / n cab, say - sa * sy / n cay, sby - sb * sy / n cby FROM tr),
+    co AS (SELECT fold, ma, mb, my, (cbb * cay - cab * cby) / (caa * cbb - cab * cab) b1,
+                  (caa * cby - cab * cay) / (caa * cbb - cab * cab) b2 FROM cen),
+    fit AS (SELECT fold, b1, b2, my - b1 * ma - b2 * mb AS a0 FROM co),
+    err AS (SELECT z.fold, sqrt(avg(pow(z.y - (fit.a0 + fit.b1 * z.a + fit.b2 * z.b), 2))) rmse
+            FROM z JOIN fit USING (fold) GROUP BY z.fold)
+    SELECT round(avg(rmse), 6) AS cv_rmse FROM err"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "summary_measures": _sql_summary("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1996-01-01'"),
@@ -1451,6 +1524,21 @@ def oracle_sql() -> dict[str, str]:
         "image_batch_summary": f"""SELECT count(*) AS n_images, round(avg(brightness), 8) AS brightness_mean,
                 round(stddev_samp(brightness), 8) AS brightness_sd, round(avg(colorfulness), 8) AS colorfulness_mean,
                 round(stddev_samp(colorfulness), 8) AS colorfulness_sd FROM ({_IMG_STATS_SQL})""",
+        "read_table": "SELECT p_partkey, p_type, p_size FROM part",
+        "catalog_default": "SELECT * FROM nation",
+        "pipeline": """WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value
+                                  FROM events WHERE event_type IN ('click', 'view'))
+                       SELECT event_id, event_type, round(coalesce(value, (SELECT avg(value) FROM e)), 4) AS value FROM e""",
+        "outliers_first15": f"""WITH {_EV_FENCE} SELECT event_id, value FROM events, f WHERE value < lo OR value > hi
+                                ORDER BY event_id LIMIT 15""",
+        "outlier_counts_events": f"""WITH {_EV_FENCE}, z AS (SELECT avg(value) m, stddev_samp(value) s FROM events)
+            SELECT round(lo, 6) AS lower_fence, round(hi, 6) AS upper_fence,
+                   count(*) FILTER (WHERE value < lo OR value > hi) AS n_iqr,
+                   count(*) FILTER (WHERE abs((value - m) / s) > 3) AS n_z
+            FROM events, f, z GROUP BY lo, hi""",
+        "zscore_histogram": _hist_sql("(SELECT c_acctbal, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS c_acctbal_z FROM customer) zz",
+                                      ["c_acctbal", "c_acctbal_z"], 20),
+        "kfold_rmse": _kfold_sql(),
         "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
