@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import clean_num
+from custlens.plans.common import spread
 from custlens.plans.quantiles import exact_quantiles
 from custlens.plans.split import stratified_flag
 from custlens.operators.regression import complete_rows
@@ -75,7 +76,8 @@ def logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 100, tol: fl
     weighted least-squares pass; standard errors from the Fisher information."""
     xs = tuple(xs)
     data = complete_rows(df, [y, *xs]).select(clean_num(y).alias("_label"), *[clean_num(x).alias(x) for x in xs])
-    feats = VectorAssembler(inputCols=list(xs), outputCol="_features").transform(data)
+    # each IRLS iteration re-reads the rows: spread a few-partition input first
+    feats = VectorAssembler(inputCols=list(xs), outputCol="_features").transform(spread(data))
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_features", labelCol="_label",
                                       maxIter=max_iter, tol=tol, regParam=0.0)
     model = glr.fit(feats)

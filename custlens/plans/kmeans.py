@@ -51,6 +51,19 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(2 ** 53)
 
 
+# partial-sum tables of at most this many input partitions are added up on the
+# driver (partitions x runs x k small rows); beyond it a groupBy adds them
+DRIVER_SUM_PARTITIONS = 256
+
+
+def _combine(partials: DataFrame, keys: list[str], sums: list[str], parts: int) -> pd.DataFrame:
+    if parts <= DRIVER_SUM_PARTITIONS:
+        pdf = pd.DataFrame([r.asDict() for r in partials.collect()], columns=keys + sums)
+        return pdf.groupby(keys, as_index=False)[sums].sum() if len(pdf) else pdf
+    rows = partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).collect()
+    return pd.DataFrame([r.asDict() for r in rows], columns=keys + sums)
+
+
 def _d2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)
 
@@ -118,13 +131,13 @@ def _pass(data: DataFrame, cols: Sequence[str], runs: Sequence[Run], centers: di
                     rows.append((run, cl, int(n[cl]), float(sse[cl]), *[float(v) for v in s[cl]]))
         yield pd.DataFrame(rows, columns=["run", "cl", "n", "sse"] + [f"s{i}" for i in range(d)])
 
-    rows = data.mapInPandas(partial, schema).groupBy("run", "cl").agg(
-        F.sum("n").alias("n"), F.sum("sse").alias("sse"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)]
-    ).collect()
+    tab = _combine(data.mapInPandas(partial, schema), ["run", "cl"], ["n", "sse"] + [f"s{i}" for i in range(d)],
+                   data.rdd.getNumPartitions())
     sums: dict[int, dict[int, tuple]] = {}
-    for row in rows:
-        sums.setdefault(row["run"], {})[row["cl"]] = (row["n"], row["sse"],
-                                                      np.array([row[f"s{i}"] for i in range(d)], float))
+    for row in tab.itertuples(index=False):
+        r = row._asdict()
+        sums.setdefault(int(r["run"]), {})[int(r["cl"])] = (r["n"], r["sse"],
+                                                            np.array([r[f"s{i}"] for i in range(d)], float))
     return sums
 
 
@@ -138,6 +151,14 @@ def fit_many(df: DataFrame, cols: Sequence[str], runs: Sequence[Run], max_iter:
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols], h.alias("_h")).persist(
         StorageLevel.MEMORY_AND_DISK)
     var = data.agg(*[F.var_pop(c).alias(c) for c in cols]).collect()[0]
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < cores:
+        # every Lloyd pass re-reads this table: spread a small-partition input
+        # over the cores once (the persisted copy makes asking cheap)
+        spread_data = data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+        spread_data.count()
+        data.unpersist()
+        data = spread_data
     thresh = tol * float(np.mean([var[c] or 0.0 for c in cols]))
     seeds = _seed_pp(data, cols, runs)
     centers = {r.run: np.array(seeds[r.run]) for r in runs}
