@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import clean_num, direction_label, strength_label
-from custlens.plans.ranks import average_rank, kendall_tau_b
+from custlens.plans.ranks import kendall_tau_b, value_ranks
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -28,7 +28,11 @@ def corr(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
     if method == "pearson":
         res = p.agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("r"))
     elif method == "spearman":
-        r = average_rank(average_rank(p, "_a", "_ra"), "_b", "_rb")
+        # rank tables of the two columns are built side by side from the same
+        # pairs, then joined back on value (no rank of a rank's lineage)
+        ra = value_ranks(p.select("_a"), "_a").select("_a", F.col("_avg_rank").alias("_ra"))
+        rb = value_ranks(p.select("_b"), "_b").select("_b", F.col("_avg_rank").alias("_rb"))
+        r = p.join(ra, "_a").join(rb, "_b")
         res = r.agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("r"))
     elif method == "kendall":
         res = kendall_tau_b(p, "_a", "_b").select("n", F.col("tau_b").alias("r"))

@@ -318,10 +318,53 @@ def compare_specs(df: DataFrame, specs: Mapping[str, OlsSpec], key: str, frac: f
     return df.sparkSession.createDataFrame(rows, "model string, holdout_rmse double, cv_rmse double")
 
 
-def compare_square(df: DataFrame, spec: OlsSpec, key: str, seed: int = 42) -> DataFrame:
-    """Holdout and CV RMSE with versus without the squared term."""
-    return compare_specs(df, {"without squared term": spec.without_square(), "with squared term": spec}, key,
-                         seed=seed)
+def _sub(mom: Moments, idx: Sequence[int]) -> Moments:
+    ix = np.asarray(idx)
+    return Moments(mom.n, mom.s[ix], mom.m[np.ix_(ix, ix)])
+
+
+def _validation_from(moms: dict, center: Sequence[float], idx: Sequence[int], k: int) -> tuple[float, float]:
+    """(holdout RMSE, mean k-fold RMSE) for the design columns ``idx`` (outcome
+    last) from moments grouped by (train flag, fold)."""
+    cen = [center[i] for i in idx]
+    parts = {g: _sub(m, idx) for g, m in moms.items()}
+    train = test = None
+    folds: dict[int, Moments] = {}
+    for (flag, fold), m in parts.items():
+        if flag:
+            train = m if train is None else train + m
+        else:
+            test = m if test is None else test + m
+        folds[fold] = m if fold not in folds else folds[fold] + m
+    hold = math.sqrt(sse_on(solve(train, cen), test, cen) / test.n) if train and test else math.nan
+    total = None
+    for m in folds.values():
+        total = m if total is None else total + m
+    rmses = [math.sqrt(sse_on(solve(total - m, cen), m, cen) / m.n) for _, m in sorted(folds.items())]
+    return hold, float(np.mean(rmses)) if rmses else math.nan
+
+
+def compare_square(df: DataFrame, spec: OlsSpec, key: str, frac: float = 0.7, k: int = 5,
+                   seed: int = 42) -> DataFrame:
+    """Holdout and k-fold RMSE with versus without the squared term.
+
+    The smaller model is nested in the larger one, so a single pass of
+    moments of the larger design, grouped by (train flag, fold), serves both
+    models and both validation schemes."""
+    if not spec.square:
+        raise ValueError("the specification has no squared term")
+    data, names, exprs, _ = _prepare(df, spec)
+    center = column_means(data, exprs)
+    group = F.struct(split_flag(key, frac, seed).alias("t"), fold_id(key, k, seed).alias("f"))
+    raw = moments(data, exprs, center, group)
+    moms = {(g["t"], g["f"]): m for g, m in raw.items()}
+    full = list(range(len(exprs)))
+    sq = names.index(f"{spec.square}^2")
+    rows = []
+    for label, idx in (("without squared term", [i for i in full if i != sq]), ("with squared term", full)):
+        hold, cv = _validation_from(moms, center, idx, k)
+        rows.append((label, hold, cv))
+    return df.sparkSession.createDataFrame(rows, "model string, holdout_rmse double, cv_rmse double")
 
 
 __all__ = ["OlsSpec", "OlsResult", "ols", "qq_points", "vif", "breusch_pagan", "durbin_watson", "jarque_bera",

@@ -185,3 +185,12 @@ def test_confusion_one_class_and_cutoff_sweep(spark):
         pred = pdf.p >= cut
         assert r["tp"] == int(((pdf.y == 1) & pred).sum()) and r["fp"] == int(((pdf.y == 0) & pred).sum())
     assert len(sweep) == 18
+
+
+def test_compare_square_single_pass_equals_separate_fits(spark, reg_data):
+    pdf, df = reg_data
+    spec = R.OlsSpec("y", ("x1", "x2"), square="x1")
+    got = {r["model"]: r for r in R.compare_square(df, spec, "id").collect()}
+    for name, s in (("with squared term", spec), ("without squared term", spec.without_square())):
+        assert got[name]["holdout_rmse"] == pytest.approx(R.holdout_rmse(df, s, "id"), rel=1e-9)
+        assert got[name]["cv_rmse"] == pytest.approx(R.kfold_rmse(df, s, "id"), rel=1e-9)
