@@ -8,7 +8,9 @@ move to the next level.  When w exceeds the data's extent the adjacent cells
 hold every training point, so the last level is exact for whatever remains.
 Candidate counts stay local (about the points within a few cell widths), so
 no level forms the test x train product.  Meant for the low-dimensional,
-standardised feature spaces of the classifiers (d up to ~6).
+standardised feature spaces of the classifiers (d up to ~6).  Limitation: a
+query next to a very dense spot (for example many identical training points)
+sees all of that spot's points as candidates.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custlens.session import cut_lineage
+
 
 def _cells(cols: Sequence[str], w: float) -> list:
     return [F.floor(F.col(c) / F.lit(w)).cast("long") for c in cols]
@@ -62,9 +66,10 @@ def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int, key: str
             done.append(best)
             break
         kth = F.element_at("neighbours", -1)["dist2"]
-        ok = best.where((F.size("neighbours") >= k) & (kth < F.lit(w * w))).cache()
+        # checkpoint both tables so the plan of later levels does not grow
+        ok = cut_lineage(best.where((F.size("neighbours") >= k) & (kth < F.lit(w * w))))
         done.append(ok)
-        pending = pending.join(ok.select(key), key, "left_anti").cache()
+        pending = cut_lineage(pending.join(ok.select(key), key, "left_anti"))
         if pending.limit(1).count() == 0:
             break
     out = done[0]

@@ -63,8 +63,12 @@ def value_ranks(df: DataFrame, value_col: str, by: Sequence[str] = (), buckets:
     keys = list(by)
     vc = df.groupBy(*keys, value_col).agg(F.count("*").alias("_cnt"))
     if keys:
-        probs = [i / buckets for i in range(1, buckets)]
-        bounds = vc.groupBy(*keys).agg(F.percentile_approx(value_col, probs, 10000).alias("_bounds"))
+        # enough buckets for the largest group (a group may hold a third of
+        # all values); the per-value bucket search is linear, so capped
+        biggest = vc.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
+        b = max(buckets, min(1024, bucket_count(biggest)))
+        probs = [i / b for i in range(1, b)]
+        bounds = vc.groupBy(*keys).agg(F.percentile_approx(value_col, probs, max(10000, 10 * b)).alias("_bounds"))
         vcb = attach(vc, bounds, keys).withColumn("_bkt", _bucket_expr(value_col, "_bounds")).drop("_bounds")
     else:
         vcb = range_buckets(vc, value_col, "_bkt")
@@ -149,7 +153,7 @@ def _group_s(key: str, ucol: str, vcol: str):
     return fn
 
 
-def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int | None = None) -> DataFrame:
     """Kendall's tau-b of two columns over rows with both present.
 
     One row: n, s (concordant minus discordant), tau_b.  Pairs are split by
@@ -164,10 +168,14 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int = RANK_BUCKETS) ->
         F.col("_x").isNotNull() & F.col("_y").isNotNull()
     )
     comp = pairs.groupBy("_x", "_y").agg(F.count("*").alias("_c"))
+    if buckets is None:
+        # about 200,000 compressed points per bucket; the driver-side grid is
+        # buckets^2 cells, so at most 2048 buckets
+        buckets = min(2048, bucket_count(comp.count(), per_bucket=200_000, lo=RANK_BUCKETS))
     probs = [i / buckets for i in range(1, buckets)]
     bnd = comp.agg(
-        F.percentile_approx("_x", probs, 10000).alias("_bx_bounds"),
-        F.percentile_approx("_y", probs, 10000).alias("_by_bounds"),
+        F.percentile_approx("_x", probs, max(10000, 10 * buckets)).alias("_bx_bounds"),
+        F.percentile_approx("_y", probs, max(10000, 10 * buckets)).alias("_by_bounds"),
     )
     cb = comp.crossJoin(F.broadcast(bnd)).select(
         "_x", "_y", "_c",

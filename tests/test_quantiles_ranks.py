@@ -73,3 +73,22 @@ def test_kendall_tau_b_with_ties(spark, buckets):
     assert got == pytest.approx(_tau_b_brute(x, y), rel=1e-12)
     rev = kendall_tau_b(df.withColumn("b", -F.col("b")), "a", "b", buckets=buckets).collect()[0]["tau_b"]
     assert rev == pytest.approx(-got, rel=1e-12)
+
+
+def test_grouped_average_rank(spark):
+    rng = np.random.default_rng(8)
+    vals = [float(v) for v in rng.integers(0, 12, size=200)]
+    groups = ["a" if i % 4 else "b" for i in range(200)]
+    df = _frame(spark, vals, groups)
+    got = average_rank(df, "x", "r", by=["g"]).orderBy("id").toPandas()["r"]
+    want = pd.DataFrame({"x": vals, "g": groups}).groupby("g")["x"].rank(method="average")
+    assert np.allclose(got.to_numpy(), want.to_numpy())
+
+
+def test_kendall_heavy_value_is_skipped_not_loaded(spark):
+    # a third of the rows share one x value: its bucket holds one value only
+    x = [5.0] * 100 + [float(v) for v in range(200)]
+    y = [float((7 * i) % 31) for i in range(300)]
+    df = spark.createDataFrame(pd.DataFrame({"a": x, "b": y}))
+    got = kendall_tau_b(df, "a", "b", buckets=8).collect()[0]["tau_b"]
+    assert got == pytest.approx(_tau_b_brute(np.array(x), np.array(y)), rel=1e-12)
