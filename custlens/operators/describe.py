@@ -36,8 +36,12 @@ def _moments(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 def summary_wide(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """All summary measures of ``col`` as one row per group (wide form)."""
     keys = list(by)
-    mom = _moments(df, col, keys)
-    q = exact_quantiles(df, col, [0.5, 0.25, 0.75], keys, names=["median", "p25", "p75"])
+    # the moments table has one row per group; caching it lets the group sizes
+    # steer the quantile plan without a second pass over the rows
+    mom = _moments(df, col, keys).cache()
+    biggest = mom.agg(F.max("count").alias("m")).collect()[0]["m"] or 0
+    q = exact_quantiles(df, col, [0.5, 0.25, 0.75], keys, names=["median", "p25", "p75"],
+                        max_group_size=int(biggest))
     mode = mode_smallest(df, col, keys)
     # second pass: mean absolute deviation about the group mean
     rows = df.select(*keys, clean_num(col).alias("_x")).where(F.col("_x").isNotNull())

@@ -56,6 +56,7 @@ def exact_quantiles(
     accuracy: int = 10000,
     band_limit: int = 1_000_000,
     max_rounds: int = 6,
+    max_group_size: int | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` (NULL/NaN ignored).
 
@@ -66,6 +67,10 @@ def exact_quantiles(
     keys = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     base = df.select(*keys, clean_num(value).alias("_v")).where(F.col("_v").isNotNull())
+    if max_group_size is not None and max_group_size <= band_limit:
+        # the caller already knows every group is small: one exact aggregate
+        exact = base.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q"))
+        return exact.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     eps = 2.0 / accuracy
     brackets = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
     first = base.groupBy(*keys).agg(
