@@ -54,6 +54,7 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
 # partial-sum tables of at most this many input partitions are added up on the
 # driver (partitions x runs x k small rows); beyond it a groupBy adds them
 DRIVER_SUM_PARTITIONS = 256
+ROWS_PER_TASK = 200_000
 
 
 def _combine(partials: DataFrame, keys: list[str], sums: list[str], parts: int) -> pd.DataFrame:
@@ -150,12 +151,14 @@ def fit_many(df: DataFrame, cols: Sequence[str], runs: Sequence[Run], max_iter:
     h = F.xxhash64(*([F.col(key)] if key else []), *[F.col(c) for c in cols])
     data = df.select(*[F.col(c).cast("double").alias(c) for c in cols], h.alias("_h")).persist(
         StorageLevel.MEMORY_AND_DISK)
-    var = data.agg(*[F.var_pop(c).alias(c) for c in cols]).collect()[0]
+    var = data.agg(F.count("*").alias("_n"), *[F.var_pop(c).alias(c) for c in cols]).collect()[0]
     cores = data.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < cores:
-        # every Lloyd pass re-reads this table: spread a small-partition input
-        # over the cores once (the persisted copy makes asking cheap)
-        spread_data = data.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    # every Lloyd pass re-reads this table: spread an input with fewer
+    # partitions than useful over the cores once (about ROWS_PER_TASK rows per
+    # task; tiny tables stay whole, where per-task overhead would dominate)
+    want = int(min(cores, max(1, -(-int(var["_n"] or 0) // ROWS_PER_TASK))))
+    if data.rdd.getNumPartitions() < want:
+        spread_data = data.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
         spread_data.count()
         data.unpersist()
         data = spread_data

@@ -66,10 +66,15 @@ def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int, key: str
             done.append(best)
             break
         kth = F.element_at("neighbours", -1)["dist2"]
-        # checkpoint both tables so the plan of later levels does not grow
-        ok = cut_lineage(best.where((F.size("neighbours") >= k) & (kth < F.lit(w * w))))
+        # cache the level's results; every few levels checkpoint them so the
+        # plan of later levels does not keep growing
+        ok = best.where((F.size("neighbours") >= k) & (kth < F.lit(w * w)))
+        pending = pending.join(ok.select(key), key, "left_anti")
+        if lvl % 4 == 3:
+            ok, pending = cut_lineage(ok), cut_lineage(pending)
+        else:
+            ok, pending = ok.cache(), pending.cache()
         done.append(ok)
-        pending = cut_lineage(pending.join(ok.select(key), key, "left_anti"))
         if pending.limit(1).count() == 0:
             break
     out = done[0]
