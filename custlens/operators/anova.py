@@ -24,6 +24,7 @@ from custlens.functions.columns import clean_num
 
 ALPHA = 0.05
 MAX_CELLS = 100_000
+MAX_POSTHOC_LEVELS = 1000
 
 
 def cell_stats(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
@@ -130,7 +131,10 @@ def _group_table(df: DataFrame, y: str, f: str) -> pd.DataFrame:
     x = clean_num(y)
     rows = (df.where(x.isNotNull() & F.col(f).isNotNull())
             .groupBy(F.col(f).cast("string").alias("g"))
-            .agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var")).collect())
+            .agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
+            .limit(MAX_POSTHOC_LEVELS + 1).collect())
+    if len(rows) > MAX_POSTHOC_LEVELS:
+        raise ValueError(f"{f} has more than {MAX_POSTHOC_LEVELS} levels; pairwise tests would not be readable")
     g = pd.DataFrame([r.asDict() for r in rows], columns=["g", "n", "mean", "var"]).sort_values("g")
     return g.reset_index(drop=True)
 
