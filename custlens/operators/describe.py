@@ -84,7 +84,8 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Boxplot numbers: quartiles, whiskers (furthest points inside the fences),
     number of points outside, per group."""
     keys = list(by)
-    f = fences(df, col, keys)
+    # one row per group, used twice below: cached so the quantile plan runs once
+    f = fences(df, col, keys).cache()
     rows = df.select(*keys, clean_num(col).alias("_x")).where(F.col("_x").isNotNull())
     inside = F.col("_x").between(F.col("lower_fence"), F.col("upper_fence"))
     w = attach(rows, f, keys).groupBy(*keys).agg(
