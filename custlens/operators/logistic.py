@@ -94,10 +94,13 @@ def logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 100, tol: fl
     order = [len(xs), *range(len(xs))]
     base = data.agg(F.avg("_label").alias("b"), F.count("*").alias("n")).collect()[0]
     converged = s.numIterations < max_iter and all(abs(c) < 30 for c in coef)
+    # the intercept-only fit of 0/1 outcomes has the base rate as its
+    # probability, so its deviance is closed form (no second IRLS run)
+    pb, n = float(base["b"]), int(base["n"])
+    null_dev = 0.0 if pb in (0.0, 1.0) else -2.0 * n * (pb * math.log(pb) + (1 - pb) * math.log(1 - pb))
     return LogitResult(
         y, xs, coef, tuple(float(se[i]) for i in order), tuple(float(zv[i]) for i in order),
-        tuple(float(pv[i]) for i in order), int(base["n"]), float(base["b"]), float(s.deviance),
-        float(s.nullDeviance), bool(converged),
+        tuple(float(pv[i]) for i in order), n, pb, float(s.deviance), float(null_dev), bool(converged),
     )
 
 

@@ -194,3 +194,16 @@ def test_compare_square_single_pass_equals_separate_fits(spark, reg_data):
     for name, s in (("with squared term", spec), ("without squared term", spec.without_square())):
         assert got[name]["holdout_rmse"] == pytest.approx(R.holdout_rmse(df, s, "id"), rel=1e-9)
         assert got[name]["cv_rmse"] == pytest.approx(R.kfold_rmse(df, s, "id"), rel=1e-9)
+
+
+def test_logit_null_deviance_closed_form(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=300)
+    y = (rng.uniform(size=300) < 0.3).astype(float)
+    res = L.logit(spark.createDataFrame(pd.DataFrame({"y": y, "x": x})), "y", ["x"])
+    p = y.mean()
+    assert res.null_deviance == pytest.approx(-2 * (y * np.log(p) + (1 - y) * np.log(1 - p)).sum(), rel=1e-10)
+    ll = -res.deviance / 2
+    b, _ = _irls(np.column_stack([np.ones(300), x]), y)
+    q = 1 / (1 + np.exp(-(b[0] + b[1] * x)))
+    assert ll == pytest.approx((y * np.log(q) + (1 - y) * np.log(1 - q)).sum(), rel=1e-8)
