@@ -60,7 +60,7 @@ def _sql_round_measure(src: str) -> str:
 
 # ---------------------------------------------------------------- flagship
 def q_summary_measures(spark: SparkSession, d: str) -> DataFrame:
-    li = _t(spark, d, "lineitem").where(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp"))
+    li = _t(spark, d, "lineitem").where(F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
     return _round_measure(D.summary_measures(li, "l_extendedprice"))
 
 
