@@ -964,7 +964,7 @@ def _hist_sql(table: str, cols: list[str], n: int) -> str:
         edge_cols = ", ".join(f"{k} * ((hi - lo) / {n}) + lo AS e{k}" for k in range(1, n))
         binx = "1 + " + " + ".join(f"CASE WHEN x.v >= ed.e{k} THEN 1 ELSE 0 END" for k in range(1, n))
         parts.append(f"""
-        SELECT '{c}' AS "column", g.bin, round(g.k * ((hi - lo) / {n}) + lo, 6) AS lo,
+        SELECT '{c}' AS "column", CAST(g.bin AS INTEGER) AS bin, round(g.k * ((hi - lo) / {n}) + lo, 6) AS lo,
                round(CASE WHEN g.bin = {n} THEN hi ELSE g.bin * ((hi - lo) / {n}) + lo END, 6) AS hi,
                CAST(count(xb.bin) AS BIGINT) AS count
         FROM (SELECT CASE WHEN min({c}) = max({c}) THEN min({c}) - 0.5 ELSE min({c}) END::DOUBLE lo,
@@ -1189,7 +1189,7 @@ def _qq_sql(m: int) -> str:
     return f"""WITH {_RESID_CTE},
     z AS (SELECT (e - avg(e) OVER ()) / stddev_pop(e) OVER () AS z FROM res),
     q AS (SELECT [{qs}] AS qs FROM z)
-    SELECT round(unnest([{theo}]), 8) AS theoretical, round(unnest(qs), 8) AS sample FROM q"""
+    SELECT CAST(round(unnest([{theo}]), 8) AS DOUBLE) AS theoretical, round(unnest(qs), 8) AS sample FROM q"""
 
 
 def _resid_hist_sql() -> str:
@@ -1197,7 +1197,7 @@ def _resid_hist_sql() -> str:
     return f"""WITH {_RESID_CTE},
     mm AS (SELECT min(e) lo, max(e) hi FROM res),
     g AS (SELECT range + 1 AS bin, range AS k FROM range({n}))
-    SELECT 'resid' AS "column", g.bin, round(g.k * ((hi - lo) / {n}) + lo, 4) AS lo,
+    SELECT 'resid' AS "column", CAST(g.bin AS INTEGER) AS bin, round(g.k * ((hi - lo) / {n}) + lo, 4) AS lo,
            round(CASE WHEN g.bin = {n} THEN hi ELSE g.bin * ((hi - lo) / {n}) + lo END, 4) AS hi,
            CAST(count(res.e) AS BIGINT) AS count
     FROM mm CROSS JOIN g LEFT JOIN res ON {_hist_bin_sql('res.e', 'mm.lo', 'mm.hi', n)} = g.bin
@@ -1235,7 +1235,7 @@ WITH c AS (SELECT count(*) FILTER (WHERE y = 1 AND score >= 0.5) tp, count(*) FI
 SELECT tp, fp, tn, fn, {_ratio_sql()} FROM c"""
 
 _SWEEP_SQL = f"""
-WITH g AS (SELECT round(0.05 * range, 2) AS cutoff FROM range(1, 19)),
+WITH g AS (SELECT CAST(round(0.05 * range, 2) AS DOUBLE) AS cutoff FROM range(1, 19)),
 c AS (SELECT cutoff, count(*) FILTER (WHERE y = 1 AND score >= cutoff) tp, count(*) FILTER (WHERE y = 0 AND score >= cutoff) fp,
              count(*) FILTER (WHERE y = 0 AND score < cutoff) tn, count(*) FILTER (WHERE y = 1 AND score < cutoff) fn
       FROM g, {_SCORE_SRC} GROUP BY cutoff)
@@ -1300,7 +1300,7 @@ SELECT round(avg(CASE WHEN nown > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 1
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(T.REFERENCE_STOP_WORDS)))
 _EN_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(T.english_stop_words())))
-_TOK_SQL = f"""(SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos
+_TOK_SQL = f"""(SELECT doc_id, unnest(w) AS token, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos
                FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'))"""
 _WC_SQL = f"""SELECT token AS word, count(*) AS count FROM {_TOK_SQL}
               WHERE length(token) >= 3 AND token NOT IN ({_STOP_SQL}) GROUP BY token"""
@@ -1439,7 +1439,7 @@ def oracle_sql() -> dict[str, str]:
                                  CASE WHEN corr(c_acctbal, c_custkey) > 0 THEN 'positive'
                                       WHEN corr(c_acctbal, c_custkey) < 0 THEN 'negative' ELSE 'none' END AS direction
                           FROM customer""",
-        "ttest_1samp": """SELECT count(*) AS n, round(avg(l_quantity), 8) AS mean, 25.0 AS mu,
+        "ttest_1samp": """SELECT count(*) AS n, round(avg(l_quantity), 8) AS mean, 25.0::DOUBLE AS mu,
                                  round((avg(l_quantity) - 25) / (stddev_samp(l_quantity) / sqrt(count(*))), 8) AS t,
                                  CAST(count(*) - 1 AS DOUBLE) AS df FROM lineitem""",
         "ttest_1samp_median": """SELECT count(*) AS n, round(avg(c_acctbal), 8) AS mean, round(median(c_acctbal), 8) AS mu,
@@ -1466,7 +1466,7 @@ def oracle_sql() -> dict[str, str]:
         "ols_fit_stats": f"""WITH {_ols2_ctes(_LI2)}
             SELECT round(1 - rss / syy, 10) AS r2, round(1 - (rss / syy) * (n - 1) / (n - 3), 10) AS adj_r2,
                    round(((syy - rss) / 2) / s2, 6) AS f, round(pow(1 + 2 * (((syy - rss) / 2) / s2) / (n - 3), -(n - 3) / 2), 10) AS f_p,
-                   CAST(n AS BIGINT) AS n, 2.0 AS df_model, n - 3 AS df_resid, round(sqrt(rss / n), 6) AS rmse FROM fit""",
+                   CAST(n AS BIGINT) AS n, 2.0::DOUBLE AS df_model, n - 3 AS df_resid, round(sqrt(rss / n), 6) AS rmse FROM fit""",
         "ols_residuals": f"WITH {_RESID_CTE} SELECT l_orderkey, l_linenumber, round(fitted, 4) AS fitted, round(e, 4) AS resid FROM res",
         "ols_square": f"""SELECT *, round((WITH {_ols2_ctes(_SQ_SRC)} SELECT -b1 / (2 * b2) FROM fit), 6) AS turning_point
                           FROM ({_ols2_coef_sql(_SQ_SRC, ("l_quantity", "l_quantity^2"))})""",
@@ -1482,7 +1482,7 @@ def oracle_sql() -> dict[str, str]:
         "breusch_pagan": f"""WITH {_RESID_CTE},
             aux AS (SELECT corr(x1, e * e) r1, corr(x2, e * e) r2, corr(x1, x2) r12, count(*)::DOUBLE n FROM res),
             lm AS (SELECT n * (r1 * r1 + r2 * r2 - 2 * r1 * r2 * r12) / (1 - r12 * r12) AS lm FROM aux)
-            SELECT round(lm, 6) AS lm, 2.0 AS df, round(exp(-lm / 2), 10) AS p FROM lm""",
+            SELECT round(lm, 6) AS lm, 2.0::DOUBLE AS df, round(exp(-lm / 2), 10) AS p FROM lm""",
         "durbin_watson": f"""WITH {_RESID_CTE},
             d AS (SELECT e, e - lag(e) OVER (ORDER BY {", ".join(_LI_ORDER)}) AS de FROM res)
             SELECT round(sum(coalesce(de * de, 0)) / sum(e * e), 10) AS dw, count(*) AS n FROM d""",
