@@ -1298,7 +1298,7 @@ per AS (SELECT own, x1, x2, x3,
 SELECT round(avg(CASE WHEN nown > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 10) AS silhouette, count(*) AS n FROM per"""
 
 
-_STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(T.REFERENCE_STOP_WORDS)))
+_STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(T.REVIEW_STOP_WORDS)))
 _EN_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(T.english_stop_words())))
 _TOK_SQL = f"""(SELECT doc_id, unnest(w) AS token, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos
                FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'))"""

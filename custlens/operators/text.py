@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from custlens.functions.porter import stem as porter_stem
 from custlens.plans.common import spread
 
-# fixed values: stop words the reference drops before counting words, in its order
-REFERENCE_STOP_WORDS = """the a an and my is was for of to in from at this that with such very i me it be so
+# fixed values: stop words dropped before counting review words (the original list, in its order)
+REVIEW_STOP_WORDS = """the a an and my is was for of to in from at this that with such very i me it be so
 you your we our they them he she his her its are were been being do does did have has
 had will would can could should may might must not no nor but or if then than too""".split()
 
-# fixed values: the reference's default aspect dictionary
+# fixed values: the original default aspect dictionary
 DEFAULT_ASPECTS = [
     ("flavor", ["flavor", "taste"]),
     ("shipping", ["shipping", "delivery", "arrived", "delayed"]),
@@ -52,7 +52,7 @@ def _words(text: str):
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]+"), 0)
 
 
-def tokens(df: DataFrame, key: str, text: str, stop: Iterable[str] | None = REFERENCE_STOP_WORDS,
+def tokens(df: DataFrame, key: str, text: str, stop: Iterable[str] | None = REVIEW_STOP_WORDS,
            min_len: int = 3) -> DataFrame:
     """(key, pos, token): lower-cased ``[a-z]+`` runs of the whole text, stop
     words and tokens shorter than ``min_len`` dropped; ``pos`` is the position
@@ -80,7 +80,7 @@ def _stemmer():
     return _stem_udf
 
 
-def word_counts(df: DataFrame, text: str, stop: Iterable[str] | None = REFERENCE_STOP_WORDS, stem: bool = True,
+def word_counts(df: DataFrame, text: str, stop: Iterable[str] | None = REVIEW_STOP_WORDS, stem: bool = True,
                 min_len: int = 3) -> DataFrame:
     """(word, count) over all texts.  Tokens are counted first (map-side
     combine); stemming then runs on the distinct vocabulary with an Arrow UDF
