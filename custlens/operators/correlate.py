@@ -30,8 +30,10 @@ def corr(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
     elif method == "spearman":
         # rank tables of the two columns are built side by side from the same
         # pairs, then joined back on value (no rank of a rank's lineage)
-        ra = value_ranks(p.select("_a"), "_a").select("_a", F.col("_avg_rank").alias("_ra"))
-        rb = value_ranks(p.select("_b"), "_b").select("_b", F.col("_avg_rank").alias("_rb"))
+        # one pass sizes both rank tables (HyperLogLog distinct counts)
+        nd = p.agg(F.approx_count_distinct("_a").alias("a"), F.approx_count_distinct("_b").alias("b")).collect()[0]
+        ra = value_ranks(p.select("_a"), "_a", n_distinct=nd["a"]).select("_a", F.col("_avg_rank").alias("_ra"))
+        rb = value_ranks(p.select("_b"), "_b", n_distinct=nd["b"]).select("_b", F.col("_avg_rank").alias("_rb"))
         r = p.join(ra, "_a").join(rb, "_b")
         res = r.agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("r"))
     elif method == "kendall":

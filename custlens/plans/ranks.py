@@ -49,7 +49,8 @@ def range_buckets(df: DataFrame, value: str, out: str, n_items: int | None = Non
     return bz.transform(df.withColumn(tmp, x)).withColumn(out, F.col(out).cast("int")).drop(tmp)
 
 
-def value_ranks(df: DataFrame, value_col: str, by: Sequence[str] = (), buckets: int = RANK_BUCKETS) -> DataFrame:
+def value_ranks(df: DataFrame, value_col: str, by: Sequence[str] = (), buckets: int = RANK_BUCKETS,
+                n_distinct: int | None = None) -> DataFrame:
     """Average rank of every distinct value of the (already clean, non-null)
     column ``value_col`` within its group: (by..., value_col, _cnt, _avg_rank).
 
@@ -58,7 +59,8 @@ def value_ranks(df: DataFrame, value_col: str, by: Sequence[str] = (), buckets:
     groups x buckets), a window per (group, bucket) gives the position inside.
     Ungrouped, the bucket count grows with the number of distinct values and
     the bucket is found by binary search; grouped, each group gets
-    ``buckets`` quantile buckets of its own.
+    ``buckets`` quantile buckets of its own.  ``n_distinct`` (exact or
+    approximate) sizes the buckets without counting the distinct values.
     """
     keys = list(by)
     vc = df.groupBy(*keys, value_col).agg(F.count("*").alias("_cnt"))
@@ -71,7 +73,7 @@ def value_ranks(df: DataFrame, value_col: str, by: Sequence[str] = (), buckets:
         bounds = vc.groupBy(*keys).agg(F.percentile_approx(value_col, probs, max(10000, 10 * b)).alias("_bounds"))
         vcb = attach(vc, bounds, keys).withColumn("_bkt", _bucket_expr(value_col, "_bounds")).drop("_bounds")
     else:
-        vcb = range_buckets(vc, value_col, "_bkt")
+        vcb = range_buckets(vc, value_col, "_bkt", n_distinct)
     totals = vcb.groupBy(*keys, "_bkt").agg(F.sum("_cnt").alias("_btot"))
     wg = Window.partitionBy(*keys).orderBy("_bkt") if keys else Window.orderBy("_bkt")
     # the totals table has at most one row per bucket and group, so even the
