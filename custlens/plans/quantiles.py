@@ -175,12 +175,16 @@ def exact_quantiles(
 def mode_smallest(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
     """Most frequent value per group, smallest value among ties.
 
-    Two shuffling aggregates with map-side combine: (group, value) counts,
-    then the max of struct(count, -value) per group.  A value that holds a
-    third of all rows is just one heavy count, pre-combined per partition.
+    Hash aggregates with map-side combine: (group, value) counts, the top
+    count per group, and the smallest value with that count.  A value that
+    holds a third of all rows is just one heavy count, pre-combined per
+    partition.
     """
     keys = list(by)
     base = df.select(*keys, clean_num(value).alias("_v")).where(F.col("_v").isNotNull())
     vc = base.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    best = vc.groupBy(*keys).agg(F.max(F.struct(F.col("_c"), (-F.col("_v")).alias("_neg"))).alias("_m"))
-    return best.select(*keys, (-F.col("_m._neg")).alias(name))
+    # hash aggregates only: the top count per group, then the smallest value
+    # holding it (the per-group table is attached as a checked broadcast)
+    top = vc.groupBy(*keys).agg(F.max("_c").alias("_top"))
+    winners = attach(vc, top, keys).where(F.col("_c") == F.col("_top"))
+    return winners.groupBy(*keys).agg(F.min("_v").alias(name))
