@@ -8,9 +8,10 @@ move to the next level.  When w exceeds the data's extent the adjacent cells
 hold every training point, so the last level is exact for whatever remains.
 Candidate counts stay local (about the points within a few cell widths), so
 no level forms the test x train product.  Meant for the low-dimensional,
-standardised feature spaces of the classifiers (d up to ~6).  Limitation: a
-query next to a very dense spot (for example many identical training points)
-sees all of that spot's points as candidates.
+standardised feature spaces of the classifiers (d up to ~6).  Identical
+training points beyond the k with the smallest keys are dropped first (exact,
+see ``_drop_shadowed_copies``); a query next to a very dense spot of distinct
+points still sees all of that spot's points as candidates.
 """
 
 from __future__ import annotations
@@ -29,6 +30,28 @@ def _cells(cols: Sequence[str], w: float) -> list:
     return [F.floor(F.col(c) / F.lit(w)).cast("long") for c in cols]
 
 
+def _drop_shadowed_copies(train: DataFrame, cols: Sequence[str], k: int, train_key: str,
+                          rows_per_task: int = 1_000_000) -> DataFrame:
+    """Keep at most k training points per identical coordinate vector.
+
+    Identical points are equally far from every query and ties go to the
+    smaller key, so only the k smallest keys of a coordinate can ever be
+    chosen; dropping the rest is exact.  A coordinate holding many copies is
+    ranked in salted slices of about ``rows_per_task`` rows, then the
+    survivors (at most k per slice) are ranked once more."""
+    from pyspark.sql import Window
+
+    mult = train.groupBy(*cols).count().agg(F.max("count").alias("m")).collect()[0]["m"] or 0
+    if mult <= k:
+        return train
+    slices = int(max(1, -(-mult // rows_per_task)))
+    salted = train.withColumn("_slice", F.pmod(F.xxhash64(F.col(train_key)), F.lit(slices)))
+    w1 = Window.partitionBy(*cols, "_slice").orderBy(train_key)
+    first = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k)
+    w2 = Window.partitionBy(*cols).orderBy(train_key)
+    return first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k).drop("_r", "_slice")
+
+
 def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int, key: str = "_tid", train_key: str = "_rid",
         label: str = "_label", start_width: float | None = None, max_levels: int = 40) -> DataFrame:
     """(key, neighbours) with ``neighbours`` = array of struct(dist2, train key,
@@ -37,6 +60,7 @@ def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int, key: str
     ``train`` has (train_key, cols..., label); ``test`` has (key, cols...)."""
     cols = list(cols)
     d = len(cols)
+    train = _drop_shadowed_copies(train, cols, k, train_key)
     both = train.select(*cols).unionByName(test.select(*cols))
     ext = both.agg(*[(F.max(c) - F.min(c)).alias(c) for c in cols]).collect()[0]
     extent = max([float(ext[c] or 0.0) for c in cols] + [1e-12])

@@ -137,3 +137,17 @@ def test_entry_smoke(spark):
 
     out = E.entry(spark)
     assert out.columns == ["measure", "value"] and out.count() == 13
+
+
+def test_knn_with_many_identical_training_points(spark):
+    rng = np.random.default_rng(5)
+    tr = np.vstack([np.zeros((200, 2)), rng.normal(size=(100, 2))])
+    te = rng.normal(size=(20, 2)) * 0.5
+    tdf = spark.createDataFrame(pd.DataFrame({"_rid": np.arange(300)[::-1].copy(), "_label": rng.integers(0, 2, 300),
+                                              "a": tr[:, 0], "b": tr[:, 1]}))
+    qdf = spark.createDataFrame(pd.DataFrame({"_tid": np.arange(20), "a": te[:, 0], "b": te[:, 1]}))
+    got = {r["_tid"]: [n["rid"] for n in r["neighbours"]] for r in knn(tdf, qdf, ["a", "b"], 3).collect()}
+    rid = np.arange(300)[::-1]
+    for i in range(20):
+        d = ((tr - te[i]) ** 2).sum(1)
+        assert got[i] == [int(rid[j]) for j in np.lexsort((rid, d))[:3]]
