@@ -28,6 +28,15 @@ from custlens.operators import wrangle as W
 from custlens.sources import io as IO
 from custlens.sources import profiling as P
 
+# The training-data operators live in a subpackage of their own that may be absent.
+try:
+    import corpus_pipeline
+    from custlens.llm import registry as _llm
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "custlens.llm", "custlens.llm.registry"):
+        raise
+    _llm = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
@@ -635,6 +644,14 @@ _ASPECTS = [("service", ["rewh", "hehely"]), ("value", ["thatin", "orre"]), ("qu
             ("missing", ["zzzz"])]
 
 
+# English function words dropped by ``top_words_english_stop`` (both sides use this list)
+_EN_STOP = """a about above after again all am an and any are as at be because been before being below between both
+but by can did do does doing down during each few for from further had has have having he her here hers him his how i
+if in into is it its just me more most my no nor not now of off on once only or other our out over own same she should
+so some such than that the their them then there these they this those through to too under until up very was we were
+what when where which while who whom why will with you your""".split()
+
+
 def _docs_en(spark, d):
     return _t(spark, d, "documents").where(F.col("lang") == "en")
 
@@ -666,7 +683,7 @@ def q_top_words_unstemmed(spark, d):
 
 
 def q_top_words_english_stop(spark, d):
-    return T.top_words(_t(spark, d, "documents"), "text", 15, stem=False, stop=T.english_stop_words())
+    return T.top_words(_t(spark, d, "documents"), "text", 15, stem=False, stop=_EN_STOP)
 
 
 def q_word_weights(spark, d):
@@ -767,7 +784,7 @@ def q_kfold_rmse(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    out = {
         "summary_measures": q_summary_measures,
         "preview": q_preview,
         "shape": q_shape,
@@ -882,12 +899,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dominant_colors": q_dominant_colors,
         "read_table": q_read_table,
         "catalog_default": q_catalog_default,
-        "pipeline": q_pipeline,
+        "table_pipeline": q_pipeline,
         "outliers_first15": q_outliers_first15,
         "outlier_counts_events": q_outlier_counts_events,
         "zscore_histogram": q_zscore_histogram,
         "kfold_rmse": q_kfold_rmse,
     }
+    if _llm is not None:
+        out |= _llm.queries() | {"pipeline": corpus_pipeline.run}
+    return out
 
 
 _PROFILE_SQL = """
@@ -1299,7 +1319,7 @@ SELECT round(avg(CASE WHEN nown > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 1
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(T.REVIEW_STOP_WORDS)))
-_EN_STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(set(T.english_stop_words())))
+_EN_STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(_EN_STOP)))
 _TOK_SQL = f"""(SELECT doc_id, unnest(w) AS token, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos
                FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'))"""
 _WC_SQL = f"""SELECT token AS word, count(*) AS count FROM {_TOK_SQL}
@@ -1358,7 +1378,7 @@ def _kfold_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    out = {
         "summary_measures": _sql_summary("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1996-01-01'"),
         "preview": "SELECT * FROM customer ORDER BY c_custkey LIMIT 10",
         "shape": "SELECT count(*) AS n_rows, CAST(11 AS BIGINT) AS n_cols FROM lineitem",
@@ -1526,7 +1546,7 @@ def oracle_sql() -> dict[str, str]:
                 round(stddev_samp(colorfulness), 8) AS colorfulness_sd FROM ({_IMG_STATS_SQL})""",
         "read_table": "SELECT p_partkey, p_type, p_size FROM part",
         "catalog_default": "SELECT * FROM nation",
-        "pipeline": """WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value
+        "table_pipeline": """WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS value
                                   FROM events WHERE event_type IN ('click', 'view'))
                        SELECT event_id, event_type, round(coalesce(value, (SELECT avg(value) FROM e)), 4) AS value FROM e""",
         "outliers_first15": f"""WITH {_EV_FENCE} SELECT event_id, value FROM events, f WHERE value < lo OR value > hi
@@ -1542,3 +1562,8 @@ def oracle_sql() -> dict[str, str]:
         "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
+    if _llm is not None:
+        out |= _llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out

@@ -31,23 +31,6 @@ DEFAULT_ASPECTS = [
 LEXICON_BROADCAST_ROWS = 500_000
 
 
-def english_stop_words() -> list[str]:
-    """Spark ML's default English stop words (read from the Spark ML jar, so no
-    running JVM is needed; falls back to the JVM call)."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-
-    for jar in glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                return [w.strip() for w in z.read(name).decode("utf-8").splitlines() if w.strip()]
-    return list(StopWordsRemover.loadDefaultStopWords("english"))
-
-
 def _words(text: str):
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]+"), 0)
 
