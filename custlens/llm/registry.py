@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from custlens.llm import exact_dedup, simhash
+from custlens.llm import exact_dedup, packing, simhash
 from custlens.llm.common import read
 
 
+def q_packing(spark, d):
+    import public_tokenizers
+
+    pieces = packing.pack(read(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+                         "offset")
+
+
 def q_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(read(spark, d, "documents"), keep="max")
 
@@ -19,6 +27,7 @@ def q_simhash(spark, d):
 
 def queries():
     return {
+        "op2_packing": q_packing,
         "op4_exact_dedup": q_exact_dedup,
         "op7_simhash": q_simhash,
     }
@@ -30,6 +39,7 @@ _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 
 def oracle_sql():
     return {
+        "op2_packing": q_packing,
         "op4_exact_dedup": f"""WITH d AS (SELECT doc_id, {_ASCII_LOWER} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
