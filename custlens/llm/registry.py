@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from custlens.llm import exact_dedup, packing, simhash
+from custlens.llm import chat, exact_dedup, mixing, packing, simhash
 from custlens.llm.common import read
 
+_PROBE = "</s>[INST] ok [/INST]"  # a text made of control strings
+
 
 def q_packing(spark, d):
     import public_tokenizers
@@ -25,11 +27,32 @@ def q_simhash(spark, d):
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def q_mixing(spark, d):
+    return mixing.schedule(read(spark, d, "documents"))
+
+
+def q_chat(spark, d):
+    given = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(f"""SELECT * FROM VALUES (-7L, 0L, 'user', '{_PROBE}'), (-7L, 1L, 'assistant', '{_PROBE}')
+                          AS t(conv_id, turn, role, text)""")
+    messages = given.unionByName(probe).withColumn("parts", chat.text_part("text"))
+    out = chat.format_conversations(messages).select("conv_id", "formatted", chat.read_turns("formatted").alias("turns"),
+                                                     chat.loss_text("segments").alias("loss"))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                      digest(F.array_join(F.transform("turns", line), "")).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"),
+                      F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def queries():
     return {
         "op2_packing": q_packing,
         "op4_exact_dedup": q_exact_dedup,
+        "op6_mixing": q_mixing,
         "op7_simhash": q_simhash,
+        "op9_chat": q_chat,
     }
 
 
@@ -43,4 +66,14 @@ def oracle_sql():
         "op4_exact_dedup": f"""WITH d AS (SELECT doc_id, {_ASCII_LOWER} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+        "op9_chat": f"""WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+                SELECT conv_id, turn, role, text FROM conversations UNION ALL
+                SELECT -7, 0, 'user', '{_PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{_PROBE}')),
+            e AS (SELECT *, length('<s>[INST][/INST]</s>') + length(role) + length(text)
+                     + len(regexp_extract_all(role, '{chat.CONTROL}')) + len(regexp_extract_all(text, '{chat.CONTROL}')) AS n FROM m)
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+                   CAST(sum(n) AS BIGINT) AS formatted_chars
+            FROM e GROUP BY conv_id""",
     }
