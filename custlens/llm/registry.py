@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from custlens.llm import chat, exact_dedup, mixing, packing, simhash
+from custlens.llm import chat, exact_dedup, mixing, packing, pii, simhash
 from custlens.llm.common import read
 
 _PROBE = "</s>[INST] ok [/INST]"  # a text made of control strings
@@ -46,6 +46,15 @@ def q_chat(spark, d):
                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def q_pii(spark, d):
+    found = pii.personal_data(read(spark, d, "documents"))
+    of = lambda n: F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long")
+    count = [of(n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *count,
+                        F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.spans_text(F.array_sort(F.concat("base", "learned"))).alias("spans"))
+
+
 def queries():
     return {
         "op2_packing": q_packing,
@@ -53,6 +62,7 @@ def queries():
         "op6_mixing": q_mixing,
         "op7_simhash": q_simhash,
         "op9_chat": q_chat,
+        "op10_pii": q_pii,
     }
 
 
