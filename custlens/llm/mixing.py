@@ -32,7 +32,7 @@ from custlens.llm.common import fresh, row_key, shuffle_partitions
 
 MAX_SOURCES = 256
 PERIOD = 840
-BUCKET_ROWS = 1 << 16  # rows that one rank window holds on average
+BUCKET_ROWS = 1 << 12  # rows that one rank window holds on average
 _SEGMENT = ("array<struct<k0:bigint,k1:bigint,slot0:bigint,a:bigint,q:bigint,phase_k:bigint,phase_slot:bigint,"
             "slots:array<int>>>")
 
