@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from custlens.llm import chat, exact_dedup, mixing, packing, pii, simhash
+from custlens.llm import chat, exact_dedup, mixing, packing, pii, quality, simhash, toxicity
 from custlens.llm.common import read
 
 _PROBE = "</s>[INST] ok [/INST]"  # a text made of control strings
 
 
+def q_toxicity(spark, d):
+    return toxicity.toxicity_scores(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
+def q_quality(spark, d):
+    return quality.quality_scores(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
 def q_packing(spark, d):
     import public_tokenizers
 
@@ -57,10 +65,12 @@ def q_pii(spark, d):
 
 def queries():
     return {
+        "op1_toxicity": q_toxicity,
         "op2_packing": q_packing,
         "op4_exact_dedup": q_exact_dedup,
         "op6_mixing": q_mixing,
         "op7_simhash": q_simhash,
+        "op8_quality": q_quality,
         "op9_chat": q_chat,
         "op10_pii": q_pii,
     }
@@ -72,6 +82,7 @@ _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 
 def oracle_sql():
     return {
+        "op1_toxicity": q_toxicity,
         "op2_packing": q_packing,
         "op4_exact_dedup": f"""WITH d AS (SELECT doc_id, {_ASCII_LOWER} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
