@@ -19,6 +19,8 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,6 +127,15 @@ class WordTokenizer:
         return ids, bounds + np.arange(len(bounds))
 
 
+def _worker_tokenizer(path: str) -> WordTokenizer:
+    """One per Python worker: its words stay known from task to task.  This
+    code travels by value, so the worker's process holds what is to stay."""
+    held = sys.modules.setdefault("custlens_worker", types.ModuleType("custlens_worker")).__dict__
+    if path not in held:
+        held[path] = WordTokenizer(path)
+    return held[path]
+
+
 class Capacities:
     """Tournament tree over the room left in the bins."""
 
@@ -235,7 +246,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         T.StructField("offset", T.LongType())])
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = _worker_tokenizer(tokenizer_path)
         for b in batches:
             sizes = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False)
             slices = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES, prepend=-1))
