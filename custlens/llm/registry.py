@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from custlens.llm import chat, exact_dedup, mixing, packing, pii, quality, simhash, toxicity
+from custlens.llm import ann, chat, exact_dedup, mixing, packing, pii, quality, simhash, toxicity
 from custlens.llm.common import read
 
 _PROBE = "</s>[INST] ok [/INST]"  # a text made of control strings
@@ -26,6 +26,10 @@ def q_packing(spark, d):
                          "offset")
 
 
+def q_nearest(spark, d):
+    return ann.nearest(read(spark, d, "embeddings"), k=5, is_query=F.col("vec_id") % 50 == 0)
+
+
 def q_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(read(spark, d, "documents"), keep="max")
 
@@ -67,6 +71,7 @@ def queries():
     return {
         "op1_toxicity": q_toxicity,
         "op2_packing": q_packing,
+        "op3_nearest": q_nearest,
         "op4_exact_dedup": q_exact_dedup,
         "op6_mixing": q_mixing,
         "op7_simhash": q_simhash,
