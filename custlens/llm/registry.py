@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from custlens.llm import ann, chat, exact_dedup, mixing, packing, pii, quality, simhash, toxicity
+from custlens.llm import ann, chat, exact_dedup, mixing, packing, pii, quality, simhash, substring, toxicity
 from custlens.llm.common import read
 
 _PROBE = "</s>[INST] ok [/INST]"  # a text made of control strings
@@ -34,6 +34,11 @@ def q_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(read(spark, d, "documents"), keep="max")
 
 
+def q_substring(spark, d):
+    out = substring.drop_repeated_windows(read(spark, d, "documents"), window=50)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def q_simhash(spark, d):
     found = simhash.near_duplicates(read(spark, d, "documents"), shingle=3, bits=3)
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
@@ -73,6 +78,7 @@ def queries():
         "op2_packing": q_packing,
         "op3_nearest": q_nearest,
         "op4_exact_dedup": q_exact_dedup,
+        "op5_substring": q_substring,
         "op6_mixing": q_mixing,
         "op7_simhash": q_simhash,
         "op8_quality": q_quality,
