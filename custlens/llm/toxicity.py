@@ -28,6 +28,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
@@ -128,22 +129,29 @@ def _told_apart(ranked: Iterator[tuple[str, int, int]]) -> list[tuple[str, int,
     return kept
 
 
-def find_entries(docs: DataFrame, entries: list[str]) -> DataFrame:
-    """(id, hits) per row of (id, text): numbers of the entries in the whole text, in order."""
+def entry_finder(entries: list[str]):
+    """text -> numbers of the entries in it, in order."""
     words = {e[2:]: i for i, e in enumerate(entries) if e[0] == "w"}
     heads = {e[2:]: i for i, e in enumerate(entries) if e[0] == "p"}
-    first = {h[:HEADS[0]] for h in heads}
-    schema = T.StructType([docs.schema["id"], T.StructField("hits", T.ArrayType(T.IntegerType()))])
+    k = HEADS[0]
+    first = {h[:k] for h in heads}
 
     def hits(text: str) -> list[int]:
         seen = _distinct_words(text)
         out = {words[w] for w in words.keys() & seen}
-        k = HEADS[0]
         for w in seen:
             if w[:k] in first:
                 out.update(heads[w[:n]] for n in HEADS if len(w) > n and w[:n] in heads)
         return sorted(out)
 
+    return hits
+
+
+def find_entries(docs: DataFrame, entries: list[str]) -> DataFrame:
+    """(id, hits) per row of (id, text): the entries in the whole text."""
+    hits = entry_finder(entries)
+    schema = T.StructType([docs.schema["id"], T.StructField("hits", T.ArrayType(T.IntegerType()))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [hits(t or "") for t in b.column(1).to_pylist()]
@@ -238,26 +246,32 @@ def _expected(patterns: DataFrame, model: LabelModel, labelled_only: bool) -> np
     return out.reshape(shape)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
-                    text_col: str = "text", folds: int = 5, held: int = 0, sample_rows: int = 20_000,
-                    entries: int = 1024, least_docs: int = 3, least_g2: float = 20.0, least_ratio: float = 4.0,
-                    rounds: int = 5) -> DataFrame:
-    """(id, held_out, score, predicted) for every document."""
-    return _scored(docs, labels, label_col, id_col, text_col, folds, held, sample_rows, entries, least_docs, least_g2,
-                   least_ratio, rounds).select(
-        F.col("id").alias(id_col), F.coalesce(fold(F.col("id"), folds) == held, F.lit(False)).alias("held_out"),
-        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+class Scorer:
+    """The fitted classifier over the entries of a text."""
 
+    def __init__(self, entries: list[str], weights: np.ndarray, bias: float, share: float):
+        self.entries, self.weights, self.bias, self.share = entries, weights, bias, share
+        self.hits = entry_finder(entries)
 
-def _scored(docs, labels, label_col="toxic", id_col="doc_id", text_col="text", folds=5, held=0, sample_rows=20_000,
-            entries=1024, least_docs=3, least_g2=20.0, least_ratio=4.0, rounds=5) -> DataFrame:
-    """(id, hits, score) per row."""
+    def score(self, hits: list[list[int]]) -> np.ndarray:
+        if not self.entries:
+            return np.full(len(hits), self.share)
+        n = len(self.entries)
+        z = [self.bias + float(self.weights[h].sum()) + sum(float(self.weights[n + c]) for c, least in enumerate(COUNTS)
+                                                            if len(h) >= least) for h in hits]
+        return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -700, 700)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+        folds: int = 5, held: int = 0, sample_rows: int = 20_000, entries: int = 1024, least_docs: int = 3,
+        least_g2: float = 20.0, least_ratio: float = 4.0, rounds: int = 5) -> tuple[Scorer, DataFrame]:
+    """(classifier, table (id, hits) of all documents)."""
     src = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     train = cut_lineage(training_labels(labels, label_col, folds, held))
     found = learn_entries(src, train, sample_rows, entries, least_docs, least_g2, least_ratio)
     if not found:
         share = train.agg(F.avg("label")).first()[0] or 0.0
-        return src.select("id", F.array().cast("array<int>").alias("hits"), F.lit(float(share)).alias("score"))
+        return Scorer([], np.empty(0), 0.0, float(share)), src.select("id", F.array().cast("array<int>").alias("hits"))
 
     table = cut_lineage(find_entries(src, found))
     patterns = cut_lineage(table.join(train, "id", "left").groupBy(
@@ -267,8 +281,6 @@ def _scored(docs, labels, label_col="toxic", id_col="doc_id", text_col="text", f
     for _ in range(rounds):
         model.fit(_expected(patterns, model, labelled_only=False), learn_tree=False)
 
-    width = len(found) + len(COUNTS)
-
     def posterior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hits, n = b.column(0).to_pylist(), b.column(1).to_numpy().astype(float)
@@ -280,22 +292,38 @@ def _scored(docs, labels, label_col="toxic", id_col="doc_id", text_col="text", f
                                              names=["on", "y", "weight"])
 
     soft = patterns.groupBy("hits").agg(F.sum("n").alias("n")).mapInArrow(posterior, "on array<int>, y double, weight double")
-    return _classified(table, soft, width, len(found))
-
-
-def _classified(table: DataFrame, soft: DataFrame, width: int, n_entries: int) -> DataFrame:
+    width = len(found) + len(COUNTS)
     vector = F.udf(lambda on: Vectors.sparse(width, on, [1.0] * len(on)), VectorUDT())
     rows = cut_lineage(soft.where("weight > 0")).select(vector("on").alias("features"), "y", "weight")
-    fit = LogisticRegression(labelCol="y", weightCol="weight", regParam=1e-6, maxIter=60, standardization=False,
-                             family="binomial").fit(rows)
-    weights, bias = fit.coefficients.toArray(), float(fit.intercept)
-    schema = T.StructType([table.schema["id"], table.schema["hits"], T.StructField("score", T.DoubleType())])
+    line = LogisticRegression(labelCol="y", weightCol="weight", regParam=1e-6, maxIter=60, standardization=False,
+                              family="binomial").fit(rows)
+    return Scorer(found, line.coefficients.toArray(), float(line.intercept), 0.0), table
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", folds: int = 5, held: int = 0,
+                    **options) -> DataFrame:
+    """(id, held_out, score, predicted) for every document; ``options`` as in ``fit``."""
+    scorer, table = fit(docs, labels, id_col=id_col, folds=folds, held=held, **options)
+    schema = T.StructType([table.schema["id"], T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = [bias + float(weights[h].sum()) + sum(float(weights[n_entries + c]) for c, least in enumerate(COUNTS)
-                                                      if len(h) >= least) for h in b.column(1).to_pylist()]
-            score = 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -700, 700)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score)], names=["id", "hits", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer.score(b.column(1).to_pylist()))],
+                                             names=["id", "score"])
+
+    return table.mapInArrow(run, schema).select(
+        F.col("id").alias(id_col), F.coalesce(fold(F.col("id"), folds) == held, F.lit(False)).alias("held_out"),
+        "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5,
+               **options) -> DataFrame:
+    """The documents that score below the threshold, with all their columns;
+    scored where they are read, so no text is shuffled."""
+    scorer, _ = fit(docs, labels, text_col=text_col, **options)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(scorer.score([scorer.hits(t or "") for t in text]))
 
-    return table.mapInArrow(run, schema)
+    return docs.where(score(F.col(f"`{text_col}`").cast("string")) < threshold)
