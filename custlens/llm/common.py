@@ -51,10 +51,10 @@ def only_keys(docs: DataFrame, id_col: str, keys: DataFrame) -> DataFrame:
     One shuffle of the documents on a key that no hot group shares; the
     semi-join leaves them partitioned and sorted for the final distinct.
     """
-    i, k = fresh(docs, "_id", "_key")
+    i, k, wanted_id, wanted_key = fresh(docs, "_id", "_key", "_wanted_id", "_wanted_key")
     marked = docs.withColumns({i: F.col(f"`{id_col}`"), k: row_key(docs)})
-    keys = keys.select(F.col("id").alias("_kid"), F.col("key").alias("_kkey"))
-    on = F.col(i).eqNullSafe(F.col("_kid")) & (F.col(k) == F.col("_kkey"))
+    keys = keys.select(F.col("id").alias(wanted_id), F.col("key").alias(wanted_key))
+    on = F.col(i).eqNullSafe(F.col(wanted_id)) & (F.col(k) == F.col(wanted_key))
     return marked.join(keys, on, "left_semi").dropDuplicates([i, k]).drop(i, k)
 
 

@@ -149,8 +149,8 @@ def _candidates(text: Column) -> Column:
                         F.when(F.size(left) >= 2, F.array_join(F.slice(left, -2, 2), " ")).alias("pattern"))
 
     shaped = F.transform(_located(text, WORD), trimmed)
-    long_enough = F.filter(shaped, lambda c: F.length(F.regexp_replace(c["value"], "[^0-9@]", "")) >= 4)
-    return F.when(F.rlike(text, F.lit("[0-9@]")), long_enough).otherwise(
+    like = F.filter(shaped, lambda c: F.contains(c["value"], F.lit("@")) | (F.length(_digits(c["value"])) >= 4))
+    return F.when(F.rlike(text, F.lit("[0-9@]")), like).otherwise(
         F.array().cast("array<struct<start:int,end:int,value:string,pattern:string>>"))
 
 
