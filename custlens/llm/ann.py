@@ -92,13 +92,12 @@ class Forest:
 
 
 def _usable(v: Column, width: int) -> Column:
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf")))
     return v.isNotNull() & (F.size(v) == width) & finite & F.exists(v, lambda x: x != 0)
 
 
-def _units(column: pa.Array, width: int) -> np.ndarray:
-    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
-    return x
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
 def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_col: str = "vec_id",
@@ -113,8 +112,7 @@ def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_c
     ``leaf_rows`` vectors of the table, as far as the sample allows.
     """
     spark = vectors.sparkSession
-    v = F.col(f"`{vector_col}`").cast("array<double>")
-    src = vectors.select(F.col(f"`{id_col}`").alias("id"), v.alias("v"),
+    src = vectors.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("v"),
                          (F.lit(True) if is_query is None else F.coalesce(is_query, F.lit(False))).alias("asks"))
     width = src.where("v IS NOT NULL").groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(
         F.desc("n"), F.desc("w")).first()
@@ -131,7 +129,7 @@ def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_c
     if not n:
         return spark.createDataFrame([], out_schema)
     sample = distinct.orderBy(F.xxhash64("h1"), "h2").limit(sample_rows).select("v").toArrow()
-    x = _units(sample.column("v").combine_chunks(), width)
+    x = _matrix(sample.column("v").combine_chunks(), width)
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     most = max(0, int(np.log2(max(1, len(x) / 8))))
     depth = min(most, max(8, int(np.ceil(np.log2(max(1, n / leaf_rows))))))
@@ -146,7 +144,7 @@ def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_c
         for b in batches:
             if not b.num_rows:
                 continue
-            u = unit(_units(b.column(1), width))
+            u = unit(_matrix(b.column(1), width))
             for i, t in enumerate(f.trees):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(u), i, np.int32)), pa.array(t.leaves(u).astype(np.int32)), b.column(0),
@@ -157,7 +155,7 @@ def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_c
         for b in batches:
             if not b.num_rows:
                 continue
-            u = unit(_units(b.column(2), width))
+            u = unit(_matrix(b.column(2), width))
             found = [f.search(y, share) for y in u]
             at = np.repeat(np.arange(len(found)), [len(p) for p in found])
             hits = np.array([p for each in found for p in each], np.int32).reshape(-1, 2)
@@ -165,18 +163,18 @@ def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_c
                                               b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at))],
                                              names=["tree", "leaf", "h1", "h2", "v"])
 
-    ids = src.schema["id"].dataType.simpleString()
-    indexed = distinct.select("ids", "v").mapInArrow(index, f"tree int, leaf int, ids array<{ids}>, v array<double>")
+    ids, vs = src.schema["id"].dataType.simpleString(), src.schema["v"].dataType.simpleString()
+    indexed = distinct.select("ids", "v").mapInArrow(index, f"tree int, leaf int, ids array<{ids}>, v {vs}")
     asked = rows.where("asks").dropDuplicates(["h1", "h2"]).select("h1", "h2", "v")
-    probes = asked.mapInArrow(probe, "tree int, leaf int, h1 long, h2 long, v array<double>")
+    probes = asked.mapInArrow(probe, f"tree int, leaf int, h1 long, h2 long, v {vs}")
 
     def rerank(here: pa.Table, queries: pa.Table) -> pa.Table:
         names = ["h1", "h2", "ids", "score"]
         if not here.num_rows or not queries.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), here.column("ids").slice(0, 0),
                              pa.array([], pa.float64())], names=names)
-        y = _units(here.column("v").combine_chunks(), width)
-        q = _units(queries.column("v").combine_chunks(), width)
+        y = _matrix(here.column("v").combine_chunks(), width)
+        q = _matrix(queries.column("v").combine_chunks(), width)
         long_y, top = np.linalg.norm(y, axis=1), min(len(y), k + 1)
         at_q, at_y, score = [], [], []
         step = max(1, CELLS // len(y))
