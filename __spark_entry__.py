@@ -241,7 +241,7 @@ _STD_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
 def q_standardize(spark, d):
     out = D.standardize(_t(spark, d, "lineitem"), _STD_COLS)
     out = out.select("l_orderkey", "l_linenumber", *[f"{c}_z" for c in _STD_COLS])
-    return _round(out, {f"{c}_z": 8 for c in _STD_COLS})
+    return _round(out, {f"{c}_z": 6 for c in _STD_COLS})
 
 
 def q_scale_report(spark, d):
@@ -541,44 +541,41 @@ def q_cutoff_sweep(spark, d):
 
 
 # ---------------------------------------------------------------- classifiers
-_EMB_X = ["e1", "e2", "e3", "e4"]
+# customers of one market segment against the others, from all their numbers
+_CLS_X = ["c_acctbal", "total_spend", "n_orders"]
 
 
-def _emb(spark, d):
-    e = _t(spark, d, "embeddings")
-    cols = [F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(_EMB_X)]
-    return e.select("vec_id", *cols, (F.col("label") < 5).cast("int").alias("y"))
-
-
-def _emb_split(spark, d):
-    return M.prepare(_emb(spark, d), _EMB_X, "y", "vec_id")
+def _cls_split(spark, d):
+    rows = _customers(spark, d).select("c_custkey", *[F.col(c).cast("double").alias(c) for c in _CLS_X],
+                                       (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"))
+    return M.prepare(rows, _CLS_X, "y", "c_custkey")
 
 
 def q_scaler(spark, d):
-    s = M.fit_scaler(_emb_split(spark, d).where("_train"), _EMB_X)
-    return _round(s, {c: 10 for c in s.columns})
+    s = M.fit_scaler(_cls_split(spark, d).where("_train"), _CLS_X)
+    return _round(s, {c: 6 for c in s.columns})
 
 
 def q_knn(spark, d):
-    return M.knn_classify(_emb_split(spark, d), _EMB_X, "y", "vec_id", k=5)
+    return M.knn_classify(_cls_split(spark, d), _CLS_X, "y", "c_custkey", k=9)
 
 
 def q_naive_bayes(spark, d):
-    return M.gaussian_nb(_emb_split(spark, d), _EMB_X, "y", "vec_id")
+    return M.gaussian_nb(_cls_split(spark, d), _CLS_X, "y", "c_custkey")
 
 
 def q_tree_rules(spark, d):
-    model, _ = M.tree(_emb_split(spark, d), _EMB_X, "y", "vec_id", depth=3)
-    return M.tree_rules(spark, model, _EMB_X)
+    model, _ = M.tree(_cls_split(spark, d), _CLS_X, "y", "c_custkey", depth=4)
+    return M.tree_rules(spark, model, _CLS_X)
 
 
 def q_forest_importance(spark, d):
-    model, _ = M.forest(_emb_split(spark, d), _EMB_X, "y", "vec_id", trees=200)
-    return _round(M.importance(spark, model, _EMB_X), {"importance": 8})
+    model, _ = M.forest(_cls_split(spark, d), _CLS_X, "y", "c_custkey", trees=200)
+    return _round(M.importance(spark, model, _CLS_X), {"importance": 8})
 
 
 def q_compare_classifiers(spark, d):
-    out = M.compare_classifiers(_emb_split(spark, d), _EMB_X, "y", "vec_id")
+    out = M.compare_classifiers(_cls_split(spark, d), _CLS_X, "y", "c_custkey")
     return _round(out, {"accuracy": 10, "sensitivity": 10, "specificity": 10})
 
 
@@ -590,7 +587,8 @@ _SEG_X = ["c_acctbal", "total_spend", "n_orders"]
 def _customers(spark, d):
     o = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.sum("o_totalprice").alias("total_spend"), F.count("*").alias("n_orders"))
-    return _t(spark, d, "customer").join(o, "c_custkey", "inner")
+    # customers without orders have spent nothing
+    return _t(spark, d, "customer").join(o, "c_custkey", "left").fillna(0, ["total_spend", "n_orders"])
 
 
 def q_cluster_scaled(spark, d):
@@ -652,34 +650,28 @@ so some such than that the their them then there these they this those through t
 what when where which while who whom why will with you your""".split()
 
 
-def _docs_en(spark, d):
-    return _t(spark, d, "documents").where(F.col("lang") == "en")
-
-
 def _lexicon(spark):
     return spark.createDataFrame(_LEXICON, "word string, polarity double")
 
 
 def _doc_polarity(spark, d):
-    docs = _t(spark, d, "documents")
-    pol = T.polarity(docs, "doc_id", "text", _lexicon(spark))
-    return docs.join(pol, "doc_id")
+    return T.with_polarity(_t(spark, d, "documents"), "text", _lexicon(spark))
 
 
 def q_tokens(spark, d):
-    return T.tokens(_docs_en(spark, d), "doc_id", "text")
+    return T.tokens(_t(spark, d, "documents"), "doc_id", "text")
 
 
 def q_word_counts(spark, d):
-    return T.word_counts(_docs_en(spark, d), "text", stem=False)
+    return T.word_counts(_t(spark, d, "documents"), "text", stem=False)
 
 
 def q_top_words(spark, d):
-    return T.top_words(_docs_en(spark, d), "text", 15)
+    return T.top_words(_t(spark, d, "documents"), "text", 15)
 
 
 def q_top_words_unstemmed(spark, d):
-    return T.top_words(_docs_en(spark, d), "text", 15, stem=False)
+    return T.top_words(_t(spark, d, "documents"), "text", 15, stem=False)
 
 
 def q_top_words_english_stop(spark, d):
@@ -687,7 +679,7 @@ def q_top_words_english_stop(spark, d):
 
 
 def q_word_weights(spark, d):
-    return _round(T.word_weights(_docs_en(spark, d), "text", stem=False), {"weight": 10})
+    return _round(T.word_weights(_t(spark, d, "documents"), "text", stem=False), {"weight": 10})
 
 
 def q_polarity(spark, d):
@@ -716,18 +708,23 @@ def q_aspect_sentiment(spark, d):
 
 
 def q_topics(spark, d):
-    return _round(T.topics(_docs_en(spark, d), "text", k=3, min_df=5, top=8), {"weight": 8})
+    return _round(T.topics(_t(spark, d, "documents"), "text", k=3, min_df=5, top=8), {"weight": 8})
 
 
 
 # ---------------------------------------------------------------- image colour statistics
 def _pixels(spark, d):
-    """A pixel table derived from `embeddings`: one 'image' per label, the
-    first three components mapped to 0..255 colour channels."""
+    """A pixel table derived from `embeddings`: each component with its two
+    successors (around the end) is a pixel, mapped to 0..255 colour channels;
+    225 vectors make an image of 14,400 pixels."""
     e = _t(spark, d, "embeddings")
-    ch = lambda i: F.floor((F.element_at("embedding", i).cast("double") + 1.0) * 127.5).cast("double")
-    return e.select(F.concat(F.lit("label-"), F.col("label").cast("string")).alias("image"),
-                    ch(1).alias("r"), ch(2).alias("g"), ch(3).alias("b"))
+    ch = lambda i: F.floor((F.element_at("embedding", (i % F.size("embedding") + 1).cast("int")).cast("double") + 1.0)
+                           * 127.5).cast("double")
+    p = F.col("p")
+    pixels = e.select(F.floor(F.col("vec_id") / 225).cast("string").alias("block"), "embedding",
+                      F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("p"))
+    return pixels.select(F.concat(F.lit("image-"), "block").alias("image"), ch(p).alias("r"), ch(p + 1).alias("g"),
+                         ch(p + 2).alias("b"))
 
 
 def q_image_stats(spark, d):
@@ -1040,7 +1037,7 @@ _Z_CTE = "z AS (SELECT avg(l_extendedprice) m, stddev_samp(l_extendedprice) s FR
 
 
 def _std_sql() -> str:
-    cols = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 8) AS {c}_z" for c in _STD_COLS)
+    cols = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}_z" for c in _STD_COLS)
     return f"SELECT l_orderkey, l_linenumber, {cols} FROM lineitem"
 
 
@@ -1261,47 +1258,45 @@ c AS (SELECT cutoff, count(*) FILTER (WHERE y = 1 AND score >= cutoff) tp, count
       FROM g, {_SCORE_SRC} GROUP BY cutoff)
 SELECT cutoff, tp, fp, tn, fn, {_ratio_sql()} FROM c"""
 
-_EMB_SPLIT = f"""
-    base AS (SELECT vec_id, embedding[1]::DOUBLE e1, embedding[2]::DOUBLE e2, embedding[3]::DOUBLE e3, embedding[4]::DOUBLE e4,
-                    CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, {_HASH42.format(k="vec_id")} AS s FROM embeddings),
+_CUST = """(SELECT c.*, coalesce(o.total_spend, 0) AS total_spend, coalesce(o.n_orders, 0) AS n_orders FROM customer c LEFT JOIN
+            (SELECT o_custkey, sum(o_totalprice) AS total_spend, count(*) AS n_orders FROM orders GROUP BY o_custkey) o
+            ON c.c_custkey = o.o_custkey)"""
+
+_CLS_SPLIT = f"""
+    base AS (SELECT c_custkey, c_acctbal::DOUBLE e1, total_spend::DOUBLE e2, n_orders::DOUBLE e3,
+                    CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS y, {_HASH42.format(k="c_custkey")} AS s FROM {_CUST}),
     cut AS (SELECT y, quantile_cont(s, 0.7) AS c FROM base GROUP BY y),
     sp AS (SELECT base.*, s <= c AS train FROM base JOIN cut USING (y)),
-    sc AS (SELECT avg(e1) m1, stddev_pop(e1) s1, avg(e2) m2, stddev_pop(e2) s2, avg(e3) m3, stddev_pop(e3) s3,
-                  avg(e4) m4, stddev_pop(e4) s4 FROM sp WHERE train)"""
+    sc AS (SELECT avg(e1) m1, stddev_pop(e1) s1, avg(e2) m2, stddev_pop(e2) s2, avg(e3) m3, stddev_pop(e3) s3
+           FROM sp WHERE train)"""
 
-_SCALER_SQL = f"""WITH {_EMB_SPLIT}
-SELECT round(m1, 10) AS e1_mean, round(m2, 10) AS e2_mean, round(m3, 10) AS e3_mean, round(m4, 10) AS e4_mean,
-       round(s1, 10) AS e1_sd, round(s2, 10) AS e2_sd, round(s3, 10) AS e3_sd, round(s4, 10) AS e4_sd FROM sc"""
+_SCALER_SQL = f"""WITH {_CLS_SPLIT}
+SELECT {", ".join(f"round(m{i}, 6) AS {c}_mean, round(s{i}, 6) AS {c}_sd" for i, c in enumerate(_CLS_X, 1))} FROM sc"""
 
-_KNN_SQL = f"""WITH {_EMB_SPLIT},
-    z AS (SELECT vec_id, y, train, (e1 - m1) / s1 z1, (e2 - m2) / s2 z2, (e3 - m3) / s3 z3, (e4 - m4) / s4 z4 FROM sp, sc),
-    pr AS (SELECT te.vec_id tid, te.y ty, tr.vec_id rid, tr.y ry,
-                  0.0 + pow(te.z1 - tr.z1, 2) + pow(te.z2 - tr.z2, 2) + pow(te.z3 - tr.z3, 2) + pow(te.z4 - tr.z4, 2) AS d
+_KNN_SQL = f"""WITH {_CLS_SPLIT},
+    z AS (SELECT c_custkey, y, train, (e1 - m1) / s1 z1, (e2 - m2) / s2 z2, (e3 - m3) / s3 z3 FROM sp, sc),
+    pr AS (SELECT te.c_custkey tid, te.y ty, tr.c_custkey rid, tr.y ry,
+                  0.0 + pow(te.z1 - tr.z1, 2) + pow(te.z2 - tr.z2, 2) + pow(te.z3 - tr.z3, 2) AS d
            FROM z te JOIN z tr ON NOT te.train AND tr.train),
     rk AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY d, rid) rn FROM pr),
-    v AS (SELECT tid, ty, ry, count(*) c FROM rk WHERE rn <= 5 GROUP BY ALL),
+    v AS (SELECT tid, ty, ry, count(*) c FROM rk WHERE rn <= 9 GROUP BY ALL),
     best AS (SELECT tid, ty, arg_max(ry, c * 10 - ry) AS pred FROM v GROUP BY tid, ty)
-SELECT tid AS vec_id, CAST(ty AS INTEGER) AS truth, CAST(pred AS INTEGER) AS pred FROM best"""
+SELECT tid AS c_custkey, CAST(ty AS INTEGER) AS truth, CAST(pred AS INTEGER) AS pred FROM best"""
 
-_NB_SQL = f"""WITH {_EMB_SPLIT},
-    eps AS (SELECT greatest(var_pop(e1), var_pop(e2), var_pop(e3), var_pop(e4)) * 1e-9 AS e FROM sp WHERE train),
-    cls AS (SELECT y AS cls, count(*) nc, avg(e1) m1, avg(e2) m2, avg(e3) m3, avg(e4) m4,
+_NB_SQL = f"""WITH {_CLS_SPLIT},
+    eps AS (SELECT greatest(var_pop(e1), var_pop(e2), var_pop(e3)) * 1e-9 AS e FROM sp WHERE train),
+    cls AS (SELECT y AS cls, count(*) nc, avg(e1) m1, avg(e2) m2, avg(e3) m3,
                    var_pop(e1) + (SELECT e FROM eps) v1, var_pop(e2) + (SELECT e FROM eps) v2,
-                   var_pop(e3) + (SELECT e FROM eps) v3, var_pop(e4) + (SELECT e FROM eps) v4 FROM sp WHERE train GROUP BY y),
+                   var_pop(e3) + (SELECT e FROM eps) v3 FROM sp WHERE train GROUP BY y),
     tot AS (SELECT count(*)::DOUBLE n FROM sp WHERE train),
-    scored AS (SELECT t.vec_id, t.y, c.cls,
+    scored AS (SELECT t.c_custkey, t.y, c.cls,
                   ln(c.nc / tot.n)
                   - 0.5 * ln(2 * pi() * v1) - pow(t.e1 - m1, 2) / (2 * v1)
                   - 0.5 * ln(2 * pi() * v2) - pow(t.e2 - m2, 2) / (2 * v2)
-                  - 0.5 * ln(2 * pi() * v3) - pow(t.e3 - m3, 2) / (2 * v3)
-                  - 0.5 * ln(2 * pi() * v4) - pow(t.e4 - m4, 2) / (2 * v4) AS ll
+                  - 0.5 * ln(2 * pi() * v3) - pow(t.e3 - m3, 2) / (2 * v3) AS ll
            FROM sp t, cls c, tot WHERE NOT t.train)
-SELECT vec_id, CAST(y AS INTEGER) AS truth, CAST(arg_max(cls, ll) AS INTEGER) AS pred FROM scored GROUP BY vec_id, y"""
-
+SELECT c_custkey, CAST(y AS INTEGER) AS truth, CAST(arg_max(cls, ll) AS INTEGER) AS pred FROM scored GROUP BY c_custkey, y"""
 
-_CUST = """(SELECT c.*, o.total_spend, o.n_orders FROM customer c JOIN
-            (SELECT o_custkey, sum(o_totalprice) AS total_spend, count(*) AS n_orders FROM orders GROUP BY o_custkey) o
-            ON c.c_custkey = o.o_custkey)"""
 
 _Z_SQL = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}_z" for c in _SEG_X)
 
@@ -1321,7 +1316,7 @@ SELECT round(avg(CASE WHEN nown > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 1
 _STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(T.REVIEW_STOP_WORDS)))
 _EN_STOP_SQL = ", ".join(f"'{w}'" for w in sorted(set(_EN_STOP)))
 _TOK_SQL = f"""(SELECT doc_id, unnest(w) AS token, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos
-               FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en'))"""
+               FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents))"""
 _WC_SQL = f"""SELECT token AS word, count(*) AS count FROM {_TOK_SQL}
               WHERE length(token) >= 3 AND token NOT IN ({_STOP_SQL}) GROUP BY token"""
 _LEX_SQL = "(VALUES " + ", ".join(f"('{w}', {p!r})" for w, p in _LEXICON) + ") AS lex(word, polarity)"
@@ -1341,9 +1336,11 @@ def _aspect_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-_PIX_SQL = """(SELECT 'label-' || CAST(label AS VARCHAR) AS image,
-                      floor((embedding[1]::DOUBLE + 1.0) * 127.5) AS r, floor((embedding[2]::DOUBLE + 1.0) * 127.5) AS g,
-                      floor((embedding[3]::DOUBLE + 1.0) * 127.5) AS b FROM embeddings)"""
+_PIX_SQL = """(SELECT 'image-' || CAST(vec_id // 225 AS VARCHAR) AS image,
+                      floor((embedding[p % len(embedding) + 1]::DOUBLE + 1.0) * 127.5) AS r,
+                      floor((embedding[(p + 1) % len(embedding) + 1]::DOUBLE + 1.0) * 127.5) AS g,
+                      floor((embedding[(p + 2) % len(embedding) + 1]::DOUBLE + 1.0) * 127.5) AS b
+               FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS p FROM embeddings))"""
 
 _IMG_STATS_SQL = f"""SELECT image, count(*) AS n_pixels, avg((r + g + b) / 3.0) AS brightness,
        sqrt(var_pop(r - g) + var_pop(0.5 * (r + g) - b)) + 0.3 * sqrt(pow(avg(r - g), 2) + pow(avg(0.5 * (r + g) - b), 2)) AS colorfulness

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,15 @@ def clean_num(c: str | Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def clean_value(df: DataFrame, c: str) -> Column:
+    """The column in its own type, NaN as missing: whole numbers and decimals
+    keep all their digits; other types are read as doubles."""
+    kind = dict(df.dtypes)[c]
+    if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
+        return F.col(f"`{c}`")
+    return clean_num(c)
+
+
 def skew_g1(c: str | Column) -> Column:
     """Bias-corrected sample skewness G1 (aggregate). NULL when n < 3."""
     x = clean_num(c)
@@ -45,7 +54,7 @@ def strength_label(r: str | Column) -> Column:
 
 def direction_label(r: str | Column) -> Column:
     x = col_of(r)
-    return F.when(x > 0, "positive").when(x < 0, "negative").when(x == 0, "none")
+    return F.when(x >= 0, "positive").when(x < 0, "negative")
 
 
 def hash_unit(key: str | Column, seed: int = 42) -> Column:

@@ -209,41 +209,44 @@ def _composite(lo: float, hi: float, panels: int) -> tuple[np.ndarray, np.ndarra
     return x, w
 
 
-def _range_cdf_normal(w: np.ndarray, k: int) -> np.ndarray:
-    """P(range of k standard normals <= w), vectorised over w."""
+def _range_sf_normal(w: np.ndarray, k: int) -> np.ndarray:
+    """P(range of k standard normals > w), vectorised over w; small tails keep
+    their digits: k * int phi(z) Phi(z)^(k-1) (1 - (1 - Phi(z-w)/Phi(z))^(k-1)) dz."""
     z, wz = _composite(-9.0, 9.0, 10)
     phi = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
     cz = _norm_cdf_vec(z)
-    diff = cz[None, :] - _norm_cdf_vec(z[None, :] - w[:, None])
-    diff = np.clip(diff, 0.0, 1.0)
-    return k * np.sum(wz[None, :] * phi[None, :] * diff ** (k - 1), axis=1)
+    below = np.minimum(_norm_cdf_vec(z[None, :] - w[:, None]) / np.maximum(cz, 1e-300)[None, :], 1.0)
+    with np.errstate(divide="ignore"):
+        beyond = -np.expm1((k - 1) * np.log1p(-below))
+    return np.clip(k * np.sum(wz[None, :] * (phi * cz ** (k - 1))[None, :] * beyond, axis=1), 0.0, 1.0)
 
 
-def ptukey(q: float, k: int, df: float) -> float:
-    """CDF of the studentised range statistic Q(k, df)."""
+def _ln_chi_constant(df: float) -> float:
+    """ln of 2 (m/e)^m / Gamma(m), m = df / 2 (by Stirling's series where m is
+    large and the plain difference would lose its digits)."""
+    m = df / 2.0
+    if m > 50:
+        return math.log(2.0) + 0.5 * math.log(m / (2 * math.pi)) - 1 / (12 * m) + 1 / (360 * m ** 3) - 1 / (1260 * m ** 5)
+    return math.log(2.0) + m * math.log(m) - m - math.lgamma(m)
+
+
+def tukey_sf(q: float, k: int, df: float) -> float:
+    """P(Q(k, df) > q) of the studentised range."""
     if q <= 0:
-        return 0.0
-    if math.isinf(df) or df > 100000:
-        return float(_range_cdf_normal(np.array([q]), k)[0])
-    # s = chi_df / sqrt(df); integrate over u = ln s
+        return 1.0
+    if math.isinf(df):
+        return float(_range_sf_normal(np.array([q]), k)[0])
+    # s = chi_df / sqrt(df); integrate over u = ln s, whose density is
+    # constant * exp(df (u - (e^(2u) - 1) / 2))
     sd_u = 1.0 / math.sqrt(2.0 * df)
-    lo, hi = max(-12.0, -16.0 * sd_u), min(4.0, 16.0 * sd_u)
-    u, wu = _composite(lo, hi, 16)
-    s = np.exp(u)
-    ln_g = (
-        (df / 2.0) * math.log(df)
-        - math.lgamma(df / 2.0)
-        - (df / 2.0 - 1.0) * math.log(2.0)
-        + (df - 1.0) * np.log(s)
-        - df * s * s / 2.0
-    )
-    dens = np.exp(ln_g) * s  # ds = s du
-    inner = _range_cdf_normal(q * s, k)
-    return float(min(1.0, max(0.0, np.sum(wu * dens * inner))))
+    u, wu = _composite(max(-12.0, -16.0 * sd_u), min(4.0, 16.0 * sd_u), 16)
+    dens = np.exp(_ln_chi_constant(df) + df * (u - np.expm1(2 * u) / 2))
+    return float(min(1.0, max(0.0, np.sum(wu * dens * _range_sf_normal(q * np.exp(u), k)))))
 
 
-def tukey_sf(q: float, k: int, df: float) -> float:
-    return max(0.0, 1.0 - ptukey(q, k, df))
+def ptukey(q: float, k: int, df: float) -> float:
+    """CDF of the studentised range statistic Q(k, df)."""
+    return 1.0 - tukey_sf(q, k, df)
 
 
 def qtukey(p: float, k: int, df: float) -> float:

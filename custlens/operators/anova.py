@@ -24,7 +24,6 @@ from custlens.functions.columns import clean_num
 
 ALPHA = 0.05
 MAX_CELLS = 100_000
-MAX_POSTHOC_LEVELS = 1000
 
 
 def cell_stats(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
@@ -127,16 +126,11 @@ def group_means(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
     return cell_stats(df, y, factors).select(*factors, "n", "mean")
 
 
-def _group_table(df: DataFrame, y: str, f: str) -> pd.DataFrame:
+def _level_stats(df: DataFrame, y: str, f: str) -> DataFrame:
+    """(g, n, mean, var) per level."""
     x = clean_num(y)
-    rows = (df.where(x.isNotNull() & F.col(f).isNotNull())
-            .groupBy(F.col(f).cast("string").alias("g"))
-            .agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
-            .limit(MAX_POSTHOC_LEVELS + 1).collect())
-    if len(rows) > MAX_POSTHOC_LEVELS:
-        raise ValueError(f"{f} has more than {MAX_POSTHOC_LEVELS} levels; pairwise tests would not be readable")
-    g = pd.DataFrame([r.asDict() for r in rows], columns=["g", "n", "mean", "var"]).sort_values("g")
-    return g.reset_index(drop=True)
+    return df.where(x.isNotNull() & F.col(f).isNotNull()).groupBy(F.col(f).cast("string").alias("g")).agg(
+        F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
 
 
 def posthoc(df: DataFrame, y: str, f: str, method: str = "tukey", alpha: float = ALPHA) -> DataFrame:
@@ -147,39 +141,50 @@ def posthoc(df: DataFrame, y: str, f: str, method: str = "tukey", alpha: float =
     scheffe:    (group1, group2, p) from F = d^2 / (MSE (1/n1 + 1/n2) (k-1));
     bonferroni: (group1, group2, p), Welch t per pair, p times the number of
                 pairs, capped at 1.
-    Only per-level statistics (k rows) reach the driver."""
-    g = _group_table(df, y, f)
-    k, n = len(g), float(g["n"].sum())
-    ss_w = float(((g["n"] - 1) * g["var"].fillna(0.0)).sum())
-    df_w = n - k
-    mse = ss_w / df_w if df_w > 0 else math.nan
-    pairs = list(itertools.combinations(range(k), 2))
-    rows = []
-    if method == "tukey":
-        qcrit = dist.qtukey(1 - alpha, k, df_w) if k >= 2 and df_w > 0 else math.nan
-        for i, j in pairs:
-            a, b = g.iloc[i], g.iloc[j]
-            diff = float(b["mean"] - a["mean"])
-            se = math.sqrt(mse / 2.0 * (1.0 / a["n"] + 1.0 / b["n"]))
-            p = dist.tukey_sf(abs(diff) / se, k, df_w)
-            rows.append((a["g"], b["g"], diff, p, diff - qcrit * se, diff + qcrit * se, bool(p < alpha)))
-        schema = "group1 string, group2 string, meandiff double, p_adj double, lower double, upper double, reject boolean"
-    elif method == "scheffe":
-        for i, j in pairs:
-            a, b = g.iloc[i], g.iloc[j]
-            fv = (a["mean"] - b["mean"]) ** 2 / (mse * (1.0 / a["n"] + 1.0 / b["n"]) * (k - 1))
-            rows.append((a["g"], b["g"], dist.f_sf(float(fv), k - 1, df_w)))
-        schema = "group1 string, group2 string, p double"
-    elif method == "bonferroni":
-        m = len(pairs)
-        for i, j in pairs:
-            a, b = g.iloc[i], g.iloc[j]
-            se2 = a["var"] / a["n"] + b["var"] / b["n"]
-            t = (a["mean"] - b["mean"]) / math.sqrt(se2)
-            dof = se2 ** 2 / ((a["var"] / a["n"]) ** 2 / (a["n"] - 1) + (b["var"] / b["n"]) ** 2 / (b["n"] - 1))
-            rows.append((a["g"], b["g"], min(1.0, dist.t_two_sided(float(t), float(dof)) * m)))
-        schema = "group1 string, group2 string, p double"
-    else:
+    The pairs of levels, which are the rows of the result, are made and tested
+    by Spark from the table of level statistics; one row of totals reaches the
+    driver.  Where the groups have no variance the statistics are NULL."""
+    if method not in ("tukey", "scheffe", "bonferroni"):
         raise ValueError("method must be tukey, scheffe or bonferroni")
-    return df.sparkSession.createDataFrame([tuple(float(v) if isinstance(v, np.floating) else v for v in r)
-                                            for r in rows], schema)
+    g = _level_stats(df, y, f).persist()
+    tot = g.agg(F.count("*").alias("k"), F.sum("n").alias("n"),
+                F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("ss")).collect()[0]
+    k, df_w = tot["k"], float((tot["n"] or 0) - tot["k"])
+    mse = tot["ss"] / df_w if df_w > 0 else math.nan
+    ok = not math.isnan(mse) and mse > 0
+    qcrit = dist.qtukey(1 - alpha, k, df_w) if method == "tukey" and k >= 2 and ok else math.nan
+    side = lambda i: g.select(F.col("g").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("mean").alias(f"m{i}"),
+                              F.col("var").alias(f"v{i}"))
+    pairs = side(1).join(side(2), F.col("g1") < F.col("g2"))
+
+    def tukey(r) -> tuple:
+        diff = r.m2 - r.m1
+        if not ok:
+            return diff, None, None, None, None
+        se = math.sqrt(mse / 2.0 * (1.0 / r.n1 + 1.0 / r.n2))
+        p = dist.tukey_sf(abs(diff) / se, k, df_w)
+        return diff, p, diff - qcrit * se, diff + qcrit * se, bool(p < alpha)
+
+    def scheffe(r) -> tuple:
+        if not ok:
+            return (None,)
+        return (dist.f_sf((r.m1 - r.m2) ** 2 / (mse * (1.0 / r.n1 + 1.0 / r.n2) * (k - 1)), k - 1, df_w),)
+
+    def bonferroni(r) -> tuple:
+        se2 = r.v1 / r.n1 + r.v2 / r.n2
+        if min(r.n1, r.n2) < 2 or not se2 > 0:
+            return (None,)
+        dof = se2 ** 2 / ((r.v1 / r.n1) ** 2 / (r.n1 - 1) + (r.v2 / r.n2) ** 2 / (r.n2 - 1))
+        p = dist.t_two_sided((r.m1 - r.m2) / math.sqrt(se2), dof)
+        return (min(1.0, p * (k * (k - 1) // 2)),)
+
+    test, fields = {"tukey": (tukey, "meandiff double, p_adj double, lower double, upper double, reject boolean"),
+                    "scheffe": (scheffe, "p double"), "bonferroni": (bonferroni, "p double")}[method]
+    names = ["group1", "group2", *[x.split()[0] for x in fields.split(", ")]]
+
+    def run(parts):
+        for part in parts:
+            rows = [(r.g1, r.g2, *test(r)) for r in part.itertuples()]
+            yield pd.DataFrame(rows, columns=names).astype(object)
+
+    return pairs.mapInPandas(run, f"group1 string, group2 string, {fields}")

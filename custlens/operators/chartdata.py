@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from custlens.functions.columns import clean_num, hash_unit, skew_g1
 from custlens.plans.common import one_row
 
-MAX_PIVOT_LEVELS = 10_000
-
 
 def frequency(df: DataFrame, col: str, sort: str = "count") -> DataFrame:
     """(col, count, share) per non-missing level; share of the non-missing total.
@@ -79,19 +77,13 @@ def crosstab(df: DataFrame, a: str, b: str, normalize: str | None = None) -> Dat
     """Contingency table in long form (a, b, count[, row_pct]); missing levels
     are left out, zero cells are present.
 
-    Zero cells come from a pivot over the (bounded, checked) list of ``b``
-    levels, then an unpivot - no cross join of rows.  ``normalize='row'`` adds
-    the percentage within each ``a`` level."""
-    clean = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    levels = [r[0] for r in clean.select(b).distinct().limit(MAX_PIVOT_LEVELS + 1).collect()]
-    if len(levels) > MAX_PIVOT_LEVELS:
-        raise ValueError(f"{b} has more than {MAX_PIVOT_LEVELS} levels")
-    levels = sorted(levels)
-    wide = clean.groupBy(a).pivot(b, levels).count().fillna(0)
-    names = [str(v) for v in levels]
-    stack = ", ".join(f"'{n}', `{n}`" for n in names)
-    long = wide.select(a, F.expr(f"stack({len(names)}, {stack}) as (_b, count)"))
-    long = long.select(a, F.col("_b").cast(clean.schema[b].dataType).alias(b), F.col("count").cast("bigint"))
+    Rows are counted per cell first; the table's frame, every ``a`` level with
+    every ``b`` level, comes from the two level lists and has exactly the rows
+    of the result.  ``normalize='row'`` adds the percentage within each ``a``
+    level."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("_c"))
+    frame = cells.select(a).distinct().crossJoin(cells.select(b).distinct())
+    long = frame.join(cells, [a, b], "left").select(a, b, F.coalesce("_c", F.lit(0)).cast("bigint").alias("count"))
     if normalize == "row":
         tot = long.groupBy(a).agg(F.sum("count").alias("_rt"))
         long = long.join(tot, a).withColumn("row_pct", F.col("count") / F.col("_rt") * 100.0).drop("_rt")

@@ -3,6 +3,8 @@ naive Bayes, decision tree, random forest; feature importance; comparison."""
 
 from __future__ import annotations
 
+import math
+
 import re
 from collections.abc import Sequence
 
@@ -68,16 +70,19 @@ def gaussian_nb(data: DataFrame, xs: Sequence[str], y: str, key: str, var_smooth
         F.count("*").alias("_nc"), *[F.avg(clean_num(x)).alias(f"_m{i}") for i, x in enumerate(xs)],
         *[(F.var_pop(clean_num(x)) + F.lit(eps)).alias(f"_v{i}") for i, x in enumerate(xs)])
     tot = train.count()
-    test = data.where(~F.col("_train"))
-    ll = F.log(F.col("_nc") / F.lit(float(tot)))
-    for i, x in enumerate(xs):
-        ll = ll - 0.5 * F.log(2 * F.lit(3.141592653589793) * F.col(f"_v{i}")) \
-            - (clean_num(x) - F.col(f"_m{i}")) ** 2 / (2 * F.col(f"_v{i}"))
-    # the class table has one row per class (bounded), so it rides as a broadcast
-    scored = test.crossJoin(F.broadcast(stats)).select(key, F.col(y).cast("int").alias("truth"),
-                                                       F.col("_cls"), ll.alias("_ll"))
-    best = scored.groupBy(key, "truth").agg(F.max(F.struct("_ll", (-F.col("_cls")).alias("neg"))).alias("m"))
-    return best.select(key, "truth", (-F.col("m.neg")).cast("int").alias("pred"))
+    # the class table rides along as one array, and each row picks its class
+    # itself: no row is multiplied or shuffled
+    table = stats.agg(F.sort_array(F.collect_list(F.struct("*"))).alias("_classes"))
+    test = data.where(~F.col("_train")).join(F.broadcast(table))
+
+    def log_density(c):
+        ll = F.log(c["_nc"] / F.lit(float(tot)))
+        for i, x in enumerate(xs):
+            ll = ll - 0.5 * F.log(2 * F.lit(math.pi) * c[f"_v{i}"]) - (clean_num(x) - c[f"_m{i}"]) ** 2 / (2 * c[f"_v{i}"])
+        return F.struct(ll.alias("ll"), (-c["_cls"]).alias("neg"))
+
+    best = F.array_max(F.transform("_classes", log_density))
+    return test.select(key, F.col(y).cast("int").alias("truth"), (-best["neg"]).cast("int").alias("pred"))
 
 
 def _assemble(data: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
@@ -97,11 +102,12 @@ def tree(data: DataFrame, xs: Sequence[str], y: str, key: str, depth: int = 3, s
     return model, pred
 
 
-def forest(data: DataFrame, xs: Sequence[str], y: str, key: str, trees: int = 200, seed: int = 1):
-    """Random forest (``trees`` trees, sqrt features per split); (model, predictions)."""
+def forest(data: DataFrame, xs: Sequence[str], y: str, key: str, trees: int = 200, seed: int = 1, depth: int = 15):
+    """Random forest (``trees`` trees of at most ``depth`` levels, sqrt features
+    per split; Spark allows up to 30); (model, predictions)."""
     a = _assemble(data, xs, y)
     model = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees,
-                                   featureSubsetStrategy="sqrt", seed=seed).fit(a.where("_train"))
+                                   featureSubsetStrategy="sqrt", seed=seed, maxDepth=depth).fit(a.where("_train"))
     pred = model.transform(a.where(~F.col("_train"))).select(
         key, F.col("_label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred"))
     return model, pred
@@ -137,7 +143,7 @@ def tree_rules(spark, model, xs: Sequence[str]) -> DataFrame:
     return spark.createDataFrame(rules, "rule_no int, conditions string, prediction double")
 
 
-def compare_classifiers(data: DataFrame, xs: Sequence[str], y: str, key: str, k: int = 5, depth: int = 3,
+def compare_classifiers(data: DataFrame, xs: Sequence[str], y: str, key: str, k: int = 9, depth: int = 4,
                         trees: int = 200, seed: int = 1) -> DataFrame:
     """(model, tp, fp, tn, fn, accuracy, sensitivity, specificity) per classifier."""
     preds = {

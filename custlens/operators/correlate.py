@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import clean_num, direction_label, strength_label
-from custlens.plans.ranks import kendall_tau_b, value_ranks
+from custlens.plans.ranks import average_rank, kendall_tau_b, value_ranks
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -30,10 +30,8 @@ def corr(df: DataFrame, a: str, b: str, method: str = "pearson") -> DataFrame:
     elif method == "spearman":
         # rank tables of the two columns are built side by side from the same
         # pairs, then joined back on value (no rank of a rank's lineage)
-        # one pass sizes both rank tables (HyperLogLog distinct counts)
-        nd = p.agg(F.approx_count_distinct("_a").alias("a"), F.approx_count_distinct("_b").alias("b")).collect()[0]
-        ra = value_ranks(p.select("_a"), "_a", n_distinct=nd["a"]).select("_a", F.col("_avg_rank").alias("_ra"))
-        rb = value_ranks(p.select("_b"), "_b", n_distinct=nd["b"]).select("_b", F.col("_avg_rank").alias("_rb"))
+        ra = value_ranks(p.select("_a"), "_a").select("_a", F.col("_avg_rank").alias("_ra"))
+        rb = value_ranks(p.select("_b"), "_b").select("_b", F.col("_avg_rank").alias("_rb"))
         r = p.join(ra, "_a").join(rb, "_b")
         res = r.agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("r"))
     elif method == "kendall":
@@ -56,24 +54,39 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
     if method == "pearson":
         aggs = [F.corr(clean_num(x), clean_num(y)).alias(f"{i}_{j}")
                 for i, x in enumerate(cols) for j, y in enumerate(cols)]
-        wide = df.agg(*aggs)
-        pairs = ", ".join(f"'{x}', '{y}', `{i}_{j}`" for i, x in enumerate(cols) for j, y in enumerate(cols))
-        out = wide.select(F.expr(f"stack({len(cols) ** 2}, {pairs}) as (col_a, col_b, r)"))
+        out = _cells(df.agg(*aggs), cols)
         # a column correlates with itself exactly (where defined)
         return out.withColumn("r", F.when((F.col("col_a") == F.col("col_b")) & F.col("r").isNotNull(), 1.0)
                               .otherwise(F.col("r")))
-    parts = []
+    # the diagonal needs no ranks: 1 where the column varies
+    spread = df.agg(*[F.when(F.min(clean_num(x)) < F.max(clean_num(x)), 1.0).alias(f"{i}_{i}")
+                      for i, x in enumerate(cols)],
+                    *[F.count_if(clean_num(x).isNull()).alias(f"_m{i}") for i, x in enumerate(cols)])
+    out = _cells(spread, cols, [(i, i) for i in range(len(cols))])
+    whole = []
+    if method == "spearman":
+        # columns without missing values have the same ranks in every pair: rank each once
+        missing = spread.collect()[0]
+        whole = [i for i in range(len(cols)) if not missing[f"_m{i}"]]
+    ranked = df.select(*[F.col(cols[i]).alias(f"_c{i}") for i in whole])
+    for i in whole if len(whole) > 1 else []:
+        ranked = average_rank(ranked, f"_c{i}", f"_r{i}")
+    both = [(i, j) for i in whole for j in whole if i < j]
+    if both:
+        out = out.unionByName(_cells(ranked.agg(*[F.corr(f"_r{i}", f"_r{j}").alias(f"{i}_{j}") for i, j in both]), cols,
+                                     both, mirrored=True))
     for i, x in enumerate(cols):
-        for j, y in enumerate(cols):
-            if j < i:
-                continue
-            c = corr(df, x, y, method).select("col_a", "col_b", "r")
-            if i == j:
-                c = c.withColumn("r", F.when(F.col("r").isNotNull(), F.lit(1.0)))
-            parts.append(c)
-            if i != j:
-                parts.append(c.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        for j in range(i + 1, len(cols)):
+            if (i, j) not in both:
+                c = corr(df, x, cols[j], method).select("col_a", "col_b", "r")
+                out = out.unionByName(c).unionByName(c.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r"))
     return out
+
+
+def _cells(wide: DataFrame, cols: Sequence[str], pairs=None, mirrored: bool = False) -> DataFrame:
+    """One row with columns ``i_j`` -> (col_a, col_b, r) rows."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols))] if pairs is None else pairs
+    cell = lambda i, j, r: F.struct(F.lit(cols[i]).alias("col_a"), F.lit(cols[j]).alias("col_b"), r.alias("r"))
+    cells = [cell(i, j, F.col(f"{i}_{j}")) for i, j in pairs]
+    cells += [cell(j, i, F.col(f"{i}_{j}")) for i, j in pairs] if mirrored else []
+    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")

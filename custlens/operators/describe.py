@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from custlens.functions.columns import clean_num, kurt_g2, skew_g1
 from custlens.plans.common import attach
-from custlens.plans.quantiles import exact_quantiles, mode_smallest
-from custlens.plans.ranks import average_rank
+from custlens.plans.quantiles import exact_quantiles, mode_of_counts, quantiles_of_counts
+from custlens.plans.ranks import average_rank, value_counts
 
 # fixed values: measure names and their order in the summary table
 MEASURES = [
@@ -36,21 +36,19 @@ def _moments(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
 def summary_wide(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """All summary measures of ``col`` as one row per group (wide form)."""
     keys = list(by)
-    # the moments table has one row per group; caching it lets the group sizes
-    # steer the quantile plan without a second pass over the rows
-    mom = _moments(df, col, keys).cache()
-    biggest = mom.agg(F.max("count").alias("m")).collect()[0]["m"] or 0
-    q = exact_quantiles(df, col, [0.5, 0.25, 0.75], keys, names=["median", "p25", "p75"],
-                        max_group_size=int(biggest))
-    mode = mode_smallest(df, col, keys)
-    # second pass: mean absolute deviation about the group mean
+    mom = _moments(df, col, keys).persist()  # one row per group
     rows = df.select(*keys, clean_num(col).alias("_x")).where(F.col("_x").isNotNull())
-    mad = attach(rows, mom.select(*keys, F.col("mean").alias("_mean")), keys).groupBy(*keys).agg(
-        F.avg(F.abs(F.col("_x") - F.col("_mean"))).alias("mean_abs_dev")
+    # one (value, count) table answers the quantiles, the mode and the mean
+    # absolute deviation about the group mean
+    counts = value_counts(rows, "_x", keys)
+    q = quantiles_of_counts(counts, "_x", [0.5, 0.25, 0.75], keys, names=["median", "p25", "p75"])
+    mode = mode_of_counts(counts, "_x", keys)
+    mad = attach(counts, mom.select(*keys, F.col("mean").alias("_mean")), keys).groupBy(*keys).agg(
+        (F.sum(F.abs(F.col("_x") - F.col("_mean")) * F.col("_cnt")) / F.sum("_cnt")).alias("mean_abs_dev")
     )
     joined = mom
     for part in (q, mode, mad):
-        joined = joined.join(part, keys, "left") if keys else joined.crossJoin(part)
+        joined = joined.join(part, keys, "left") if keys else joined.join(part, F.lit(True), "left")
     return joined.select(
         *keys,
         F.col("count").cast("double").alias("count"),
@@ -97,17 +95,18 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     return f.join(w, keys, "inner") if keys else f.crossJoin(w)
 
 
-def outliers(df: DataFrame, col: str, method: str = "iqr", cut: float = 3.0) -> DataFrame:
+def outliers(df: DataFrame, col: str, method: str = "iqr", cut: float = 3.0, by: Sequence[str] = ()) -> DataFrame:
     """Rows flagged as outliers: IQR rule (outside the Tukey fences) or |z| > cut
-    (sample sd).  Missing values never qualify.  Order/limit is the caller's."""
-    x = clean_num(col)
+    (sample sd), within ``by`` groups.  Missing values never qualify.
+    Order/limit is the caller's."""
+    x, keys = clean_num(col), list(by)
     if method == "iqr":
-        f = fences(df, col).select("lower_fence", "upper_fence")
-        j = df.crossJoin(F.broadcast(f))
+        f = fences(df, col, keys).select(*keys, "lower_fence", "upper_fence")
+        j = attach(df, f, keys)
         return j.where((x < F.col("lower_fence")) | (x > F.col("upper_fence"))).drop("lower_fence", "upper_fence")
     if method == "z":
-        s = df.agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
-        j = df.crossJoin(F.broadcast(s))
+        s = df.groupBy(*keys).agg(F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
+        j = attach(df, s, keys)
         return j.where(F.abs((x - F.col("_m")) / F.col("_s")) > cut).drop("_m", "_s")
     raise ValueError(f"unknown method {method!r}")
 

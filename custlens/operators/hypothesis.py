@@ -39,6 +39,8 @@ def ttest_1samp(df: DataFrame, col: str, mu: float | None = None) -> DataFrame:
 
 
 def _welch(n1, m1, v1, n2, m2, v2):
+    if min(n1, n2) < 2:  # a group of one row has no variance
+        return math.nan, math.nan
     se2 = v1 / n1 + v2 / n2
     t = (m1 - m2) / math.sqrt(se2) if se2 > 0 else math.nan
     dof = se2 ** 2 / ((v1 / n1) ** 2 / (n1 - 1) + (v2 / n2) ** 2 / (n2 - 1)) if se2 > 0 else math.nan

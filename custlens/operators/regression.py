@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -238,38 +239,35 @@ def durbin_watson(df: DataFrame, resid: str, order_by: Sequence[str]) -> DataFra
     """Durbin-Watson statistic of a residual column in the order of
     ``order_by``, without a global sort into one task.
 
-    The order must be total (ties have no defined order).  Rows are cut into
-    range buckets on the first order column (numeric, date or timestamp;
-    literal bounds from ``percentile_approx``, more buckets for more rows);
-    differences inside a bucket use ``lag`` over a window partitioned by
-    bucket; differences across bucket borders come from the (first, last)
-    residual of each bucket, a table of one row per bucket.  One row (dw, n)."""
-    from pyspark.sql.types import DateType
-
-    from custlens.plans.ranks import range_buckets
-
+    The order must be total (ties have no defined order).  Rows are dealt out
+    in ranges of the whole order key (so one frequent first key is cut by the
+    others) and sorted inside each range; a range adds up its own differences
+    and reports its first and last residual, and the differences across the
+    borders come from that table of one row per range.  One row (dw, n)."""
     order = list(order_by)
-    e = clean_num(resid)
-    data = df.select(*order, e.alias("_e")).where(F.col("_e").isNotNull())
-    first = F.col(order[0])
-    key0 = F.unix_date(first) if isinstance(df.schema[order[0]].dataType, DateType) else first.cast("double")
-    data = range_buckets(data.withColumn("_o0", key0), "_o0", "_bkt").drop("_o0")
-    w = Window.partitionBy("_bkt").orderBy(*order)
-    within = data.withColumn("_d", F.col("_e") - F.lag("_e").over(w))
-    key = F.struct(*[F.col(c) for c in order])
-    per = within.groupBy("_bkt").agg(
-        F.sum(F.col("_d") * F.col("_d")).alias("_dd"), F.sum(F.col("_e") * F.col("_e")).alias("_ee"),
-        F.count("*").alias("_n"),
-        F.min_by("_e", key).alias("_first"), F.max_by("_e", key).alias("_last"),
-    )
-    # `per` holds one row per non-empty bucket (<= buckets rows)
-    wb = Window.orderBy("_bkt")
-    border = per.withColumn("_bd", F.col("_first") - F.lag("_last").over(wb))
-    return border.agg(
-        ((F.sum(F.coalesce("_dd", F.lit(0.0))) + F.sum(F.coalesce(F.col("_bd") * F.col("_bd"), F.lit(0.0))))
-         / F.sum("_ee")).alias("dw"),
-        F.sum("_n").alias("n"),
-    )
+    data = df.select(*order, clean_num(resid).alias("_e")).where(F.col("_e").isNotNull())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = data.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        F.spark_partition_id().alias("_range"), "_e")
+
+    def sums(batches):
+        part, n, squares, steps, first, last = None, 0, 0.0, 0.0, None, None
+        for b in batches:
+            e = b.column(1).to_numpy()
+            if not len(e):
+                continue
+            part = b.column(0)[0].as_py()
+            first = e[0] if first is None else first
+            d = np.diff(e, prepend=e[0] if last is None else last)
+            n, squares, steps, last = n + len(e), squares + float(e @ e), steps + float(d @ d), e[-1]
+        if n:
+            doubles = [pa.array([float(x)]) for x in (squares, steps, first, last)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), *doubles],
+                                             names=["part", "n", "ee", "dd", "first", "last"])
+
+    per = dealt.mapInArrow(sums, "part int, n long, ee double, dd double, first double, last double")
+    border = per.withColumn("b", F.coalesce(F.col("first") - F.lag("last").over(Window.orderBy("part")), F.lit(0.0)))
+    return border.agg(((F.sum("dd") + F.sum(F.col("b") * F.col("b"))) / F.sum("ee")).alias("dw"), F.sum("n").alias("n"))
 
 
 def jarque_bera(df: DataFrame, col: str) -> DataFrame:

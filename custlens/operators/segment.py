@@ -1,5 +1,5 @@
 """Customer segmentation: scaling, elbow, k-means with restarts, Ward
-hierarchical clustering (two-stage), silhouette, sizes and profiles."""
+hierarchical clustering of a codebook, silhouette, sizes and profiles."""
 
 from __future__ import annotations
 
@@ -171,63 +171,35 @@ def _cut(merges, m: int, k: int) -> np.ndarray:
     return np.array([order[r] for r in roots])
 
 
-def _micro_clusters(data: DataFrame, z: Sequence[str], cap: int):
-    """(centroids, sizes, cell table) of at most ``cap`` weighted micro-clusters.
+def _codebook(data: DataFrame, z: Sequence[str], centres: int, seed: int):
+    """(k-means model, rows with their centre, centres (m x d), rows per centre)."""
+    model = KMeans(k=centres, seed=seed, featuresCol="_features", predictionCol="_centre").fit(_vectors(data, z))
+    coded = model.transform(_vectors(data, z)).drop("_features")
+    found = {r["_centre"]: r["n"] for r in coded.groupBy("_centre").agg(F.count("*").alias("n")).collect()}
+    used = sorted(found)
+    points = np.array([model.clusterCenters()[i] for i in used], dtype=float).reshape(len(used), len(z))
+    return coded, used, points, np.array([found[i] for i in used], dtype=float)
 
-    Distinct points (exact) when there are at most ``cap``; otherwise grid
-    cells of the standardised space, with the cell width doubled until at
-    most ``cap`` cells are occupied.  Each attempt is one ``groupBy``."""
-    width = 0.0
-    while True:
-        if width == 0.0:
-            keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(z)]
-        else:
-            keys = [F.floor(F.col(c) / F.lit(width)).alias(f"_k{i}") for i, c in enumerate(z)]
-        cells = data.groupBy(*keys).agg(F.count("*").alias("_w"), *[F.avg(c).alias(c) for c in z])
-        rows = cells.limit(cap + 1).collect()
-        if len(rows) <= cap:
-            break
-        width = 0.05 if width == 0.0 else width * 2.0
-    cent = np.array([[r[c] for c in z] for r in rows], dtype=float)
-    sizes = np.array([r["_w"] for r in rows], dtype=float)
-    keyrows = [tuple(r[f"_k{i}"] for i in range(len(z))) for r in rows]
-    return cent, sizes, width, keyrows
-
-
-def _cell_keys(z: Sequence[str], width: float):
-    if width == 0.0:
-        return [F.col(c).alias(f"_k{i}") for i, c in enumerate(z)]
-    return [F.floor(F.col(c) / F.lit(width)).alias(f"_k{i}") for i, c in enumerate(z)]
-
-
-def ward_segments(df: DataFrame, cols: Sequence[str], k: int, cap: int = 2000,
-                  label: str = "cluster") -> DataFrame:
-    """Ward hierarchical clustering into k clusters on standardised columns.
-
-    Two stages: rows are reduced to at most ``cap`` weighted micro-clusters on
-    Spark (distinct points - exact - when there are few enough, else occupied
-    grid cells), Ward's merges run on those weighted centroids on the driver,
-    and labels reach the rows by a broadcast join of (cell -> cluster), a table
-    of at most ``cap`` rows.  Exact when the data has at most ``cap`` distinct
-    points; otherwise an approximation at the grid's resolution."""
+
+def ward_segments(df: DataFrame, cols: Sequence[str], k: int, centres: int = 256, label: str = "cluster",
+                  seed: int = 42) -> DataFrame:
+    """Ward hierarchical clustering into k clusters on standardised columns, of
+    a codebook: Spark's k-means reduces the rows to ``centres`` weighted points
+    at every size, Ward's merges run on those (a table of that fixed size), and
+    rows take the cluster of their centre."""
     z = [f"{c}_z" for c in cols]
-    data = scale_for_clustering(df, cols)
-    cent, sizes, width, keyrows = _micro_clusters(data, z, cap)
-    lab = _cut(_ward_merges(cent, sizes), len(sizes), k)
-    kt = "double" if width == 0.0 else "bigint"
-    m = df.sparkSession.createDataFrame([(*kr, int(l)) for kr, l in zip(keyrows, lab)],
-                                        ", ".join(f"_k{i} {kt}" for i in range(len(z))) + f", `{label}` int")
-    keyed = data.select("*", *_cell_keys(z, width))
-    return keyed.join(F.broadcast(m), [f"_k{i}" for i in range(len(z))], "left").drop(
-        *[f"_k{i}" for i in range(len(z))])
-
-
-def ward_merges(df: DataFrame, cols: Sequence[str], cap: int = 2000, last: int = 30) -> DataFrame:
-    """Dendrogram table of the last ``last`` merges: (step, left, right,
-    height, size), ids numbered like the usual linkage matrix."""
+    coded, used, points, sizes = _codebook(scale_for_clustering(df, cols), z, centres, seed)
+    lab = _cut(_ward_merges(points, sizes), len(sizes), k)
+    m = df.sparkSession.createDataFrame([(int(c), int(x)) for c, x in zip(used, lab)], f"_centre int, `{label}` int")
+    return coded.join(F.broadcast(m), "_centre", "left").drop("_centre")
+
+
+def ward_merges(df: DataFrame, cols: Sequence[str], centres: int = 256, last: int = 30, seed: int = 42) -> DataFrame:
+    """Dendrogram table of the last ``last`` merges of the codebook: (step,
+    left, right, height, size), ids numbered like the usual linkage matrix."""
     z = [f"{c}_z" for c in cols]
-    cent, sizes, _, _ = _micro_clusters(scale_for_clustering(df, cols), z, cap)
-    merges = _ward_merges(cent, sizes)
+    _, _, points, sizes = _codebook(scale_for_clustering(df, cols), z, centres, seed)
+    merges = _ward_merges(points, sizes)
     rows = [(i + 1, int(a), int(b), float(h), int(s)) for i, (a, b, h, s) in enumerate(merges)][-last:]
     return df.sparkSession.createDataFrame(rows, "step int, left int, right int, height double, size bigint")
 

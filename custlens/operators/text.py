@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.porter import stem as porter_stem
-from custlens.plans.common import spread
 
 # fixed values: stop words dropped before counting review words (the original list, in its order)
 REVIEW_STOP_WORDS = """the a an and my is was for of to in from at this that with such very i me it be so
@@ -28,7 +27,7 @@ DEFAULT_ASPECTS = [
     ("packaging", ["packaging", "bags", "box"]),
 ]
 
-LEXICON_BROADCAST_ROWS = 500_000
+LEXICON_ROWS = 500_000
 
 
 def _words(text: str):
@@ -41,7 +40,7 @@ def tokens(df: DataFrame, key: str, text: str, stop: Iterable[str] | None = REVI
     words and tokens shorter than ``min_len`` dropped; ``pos`` is the position
     among all runs."""
     stop = sorted(set(stop or []))
-    src = spread(df.select(key, text))
+    src = df.select(key, text)
     t = src.where(F.col(text).isNotNull()).select(key, F.posexplode(_words(text)).alias("pos", "token"))
     cond = F.length("token") >= min_len
     if stop:
@@ -88,6 +87,54 @@ def word_weights(df: DataFrame, text: str, **kw) -> DataFrame:
     return wc.crossJoin(F.broadcast(mx)).select("word", "count", (F.col("count") / F.col("_mx")).alias("weight"))
 
 
+def polarity_scorer(lexicon: DataFrame, negations: Sequence[str] = (), negation_factor: float = -0.5,
+                    intensifiers: DataFrame | None = None):
+    """A function from a text column to struct(polarity, n_matched).
+
+    The word tables are dictionaries of checked size (at most
+    ``LEXICON_ROWS`` rows each); texts are scored where they are read, in
+    Arrow batches, so they are never shuffled or joined."""
+    values = _dictionary(lexicon, "polarity")
+    factors = _dictionary(intensifiers, "intensity") if intensifiers is not None else {}
+    negative = frozenset(negations)
+
+    def score(text: str | None) -> tuple[float | None, int | None]:
+        if text is None:
+            return None, None
+        total, n, before = 0.0, 0, None
+        for w in re.findall("[a-z]+", text.lower()):
+            v = values.get(w)
+            if v is not None:
+                if before in negative:
+                    v *= negation_factor
+                v *= factors.get(before, 1.0)
+                total, n = total + max(-1.0, min(1.0, v)), n + 1
+            before = w
+        return total / n if n else 0.0, n
+
+    @F.pandas_udf("polarity double, n_matched long")
+    def scored(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([score(t) for t in texts], columns=["polarity", "n_matched"]).astype(
+            {"polarity": "float64", "n_matched": "Int64"})
+
+    return scored
+
+
+def _dictionary(table: DataFrame, value: str) -> dict[str, float]:
+    rows = table.select(F.lower("word").alias("w"), F.col(value).cast("double").alias("v")).where(
+        F.col("w").isNotNull() & F.col("v").isNotNull()).limit(LEXICON_ROWS + 1).collect()
+    if len(rows) > LEXICON_ROWS:
+        raise ValueError(f"word table with more than {LEXICON_ROWS} rows")
+    return {r["w"]: r["v"] for r in rows}
+
+
+def with_polarity(df: DataFrame, text: str, lexicon: DataFrame, **options) -> DataFrame:
+    """The rows with text and their ``polarity`` and ``n_matched``; a projection, no shuffle."""
+    scored = polarity_scorer(lexicon, **options)
+    return df.where(F.col(text).isNotNull()).withColumn("_scored", scored(F.col(text))).withColumns(
+        {"polarity": F.col("_scored.polarity"), "n_matched": F.col("_scored.n_matched")}).drop("_scored")
+
+
 def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations: Sequence[str] = (),
              negation_factor: float = -0.5, intensifiers: DataFrame | None = None) -> DataFrame:
     """(key, polarity, n_matched) for every row with text.
@@ -95,37 +142,9 @@ def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, negations:
     Polarity is the mean lexicon value over the text's words found in
     ``lexicon`` (word, polarity); 0 when none is found.  A word preceded by a
     negation word is multiplied by ``negation_factor``; with ``intensifiers``
-    (word, intensity) a preceding intensifier multiplies the value.  The
-    predecessor is taken inside the row (array shift), so no window or
-    per-document shuffle is needed; the lexicon is broadcast when it is
-    checked to be small."""
-    docs = spread(df.select(key, text)).where(F.col(text).isNotNull()).select(key, _words(text).alias("_w"))
-    if negations or intensifiers is not None:
-        # pair every word with its predecessor inside the row (shifted copy of
-        # the array, zipped), so each exploded row carries two words only
-        shifted = F.concat(F.array(F.lit(None).cast("string")), F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))))
-        pairs = docs.select(key, F.explode_outer(F.arrays_zip(F.col("_w").alias("word"),
-                                                               shifted.alias("_prev"))).alias("_z"))
-        pairs = pairs.select(key, F.col("_z.word").alias("word"), F.col("_z._prev").alias("_prev"))
-    else:
-        # explode_outer keeps texts without words (they score 0)
-        pairs = docs.select(key, F.explode_outer("_w").alias("word"))
-    lex = lexicon.select(F.lower(F.col("word")).alias("word"), F.col("polarity").cast("double").alias("_p"))
-    lex = F.broadcast(lex) if lexicon.count() <= LEXICON_BROADCAST_ROWS else lex
-    m = pairs.join(lex, "word", "left")
-    val = F.col("_p")
-    if negations:
-        val = F.when(F.col("_prev").isin(list(negations)), val * F.lit(negation_factor)).otherwise(val)
-    if intensifiers is not None:
-        ints = F.broadcast(intensifiers.select(F.col("word").alias("_prev"), F.col("intensity").alias("_i")))
-        m = m.join(ints, "_prev", "left")
-        val = val * F.coalesce(F.col("_i"), F.lit(1.0))
-    # one pass over all words of all texts, partially aggregated per text
-    # greatest/least skip NULLs, so unmatched words must stay NULL explicitly
-    clamped = F.when(val.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), val)))
-    per = m.groupBy(key).agg(F.avg(clamped).alias("_pol"),
-                             F.count(val).alias("_n"))
-    return per.select(key, F.coalesce("_pol", F.lit(0.0)).alias("polarity"), F.col("_n").alias("n_matched"))
+    (word, intensity) a preceding intensifier multiplies the value."""
+    return with_polarity(df.select(key, text), text, lexicon, negations=negations, negation_factor=negation_factor,
+                         intensifiers=intensifiers).select(key, "polarity", "n_matched")
 
 
 def polarity_summary(df: DataFrame, pol: str = "polarity") -> DataFrame:
@@ -187,13 +206,17 @@ def topics(df: DataFrame, text: str, k: int = 3, min_df: int = 5, top: int = 8,
     """LDA topics: (topic, rank, term, weight) for the ``top`` terms of each of
     ``k`` topics.  Tokens of two or more word characters, English stop words
     removed, terms in at least ``min_df`` documents."""
-    docs = spread(df.select(text)).where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
+    docs = df.select(text).where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
     tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="\\b\\w\\w+\\b", gaps=False,
                          toLowercase=True).transform(docs)
     clean = StopWordsRemover(inputCol="_tok", outputCol="_words").transform(tok)
-    cv = CountVectorizer(inputCol="_words", outputCol="_counts", minDF=float(min_df)).fit(clean)
-    vec = cv.transform(clean).select("_counts").cache()
-    model = LDA(k=k, seed=seed, featuresCol="_counts", maxIter=max_iter).fit(vec)
+    # the vocabulary holds every term that reaches min_df, and every iteration
+    # reads every document
+    terms = clean.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").count().where(
+        F.col("count") >= min_df).count()
+    cv = CountVectorizer(inputCol="_words", outputCol="_counts", minDF=float(min_df), vocabSize=max(1, terms)).fit(clean)
+    vec = cv.transform(clean).select("_counts").persist()
+    model = LDA(k=k, seed=seed, featuresCol="_counts", maxIter=max_iter, subsamplingRate=1.0).fit(vec)
     desc = model.describeTopics(top)
     spark = df.sparkSession
     vocab = spark.createDataFrame([(i, w) for i, w in enumerate(cv.vocabulary)], "_idx int, term string")

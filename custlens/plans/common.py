@@ -34,22 +34,3 @@ def one_row(df: DataFrame) -> dict:
     if len(rows) != 1:
         raise ValueError(f"expected exactly one aggregated row, got {len(rows)}")
     return rows[0].asDict(recursive=True)
-
-
-def null_safe_keys(keys: Sequence[str]) -> list[str]:
-    return list(keys or [])
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the input has fewer
-    partitions than cores (e.g. one large row group), before CPU-heavy per-row
-    work such as tokenising long texts.  Inputs that already have enough
-    partitions - the normal case for large tables - are left alone, so no
-    extra shuffle is added at scale.  Meant for table scans: asking a plan
-    that contains shuffles for its partition count would run those shuffles."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    try:
-        n = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - partition count unknown: leave as is
-        return df
-    return df.repartition(target) if n < target else df

@@ -17,10 +17,9 @@ points still sees all of that spot's points as candidates.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custlens.session import cut_lineage
@@ -39,8 +38,6 @@ def _drop_shadowed_copies(train: DataFrame, cols: Sequence[str], k: int, train_k
     chosen; dropping the rest is exact.  A coordinate holding many copies is
     ranked in salted slices of about ``rows_per_task`` rows, then the
     survivors (at most k per slice) are ranked once more."""
-    from pyspark.sql import Window
-
     mult = train.groupBy(*cols).count().agg(F.max("count").alias("m")).collect()[0]["m"] or 0
     if mult <= k:
         return train
@@ -53,7 +50,7 @@ def _drop_shadowed_copies(train: DataFrame, cols: Sequence[str], k: int, train_k
 
 
 def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int, key: str = "_tid", train_key: str = "_rid",
-        label: str = "_label", start_width: float | None = None, max_levels: int = 40) -> DataFrame:
+        label: str = "_label", start_width: float | None = None) -> DataFrame:
     """(key, neighbours) with ``neighbours`` = array of struct(dist2, train key,
     label) of the k nearest training points, nearest first (ties by train key).
 
@@ -72,10 +69,9 @@ def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int, key: str
     off = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
     pending = test.select(key, *[F.col(c).alias(f"_q{i}") for i, c in enumerate(cols)])
     done = []
-    levels = max(1, min(max_levels, int(math.ceil(math.log2(max(extent / start_width, 1.0)))) + 2))
-    for lvl in range(levels):
+    for lvl in itertools.count():
         w = start_width * (2 ** lvl)
-        last = lvl == levels - 1 or w > extent
+        last = w > extent  # cells as wide as the data: every training point is a candidate
         tr = train.select(train_key, label, *[F.col(c).alias(f"_t{i}") for i, c in enumerate(cols)],
                           F.array(*_cells(cols, w)).alias("_cell"))
         qcell = [F.floor(F.col(f"_q{i}") / F.lit(w)).cast("long") for i in range(d)]
@@ -83,9 +79,12 @@ def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int, key: str
             "_cell", F.array(*[qcell[i] + F.col("_o")[i] for i in range(d)])).drop("_o")
         cand = q.join(tr, "_cell")
         dist2 = sum(((F.col(f"_q{i}") - F.col(f"_t{i}")) ** 2 for i in range(d)), F.lit(0.0))
-        best = cand.groupBy(key).agg(
-            F.slice(F.sort_array(F.collect_list(F.struct(dist2.alias("dist2"), F.col(train_key).alias("rid"),
-                                                         F.col(label).alias("label")))), 1, k).alias("neighbours"))
+        # the k nearest are picked on the map side first (window group limit), so
+        # a query never gathers more than a few times k candidates
+        near = Window.partitionBy(key).orderBy("dist2", "rid")
+        first = cand.select(key, dist2.alias("dist2"), F.col(train_key).alias("rid"), F.col(label).alias("label")).withColumn(
+            "_r", F.row_number().over(near)).where(F.col("_r") <= k)
+        best = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dist2", "rid", "label"))).alias("neighbours"))
         if last:
             done.append(best)
             break

@@ -1,19 +1,12 @@
-"""Exact quantiles and modes without gathering a group into one buffer.
+"""Exact quantiles and modes from one (value, count) table.
 
 Spark's exact ``percentile``/``median``/``mode`` aggregates keep every distinct
-value of a group in one hash map, which does not survive a group holding a
-third of 100 TB.  Here an exact order statistic is found in passes that each
-hold bounded state:
-
-1. one aggregate pass: n, min, max and a ``percentile_approx`` bracket around
-   every wanted probability (rank error <= n/accuracy, so the true order
-   statistics lie inside the bracket);
-2. a counting pass: rows below the bracket and rows inside it ("band");
-3. while a band is larger than ``band_limit`` it is narrowed with an
-   equal-width histogram of the band (bounded table: targets x bins);
-4. the band rows are ranked with a window partitioned by (group, target),
-   whose partitions are bounded by ``band_limit``; a band with a single value
-   needs no window at all.
+value of a group in one hash map.  Here the rows are first counted by distinct
+value (map-side combine: a value that holds a third of all rows is one row),
+the distinct values get running totals per range bucket
+(:func:`custlens.plans.ranks.cumulated`), and an order statistic is the value
+whose running total passes its rank.  There are no rounds and no switch on the
+size of a group, and rows are never multiplied by the number of probabilities.
 
 Interpolation is linear between order statistics (type 7, same as pandas,
 numpy and SQL ``quantile_cont``).
@@ -23,41 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from custlens.functions.columns import clean_num
-from custlens.plans.common import attach
-from custlens.session import cut_lineage
-
-_SUBBINS = 1024
-
+from custlens.functions.columns import clean_num, clean_value
+from custlens.plans.ranks import cumulated, value_counts
 
-def _targets(first: DataFrame, keys: list[str], probs: Sequence[float], eps: float) -> DataFrame:
-    m = len(probs)
-    structs = []
-    for i, p in enumerate(probs):
-        lo = F.col("_min") if p - eps <= 0 else F.col("_ap")[i]
-        hi = F.col("_max") if p + eps >= 1 else F.col("_ap")[m + i]
-        structs.append(F.struct(F.lit(i).alias("pid"), F.lit(float(p)).alias("p"), lo.alias("lo"), hi.alias("hi")))
-    t = first.select(*keys, "_n", "_min", "_max", F.explode(F.array(*structs)).alias("t")).select(
-        *keys, "_n", "_min", "_max", "t.*"
-    )
-    h = (F.col("_n") - 1).cast("double") * F.col("p")
-    return t.withColumn("h", h).withColumn("r_lo", F.floor("h")).withColumn("r_hi", F.ceil("h"))
 
-
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    names: Sequence[str] | None = None,
-    accuracy: int = 10000,
-    band_limit: int = 1_000_000,
-    max_rounds: int = 6,
-    max_group_size: int | None = None,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                    names: Sequence[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` (NULL/NaN ignored).
 
     Returns one row per group: ``by`` columns plus one double column per
@@ -65,126 +32,47 @@ def exact_quantiles(
     absent.
     """
     keys = list(by)
-    names = list(names or [f"q{i}" for i in range(len(probs))])
     base = df.select(*keys, clean_num(value).alias("_v")).where(F.col("_v").isNotNull())
-    if max_group_size is not None and max_group_size <= band_limit:
-        # the caller already knows every group is small: one exact aggregate
-        exact = base.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q"))
-        return exact.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    eps = 2.0 / accuracy
-    brackets = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
-    first = base.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", brackets, accuracy).alias("_ap"),
-    )
-    first = first.cache()
-    biggest = first.agg(F.max("_n").alias("m")).collect()[0]["m"] or 0
-    if biggest <= band_limit:
-        # every group is small enough for the exact in-memory aggregate
-        exact = base.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q"))
-        first.unpersist()
-        return exact.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    targets = _targets(first, keys, probs, eps).select(*keys, "pid", "h", "r_lo", "r_hi", "lo", "hi", "_min", "_max")
-    tkeys = keys + ["pid"]
-    targets = targets.withColumn("below", F.lit(None).cast("long"))
+    return quantiles_of_counts(value_counts(base, "_v", keys), "_v", probs, keys, names)
 
-    for _ in range(max_rounds):
-        # the targets table is small (groups x probabilities); checkpointing it
-        # keeps every round's plan the same size
-        targets = cut_lineage(targets)
-        joined = attach(base, targets.select(*tkeys, "lo", "hi"), keys)
-        counts = joined.groupBy(*tkeys).agg(
-            F.count_if(F.col("_v") < F.col("lo")).alias("below"),
-            F.count_if(F.col("_v").between(F.col("lo"), F.col("hi"))).alias("band"),
-            F.min(F.when(F.col("_v").between(F.col("lo"), F.col("hi")), F.col("_v"))).alias("band_min"),
-            F.max(F.when(F.col("_v").between(F.col("lo"), F.col("hi")), F.col("_v"))).alias("band_max"),
-        )
-        t2 = targets.drop("below").join(counts, tkeys, "inner")
-        ok = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("band") > F.col("r_hi"))
-        # a bracket that misses (approximation guarantee not met) is widened to the full range
-        t2 = cut_lineage(t2.withColumn("valid", ok))
-        multi_valued = F.col("band_min") < F.col("band_max")
-        status = t2.agg(
-            F.count_if(~F.col("valid")).alias("bad"),
-            F.max(F.when(F.col("valid") & multi_valued, F.col("band"))).alias("widest"),
-        ).collect()[0]
-        if status["bad"]:
-            targets = t2.select(
-                *keys, "pid", "h", "r_lo", "r_hi",
-                F.when(F.col("valid"), F.col("lo")).otherwise(F.col("_min")).alias("lo"),
-                F.when(F.col("valid"), F.col("hi")).otherwise(F.col("_max")).alias("hi"),
-                "_min", "_max", F.lit(None).cast("long").alias("below"),
-            )
-            continue
-        targets = t2
-        if (status["widest"] or 0) <= band_limit:
-            break
-        # narrow wide bands with an equal-width histogram of the band
-        wide = targets.where((F.col("band") > band_limit) & (F.col("band_min") < F.col("band_max")))
-        width = (F.col("band_max") - F.col("band_min")) / _SUBBINS
-        inband = attach(base, wide.select(*tkeys, "band_min", "band_max", "below", "r_lo", "r_hi"), keys).where(
-            F.col("_v").between(F.col("band_min"), F.col("band_max"))
-        )
-        b = F.least(F.floor((F.col("_v") - F.col("band_min")) / width), F.lit(_SUBBINS - 1)).cast("int")
-        hist = inband.groupBy(*tkeys, b.alias("bin")).agg(
-            F.count("*").alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"),
-            F.first("below").alias("below0"), F.first("r_lo").alias("rl"), F.first("r_hi").alias("rh"),
-        )
-        wcum = Window.partitionBy(*tkeys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        hist = hist.withColumn("cum_end", F.col("below0") + F.sum("c").over(wcum))
-        hist = hist.withColumn("cum_start", F.col("cum_end") - F.col("c"))
-        need = (F.col("cum_end") > F.col("rl")) & (F.col("cum_start") <= F.col("rh"))
-        narrowed = hist.where(need).groupBy(*tkeys).agg(
-            F.min("bmin").alias("nlo"), F.max("bmax").alias("nhi")
-        )
-        targets = (
-            targets.join(narrowed, tkeys, "left")
-            .select(
-                *keys, "pid", "h", "r_lo", "r_hi",
-                F.coalesce("nlo", "lo").alias("lo"), F.coalesce("nhi", "hi").alias("hi"),
-                "_min", "_max", F.lit(None).cast("long").alias("below"),
-            )
-        )
 
-    # single-valued bands are answered directly; the rest are ranked in-band
-    single = targets.where(F.col("band_min") == F.col("band_max")).select(
-        *tkeys, F.col("band_min").alias("v_lo"), F.col("band_min").alias("v_hi"), "h", "r_lo"
-    )
-    multi = targets.where(F.col("band_min") < F.col("band_max"))
-    rows = attach(base, multi.select(*tkeys, "lo", "hi", "below", "r_lo", "r_hi"), keys).where(
-        F.col("_v").between(F.col("lo"), F.col("hi"))
-    )
-    w = Window.partitionBy(*tkeys).orderBy("_v")
-    rows = rows.withColumn("_rank", F.col("below") + F.row_number().over(w) - 1)
-    picked = rows.where((F.col("_rank") == F.col("r_lo")) | (F.col("_rank") == F.col("r_hi"))).groupBy(*tkeys).agg(
-        F.max(F.when(F.col("_rank") == F.col("r_lo"), F.col("_v"))).alias("v_lo"),
-        F.max(F.when(F.col("_rank") == F.col("r_hi"), F.col("_v"))).alias("v_hi"),
-    )
-    picked = picked.join(multi.select(*tkeys, "h", "r_lo"), tkeys, "inner")
-    allq = single.unionByName(picked)
-    allq = allq.withColumn("q", F.col("v_lo") + (F.col("h") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo")))
-    first.unpersist()
-    out = allq.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("pid") == i, F.col("q"))).alias(n) for i, n in enumerate(names)]
-    )
-    return out
+def quantiles_of_counts(counts: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                        names: Sequence[str] | None = None) -> DataFrame:
+    """:func:`exact_quantiles` of a (by..., value, _cnt) table."""
+    keys, probs = list(by), [float(p) for p in probs]
+    names = list(names or [f"q{i}" for i in range(len(probs))])
+    x = cumulated(counts, value, keys, total="_n")
+    low = [F.floor((F.col("_n") - 1) * F.lit(p)) for p in probs]
+    high = [F.ceil((F.col("_n") - 1) * F.lit(p)) for p in probs]
+    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_before") + F.col("_cnt"))
+    # a value that holds none of the wanted ranks leaves before the aggregate
+    wanted = F.lit(False)
+    for r in low + high:
+        wanted = wanted | holds(r)
+    v = F.col(value).cast("double")
+    ends = [F.max(F.when(holds(r), v)).alias(f"_{end}{i}") for end, rs in (("lo", low), ("hi", high))
+            for i, r in enumerate(rs)]
+    found = x.where(wanted).groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
+    if not keys:
+        found = found.where(F.col("_n").isNotNull())
+    out = []
+    for i, (p, n) in enumerate(zip(probs, names)):
+        h = (F.col("_n") - 1) * F.lit(p)
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append((lo + (h - F.floor(h)) * (hi - lo)).alias(n))
+    return found.select(*keys, *out)
 
 
 def mode_smallest(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
-    """Most frequent value per group, smallest value among ties.
-
-    Hash aggregates with map-side combine: (group, value) counts, the top
-    count per group, and the smallest value with that count.  A value that
-    holds a third of all rows is just one heavy count, pre-combined per
-    partition.
-    """
+    """Most frequent value per group, smallest value among ties, in the
+    column's own type."""
     keys = list(by)
-    base = df.select(*keys, clean_num(value).alias("_v")).where(F.col("_v").isNotNull())
-    vc = base.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    # hash aggregates only: the top count per group, then the smallest value
-    # holding it (the per-group table is attached as a checked broadcast)
-    top = vc.groupBy(*keys).agg(F.max("_c").alias("_top"))
-    winners = attach(vc, top, keys).where(F.col("_c") == F.col("_top"))
-    return winners.groupBy(*keys).agg(F.min("_v").alias(name))
+    base = df.select(*keys, clean_value(df, value).alias("_v")).where(F.col("_v").isNotNull())
+    return mode_of_counts(value_counts(base, "_v", keys), "_v", keys, name)
+
+
+def mode_of_counts(counts: DataFrame, value: str, by: Sequence[str] = (), name: str = "mode") -> DataFrame:
+    """:func:`mode_smallest` of a (by..., value, _cnt) table: one struct minimum."""
+    top = counts.groupBy(*by).agg(F.min(F.struct((-F.col("_cnt")).alias("c"), F.col(value).alias("v"))).alias("_top"))
+    out = top.select(*by, F.col("_top.v").alias(name))
+    return out if by else out.where(F.col(name).isNotNull())

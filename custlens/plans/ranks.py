@@ -13,90 +13,100 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custlens.functions.columns import clean_num
-from custlens.plans.common import attach
+from custlens.functions.columns import clean_num, clean_value
 
-RANK_BUCKETS = 256
+BUCKET_VALUES = 200_000  # distinct values that one range bucket holds on average
 
 
-def _bucket_expr(value: str, bounds: str) -> F.Column:
-    """Index of the quantile bucket holding ``value``: number of bounds below it.
-    A function of the value, so equal values always share a bucket."""
-    return F.size(F.filter(F.col(bounds), lambda b: b < F.col(value)))
+def bucket_count(n_items: int, per_bucket: int = BUCKET_VALUES, lo: int = 1) -> int:
+    """Buckets so that one bucket holds about ``per_bucket`` items."""
+    return int(max(lo, -(-n_items // per_bucket)))
 
 
-def bucket_count(n_items: int, per_bucket: int = 2_000_000, lo: int = 64, hi: int = 16384) -> int:
-    """Buckets so that one bucket holds about ``per_bucket`` items."""
-    return int(min(hi, max(lo, -(-n_items // per_bucket))))
+def range_bounds(df: DataFrame, value: str, buckets: int) -> list[float]:
+    """At most ``buckets`` - 1 rising bounds near the quantiles of ``value``."""
+    if buckets <= 1:
+        return []
+    probs = [i / buckets for i in range(1, buckets)]
+    found = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, max(10000, 10 * buckets)).alias("_b"))
+    return sorted({float(v) for v in found.collect()[0]["_b"] or []})
 
 
-def range_buckets(df: DataFrame, value: str, out: str, n_items: int | None = None) -> DataFrame:
+def with_bucket(df: DataFrame, value: str, out: str, bounds: Sequence[float]) -> DataFrame:
     """Append ``out`` = index of the range bucket of the numeric column
-    ``value``: quantile bounds from ``percentile_approx`` (a bounded list of
-    at most a few thousand numbers) and a binary search in the JVM
-    (``Bucketizer``).  A function of the value, so equal values share a
-    bucket; retries see the same literal bounds."""
+    ``value``, found by binary search in the JVM (``Bucketizer``).  A function
+    of the value, so equal values share a bucket; retries see the same literal
+    bounds."""
     from pyspark.ml.feature import Bucketizer
 
-    n = n_items if n_items is not None else df.count()
-    b = bucket_count(n)
-    probs = [i / b for i in range(1, b)]
-    x = F.col(value).cast("double")
-    bounds = df.agg(F.percentile_approx(x, probs, max(10000, 10 * b)).alias("_b")).collect()[0]["_b"] or []
-    splits = [-float("inf")] + sorted(set(float(v) for v in bounds)) + [float("inf")]
+    if not bounds:
+        return df.withColumn(out, F.lit(0))
     tmp = f"_{out}_x"
+    splits = [-float("inf"), *bounds, float("inf")]
     bz = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return bz.transform(df.withColumn(tmp, x)).withColumn(out, F.col(out).cast("int")).drop(tmp)
+    return bz.transform(df.withColumn(tmp, F.col(value).cast("double"))).withColumn(
+        out, F.col(out).cast("int")).drop(tmp)
 
 
-def value_ranks(df: DataFrame, value_col: str, by: Sequence[str] = (), buckets: int = RANK_BUCKETS,
-                n_distinct: int | None = None) -> DataFrame:
-    """Average rank of every distinct value of the (already clean, non-null)
-    column ``value_col`` within its group: (by..., value_col, _cnt, _avg_rank).
-
-    Distinct values with counts are cut into quantile buckets by literal
-    bounds from ``percentile_approx``; bucket totals give offsets (a table of
-    groups x buckets), a window per (group, bucket) gives the position inside.
-    Ungrouped, the bucket count grows with the number of distinct values and
-    the bucket is found by binary search; grouped, each group gets
-    ``buckets`` quantile buckets of its own.  ``n_distinct`` (exact or
-    approximate) sizes the buckets without counting the distinct values.
+def range_buckets(df: DataFrame, value: str, out: str, n_items: int | None = None) -> DataFrame:
+    """:func:`with_bucket` with as many buckets as the number of items asks for."""
+    n = n_items if n_items is not None else df.count()
+    return with_bucket(df, value, out, range_bounds(df, value, bucket_count(n)))
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., value, _cnt): a hot value is combined on the map side.  Kept,
+    since bounds, totals and running sums each read it."""
+    return df.groupBy(*by, value).agg(F.count("*").alias("_cnt")).persist()
+
+
+def cumulated(counts: DataFrame, value: str, by: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """A (by..., value, _cnt) table with ``_before`` = the group's rows with a
+    smaller value (and ``total`` = the group's rows).
+
+    Distinct values are cut into range buckets over all groups; bucket totals
+    (one row per group and bucket) give offsets, a window per group and bucket
+    gives the position inside, so no window holds more than a bucket's values.
     """
     keys = list(by)
-    vc = df.groupBy(*keys, value_col).agg(F.count("*").alias("_cnt"))
-    if keys:
-        # enough buckets for the largest group (a group may hold a third of
-        # all values); the per-value bucket search is linear, so capped
-        biggest = vc.groupBy(*keys).count().agg(F.max("count")).collect()[0][0] or 0
-        b = max(buckets, min(1024, bucket_count(biggest)))
-        probs = [i / b for i in range(1, b)]
-        bounds = vc.groupBy(*keys).agg(F.percentile_approx(value_col, probs, max(10000, 10 * b)).alias("_bounds"))
-        vcb = attach(vc, bounds, keys).withColumn("_bkt", _bucket_expr(value_col, "_bounds")).drop("_bounds")
-    else:
-        vcb = range_buckets(vc, value_col, "_bkt", n_distinct)
-    totals = vcb.groupBy(*keys, "_bkt").agg(F.sum("_cnt").alias("_btot"))
-    wg = Window.partitionBy(*keys).orderBy("_bkt") if keys else Window.orderBy("_bkt")
-    # the totals table has at most one row per bucket and group, so even the
-    # ungrouped window here sorts only a few thousand rows
-    offsets = totals.withColumn("_off", F.sum("_btot").over(wg) - F.col("_btot")).drop("_btot")
-    wb = Window.partitionBy(*keys, "_bkt").orderBy(value_col).rowsBetween(Window.unboundedPreceding, -1)
-    inb = vcb.withColumn("_before", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)))
-    ranked = inb.join(F.broadcast(offsets) if not keys else offsets, keys + ["_bkt"], "inner")
-    return ranked.select(
-        *keys, value_col, "_cnt",
-        (F.col("_off") + F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("_avg_rank"),
-    )
+    b = range_buckets(counts, value, "_bkt")
+    sums = b.groupBy(*keys, "_bkt").agg(F.sum("_cnt").alias("_sum"))
+    whole = Window.partitionBy(*keys)
+    offsets = sums.select(*keys, "_bkt", (F.sum("_sum").over(whole.orderBy("_bkt")) - F.col("_sum")).alias("_off"),
+                          *([F.sum("_sum").over(whole).alias(total)] if total else []))
+    inside = Window.partitionBy(*keys, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = b.withColumn("_in", F.coalesce(F.sum("_cnt").over(inside), F.lit(0)))
+    renamed = offsets.select(*[F.col(k).alias(f"_o_{i}") for i, k in enumerate(keys)], F.col("_bkt").alias("_o_bkt"),
+                             "_off", *([total] if total else []))
+    on = F.col("_bkt") == F.col("_o_bkt")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_o_{i}"))
+    return placed.join(renamed, on).select(*keys, value, "_cnt", (F.col("_off") + F.col("_in")).alias("_before"),
+                                           *([total] if total else []))
+
+
+def value_ranks(df: DataFrame, value_col: str, by: Sequence[str] = ()) -> DataFrame:
+    """Average rank of every distinct value of the (already clean, non-null)
+    column ``value_col`` within its group: (by..., value_col, _cnt, _avg_rank)."""
+    c = cumulated(value_counts(df, value_col, by), value_col, by)
+    return c.select(*by, value_col, "_cnt", (F.col("_before") + (F.col("_cnt") + 1) / 2.0).alias("_avg_rank"))
 
 
 def average_rank(df: DataFrame, col: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Append ``name`` = average rank of ``col`` (1-based, ties averaged) within
-    ``by`` groups; missing values get a missing rank."""
-    keys = list(by)
-    tmp = f"_rk_{name}"
-    base = df.withColumn(tmp, clean_num(col))
-    ranks = value_ranks(base.select(*keys, tmp).where(F.col(tmp).isNotNull()), tmp, keys)
-    out = base.join(ranks.select(*keys, tmp, F.col("_avg_rank").alias(name)), keys + [tmp], "left")
-    return out.drop(tmp)
+    ``by`` groups; missing values get a missing rank and stay out of the join."""
+    keys, tmp = list(by), f"_rk_{name}"
+    base = df.withColumn(tmp, clean_value(df, col))
+    there = base.where(F.col(tmp).isNotNull())
+    ranks = value_ranks(there.select(*keys, tmp), tmp, keys)
+    renamed = ranks.select(*[F.col(k).alias(f"_r_{i}") for i, k in enumerate(keys)], F.col(tmp).alias("_r_v"),
+                           F.col("_avg_rank").alias(name))
+    on = F.col(tmp) == F.col("_r_v")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{i}"))
+    found = there.join(renamed, on).drop("_r_v", *[f"_r_{i}" for i in range(len(keys))])
+    missing = base.where(F.col(tmp).isNull()).withColumn(name, F.lit(None).cast("double"))
+    return found.unionByName(missing).drop(tmp)
 
 
 # ------------------------------------------------------------------ Kendall tau-b
@@ -159,6 +169,15 @@ def _group_s(key: str, ucol: str, vcol: str):
     return fn
 
 
+def _apart(df: DataFrame, value: str, out: str, bounds: Sequence[float]) -> DataFrame:
+    """Append ``out``: 2i for values strictly between bounds i - 1 and i, and
+    2i + 1 for the bound i itself (a Bucketizer bucket starts at its bound)."""
+    b = with_bucket(df, value, out, bounds)
+    lows = F.array(F.lit(None).cast("double"), *[F.lit(x) for x in bounds])
+    at_bound = F.coalesce(F.get(lows, F.col(out)) == F.col(value), F.lit(False))
+    return b.withColumn(out, 2 * F.col(out) - F.when(at_bound, 1).otherwise(0))
+
+
 def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int | None = None) -> DataFrame:
     """Kendall's tau-b of two columns over rows with both present.
 
@@ -166,28 +185,22 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int | None = None) ->
     quantile buckets of x and y: pairs in different x and y buckets are signed
     by the bucket grid (2-D prefix sums of a buckets x buckets table); pairs
     sharing an x bucket, or a y bucket only, are counted exactly per bucket by
-    a vectorised inversion count (``applyInPandas``).  Buckets holding one
-    value are skipped (their inner pairs are ties).  Heavy values are first
-    compressed to (x, y, count).
+    a vectorised inversion count (``applyInPandas``).  Every bound is a bucket
+    of its own: a heavy value is a bound, so it shares its bucket with no other
+    value, and buckets of one value are skipped (their inner pairs are ties).
+    Equal pairs are first compressed to (x, y, count).
     """
     pairs = df.select(clean_num(a).alias("_x"), clean_num(b).alias("_y")).where(
         F.col("_x").isNotNull() & F.col("_y").isNotNull()
     )
     comp = pairs.groupBy("_x", "_y").agg(F.count("*").alias("_c"))
+    comp = comp.persist()
     if buckets is None:
-        # about 200,000 compressed points per bucket; the driver-side grid is
-        # buckets^2 cells, so at most 2048 buckets
-        buckets = min(2048, bucket_count(comp.count(), per_bucket=200_000, lo=RANK_BUCKETS))
-    probs = [i / buckets for i in range(1, buckets)]
-    bnd = comp.agg(
-        F.percentile_approx("_x", probs, max(10000, 10 * buckets)).alias("_bx_bounds"),
-        F.percentile_approx("_y", probs, max(10000, 10 * buckets)).alias("_by_bounds"),
-    )
-    cb = comp.crossJoin(F.broadcast(bnd)).select(
-        "_x", "_y", "_c",
-        _bucket_expr("_x", "_bx_bounds").alias("_bx"),
-        _bucket_expr("_y", "_by_bounds").alias("_by"),
-    ).cache()
+        # about 100,000 compressed points per bucket
+        buckets = bucket_count(comp.count(), per_bucket=100_000, lo=128)
+    bx, by = range_bounds(comp, "_x", buckets), range_bounds(comp, "_y", buckets)
+    cb = _apart(_apart(comp, "_x", "_bx", bx), "_y", "_by", by).select("_x", "_y", "_c", "_bx", "_by").persist()
+    sides = 2 * max(len(bx), len(by)) + 2
 
     # ties and n
     n = cb.agg(F.sum("_c").alias("n")).collect()[0]["n"] or 0
@@ -198,19 +211,19 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int | None = None) ->
 
     # grid part: bounded buckets x buckets table, finished on the driver
     grid_rows = cb.groupBy("_bx", "_by").agg(F.sum("_c").alias("g")).collect()
-    g = np.zeros((buckets, buckets))
+    g = np.zeros((sides, sides))
     for r in grid_rows:
         g[r["_bx"], r["_by"]] += float(r["g"])
     cum = g.cumsum(0).cumsum(1)  # cum[i,j] = sum g[:i+1,:j+1]
-    pad = np.zeros((buckets + 1, buckets + 1))
+    pad = np.zeros((sides + 1, sides + 1))
     pad[1:, 1:] = cum
     rowtot = np.concatenate([[0.0], g.sum(1).cumsum()])  # rows with bx < i: rowtot[i]
     s_grid = 0.0
-    for i in range(buckets):
+    for i in range(sides):
         if not g[i].any():
             continue
         # for cell (i,j): weight with bx<i and by<j minus bx<i and by>j
-        lower_left = pad[i, :buckets]  # sum over bx<i, by<j  (j index 0..B-1)
+        lower_left = pad[i, :sides]  # sum over bx<i, by<j  (j index 0..B-1)
         below_all = rowtot[i]
         upto_j = pad[i, 1:]  # bx<i, by<=j
         upper_left = below_all - upto_j
@@ -239,6 +252,7 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int | None = None) ->
         or 0.0
     )
     cb.unpersist()
+    comp.unpersist()
     s = s_grid + sx + sy
     n0 = n * (n - 1) / 2.0
     denom = ((n0 - n1) * (n0 - n2)) ** 0.5

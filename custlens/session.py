@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,7 +17,7 @@ def get_spark(app: str = "custlens", cpus: int | str = "*", shuffle_partitions:
     """
     parts = shuffle_partitions or (os.cpu_count() or 8 if cpus == "*" else int(cpus))
     builder = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        (SparkSession.builder if SparkConf().contains("spark.master") else SparkSession.builder.master(f"local[{cpus}]"))
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
@@ -36,13 +37,16 @@ def get_spark(app: str = "custlens", cpus: int | str = "*", shuffle_partitions:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local tests) a
-    fresh private folder is created and registered.
+    The cluster's setting always wins.  Only a local session without one gets a
+    fresh private folder; on a cluster its absence is an error, since other
+    nodes cannot read the driver's disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="custlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():

@@ -1,10 +1,14 @@
-"""Column profile in one aggregate pass and the role rules derived from it."""
+"""Column profile and the role rules derived from it."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampType
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
+
+from custlens.functions.columns import clean_value
 
 # fixed values: role thresholds
 CAT_MAX_STRING_LEVELS = 25
@@ -15,15 +19,21 @@ TEXT_MIN_MEAN_LENGTH = 30
 def profile(df: DataFrame, exact_distinct: bool = True, rsd: float = 0.01) -> DataFrame:
     """(column, dtype, missing, unique, mean_len, min_value, max_value, role) per column.
 
-    One ``agg`` computes every column's missing count, distinct count (exact,
-    or HyperLogLog++ with ``exact_distinct=False``) and mean text length.
+    One ``agg`` computes every column's missing count, range and mean text
+    length (and the HyperLogLog++ distinct count with ``exact_distinct=False``);
+    exact distinct counts are one ``groupBy`` per column.
     """
-    aggs = []
+    aggs, apart = [], []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, NumericType):
-            c = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-        dist = F.countDistinct(c) if exact_distinct else F.approx_count_distinct(c, rsd)
+            c = clean_value(df, f.name)  # whole numbers keep all their digits
+        # exact distinct counts come from a groupBy per column: each reads its
+        # own column and combines on the map side, no row is multiplied
+        if exact_distinct:
+            apart.append(df.select(c.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.lit(1).alias("one")).agg(
+                F.count("*").alias("n")).select(F.lit(f.name).alias("_name"), "n"))
+        dist = F.lit(None) if exact_distinct else F.approx_count_distinct(c, rsd)
         mlen = F.avg(F.length(c)) if isinstance(f.dataType, StringType) else F.lit(None).cast("double")
         num = isinstance(f.dataType, NumericType)
         lo = F.min(c).cast("double") if num else F.lit(None).cast("double")
@@ -41,11 +51,16 @@ def profile(df: DataFrame, exact_distinct: bool = True, rsd: float = 0.01) -> Da
         )
     wide = df.agg(F.array(*aggs).alias("_p"))
     prof = wide.select(F.explode("_p").alias("p")).select("p.*")
+    if apart:
+        order = prof.columns
+        counts = functools.reduce(DataFrame.unionByName, apart)
+        prof = prof.drop("unique").join(counts, F.col("column") == F.col("_name")).withColumnRenamed("n", "unique").select(
+            *order)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     is_num = F.col("column").isin([n for n, t in kinds.items() if isinstance(t, NumericType)])
     is_str = F.col("column").isin([n for n, t in kinds.items() if isinstance(t, StringType)])
     is_date = F.lower(F.col("column")).contains("date") | F.col("column").isin(
-        [n for n, t in kinds.items() if isinstance(t, (DateType, TimestampType))]
+        [n for n, t in kinds.items() if isinstance(t, (DateType, TimestampType, TimestampNTZType))]
     )
     is_bool = F.col("column").isin([n for n, t in kinds.items() if isinstance(t, BooleanType)])
     _zero_one = (F.col("unique") == 2) & (F.col("min_value") == 0) & (F.col("max_value") == 1)
@@ -77,7 +92,7 @@ def roles(profile_df: DataFrame) -> DataFrame:
             "is_categorical"
         ),
         (s & (F.col("mean_len") > TEXT_MIN_MEAN_LENGTH)).alias("is_text"),
-        (F.lower(F.col("column")).contains("date") | F.col("dtype").isin("date", "timestamp")).alias("is_date"),
+        (F.lower(F.col("column")).contains("date") | F.col("dtype").isin("date", "timestamp", "timestamp_ntz")).alias("is_date"),
         (
             (num & (F.col("unique") == 2) & (F.col("min_value") == 0) & (F.col("max_value") == 1))
             | (F.col("dtype") == "boolean")

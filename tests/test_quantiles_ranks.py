@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from custlens.plans import ranks
 from custlens.plans.quantiles import exact_quantiles, mode_smallest
 from custlens.plans.ranks import _sign_pair_sum, average_rank, kendall_tau_b
 
@@ -15,14 +16,15 @@ def _frame(spark, values, groups=None):
     return spark.createDataFrame(rows, "id long, x double, g string")
 
 
-@pytest.mark.parametrize("band_limit", [1_000_000, 7])
-def test_exact_quantiles_match_numpy(spark, band_limit):
+@pytest.mark.parametrize("per_bucket", [200_000, 7])
+def test_exact_quantiles_match_numpy(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(ranks.bucket_count, "__defaults__", (per_bucket, 1))
     rng = np.random.default_rng(3)
     vals = list(np.round(rng.lognormal(size=400), 2)) + [5.0] * 150 + [None, float("nan")]
     groups = ["a" if i % 3 else "b" for i in range(len(vals))]
     df = _frame(spark, vals, groups)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = {r["g"]: r for r in exact_quantiles(df, "x", probs, ["g"], accuracy=50, band_limit=band_limit).collect()}
+    got = {r["g"]: r for r in exact_quantiles(df, "x", probs, ["g"]).collect()}
     pdf = pd.DataFrame({"x": vals, "g": groups}).dropna()
     for g, part in pdf.groupby("g"):
         want = np.quantile(part["x"].to_numpy(float), probs)
@@ -92,3 +94,31 @@ def test_kendall_heavy_value_is_skipped_not_loaded(spark):
     df = spark.createDataFrame(pd.DataFrame({"a": x, "b": y}))
     got = kendall_tau_b(df, "a", "b", buckets=8).collect()[0]["tau_b"]
     assert got == pytest.approx(_tau_b_brute(np.array(x), np.array(y)), rel=1e-12)
+
+
+def test_balanced_zero_one_and_many_probabilities(spark, monkeypatch):
+    monkeypatch.setattr(ranks.bucket_count, "__defaults__", (1, 1))  # a bucket per value
+    df = _frame(spark, [0, 1] * 50)
+    probs = [i / 49 for i in range(50)]
+    got = exact_quantiles(df, "x", [0.5, *probs]).collect()[0]
+    assert got["q0"] == 0.5
+    assert [got[f"q{i + 1}"] for i in range(50)] == pytest.approx(list(np.quantile([0, 1] * 50, probs)))
+    assert exact_quantiles(df.where("false"), "x", [0.5]).count() == 0
+
+
+def test_large_whole_numbers_keep_their_digits(spark):
+    top = 2 ** 53
+    df = spark.createDataFrame([(top,), (top + 1,), (top + 2,), (top + 1,), (None,)], "x long")
+    assert mode_smallest(df, "x").collect()[0]["mode"] == top + 1
+    got = {r["x"]: r["r"] for r in average_rank(df, "x", "r").collect()}
+    assert got == {top: 1.0, top + 1: 2.5, top + 2: 4.0, None: None}
+
+
+def test_kendall_buckets_hold_no_heavy_value(spark):
+    """A third of x at 0, the rest continuous: the zeros are alone in their bucket."""
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random(6000) < 1 / 3, 0.0, rng.normal(size=6000))
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    bounds = ranks.range_bounds(df, "x", 64)
+    sizes = ranks._apart(df, "x", "b", bounds).groupBy("b").agg(F.count("*").alias("n"), F.countDistinct("x").alias("d"))
+    assert max(r["n"] for r in sizes.where("d > 1").collect()) <= 3 * 6000 / 64
