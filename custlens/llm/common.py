@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from custlens.session import cut_lineage
 
-__all__ = ["cut_lineage", "fresh", "only_keys", "read", "row_key", "shuffle_partitions"]
+__all__ = ["cut_lineage", "fresh", "only_keys", "read", "row_key", "shuffle_partitions", "sliced"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +61,14 @@ def only_keys(docs: DataFrame, id_col: str, keys: DataFrame) -> DataFrame:
     return marked.join(keys, on, "left_semi").dropDuplicates([i, k]).drop(i, k)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small pieces, so that a worker holds few texts as Python
+    objects at a time, however many rows Spark puts into a batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session (the launcher sizes them)."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

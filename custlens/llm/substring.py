@@ -40,8 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custlens.llm.common import cut_lineage, row_key
+from custlens.llm.common import cut_lineage, row_key, sliced
 
+SIEVE_BITS = 1 << 23  # of the broadcast sieve of ids: 131,072 words at most, whatever the corpus
 STEP = 1 << 16  # windows whose anchors are worked out at a time
 
 
@@ -78,26 +79,36 @@ def segments(src: DataFrame, window: int, gram: int) -> DataFrame:
     """(id, key, a, s1, s2, at, n) per segment of (id, key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                row, cols = [], [[], [], [], []]
-                for r, t in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
-                    h = word_hashes((t or b"").split())
-                    a, first, n = segments_of(h, window, gram)
-                    row.append(np.full(len(a), r))
-                    for c, x in zip(cols, (a.view(np.int64), _digests(h, first, n + window - 1), first, n)):
-                        c.append(x)
-                at = pa.array(np.concatenate(row))
-                a, s, first, n = (np.concatenate(c) for c in cols)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(a), pa.array(s[:, 0]), pa.array(s[:, 1]),
-                     pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["id", "key", "a", "s1", "s2", "at", "n"])
+        for part in sliced(batches):
+            row, cols = [], [[], [], [], []]
+            for r, t in enumerate(part.column(2).cast(pa.binary()).to_pylist()):
+                h = word_hashes((t or b"").split())
+                a, first, n = segments_of(h, window, gram)
+                row.append(np.full(len(a), r))
+                for c, x in zip(cols, (a.view(np.int64), _digests(h, first, n + window - 1), first, n)):
+                    c.append(x)
+            at = pa.array(np.concatenate(row))
+            a, s, first, n = (np.concatenate(c) for c in cols)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(at), part.column(1).take(at), pa.array(a), pa.array(s[:, 0]), pa.array(s[:, 1]),
+                 pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
+                names=["id", "key", "a", "s1", "s2", "at", "n"])
 
     return src.where("id IS NOT NULL").mapInArrow(run, "id long, key long, a long, s1 long, s2 long, at int, n int")
 
 
+def _sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` with ``_may`` = false where no id of ``wanted`` is equal to the
+    row's: a bitmap of id hashes of a fixed size is broadcast, so that most
+    texts without a partner need not be shuffled to find that out."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(SIEVE_BITS))
+    word, mask = F.shiftright(bit, 6).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {SIEVE_BITS}) & 63 as int))")
+    sieve = wanted.select(word.alias("_word"), mask.alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_bits"))
+    hit = rows.withColumn("_at", word).join(F.broadcast(sieve), F.col("_at") == F.col("_word"), "left")
+    return hit.withColumn("_may", F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))).drop(
+        "_at", "_word", "_bits")
+
+
 class SuffixAutomaton:
     """Of several word sequences, each with an id; ``low`` is the smallest id of a state's occurrences."""
 
@@ -168,9 +179,9 @@ class SuffixAutomaton:
 def _fetched(src: DataFrame, distinct: DataFrame, window: int) -> DataFrame:
     """(a, s1, s2, first, words) with the word hashes of the distinct segments,
     read from the document each was first seen in."""
-    want = distinct.groupBy(F.col("top.id").alias("id"), F.col("top.key").alias("key")).agg(
-        F.collect_list(F.struct("a", "s1", "s2", F.col("top.at").alias("at"), "n")).alias("want"))
-    rows = src.join(want, ["id", "key"]).dropDuplicates(["id", "key"]).select("id", "text", "want")
+    want = cut_lineage(distinct.groupBy(F.col("top.id").alias("id"), F.col("top.key").alias("key")).agg(
+        F.collect_list(F.struct("a", "s1", "s2", F.col("top.at").alias("at"), "n")).alias("want")))
+    rows = _sieved(src, want).where("_may").drop("_may").join(want, ["id", "key"]).dropDuplicates(["id", "key"]).select("id", "text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,10 +293,10 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
         hot = _fetched(src, several.where(F.col("segments") > shard_segments), window)
         firsts = firsts.unionByName(_by_windows(hot, window))
     decided = single.unionByName(firsts.withColumn("first", F.lit(None).cast("long")))
-    spans = _spans(rows.join(decided, ["a", "s1", "s2"]), window)
+    spans = cut_lineage(_spans(rows.join(decided, ["a", "s1", "s2"]), window))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             n_words, n_removed, out = [], [], []
             for t, ranges in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 words = (t or b"").split()
@@ -301,7 +312,10 @@ def drop_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str
                                               pa.array(out, pa.binary()).cast(pa.string())],
                                              names=["id", "n_words", "n_removed", "kept"])
 
-    same = src.join(spans.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "spans"),
-                    F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    out = same.select("id", "text", "spans").mapInArrow(kept, "id long, n_words long, n_removed long, kept string")
+    marked = _sieved(src, spans)
+    renamed = spans.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "spans")
+    on = (F.col("id") == F.col("_id")) & (F.col("key") == F.col("_key"))
+    touched = marked.where("_may").join(renamed, on, "left").select("id", "text", "spans")
+    whole = marked.where("NOT _may").select("id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    out = touched.unionByName(whole).mapInArrow(kept, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
