@@ -93,8 +93,6 @@ _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abc
 
 def oracle_sql():
     return {
-        "op1_toxicity": q_toxicity,
-        "op2_packing": q_packing,
         "op4_exact_dedup": f"""WITH d AS (SELECT doc_id, {_ASCII_LOWER} AS t FROM documents),
             g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
