@@ -364,12 +364,12 @@ def q_anova_oneway(spark, d):
 
 def q_anova_twoway(spark, d):
     out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"])
-    return _round(out, {"sum_sq": 4, "F": 8, "p": 10})
+    return _round(out.drop("p", "significant"), {"sum_sq": 3, "F": 6})  # p has no SQL form
 
 
 def q_anova_twoway_interaction(spark, d):
     out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"], interactions=True)
-    return _round(out, {"sum_sq": 4, "F": 8, "p": 10})
+    return _round(out.drop("p", "significant"), {"sum_sq": 3, "F": 6})  # p has no SQL form
 
 
 def q_anova_threeway(spark, d):
@@ -385,7 +385,12 @@ def q_group_means(spark, d):
 
 def q_posthoc_tukey(spark, d):
     out = A.posthoc(_t(spark, d, "lineitem"), "l_quantity", "l_returnflag", "tukey")
-    return _round(out, {"meandiff": 8, "p_adj": 6, "lower": 6, "upper": 6})
+    # the interval is meandiff -+ q * se with one q for all pairs: its half widths
+    # are compared as shares of the widest (q itself has no SQL form)
+    half = out.withColumn("half", (F.col("upper") - F.col("lower")) / 2)
+    widest = half.agg(F.max("half").alias("_w"))
+    out = half.join(F.broadcast(widest)).select("group1", "group2", "meandiff", (F.col("half") / F.col("_w")).alias("half_share"))
+    return _round(out, {"meandiff": 6, "half_share": 6})
 
 
 def q_posthoc_scheffe(spark, d):
@@ -439,7 +444,7 @@ def q_ols_log(spark, d):
 
 def q_ols_categorical(spark, d):
     res = R.ols(_t(spark, d, "lineitem"), _OLS_CAT)
-    return _round(res.coefficients(spark), {"coef": 6, "se": 6, "t": 6, "p": 8, "ci_low": 6, "ci_high": 6})
+    return _round(res.coefficients(spark).select("term", "coef", "se", "t"), {"coef": 4, "se": 4, "t": 4})
 
 
 def q_check_positive(spark, d):
@@ -500,25 +505,27 @@ def _li_target(spark, d):
 
 def q_logit_coefficients(spark, d):
     res = L.logit(_li_target(spark, d), "is_return", _LOGIT_X)
-    return _round(res.coefficients(spark), {"coef": 8, "se": 8, "z": 6, "p": 8, "odds_ratio": 8})
+    out = res.coefficients(spark).select("term", "coef", "se", "z", "odds_ratio", "significant")
+    return _round(out, {"coef": 6, "se": 6, "z": 4, "odds_ratio": 6})  # p has no SQL form
 
 
 def q_logit_fit_stats(spark, d):
     res = L.logit(_li_target(spark, d), "is_return", _LOGIT_X)
-    return _round(res.fit_stats(spark), {"base_rate": 10, "pseudo_r2": 10, "deviance": 4, "null_deviance": 4})
+    return _round(res.fit_stats(spark), {"base_rate": 8, "pseudo_r2": 8, "deviance": 3, "null_deviance": 3})
 
 
 def q_logit_score_profile(spark, d):
     li = _li_target(spark, d)
     res = L.logit(li, "is_return", _LOGIT_X)
-    return _round(res.score(res.median_profile(li)), {"probability": 8})
+    return _round(res.score(res.median_profile(li)), {"probability": 6})
 
 
 def q_logit_holdout(spark, d):
     data = L.stratified_split(_li_target(spark, d), "is_return", "row_key")
     res = L.logit(data.where("_train"), "is_return", _LOGIT_X)
     test = res.score(data.where(~F.col("_train")))
-    return L.confusion(test, "is_return", (F.col("probability") >= 0.3).cast("int"))
+    return _round(L.confusion(test, "is_return", (F.col("probability") >= 0.3).cast("int")),
+                  {"accuracy": 10, "sensitivity": 10, "specificity": 10})
 
 
 def q_stratified_split(spark, d):
@@ -1374,6 +1381,133 @@ def _kfold_sql() -> str:
     SELECT round(avg(rmse), 6) AS cv_rmse FROM err"""
 
 
+# ---------------------------------------------------------------- least squares in SQL
+def _lsq_columns(p: int) -> str:
+    """Select list that solves the normal equations a (p x p, upper part) x = b:
+    Cholesky factor l, its inverse m, solution x, variances v of a unit-variance fit."""
+    out = []
+    for i in range(p):
+        for j in range(i):
+            minus = "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j))
+            out.append(f"(a{j}_{i}{minus}) / l{j}_{j} AS l{i}_{j}")
+        minus = "".join(f" - l{i}_{k} * l{i}_{k}" for k in range(i))
+        out.append(f"sqrt(a{i}_{i}{minus}) AS l{i}_{i}")
+    for i in range(p):
+        out.append(f"(b{i}{''.join(f' - l{i}_{k} * f{k}' for k in range(i))}) / l{i}_{i} AS f{i}")
+    for i in reversed(range(p)):
+        out.append(f"(f{i}{''.join(f' - l{k}_{i} * x{k}' for k in range(i + 1, p))}) / l{i}_{i} AS x{i}")
+    for i in range(p):
+        for j in range(i):
+            terms = " + ".join(f"l{i}_{k} * m{k}_{j}" for k in range(j, i))
+            out.append(f"-({terms}) / l{i}_{i} AS m{i}_{j}")
+        out.append(f"1.0 / l{i}_{i} AS m{i}_{i}")
+    out += ["(" + " + ".join(f"m{k}_{i} * m{k}_{i}" for k in range(i, p)) + f") AS v{i}" for i in range(p)]
+    return ", ".join(out)
+
+
+def _normal_sums(xs: list[str], y: str, w: str = "1.0") -> str:
+    """Select list of the sums a (upper part) and b of a weighted least squares fit."""
+    a = [f"sum({w} * ({xi}) * ({xj})) AS a{i}_{j}" for i, xi in enumerate(xs) for j, xj in enumerate(xs) if j >= i]
+    return ", ".join(a + [f"sum({w} * ({x}) * ({y})) AS b{i}" for i, x in enumerate(xs)])
+
+
+def _rss_cte(name: str, src: str, xs: list[str], y: str) -> str:
+    """CTE ``name`` (rss, n, p) of an unweighted fit, with the solution x0.. and unit variances v0.."""
+    p = len(xs)
+    explained = " + ".join(f"x{i} * b{i}" for i in range(p))
+    return (f"{name} AS (SELECT *, yy - ({explained}) AS rss, {p} AS p FROM (SELECT *, {_lsq_columns(p)} FROM "
+            f"(SELECT {_normal_sums(xs, y)}, sum(({y}) * ({y})) AS yy, count(*) AS n FROM {src})))")
+
+
+def _flag(cond: str) -> str:
+    return f"CASE WHEN {cond} THEN 1.0 ELSE 0.0 END"
+
+
+def _anova_sql(interaction: bool) -> str:
+    src = "(SELECT l_returnflag, l_linestatus, l_quantity - (SELECT avg(l_quantity) FROM lineitem) AS y FROM lineitem)"
+    a = [_flag("l_returnflag = 'N'"), _flag("l_returnflag = 'R'")]
+    b = [_flag("l_linestatus = 'O'")]
+    both = [f"({x}) * ({z})" for x in a for z in b]
+    fits = {"fa": a, "fb": b, "fab": a + b} | ({"full": a + b + both} if interaction else {})
+    ctes = ", ".join(_rss_cte(k, src, ["1.0", *xs], "y") for k, xs in fits.items())
+    full = "full" if interaction else "fab"
+    rows = [("l_returnflag", "fb.rss - fab.rss", "fab.p - fb.p"), ("l_linestatus", "fa.rss - fab.rss", "fab.p - fa.p")]
+    if interaction:
+        rows.append(("l_returnflag:l_linestatus", 'fab.rss - "full".rss', '"full".p - fab.p'))
+    names = ", ".join(f'"{k}"' for k in fits)
+    res = f'"{full}".rss / ("{full}".n - "{full}".p)'
+    parts = [f"SELECT '{t}' AS term, round({ss}, 3) AS sum_sq, CAST({d} AS DOUBLE) AS df, "
+             f"round(({ss}) / ({d}) / ({res}), 6) AS F FROM {names}" for t, ss, d in rows]
+    parts.append(f"SELECT 'Residual', round(\"{full}\".rss, 3), CAST(\"{full}\".n - \"{full}\".p AS DOUBLE), NULL FROM {names}")
+    ctes = ctes.replace("full AS (", '"full" AS (', 1) if interaction else ctes
+    return f"WITH {ctes} " + " UNION ALL ".join(parts)
+
+
+def _ols_cat_sql() -> str:
+    xs = ["1.0", "l_quantity", _flag("l_returnflag = 'N'"), _flag("l_returnflag = 'R'")]
+    # term names as the query gives them
+    terms = ["Intercept", "l_quantity", "l_returnflag[N]", "l_returnflag[R]"]
+    rows = [f"SELECT '{t}' AS term, round(x{i}, 4) AS coef, round(sqrt(v{i} * rss / (n - p)), 4) AS se, "
+            f"round(x{i} / sqrt(v{i} * rss / (n - p)), 4) AS t FROM f" for i, t in enumerate(terms)]
+    return f"WITH {_rss_cte('f', 'lineitem', xs, 'l_extendedprice')} " + " UNION ALL ".join(rows)
+
+
+_TUKEY_SQL = """WITH g AS (SELECT l_returnflag AS g, avg(l_quantity) AS m, count(*) AS n FROM lineitem GROUP BY 1),
+    p AS (SELECT a.g AS group1, b.g AS group2, b.m - a.m AS d, sqrt(1.0 / a.n + 1.0 / b.n) AS se FROM g a JOIN g b ON a.g < b.g)
+    SELECT group1, group2, round(d, 6) AS meandiff, round(se / max(se) OVER (), 6) AS half_share FROM p"""
+
+
+def _logit_ctes(src: str, steps: int = 9) -> str:
+    """Newton steps of a logistic fit of y on _LOGIT_X over ``src``: CTE fit has
+    the coefficients c0.. and unit variances v0.. of the last step."""
+    xs = ["1.0", *_LOGIT_X]
+    k = len(xs)
+    lin = " + ".join(f"c{i} * ({x})" for i, x in enumerate(xs))
+    ctes = [f"rows_ AS (SELECT * FROM {src})",
+            "s0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS c{i}" for i in range(k)) + ")"]
+    for t in range(steps):
+        ctes.append(f"n{t} AS (SELECT {_normal_sums(xs, '(y - p) / (p * (1 - p))', 'p * (1 - p)')} FROM "
+                    f"(SELECT *, 1.0 / (1.0 + exp(-({lin}))) AS p FROM rows_, s{t}))")
+        new = ", ".join(f"s{t}.c{i} + q.x{i} AS c{i}, q.v{i} AS v{i}" for i in range(k))
+        ctes.append(f"s{t + 1} AS (SELECT {new} FROM s{t}, (SELECT *, {_lsq_columns(k)} FROM n{t}) q)")
+    ctes.append(f"fit AS (SELECT * FROM s{steps})")
+    ctes.append(f"scored AS (SELECT *, 1.0 / (1.0 + exp(-({lin}))) AS p FROM rows_, fit)")
+    return ", ".join(ctes)
+
+
+_LOGIT_SRC = "(SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity, l_discount, l_tax FROM lineitem)"
+
+
+def _logit_sql(kind: str) -> str:
+    with_ = f"WITH {_logit_ctes(_LOGIT_SRC)}"
+    if kind == "coefficients":
+        rows = [f"SELECT '{t}' AS term, round(c{i}, 6) AS coef, round(sqrt(v{i}), 6) AS se, round(c{i} / sqrt(v{i}), 4) AS z, "
+                f"round(exp(c{i}), 6) AS odds_ratio, abs(c{i} / sqrt(v{i})) > 1.9599639845400545 AS significant FROM fit"
+                for i, t in enumerate(["Intercept", *_LOGIT_X])]
+        return with_ + " " + " UNION ALL ".join(rows)
+    if kind == "fit":
+        return with_ + """, d AS (SELECT count(*) AS n, avg(y) AS b, -2 * sum(y * ln(p) + (1 - y) * ln(1 - p)) AS dev FROM scored),
+            e AS (SELECT *, -2 * n * (b * ln(b) + (1 - b) * ln(1 - b)) AS nul FROM d)
+            SELECT n, round(b, 8) AS base_rate, round(1 - dev / nul, 8) AS pseudo_r2, round(dev, 3) AS deviance,
+                   round(nul, 3) AS null_deviance, true AS converged FROM e"""
+    med = ", ".join(f"quantile_cont({x}, 0.5) AS {x}" for x in _LOGIT_X)
+    lin = " + ".join(["c0", *[f"c{i} * {x}" for i, x in enumerate(_LOGIT_X, 1)]])
+    return with_ + f", m AS (SELECT {med} FROM lineitem) SELECT {', '.join(_LOGIT_X)}, round(1.0 / (1.0 + exp(-({lin}))), 6) AS probability FROM m, fit"
+
+
+def _logit_holdout_sql() -> str:
+    key = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
+    base = (f"(SELECT *, s <= cut AS train FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity, l_discount, "
+            f"l_tax, {_HASH42.format(k=key)} AS s FROM lineitem) JOIN (SELECT y, quantile_cont(s, 0.7) AS cut FROM "
+            f"(SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, {_HASH42.format(k=key)} AS s FROM lineitem) GROUP BY y) USING (y))")
+    lin = " + ".join(["c0", *[f"c{i} * {x}" for i, x in enumerate(_LOGIT_X, 1)]])
+    return f"""WITH {_logit_ctes(f"(SELECT y, l_quantity, l_discount, l_tax FROM {base} WHERE train)")},
+        h AS (SELECT y, 1.0 / (1.0 + exp(-({lin}))) >= 0.3 AS hit FROM {base}, fit WHERE NOT train),
+        c AS (SELECT count(*) FILTER (WHERE y = 1 AND hit) tp, count(*) FILTER (WHERE y = 0 AND hit) fp,
+                     count(*) FILTER (WHERE y = 0 AND NOT hit) tn, count(*) FILTER (WHERE y = 1 AND NOT hit) fn FROM h)
+        SELECT tp, fp, tn, fn, {_ratio_sql()} FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "summary_measures": _sql_summary("lineitem", "l_extendedprice", "l_shipdate >= TIMESTAMP '1996-01-01'"),
@@ -1559,6 +1693,11 @@ def oracle_sql() -> dict[str, str]:
         "monthly_series": """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
+    out |= {
+        "anova_twoway": _anova_sql(False), "anova_twoway_interaction": _anova_sql(True), "ols_categorical": _ols_cat_sql(),
+        "posthoc_tukey": _TUKEY_SQL, "logit_coefficients": _logit_sql("coefficients"), "logit_fit_stats": _logit_sql("fit"),
+        "logit_score_profile": _logit_sql("profile"), "logit_holdout": _logit_holdout_sql(),
+    }
     if _llm is not None:
         out |= _llm.oracle_sql()
         if corpus_pipeline.ORACLE_SQL:

@@ -14,6 +14,7 @@ k x d centres of each run travel between driver and executors.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -51,20 +52,6 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(2 ** 53)
 
 
-# partial-sum tables of at most this many input partitions are added up on the
-# driver (partitions x runs x k small rows); beyond it a groupBy adds them
-DRIVER_SUM_PARTITIONS = 256
-ROWS_PER_TASK = 200_000
-
-
-def _combine(partials: DataFrame, keys: list[str], sums: list[str], parts: int) -> pd.DataFrame:
-    if parts <= DRIVER_SUM_PARTITIONS:
-        pdf = pd.DataFrame([r.asDict() for r in partials.collect()], columns=keys + sums)
-        return pdf.groupby(keys, as_index=False)[sums].sum() if len(pdf) else pdf
-    rows = partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).collect()
-    return pd.DataFrame([r.asDict() for r in rows], columns=keys + sums)
-
-
 def _d2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)
 
@@ -83,12 +70,11 @@ def _seed_pp(data: DataFrame, cols: Sequence[str], runs: Sequence[Run]) -> dict[
                 h = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64)
                 for run, seed, c in active:
                     u = _uniform(h, seed * 1000 + step)
-                    if c is None:
-                        key = u
-                    else:
-                        w = _d2(x, c).min(1)
-                        with np.errstate(divide="ignore"):
-                            key = np.where(w > 0, -np.log(u) / w, np.inf)
+                    w = pdf["_w"].to_numpy(float)
+                    if c is not None:
+                        w = w * _d2(x, c).min(1)
+                    with np.errstate(divide="ignore"):
+                        key = np.where(w > 0, -np.log(u) / w, np.inf)
                     i = int(np.argmin(key))
                     if np.isfinite(key[i]) and (run not in best or key[i] < best[run][0]):
                         best[run] = (float(key[i]), x[i])
@@ -106,20 +92,20 @@ def _seed_pp(data: DataFrame, cols: Sequence[str], runs: Sequence[Run]) -> dict[
 def _pass(data: DataFrame, cols: Sequence[str], runs: Sequence[Run], centers: dict[int, np.ndarray]):
     d = len(cols)
     payload = [(r.run, centers[r.run]) for r in runs]
-    schema = "run int, cl int, n long, sse double, " + ", ".join(f"s{i} double" for i in range(d))
+    schema = "run int, cl int, n double, sse double, " + ", ".join(f"s{i} double" for i in range(d))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = {}
         for pdf in batches:
-            x = pdf[list(cols)].to_numpy(float)
+            x, w = pdf[list(cols)].to_numpy(float), pdf["_w"].to_numpy(float)
             for run, c in payload:
                 dist = _d2(x, c)
                 lab = dist.argmin(1)
                 mind = dist[np.arange(len(x)), lab]
                 k = len(c)
-                n = np.bincount(lab, minlength=k)
-                sse = np.bincount(lab, weights=mind, minlength=k)
-                s = np.stack([np.bincount(lab, weights=x[:, j], minlength=k) for j in range(d)], axis=1)
+                n = np.bincount(lab, weights=w, minlength=k)
+                sse = np.bincount(lab, weights=w * mind, minlength=k)
+                s = np.stack([np.bincount(lab, weights=w * x[:, j], minlength=k) for j in range(d)], axis=1)
                 if run in acc:
                     a = acc[run]
                     acc[run] = (a[0] + n, a[1] + sse, a[2] + s)
@@ -129,39 +115,31 @@ def _pass(data: DataFrame, cols: Sequence[str], runs: Sequence[Run], centers: di
         for run, (n, sse, s) in acc.items():
             for cl in range(len(n)):
                 if n[cl]:
-                    rows.append((run, cl, int(n[cl]), float(sse[cl]), *[float(v) for v in s[cl]]))
+                    rows.append((run, cl, float(n[cl]), float(sse[cl]), *[float(v) for v in s[cl]]))
         yield pd.DataFrame(rows, columns=["run", "cl", "n", "sse"] + [f"s{i}" for i in range(d)])
 
-    tab = _combine(data.mapInPandas(partial, schema), ["run", "cl"], ["n", "sse"] + [f"s{i}" for i in range(d)],
-                   data.rdd.getNumPartitions())
+    fields = ["n", "sse"] + [f"s{i}" for i in range(d)]
+    tab = data.mapInPandas(partial, schema).groupBy("run", "cl").agg(*[F.sum(c).alias(c) for c in fields]).collect()
     sums: dict[int, dict[int, tuple]] = {}
-    for row in tab.itertuples(index=False):
-        r = row._asdict()
+    for r in tab:
         sums.setdefault(int(r["run"]), {})[int(r["cl"])] = (r["n"], r["sse"],
                                                             np.array([r[f"s{i}"] for i in range(d)], float))
     return sums
 
 
-def fit_many(df: DataFrame, cols: Sequence[str], runs: Sequence[Run], max_iter: int = 300, tol: float = 1e-4,
-             key: str | None = None) -> dict[int, tuple[np.ndarray, float]]:
+def fit_many(df: DataFrame, cols: Sequence[str], runs: Sequence[Run], max_iter: int = 300,
+             tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
     """{run: (centres, inertia)} for every run.  ``df`` holds the (already
-    scaled) feature columns; ``key`` (optional) identifies rows for the
-    reproducible seeding hash, else the feature values do."""
+    scaled) feature columns.  Equal rows are one weighted point, so repeated
+    rows keep their weight in the seeding; runs that have settled leave the
+    passes.  A run that has not settled after ``max_iter`` passes is reported
+    as it stands, with a warning."""
     cols = list(cols)
-    h = F.xxhash64(*([F.col(key)] if key else []), *[F.col(c) for c in cols])
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols], h.alias("_h")).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    var = data.agg(F.count("*").alias("_n"), *[F.var_pop(c).alias(c) for c in cols]).collect()[0]
-    cores = data.sparkSession.sparkContext.defaultParallelism
-    # every Lloyd pass re-reads this table: spread an input with fewer
-    # partitions than useful over the cores once (about ROWS_PER_TASK rows per
-    # task; tiny tables stay whole, where per-task overhead would dominate)
-    want = int(min(cores, max(1, -(-int(var["_n"] or 0) // ROWS_PER_TASK))))
-    if data.rdd.getNumPartitions() < want:
-        spread_data = data.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
-        spread_data.count()
-        data.unpersist()
-        data = spread_data
+    points = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).groupBy(*cols).agg(F.count("*").alias("_w"))
+    data = points.withColumn("_h", F.xxhash64(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    mean = [F.sum(F.col(c) * F.col("_w")) / F.sum("_w") for c in cols]
+    var = data.agg(*[(F.sum(F.col(c) * F.col(c) * F.col("_w")) / F.sum("_w") - m * m).alias(c)
+                     for c, m in zip(cols, mean)]).collect()[0]
     thresh = tol * float(np.mean([var[c] or 0.0 for c in cols]))
     seeds = _seed_pp(data, cols, runs)
     centers = {r.run: np.array(seeds[r.run]) for r in runs}
@@ -180,6 +158,8 @@ def fit_many(df: DataFrame, cols: Sequence[str], runs: Sequence[Run], max_iter:
             if ((new - old) ** 2).sum() > thresh:
                 still.append(r)
         live = still
+    if live:
+        warnings.warn(f"{len(live)} k-means runs had not settled after {max_iter} passes", stacklevel=2)
     final = _pass(data, cols, list(runs), centers)
     data.unpersist()
     return {r.run: (centers[r.run], float(sum(v[1] for v in final.get(r.run, {}).values()))) for r in runs}
