@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custlens.llm.common import only_keys, row_key
+from custlens.llm.common import only_keys, row_key, sliced
 
 
 def ascii_lower(text: bytes) -> bytes:
@@ -43,7 +43,7 @@ def _hashed(docs: DataFrame, id_col: str, text_col: str, normal: Callable[[bytes
                           + ([T.StructField("body", T.BinaryType())] if with_text else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             body = [normal(t or b"") for t in b.column(2).cast(pa.binary()).to_pylist()]
             cols = [b.column(0), b.column(1), pa.array([hash128(t) for t in body], pa.binary()),
                     pa.array([hashlib.sha256(t).hexdigest() for t in body], pa.string())]

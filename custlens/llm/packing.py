@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 
 from custlens.llm.common import row_key
 
-SLICE_BYTES = 4 << 20  # text tokenised at a time
-CACHED_WORDS = 600_000  # distinct words a worker remembers before it starts anew
+SLICE_BYTES = 2 << 20  # text tokenised at a time
+CALL_WORDS = 4096  # words encoded in one call: bounds what the tokenizer holds besides ids
+CACHED_WORDS = 400_000  # distinct words a worker remembers before it starts anew
 TAIL = ".,!?;:|$%&*#"  # punctuation that ends a word as one token run of its own
 
 
@@ -90,17 +91,18 @@ class WordTokenizer:
                     split.append((w, stem, tail))
             else:
                 other.append(w)
-        if plain:
-            # one call: the last token of each run is an end-of-word token
-            got = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+        plain = list(plain)
+        for part in (plain[i:i + CALL_WORDS] for i in range(0, len(plain), CALL_WORDS)):
+            # one call for many words: the last token of each run is an end-of-word token
+            got = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.ends[got])
-            if len(ends) == len(plain):
-                self._add(list(plain), got, np.diff(ends, prepend=-1))
+            if len(ends) == len(part):
+                self._add(part, got, np.diff(ends, prepend=-1))
             else:
-                other += plain
-        if other:
-            each = [e.ids for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
-            self._add(other, np.fromiter(itertools.chain.from_iterable(each), np.int64),
+                other += part
+        for part in (other[i:i + CALL_WORDS] for i in range(0, len(other), CALL_WORDS)):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._add(part, np.fromiter(itertools.chain.from_iterable(each), np.int64),
                       np.array([len(x) for x in each], np.int64))
         if split:
             at = np.array([(self.slot[s], self.slot[t]) for _, s, t in split], np.int64)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custlens.llm.common import cut_lineage
+from custlens.llm.common import cut_lineage, sliced
 
 _CLASS = np.zeros(256, np.uint8)  # of a byte: 0 other, 1 space, 2 line end, 3 lower, 4 upper, 5 digit, 6 stop, 7 symbol, 8 non-ASCII
 for _chars, _k in ((b" \t\x0b\x0c\r", 1), (b"\n", 2), (bytes(range(97, 123)), 3), (bytes(range(65, 91)), 4),
@@ -70,7 +70,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = T.StructType([src.schema["id"], T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             x = [statistics(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["id", "x"])
 

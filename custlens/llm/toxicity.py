@@ -28,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custlens.llm.common import cut_lineage
+from custlens.llm.common import cut_lineage, sliced
 from custlens.llm.quality import fold, training_labels
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -72,7 +71,7 @@ def learn_entries(docs: DataFrame, train: DataFrame, sample_rows: int, entries:
     texts = docs.join(sample, "id").select("label", F.coalesce("text", F.lit("")).alias("text"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             keys = [_sketch(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())],
                                              names=["label", "text", "sketch"])
@@ -87,7 +86,7 @@ def learn_entries(docs: DataFrame, train: DataFrame, sample_rows: int, entries:
     def counted(only: frozenset[str] | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: Counter[str] = Counter()
-            for b in batches:
+            for b in sliced(batches):
                 for t in b.column(0).to_pylist():
                     found = _entries_of(_distinct_words(t))
                     counts.update(found if only is None else found & only)
@@ -153,7 +152,7 @@ def find_entries(docs: DataFrame, entries: list[str]) -> DataFrame:
     schema = T.StructType([docs.schema["id"], T.StructField("hits", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [hits(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "hits"])
 
@@ -322,8 +321,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", thres
     scored where they are read, so no text is shuffled."""
     scorer, _ = fit(docs, labels, text_col=text_col, **options)
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(scorer.score([scorer.hits(t or "") for t in text]))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        parts = [scorer.score([scorer.hits(t or "") for t in text.slice(at, 256).to_pylist()])
+                 for at in range(0, len(text), 256)]
+        return pa.array(np.concatenate([np.empty(0), *parts]))
 
     return docs.where(score(F.col(f"`{text_col}`").cast("string")) < threshold)
