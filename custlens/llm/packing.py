@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 from custlens.llm.common import row_key
 
-SLICE_BYTES = 2 << 20  # text tokenised at a time
-CALL_WORDS = 4096  # words encoded in one call: bounds what the tokenizer holds besides ids
-CACHED_WORDS = 400_000  # distinct words a worker remembers before it starts anew
+SLICE_BYTES = 4 << 20  # text tokenised at a time
+CALL_WORDS = 32768  # words encoded in one call: bounds what the tokenizer holds besides ids
+CACHED_WORDS = 600_000  # distinct words a worker remembers before it drops the rare ones
 TAIL = ".,!?;:|$%&*#"  # punctuation that ends a word as one token run of its own
 
 
@@ -53,18 +53,26 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
         self.slot: dict[str, int] = {"": 0}
-        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.start, self.size, self.uses = (np.zeros(1, np.int64) for _ in range(3))
         self.pool = np.empty(0, self.dtype)
 
+    def _forget(self) -> None:
+        """Keeps the words used again since they were learnt, at most half of
+        ``CACHED_WORDS``; the many words of one use go."""
+        keep = np.flatnonzero(self.uses > max(1, np.partition(self.uses, -CACHED_WORDS // 2)[-CACHED_WORDS // 2]))
+        keep = np.concatenate([[0], keep[keep > 0]])  # slot 0 is the empty word
+        words, (ids, _) = list(self.slot), self._gather(keep)
+        self.slot = {words[i]: n for n, i in enumerate(keep.tolist())}
+        self.size, self.uses, self.pool = self.size[keep], self.uses[keep] // 2, ids
+        self.start = np.cumsum(self.size) - self.size
+
     def _add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         first = len(self.size)
         self.slot.update(zip(words, range(first, first + len(words))))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
+        self.uses = np.concatenate([self.uses, np.zeros(len(size), np.int64)])
         self.pool = np.concatenate([self.pool, ids.astype(self.dtype)])
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +115,7 @@ class WordTokenizer:
         if split:
             at = np.array([(self.slot[s], self.slot[t]) for _, s, t in split], np.int64)
             ids, _ = self._gather(at.ravel())
+            self.uses += np.bincount(at.ravel(), minlength=len(self.uses))
             self._add([w for w, _, _ in split], ids, self.size[at].sum(axis=1))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +131,7 @@ class WordTokenizer:
             self._learn(unseen)
         slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
         at = slots[words.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+        self.uses += np.bincount(at, minlength=len(self.uses))
         n_words = np.diff(split.offsets.to_numpy())
         ids, total = self._gather(at)
         bounds = total[np.concatenate([[0], np.cumsum(n_words)])]
