@@ -53,12 +53,10 @@ _MEASURE_DEC = {"variance": 1, "std_dev": 5, "coef_variation": 8, "skewness": 8,
 
 
 def _round_measure(df: DataFrame) -> DataFrame:
-    expr = F.lit(None).cast("double")
     e = None
     for m, d in _MEASURE_DEC.items():
         e = (e if e is not None else F).when(F.col("measure") == m, F.round("value", d))
     e = e.otherwise(F.round("value", 4))
-    del expr
     return df.withColumn("value", e)
 
 
@@ -693,6 +691,16 @@ def q_polarity(spark, d):
     return _round(T.polarity(_t(spark, d, "documents"), "doc_id", "text", _lexicon(spark)), {"polarity": 10})
 
 
+_NEGATIONS = ["the", "not"]
+_INTENSIFIERS = [("of", 1.5), ("and", 2.0)]
+
+
+def q_polarity_modifiers(spark, d):
+    more = spark.createDataFrame(_INTENSIFIERS, "word string, intensity double")
+    return _round(T.polarity(_t(spark, d, "documents"), "doc_id", "text", _lexicon(spark), negations=_NEGATIONS,
+                             intensifiers=more), {"polarity": 8})
+
+
 def q_polarity_summary(spark, d):
     return _round(T.polarity_summary(_doc_polarity(spark, d)),
                   {"share_positive": 10, "share_negative": 10, "mean_polarity": 10})
@@ -772,6 +780,10 @@ def q_outliers_first15(spark, d):
     return out.select("event_id", "value")
 
 
+def q_outliers_by(spark, d):
+    return D.outliers(_t(spark, d, "events"), "value", "iqr", by=["event_type"]).select("event_id", "event_type", "value")
+
+
 def q_outlier_counts_events(spark, d):
     return _round(D.outlier_counts(_t(spark, d, "events"), "value"), {"lower_fence": 6, "upper_fence": 6})
 
@@ -893,6 +905,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_words_english_stop": q_top_words_english_stop,
         "word_weights": q_word_weights,
         "polarity": q_polarity,
+        "polarity_modifiers": q_polarity_modifiers,
+        "outliers_by": q_outliers_by,
         "polarity_summary": q_polarity_summary,
         "polarity_histogram": q_polarity_histogram,
         "polarity_rating_corr": q_polarity_rating_corr,
@@ -1663,11 +1677,24 @@ def oracle_sql() -> dict[str, str]:
                (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)
                WHERE length(token) >= 3 AND token NOT IN ({_EN_STOP_SQL}) GROUP BY token ORDER BY count DESC, word LIMIT 15""",
         "word_weights": f"SELECT word, count, round(count / max(count) OVER (), 10) AS weight FROM ({_WC_SQL})",
+        "polarity_modifiers": f"""WITH t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM
+                (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE text IS NOT NULL)),
+            p AS (SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM t),
+            v AS (SELECT doc_id, greatest(-1.0, least(1.0, lex.polarity
+                         * CASE WHEN prev IN ({", ".join(f"'{w}'" for w in _NEGATIONS)}) THEN -0.5 ELSE 1.0 END
+                         * CASE {" ".join(f"WHEN prev = '{w}' THEN {x!r}" for w, x in _INTENSIFIERS)} ELSE 1.0 END)) AS v
+                  FROM p JOIN {_LEX_SQL} USING (word))
+            SELECT d.doc_id, round(coalesce(avg(v), 0.0), 8) AS polarity, count(v) AS n_matched
+            FROM documents d LEFT JOIN v USING (doc_id) WHERE d.text IS NOT NULL GROUP BY d.doc_id""",
+        "outliers_by": """WITH f AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
+                                     FROM events GROUP BY event_type)
+            SELECT event_id, event_type, value FROM events JOIN f USING (event_type)
+            WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""",
         "polarity": f"SELECT doc_id, round(polarity, 10) AS polarity, n_matched FROM {_POL_SQL}",
         "polarity_summary": f"""SELECT round(avg(CASE WHEN polarity > 0.05 THEN 1.0 ELSE 0.0 END), 10) AS share_positive,
                                        round(avg(CASE WHEN polarity < -0.05 THEN 1.0 ELSE 0.0 END), 10) AS share_negative,
                                        round(avg(polarity), 10) AS mean_polarity, count(*) AS n FROM {_POL_SQL}""",
-        "polarity_histogram": _hist_sql(f"(SELECT round(polarity, 10) AS polarity FROM {_POL_SQL}) pp", ["polarity"], 30).replace("round(g.k", "round(g.k").replace(", 6) AS lo", ", 8) AS lo").replace(", 6) AS hi", ", 8) AS hi"),
+        "polarity_histogram": _hist_sql(f"(SELECT round(polarity, 10) AS polarity FROM {_POL_SQL}) pp", ["polarity"], 30).replace(", 6) AS lo", ", 8) AS lo").replace(", 6) AS hi", ", 8) AS hi"),
         "polarity_rating_corr": f"""SELECT 'polarity' AS col_a, 'quality' AS col_b, 'pearson' AS method, count(*) AS n,
                                            round(corr(polarity, quality), 10) AS r FROM {_POL_SQL} p JOIN labels USING (doc_id)""",
         "aspect_sentiment": _aspect_sql(),
