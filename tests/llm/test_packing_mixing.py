@@ -13,15 +13,17 @@ from custlens.llm import mixing, packing, registry
 
 
 # ---------------------------------------------------------------- packing
-def test_word_tokenizer_equals_whole_text_encoding(tokenizer_path):
-    words = packing.WordTokenizer(tokenizer_path)
+@pytest.mark.parametrize("cached_words", [600_000, 40])  # 40: words are dropped all the time
+def test_word_tokenizer_equals_whole_text_encoding(tokenizer_path, cached_words):
+    words = packing.WordTokenizer(tokenizer_path, cached_words)
     rng = random.Random(3)
     odd = ["", "   ", "<|endoftext|> a<|startoftext|>b", "it's we'll I'd 'tis", "ΣΑΣ Σ. İstanbul İ!!", "é a ́b",
            "a b c\u0085d\x1cf", "x‍y 👍🏽!!", "a.b,c 1234 12a", "½² Ⅷ", "don't.'s!!'re", "\x00 a\x0bb"]
     odd += ["".join(rng.choice("aB .,'!́é sdt1Σİ<|>̈한\n") for _ in range(30)) for _ in range(500)]
-    for _ in range(2):  # unseen, then remembered
-        ids, at = words.encode(pa.array(odd), 1)
-        for t, i, j in zip(odd, at, at[1:]):
+    for lo in [*range(0, len(odd), 50), *range(0, len(odd), 100)]:  # unseen, then remembered
+        part = odd[lo:lo + 50]
+        ids, at = words.encode(pa.array(part), 1)
+        for t, i, j in zip(part, at, at[1:]):
             assert [*words.tokenizer.encode(t, add_special_tokens=False).ids, 1] == ids[i:j].tolist()
 
 
