@@ -34,7 +34,8 @@ def mix_sources(spark, docs, sf_dir):
 def pack_documents(spark, docs, sf_dir):
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # workers live through all stages: a small word cache leaves their memory to the others
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=100_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash", drop_near_copies),

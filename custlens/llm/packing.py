@@ -32,9 +32,6 @@ from pyspark.sql import types as T
 
 from custlens.llm.common import row_key
 
-SLICE_BYTES = 4 << 20  # text tokenised at a time
-CALL_WORDS = 32768  # words encoded in one call: bounds what the tokenizer holds besides ids
-CACHED_WORDS = 600_000  # distinct words a worker remembers before it drops the rare ones
 TAIL = ".,!?;:|$%&*#"  # punctuation that ends a word as one token run of its own
 
 
@@ -42,7 +39,7 @@ class WordTokenizer:
     """Token ids of whole texts for a tokenizer that never joins across white
     space: distinct words are encoded once per worker and looked up after."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,17 +50,22 @@ class WordTokenizer:
         self.dtype = np.dtype("<u2" if len(vocab) <= 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        # distinct words remembered before the rare ones are dropped, words that
+        # one call encodes, and text that is tokenised at a time: what a worker holds
+        self.cached_words, self.call_words, self.slice_bytes = cached_words, max(256, cached_words // 18), 7 * cached_words
         self.slot: dict[str, int] = {"": 0}
         self.start, self.size, self.uses = (np.zeros(1, np.int64) for _ in range(3))
         self.pool = np.empty(0, self.dtype)
 
     def _forget(self) -> None:
         """Keeps the words used again since they were learnt, at most half of
-        ``CACHED_WORDS``; the many words of one use go."""
-        keep = np.flatnonzero(self.uses > max(1, np.partition(self.uses, -CACHED_WORDS // 2)[-CACHED_WORDS // 2]))
-        keep = np.concatenate([[0], keep[keep > 0]])  # slot 0 is the empty word
-        words, (ids, _) = list(self.slot), self._gather(keep)
-        self.slot = {words[i]: n for n, i in enumerate(keep.tolist())}
+        ``cached_words``; the many words of one use go."""
+        half = min(len(self.uses), max(1, self.cached_words // 2))
+        keep = np.flatnonzero(self.uses > max(1, np.partition(self.uses, -half)[-half]))
+        word_of = {n: w for w, n in self.slot.items()}  # a word learnt twice has a slot without a name
+        keep = np.array([0, *(n for n in keep.tolist() if n and n in word_of)])  # slot 0 is the empty word
+        ids, _ = self._gather(keep)
+        self.slot = {word_of[i]: n for n, i in enumerate(keep.tolist())}
         self.size, self.uses, self.pool = self.size[keep], self.uses[keep] // 2, ids
         self.start = np.cumsum(self.size) - self.size
 
@@ -100,7 +102,7 @@ class WordTokenizer:
             else:
                 other.append(w)
         plain = list(plain)
-        for part in (plain[i:i + CALL_WORDS] for i in range(0, len(plain), CALL_WORDS)):
+        for part in (plain[i:i + self.call_words] for i in range(0, len(plain), self.call_words)):
             # one call for many words: the last token of each run is an end-of-word token
             got = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.ends[got])
@@ -108,7 +110,7 @@ class WordTokenizer:
                 self._add(part, got, np.diff(ends, prepend=-1))
             else:
                 other += part
-        for part in (other[i:i + CALL_WORDS] for i in range(0, len(other), CALL_WORDS)):
+        for part in (other[i:i + self.call_words] for i in range(0, len(other), self.call_words)):
             each = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             self._add(part, np.fromiter(itertools.chain.from_iterable(each), np.int64),
                       np.array([len(x) for x in each], np.int64))
@@ -120,7 +122,7 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end``; offsets of the texts in them)."""
-        if len(self.slot) > CACHED_WORDS:
+        if len(self.slot) > self.cached_words:
             self._forget()
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
@@ -139,13 +141,14 @@ class WordTokenizer:
         return ids, bounds + np.arange(len(bounds))
 
 
-def _worker_tokenizer(path: str) -> WordTokenizer:
+def _worker_tokenizer(path: str, cached_words: int) -> WordTokenizer:
     """One per Python worker: its words stay known from task to task.  This
     code travels by value, so the worker's process holds what is to stay."""
     held = sys.modules.setdefault("custlens_worker", types.ModuleType("custlens_worker")).__dict__
-    if path not in held:
-        held[path] = WordTokenizer(path)
-    return held[path]
+    key = f"{path}:{cached_words}"
+    if key not in held:
+        held[key] = WordTokenizer(path, cached_words)
+    return held[key]
 
 
 class Capacities:
@@ -238,11 +241,12 @@ def pack_group(lengths: list[int], capacity: int, least_gap: int) -> list[list[t
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048,
-         end: int = 1, group_bytes: int = 4 << 20, least_gap: int = 32) -> DataFrame:
+         end: int = 1, group_bytes: int = 4 << 20, least_gap: int = 32, cached_words: int = 600_000) -> DataFrame:
     """One row per piece: (id, start, length, ids, doc_tokens, sequence_id,
     offset); ``ids`` holds little-endian unsigned 32-bit numbers.
 
-    ``group_bytes``: text bytes that a group holds on average.  Ids travel to
+    ``cached_words``: words whose ids a worker remembers; fewer need less memory
+    and more time.  ``group_bytes``: text bytes that a group holds on average.  Ids travel to
     their group once, two bytes each for vocabularies of up to 65,536 entries.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(docs).alias("key"),
@@ -258,10 +262,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         T.StructField("offset", T.LongType())])
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _worker_tokenizer(tokenizer_path)
+        words = _worker_tokenizer(tokenizer_path, cached_words)
         for b in batches:
             sizes = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False)
-            slices = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES, prepend=-1))
+            slices = np.flatnonzero(np.diff(np.cumsum(sizes) // words.slice_bytes, prepend=-1))
             for at, to in zip(slices, [*slices[1:], b.num_rows]):
                 part = b.slice(at, to - at)
                 ids, offsets = words.encode(part.column(2), end)
