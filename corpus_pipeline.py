@@ -35,7 +35,8 @@ def pack_documents(spark, docs, sf_dir):
     import public_tokenizers
 
     # workers live through all stages: a small word cache leaves their memory to the others
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=100_000)
+    # groups are stretches of the mixture, so sequences keep its schedule
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=100_000, in_order=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_exact_copies), ("simhash", drop_near_copies),

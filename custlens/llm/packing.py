@@ -1,9 +1,10 @@
 """Packing documents into fixed-length training sequences.
 
 A document becomes its token ids and one end mark.  Whole sequences' worth of
-ids are cut off its front; what is left goes to a group drawn from a hash of
-the row, and each group is packed by itself: first-fit decreasing, where the
-first bin with room is found in a tournament tree of bin capacities.  The
+ids are cut off its front; what is left goes to a group, drawn from a hash of
+the row or (``in_order``) from the row's place in the input, and each group is
+packed by itself: first-fit decreasing, where the first bin with room is found
+in a tournament tree of bin capacities.  The
 emptiest bins are then cut into the gaps that first-fit left, and the last bin
 of a group is cut into sequences whose lengths are powers of two, which need
 no padding.
@@ -11,6 +12,11 @@ no padding.
 The number of groups follows from the bytes of text, so a group stays of one
 size at any corpus size, and no key of the data decides where a row goes.
 
+With ``in_order`` a group is a consecutive stretch of the rows as they lie in
+the files (part by part, row by row), and sequence ids count up from stretch to
+stretch, so sequences follow an order that was given to the rows before; inside
+a stretch rows are in hash order.
+
 Defined results: a null or empty text is the end mark alone; ties in length are
 ordered by the row hash; repeated rows are packed once each; an empty table
 gives an empty result; extra columns are ignored.
@@ -19,6 +25,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import itertools
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -26,7 +33,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -241,21 +249,23 @@ def pack_group(lengths: list[int], capacity: int, least_gap: int) -> list[list[t
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048,
-         end: int = 1, group_bytes: int = 4 << 20, least_gap: int = 32, cached_words: int = 600_000) -> DataFrame:
+         end: int = 1, group_bytes: int = 4 << 20, least_gap: int = 32, cached_words: int = 600_000,
+         in_order: bool = False) -> DataFrame:
     """One row per piece: (id, start, length, ids, doc_tokens, sequence_id,
     offset); ``ids`` holds little-endian unsigned 32-bit numbers.
 
     ``cached_words``: words whose ids a worker remembers; fewer need less memory
     and more time.  ``group_bytes``: text bytes that a group holds on average.  Ids travel to
     their group once, two bytes each for vocabularies of up to 65,536 entries.
+    ``in_order``: groups are consecutive stretches of the rows.
     """
-    src = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(docs).alias("key"),
-                      F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    size = src.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
-    groups = max(1, -(-int(size) // group_bytes))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    src = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(docs).alias("key"), text.alias("text"),
+                      *(_place(docs) if in_order else []))
+    src = _stretches(src, group_bytes) if in_order else _drawn(src, group_bytes)
     id_type = src.schema["id"].dataType
     ided = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()),
-                         T.StructField("ids", T.BinaryType())])
+                         T.StructField("ids", T.BinaryType()), T.StructField("grp", T.LongType())])
     out = T.StructType([T.StructField("id", id_type), T.StructField("start", T.LongType()),
                         T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()),
                         T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
@@ -272,8 +282,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 raw = np.ascontiguousarray(ids, words.dtype).tobytes()
                 w = words.dtype.itemsize
                 texts = [raw[w * i:w * j] for i, j in zip(offsets, offsets[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())],
-                                                 names=["id", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary()),
+                                                  part.column(3)], names=["id", "key", "ids", "grp"])
 
     width = 2 if _vocabulary(tokenizer_path) <= 1 << 16 else 4
 
@@ -290,11 +300,50 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                          pa.array(pieces, pa.binary()), pa.array(tokens[doc]), pa.array((group << 32) + seq),
                          pa.array(offset)], names=[f.name for f in out])
 
-    grouped = src.mapInArrow(tokenise, ided).withColumn("grp", F.pmod(F.xxhash64("id", "key"), F.lit(groups)))
-    packed_rows = grouped.groupBy("grp").applyInArrow(packed, out)
+    packed_rows = src.mapInArrow(tokenise, ided).groupBy("grp").applyInArrow(packed, out)
     return packed_rows.withColumnRenamed("id", id_col)
 
 
+def _row_bytes() -> Column:
+    return F.octet_length("text") + F.lit(16)
+
+
+def _drawn(src: DataFrame, group_bytes: int) -> DataFrame:
+    """(id, key, text, grp): groups drawn from a hash of the row."""
+    size = src.agg(F.sum(_row_bytes())).first()[0] or 0
+    groups = max(1, -(-int(size) // group_bytes))
+    return src.withColumn("grp", F.pmod(F.xxhash64("id", "key"), F.lit(groups)))
+
+
+def _place(docs: DataFrame) -> list[Column]:
+    """File and row in it, or partition and row in it where no file is read."""
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        docs.select(*at).schema  # noqa: B018  only files have the column
+    except AnalysisException:
+        at = [F.format_string("part-%05d", F.spark_partition_id()).alias("file"),
+              F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")]
+    return at
+
+
+def _stretches(src: DataFrame, group_bytes: int) -> DataFrame:
+    """(id, key, text, grp): groups are consecutive stretches of about
+    ``group_bytes``.  A row's place in bytes is that of its file and, inside
+    it, its share of the file's rows, so only one row per file is worked out."""
+    files = src.groupBy("file").agg(F.sum(_row_bytes()).alias("bytes"), F.max("row").alias("last")).collect()
+    part = lambda path: int((re.findall(r"part-(\d+)", path) or ["0"])[-1])
+    files = sorted(files, key=lambda f: (part(f["file"]), f["file"]))
+    before = itertools.accumulate((f["bytes"] for f in files), initial=0)
+    total = sum(f["bytes"] for f in files)
+    groups = max(1, -(-total // group_bytes))
+    table = src.sparkSession.createDataFrame([(f["file"], b, f["bytes"] / (f["last"] + 1)) for f, b in zip(files, before)],
+                                             "file string, before long, each double")
+    at = F.col("before") + F.col("row") * F.col("each")
+    grp = F.least(F.floor(at * groups / max(1, total)), F.lit(groups - 1).cast("long"))
+    return src.join(F.broadcast(table), "file", "left").select(
+        "id", "key", "text", F.coalesce(grp, F.lit(0).cast("long")).alias("grp"))
+
+
 def _vocabulary(path: str) -> int:
     from tokenizers import Tokenizer
 
