@@ -11,9 +11,16 @@ each block reads its slot from it by arithmetic.
 When a source runs out its weight goes to the others and a new phase starts;
 every row gets exactly one place, none is dropped or repeated.
 
-Sources are named by the weights; rows of other sources form one stream of
-their own, so the schedule stays bounded (``MAX_SOURCES`` streams, ``q`` slots
-each) for any number of distinct sources.
+Every source is scheduled, at any number of sources, by at most ``MAX_SOURCES``
+streams.  Sources of one size (their weight is a function of it) take turns in
+one stream that has the sum of their weights: the stream's block j n + i is
+block j of source i of n, whose slot is inside that block's own window, so each
+source stays less than one block from its share.  A source named by weights
+is a stream of its own.  Only when there are more sizes than streams, nearby
+sizes (the least ratio that will do) share a stream; its blocks are in order of
+(k + 1) / weight, and a source is then less than 2 + r blocks from its share of
+the stream, r being the ratio of the weights in it.  That order is worked out
+by arithmetic over the stream's sizes, so no block is sorted for it.
 
 Defined results: a null source counts as the empty name; ties in the hash are
 ordered by id and row hash; repeated rows take places of their own; an empty
@@ -32,9 +39,11 @@ from custlens.llm.common import fresh, row_key, shuffle_partitions
 
 MAX_SOURCES = 256
 PERIOD = 840
+PLANNED = 1 << 20  # slots that the driver works out at most, over all phases
 BUCKET_ROWS = 1 << 12  # rows that one rank window holds on average
 _SEGMENT = ("array<struct<k0:bigint,k1:bigint,slot0:bigint,a:bigint,q:bigint,phase_k:bigint,phase_slot:bigint,"
             "slots:array<int>>>")
+_PEER = "struct<i:int,m:bigint,b:bigint,w:double>"  # a kind of sources: its place, sources, blocks and weight of each
 
 
 def integer_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -81,7 +90,8 @@ def phases(weights: Mapping[str, int], blocks: Mapping[str, int]) -> dict[str, l
         active = {s: weights[s] for s in left}
         q = sum(active.values())
         start, first = slot, dict(done)
-        order = earliest_deadlines(active, q)
+        # by its last deadline the first source is used up
+        order = earliest_deadlines(active, min(q, min(-(-left[s] * q // a) for s, a in active.items())))
         at: dict[str, list[int]] = {s: [] for s in active}
         for t, s in enumerate(order):
             at[s].append(t)
@@ -116,44 +126,44 @@ def tempered(sizes: Mapping[str, int], exponent: float = 0.5) -> dict[str, float
 def _placed(docs: DataFrame, id_col: str, source_col: str, weights: Mapping[str, float] | None, block_rows: int,
             period: int) -> tuple[DataFrame, dict[str, str], int]:
     """All columns of ``docs`` with its place; the names of the added columns; the number of slots."""
-    names = ["stream", "h", "bucket", "rank", "before", "block", "slot", "release", "deadline", "part", "seg", "low"]
+    names = ["source", "h", "bucket", "rank", "before", "block", "turn", "slot", "release", "deadline", "part", "seg",
+             "low", "kind", "member", "peers", "self"]
     c = dict(zip(names, fresh(docs, *[f"_{n}" for n in names])))
     src = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
-    sizes = docs.groupBy(src.alias("s")).agg(F.count("*").alias("n"))
-    named = sizes.orderBy(F.desc("n"), "s").limit(MAX_SOURCES - 1) if weights is None else sizes.where(
-        F.col("s").isin(*weights))
-    sized = {r["s"]: r["n"] for r in named.collect()}  # one row per named source
-    rows = sizes.agg(F.sum("n")).first()[0] or 0
-    target = dict(tempered(sized) if weights is None else {s: w for s, w in weights.items() if s in sized})
-    rest = rows - sum(sized.values())
-    other = "\x00rest"
-    if rest:
-        sized[other] = rest
-        target[other] = rest ** 0.5 if weights is None else sum(target.values()) * rest / max(1, rows - rest) or 1.0
-    if len(target) > MAX_SOURCES:
-        raise ValueError(f"at most {MAX_SOURCES - 1} weighted sources; the others share one stream")
-    stream = src if not rest else F.when(src.isin(*[s for s in sized if s != other]), src).otherwise(F.lit(other))
+    rows, kinds, sources = _sources(docs.select(src.alias("s")), weights)
+    streams = _streams(kinds, weights)
 
     bits = max(0, (rows // BUCKET_ROWS).bit_length())
     h = F.xxhash64(F.lit("mix"), F.col(f"`{id_col}`"))
     bucket = F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
-    keys = [c["stream"], c["bucket"]]
-    counted = docs.select(stream.alias(c["stream"]), bucket.alias(c["bucket"])).groupBy(*keys).agg(
+    keys = [c["source"], c["bucket"]]
+    counted = docs.select(src.alias(c["source"]), bucket.alias(c["bucket"])).groupBy(*keys).agg(
         F.count("*").alias("n"))
     before = counted.withColumn(c["before"], F.sum("n").over(
-        _window([c["stream"]], [c["bucket"]]).rowsBetween(Window.unboundedPreceding, -1))).drop("n")
-    marked = docs.withColumns({c["stream"]: stream, c["bucket"]: bucket, c["h"]: h, c["low"]: row_key(docs)})
+        _window([c["source"]], [c["bucket"]]).rowsBetween(Window.unboundedPreceding, -1))).drop("n").join(
+        sources.select(F.col("s").alias(c["source"]), F.col("kind").alias(c["kind"]), F.col("member").alias(c["member"])),
+        c["source"])
+    marked = docs.withColumns({c["source"]: src, c["bucket"]: bucket, c["h"]: h, c["low"]: row_key(docs)})
     ranked = marked.withColumn(c["rank"], F.row_number().over(_window(keys, [c["h"], f"`{id_col}`", c["low"]])))
     ranked = ranked.join(before, keys).withColumn(
         c["rank"], F.col(c["rank"]) - 1 + F.coalesce(c["before"], F.lit(0)))
 
-    blocks = {s: -(-n // block_rows) for s, n in sized.items()}
+    blocks = {name: sum(m * -(-n // block_rows) for _, m, n, _ in own) for name, own in streams.items()}
+    target = {name: sum(m * w for _, m, _, w in own) for name, own in streams.items()}
+    # a period as long as all slots rounds by less than a block; bounded by what the driver works out
+    period = max(period, min(PLANNED // max(1, len(target)), sum(blocks.values())))
     plan = phases(integer_weights(target, period), blocks) if target else {}
-    table = docs.sparkSession.createDataFrame(list(plan.items()), f"{c['stream']} string, {c['seg']} {_SEGMENT}")
+    table = []
+    for name, own in streams.items():
+        peers = [(i, m, -(-n // block_rows), w) for i, (_, m, n, w) in enumerate(own)]
+        table += [(kind, plan[name], peers, peers[i]) for i, (kind, *_) in enumerate(own)]
+    table = docs.sparkSession.createDataFrame(
+        table, f"{c['kind']} string, {c['seg']} {_SEGMENT}, {c['peers']} array<{_PEER}>, {c['self']} {_PEER}")
     block = F.floor(F.col(c["rank"]) / block_rows)
-    placed = ranked.join(F.broadcast(table), c["stream"]).withColumn(c["block"], block).withColumn(
-        c["seg"], F.filter(c["seg"], lambda s: (s["k0"] <= F.col(c["block"])) & (F.col(c["block"]) < s["k1"]))[0])
-    seg, k = F.col(c["seg"]), F.col(c["block"])
+    placed = ranked.join(F.broadcast(table), c["kind"]).withColumn(c["block"], block).withColumn(
+        c["turn"], _turn(F.col(c["block"]), F.col(c["self"]), F.col(c["peers"]), F.col(c["member"]))).withColumn(
+        c["seg"], F.filter(c["seg"], lambda s: (s["k0"] <= F.col(c["turn"])) & (F.col(c["turn"]) < s["k1"]))[0])
+    seg, k = F.col(c["seg"]), F.col(c["turn"])
     i = k - seg["k0"]
     j = k - seg["phase_k"]
     placed = placed.withColumns({
@@ -165,6 +175,81 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: Mapping[str,
     return placed, c, sum(blocks.values())
 
 
+def _sources(src: DataFrame, weights: Mapping[str, float] | None) -> tuple[int, list[tuple], DataFrame]:
+    """Number of rows; the kinds of sources (kind, sources, rows of each),
+    collected: one per name in ``weights`` and one per size; all sources (s,
+    kind, member): ``member`` counts the sources of a kind from 0."""
+    kind = F.concat(F.lit("n:"), F.col("n").cast("string"))
+    if weights:
+        kind = F.when(F.col("s").isin(*weights), F.concat(F.lit("s:"), F.col("s"))).otherwise(kind)
+    sized = src.groupBy("s").agg(F.count("*").alias("n")).withColumn("kind", kind)
+    kinds = [tuple(r) for r in sized.groupBy("kind").agg(F.count("*").alias("m"), F.max("n").alias("n")).collect()]
+    # numbered bucket by bucket: most sources may be of one size
+    bits = max(0, (sum(m for _, m, _ in kinds) // BUCKET_ROWS).bit_length())
+    h = F.xxhash64(F.lit("member"), F.col("s"))
+    sized = sized.withColumn("b", F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long"))
+    before = sized.groupBy("kind", "b").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(
+        _window(["kind"], ["b"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
+    numbered = sized.withColumn("i", F.row_number().over(_window(["kind", "b"], ["s"]))).join(before, ["kind", "b"])
+    return sum(m * n for _, m, n in kinds), kinds, numbered.select(
+        "s", "kind", (F.col("i") - 1 + F.col("before")).alias("member"))
+
+
+def _streams(kinds: list[tuple], weights: Mapping[str, float] | None) -> dict[str, list[tuple]]:
+    """Per stream its kinds (kind, sources, rows of each, weight of each)."""
+    named = sorted(k for k in kinds if k[0].startswith("s:"))
+    if len(named) >= MAX_SOURCES:
+        raise ValueError(f"at most {MAX_SOURCES - 1} weighted sources; the others need no weight")
+    sized = sorted((k for k in kinds if not k[0].startswith("s:")), key=lambda k: k[2])
+    given = {k[0]: float(weights[k[0][2:]]) for k in named}
+    if weights is None:
+        of = tempered({k: n for k, _, n in sized})
+    else:  # unnamed sources get their share of the rows
+        rows = sum(n for _, _, n in named)
+        of = {k: sum(given.values()) * n / rows if rows else float(n) for k, _, n in sized}
+    out = {k: [(k, m, n, given[k])] for k, m, n in named}
+    # unnamed sources end together, so near sizes lose nothing by sharing a stream
+    most = MAX_SOURCES - 1 if weights is None else max(1, min(64, MAX_SOURCES - 1 - len(named)))
+    for part in together([n for _, _, n in sized], most):
+        own = [(k, m, n, of[k]) for k, m, n in (sized[i] for i in part)]
+        out[own[0][0]] = own
+    return out
+
+
+def together(sizes: list[int], most: int) -> list[range]:
+    """Increasing sizes in at most ``most`` stretches with the least ratio of
+    their ends; each size by itself where that is few enough."""
+    def cut(ratio: float) -> list[range]:
+        out, at = [], 0
+        for i in range(1, len(sizes) + 1):
+            if i == len(sizes) or sizes[i] > sizes[at] * ratio:
+                out.append(range(at, i))
+                at = i
+        return out
+
+    if len(sizes) <= most:
+        return cut(1)
+    low, high = 1.0, sizes[-1] / sizes[0]
+    for _ in range(60):
+        mid = (low * high) ** 0.5
+        low, high = (low, mid) if len(cut(mid)) <= most else (mid, high)
+    return cut(high)
+
+
+def _turn(block: Column, own: Column, peers: Column, member: Column) -> Column:
+    """The block's number in its stream: the blocks before it in the order of
+    ((k + 1) / weight, kind, k, source), counted kind by kind."""
+    due = (block + 1) / own["w"]
+
+    def before(p: Column) -> Column:
+        first = lambda x: (x / p["w"] < due) | ((x / p["w"] == due) & (p["i"] < own["i"]))
+        near = F.floor(due * p["w"])  # right but for rounding: looked at again
+        n = near - 1 + first(near).cast("long") + first(near + 1).cast("long")
+        return F.when(p["i"] == own["i"], block).otherwise(F.greatest(F.lit(0), F.least(n, p["b"]))) * p["m"]
+
+    return F.aggregate(peers, F.lit(0).cast("long"), lambda acc, p: acc + before(p)) + member
+
+
 def _div(a: Column, b: Column) -> Column:
     """Whole-number division of non-negative numbers."""
     return (a - a % b) / b
