@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from custlens.session import cut_lineage
+from custlens.session import checkpoint_dir, cut_lineage
 
-__all__ = ["cut_lineage", "fresh", "only_keys", "read", "row_key", "shuffle_partitions", "sliced"]
+__all__ = ["cut_lineage", "fresh", "only_keys", "read", "row_key", "shuffle_partitions", "sliced",
+           "written"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,15 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def written(df: DataFrame, name: str = "table", **options) -> DataFrame:
+    """The rows, written as Parquet into the shared checkpoint folder and reread:
+    cuts the lineage as ``cut_lineage`` does, and with it what the optimizer has
+    derived about the columns, which grows from round to round in a loop."""
+    place = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session (the launcher sizes them)."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
