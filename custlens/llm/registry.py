@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from custlens.llm import ann, chat, exact_dedup, mixing, packing, pii, quality, simhash, substring, toxicity
+from custlens.llm import (alignment, ann, backoff_lm, chat, exact_dedup, mixing, packing, pii, prefix_trie, quality, simhash,
+                          substring, toxicity)
 from custlens.llm.common import read
 
 _PROBE = "</s>[INST] ok [/INST]"  # a text made of control strings
@@ -72,6 +73,26 @@ def q_pii(spark, d):
                         pii.spans_text(F.array_sort(F.concat("base", "learned"))).alias("spans"))
 
 
+def q_backoff_lm(spark, d):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    # pairs of words: with triples the requests pass the disk that the check grants
+    return backoff_lm.scores(read(spark, d, "documents"), held, order=2)
+
+
+def q_prefix_trie(spark, d):
+    # a conversation branches off another after its first few turns
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    rows, convs = prefix_trie.branched(read(spark, d, "conversations"), head, F.col("conv") - F.pmod("conv", F.lit(5)))
+    return prefix_trie.prefix_trie(rows, convs)
+
+
+def q_alignment(spark, d):
+    import public_tokenizers
+
+    return alignment.cross_tokenizer_links(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries():
     return {
         "op1_toxicity": q_toxicity,
@@ -84,6 +105,9 @@ def queries():
         "op8_quality": q_quality,
         "op9_chat": q_chat,
         "op10_pii": q_pii,
+        "op11_backoff_lm": q_backoff_lm,
+        "op12_prefix_trie": q_prefix_trie,
+        "op13_alignment": q_alignment,
     }
 
 
