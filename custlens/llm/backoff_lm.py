@@ -94,18 +94,30 @@ class Grams:
     place: np.ndarray  # of the last word of an occurrence
     count: np.ndarray  # in training documents of the block
     run_start: np.ndarray  # first n-gram of each stretch with one context
+    which: np.ndarray  # number of the n-gram that ends at a token (-1: none)
 
 
 def grams_of(block: Block, order: int, hot: np.ndarray, buckets: int) -> Grams:
     place = np.flatnonzero(block.at >= max(1, order - 1))
-    gram, first, which = np.unique(block.hash_of(order)[place], return_index=True, return_inverse=True)
-    count = np.bincount(which[block.train[place]], minlength=len(gram))
-    context = block.hash_of(order - 1)[place[first] - 1]
+    hashes = block.hash_of(order)[place]
+    rank = np.argsort(hashes)
+    place, hashes = place[rank], hashes[rank]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])[:len(hashes)]
+    first = np.flatnonzero(new)
+    count = np.add.reduceat(block.train[place].astype(np.int64), first) if len(first) else first
+    gram, one = hashes[first], place[first]
+    context = block.hash_of(order - 1)[one - 1]
     bucket = (np.where(np.isin(context, hot), gram, context) % np.uint64(buckets)).astype(np.int64)
-    rank = np.lexsort((context, bucket))
-    gram, context, bucket = gram[rank], context[rank], bucket[rank]
-    new = np.concatenate([[True], (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])])[:len(gram)]
-    return Grams(gram, context, bucket, place[first][rank], count[rank], np.flatnonzero(new))
+    rank = np.argsort(context)
+    small = bucket[rank].astype(np.uint16) if buckets <= 1 << 16 else bucket[rank]
+    rank = rank[np.argsort(small, kind="stable")]
+    number = np.empty(len(rank), np.int32)
+    number[rank] = np.arange(len(rank), dtype=np.int32)
+    which = np.full(len(block.run), -1, np.int32)
+    which[place] = number[np.cumsum(new) - 1]
+    context, bucket = context[rank], bucket[rank]
+    starts = np.concatenate([[True], (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])])[:len(gram)]
+    return Grams(gram[rank], context, bucket, one[rank], count[rank], np.flatnonzero(starts), which)
 
 
 # ---------------------------------------------------------------- blocks
@@ -272,71 +284,45 @@ def _level(got: DataFrame, hot: np.ndarray) -> tuple[Level, np.ndarray]:
 class Automaton:
     """The part of the backoff automaton that a block's texts can reach.
 
-    State 0 is the empty context.  ``arc``: state x words + word, sorted, of the
-    other states' arcs; the empty context has one arc per word.
+    State 0 is the empty context; the others are the contexts seen in training.
+    Arcs are numbered as the block's n-grams are: ``weight[k][g]`` and
+    ``next[k][g]`` belong to n-gram g of order k, where ``seen[k][g]``.
     """
 
     def __init__(self, block: Block, levels: list[Level], counts: list[tuple], n_train: int):
-        self.words = len(block.words)
-        every = n_train + 0.5 * (levels[0].types + 1)
+        order = len(levels)
         grams, total, _, _ = counts[0]
-        known = np.zeros(self.words, np.int64)
-        known[block.run[grams.place]] = total
-        self.known = known
-        p = (known + 0.5) / every
-        self.base = np.log10(p)
-        self.root_next = np.zeros(self.words, np.int64)
-        self.fail, self.back = [np.zeros(1, np.int64)], [np.zeros(1)]
-        arcs, weights, nexts, states = [], [], [], 1
-        by_gram = np.argsort(grams.gram)
-        shorter = (grams.gram[by_gram], p[block.run[grams.place]][by_gram])  # probabilities of the next lower order
-        name, number = np.zeros(1, np.uint64), np.zeros(1, np.int64)  # contexts of the next lower length
-        root_word, root_hash, root_seen = block.run[grams.place], block.hash_of(1)[grams.place], total > 0
-        last_arcs = None
-        for k in range(2, len(levels) + 1):
+        grams.which[block.at == 0] = grams.which[block.first[0] + block.size[0] - 1]  # end tokens are one word
+        self.which = [None, *(c[0].which for c in counts)]
+        self.seen = [None, *(c[1] > 0 for c in counts)]
+        prob = (total + 0.5) / (n_train + 0.5 * (levels[0].types + 1))
+        self.weight, self.base, self.known = [None, np.log10(prob)], np.log10(prob), total
+        state_of = [None, np.zeros(len(total), np.int64)]  # of the context that is this n-gram
+        fail, back, depth = [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int8)]
+        states = 1
+        for k in range(2, order + 1):
             grams, total, n, types = counts[k - 1]
-            level, run = levels[k - 1], grams.run_start
-            lengths = np.diff(run, append=len(grams.gram))
-            contexts, pick = np.unique(grams.context[run], return_index=True)
-            seen = n[pick] > 0
-            contexts, pick = contexts[seen], pick[seen]
-            ids = states + np.arange(len(contexts))
-            states += len(contexts)
-            left = level.discount * types[pick] / n[pick]
-            self.back.append(np.log10(left))
-            suffix = block.hash_of(k - 2)[grams.place[run[pick]] - 1]
-            self.fail.append(number[np.searchsorted(name, suffix)])
-            # arcs that end in a context of this length lead to it
-            if k == 2:
-                place = np.minimum(np.searchsorted(contexts, root_hash), max(0, len(contexts) - 1))
-                hit = root_seen & (contexts[place] == root_hash) if len(contexts) else np.zeros(len(root_hash), bool)
-                self.root_next[root_word[hit]] = ids[place[hit]]
-            else:
-                arc_hash, arc_next = last_arcs
-                place = np.minimum(np.searchsorted(contexts, arc_hash), max(0, len(contexts) - 1))
-                hit = contexts[place] == arc_hash if len(contexts) else np.zeros(len(arc_hash), bool)
-                arc_next[hit] = ids[place[hit]]
-            has = np.flatnonzero(total > 0)
-            at = np.searchsorted(contexts, grams.context[has])
-            of = np.repeat(np.arange(len(run)), lengths)[has]
-            lower = shorter[1][np.searchsorted(shorter[0], block.hash_of(k - 1)[grams.place[has]])]
-            prob = np.maximum(total[has] - level.discount, 0) / n[of] + level.discount * types[of] / n[of] * lower
-            arcs.append(ids[at] * self.words + block.run[grams.place[has]])
-            weights.append(np.log10(prob))
-            # the longest context there is so far: the last k - 1 words
-            tail = block.hash_of(k - 1)[grams.place[has]]
-            place = np.minimum(np.searchsorted(contexts, tail), max(0, len(contexts) - 1))
-            nexts.append(np.where(contexts[place] == tail, ids[place], 0) if len(contexts) else np.zeros(len(tail), np.int64))
-            last_arcs = (grams.gram[has], nexts[-1])
-            by_gram = np.argsort(grams.gram[has])
-            shorter = (grams.gram[has][by_gram], prob[by_gram])
-            name, number = contexts, ids
-        self.fail, self.back = np.concatenate(self.fail), np.concatenate(self.back)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        arc, weight, follow = join(arcs, np.int64), join(weights, float), join(nexts, np.int64)
-        rank = np.argsort(arc)
-        self.arc, self.weight, self.next = arc[rank], weight[rank], follow[rank]
-        self.start = self.root_next[0]
+            runs = np.flatnonzero(n > 0)
+            before = grams.place[grams.run_start[runs]] - 1  # where a context ends
+            context, pick = np.unique(self.which[k - 1][before], return_index=True)
+            state_of[k - 1][context] = states + np.arange(len(context))
+            left = levels[k - 1].discount * types / np.maximum(n, 1)
+            back.append(np.log10(left[runs[pick]]))
+            fail.append(state_of[k - 2][self.which[k - 2][before[pick]]] if k > 2 else np.zeros(len(context), np.int64))
+            depth.append(np.full(len(context), k - 1, np.int8))
+            states += len(context)
+            of = np.repeat(np.arange(len(n)), np.diff(grams.run_start, append=len(total)))
+            lower = prob[self.which[k - 1][grams.place]]
+            prob = np.maximum(total - levels[k - 1].discount, 0) / np.maximum(n[of], 1) + left[of] * lower
+            with np.errstate(divide="ignore"):  # n-grams not seen in training have no arc
+                self.weight.append(np.log10(prob))
+            state_of.append(np.zeros(len(total), np.int64))
+        self.fail, self.back, self.depth = (np.concatenate(x) for x in (fail, back, depth))
+        # an arc leads to the longest context that ends in its word
+        self.next = [None, *state_of[1:]]
+        if order > 1:
+            self.next[order] = state_of[order - 1][self.which[order - 1][counts[-1][0].place]]
+        self.start = state_of[1][self.which[1][block.first[0] - 1]] if order > 1 else 0
 
     def traverse(self, block: Block) -> np.ndarray:
         """log10 probability of each text: all texts read their next word
@@ -345,26 +331,27 @@ class Automaton:
         first, size = block.first[rank], block.size[rank]
         state, score = np.full(len(rank), self.start), np.zeros(len(rank))
         running = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")
-        last = max(0, len(self.arc) - 1)
         for t, n in enumerate(running.tolist()):
-            word = block.run[first[:n] + t]
-            todo = np.flatnonzero(state[:n])
-            while len(todo):  # follow failure arcs until the word has an arc
-                here = state[todo]
-                key = here * self.words + word[todo]
-                place = np.minimum(np.searchsorted(self.arc, key), last)
-                hit = self.arc[place] == key if len(self.arc) else np.zeros(len(key), bool)
-                took, place, miss = todo[hit], place[hit], ~hit
-                score[took] += self.weight[place]
-                state[took] = -1 - self.next[place]  # read: negative until the step ends
-                todo, here = todo[miss], here[miss]
-                score[todo] += self.back[here]
-                state[todo] = self.fail[here]
-                todo = todo[state[todo] > 0]
-            rest = np.flatnonzero(state[:n] == 0)
-            score[rest] += self.base[word[rest]]
-            state[rest] = -1 - self.root_next[word[rest]]
-            state[:n] = -1 - state[:n]
+            at, now, gained = first[:n] + t, state[:n], np.zeros(n)
+            then = np.full(n, -1)
+            for k in range(len(self.which) - 1, 1, -1):  # follow failure arcs until the word has an arc
+                todo = np.flatnonzero((then < 0) & (self.depth[now] == k - 1))
+                if not len(todo):
+                    continue
+                gram = self.which[k][at[todo]]
+                hit = self.seen[k][gram]
+                took, gram = todo[hit], gram[hit]
+                gained[took] += self.weight[k][gram]
+                then[took] = self.next[k][gram]
+                failed = todo[~hit]
+                gained[failed] += self.back[now[failed]]
+                now[failed] = self.fail[now[failed]]
+            rest = np.flatnonzero(then < 0)
+            word = self.which[1][at[rest]]
+            gained[rest] += self.weight[1][word]
+            then[rest] = self.next[1][word]
+            state[:n] = then
+            score[:n] += gained
         out = np.empty(len(rank))
         out[rank] = score
         return out
@@ -387,7 +374,7 @@ def _counts(block: Block, levels: list[Level], rows: dict, buckets: int) -> list
 
 
 def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3,
-           block_bytes: int = 16 << 20) -> DataFrame:
+           block_bytes: int = 8 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) per
     row; the model learns from the rows where ``held`` (a Column over the
     documents) is not true.  ``base_score`` is the unigram part alone.
@@ -421,7 +408,7 @@ def scores(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
         block = _read_block(left.select(names).to_pylist()[0])
         counts = _counts(block, levels, right.to_pydict(), buckets)
         automaton = Automaton(block, levels, counts, n_train)
-        word, at = block.run[block.at > 0], np.cumsum(block.size) - block.size
+        word, at = automaton.which[1][block.at > 0], np.cumsum(block.size) - block.size
         base = np.add.reduceat(automaton.base[word], at)
         known = np.add.reduceat((automaton.known[word] > 0).astype(np.int64), at)
         ids = left.column("ids").combine_chunks().flatten()
