@@ -300,7 +300,7 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
-            cached_units: int = 300_000, slice_bytes: int = 1 << 20) -> DataFrame:
+            cached_units: int = 200_000, slice_bytes: int = 1 << 20) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) per row:
     its distinct linked pairs (A id x size of B + B id) and how often each is linked."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -333,7 +333,7 @@ def pair_counts(found: DataFrame, b_size: int) -> DataFrame:
 
 
 def cross_tokenizer_links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
-                          cached_units: int = 300_000, broadcast_pairs: int = 2_000_000) -> DataFrame:
+                          cached_units: int = 200_000, broadcast_pairs: int = 2_000_000) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) per row.
 
     ``broadcast_pairs``: the pair table is broadcast if it has at most so many rows (about 50 bytes each).
