@@ -60,7 +60,8 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by, value).agg(F.count("*").alias("_cnt")).persist()
 
 
-def cumulated(counts: DataFrame, value: str, by: Sequence[str] = (), total: str | None = None) -> DataFrame:
+def cumulated(counts: DataFrame, value: str, by: Sequence[str] = (), total: str | None = None,
+              keep: Sequence[str] = ()) -> DataFrame:
     """A (by..., value, _cnt) table with ``_before`` = the group's rows with a
     smaller value (and ``total`` = the group's rows).
 
@@ -81,7 +82,7 @@ def cumulated(counts: DataFrame, value: str, by: Sequence[str] = (), total: str
     on = F.col("_bkt") == F.col("_o_bkt")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_o_{i}"))
-    return placed.join(renamed, on).select(*keys, value, "_cnt", (F.col("_off") + F.col("_in")).alias("_before"),
+    return placed.join(renamed, on).select(*keys, value, "_cnt", *keep, (F.col("_off") + F.col("_in")).alias("_before"),
                                            *([total] if total else []))
 
 
