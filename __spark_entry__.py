@@ -28,14 +28,16 @@ from custlens.operators import wrangle as W
 from custlens.sources import io as IO
 from custlens.sources import profiling as P
 
-# The training-data operators live in a subpackage of their own that may be absent.
+# The training-data operators live in a subpackage of their own that may be absent,
+# as may the libraries that only it needs; the pipeline is a file beside it.
 try:
-    import corpus_pipeline
     from custlens.llm import registry as _llm
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "custlens.llm", "custlens.llm.registry"):
-        raise
+except ImportError:
     _llm = None
+try:
+    import corpus_pipeline
+except ImportError:
+    corpus_pipeline = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -362,12 +364,25 @@ def q_anova_oneway(spark, d):
 
 def q_anova_twoway(spark, d):
     out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"])
-    return _round(out.drop("p", "significant"), {"sum_sq": 3, "F": 6})  # p has no SQL form
+    return _round(out, {"sum_sq": 4, "F": 8, "p": 10})
 
 
 def q_anova_twoway_interaction(spark, d):
     out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"], interactions=True)
-    return _round(out.drop("p", "significant"), {"sum_sq": 3, "F": 6})  # p has no SQL form
+    return _round(out, {"sum_sq": 4, "F": 8, "p": 10})
+
+
+# The names ending in _sums, _spans and _estimates hold the columns of the query
+# before that have an SQL form (p-values and quantiles of t, F and the studentised
+# range have none).
+def q_anova_twoway_sums(spark, d):
+    out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"])
+    return _round(out.drop("p", "significant"), {"sum_sq": 3, "F": 6})
+
+
+def q_anova_twoway_interaction_sums(spark, d):
+    out = A.anova(_t(spark, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"], interactions=True)
+    return _round(out.drop("p", "significant"), {"sum_sq": 3, "F": 6})
 
 
 def q_anova_threeway(spark, d):
@@ -382,6 +397,11 @@ def q_group_means(spark, d):
 
 
 def q_posthoc_tukey(spark, d):
+    out = A.posthoc(_t(spark, d, "lineitem"), "l_quantity", "l_returnflag", "tukey")
+    return _round(out, {"meandiff": 8, "p_adj": 8, "lower": 6, "upper": 6})
+
+
+def q_posthoc_tukey_spans(spark, d):
     out = A.posthoc(_t(spark, d, "lineitem"), "l_quantity", "l_returnflag", "tukey")
     # the interval is meandiff -+ q * se with one q for all pairs: its half widths
     # are compared as shares of the widest (q itself has no SQL form)
@@ -412,7 +432,14 @@ def _keyed_lineitem(spark, d):
     return li.withColumn("row_key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
 
 
+_COEF = {"coef": 6, "se": 6, "t": 6, "p": 10, "ci_low": 6, "ci_high": 6}
+
+
 def q_ols_coefficients(spark, d):
+    return _round(R.ols(_t(spark, d, "lineitem"), _OLS).coefficients(spark), _COEF)
+
+
+def q_ols_estimates(spark, d):
     res = R.ols(_t(spark, d, "lineitem"), _OLS)
     return _round(res.coefficients(spark).select("term", "coef", "se", "t"), {"coef": 6, "se": 6, "t": 6})
 
@@ -441,6 +468,10 @@ def q_ols_log(spark, d):
 
 
 def q_ols_categorical(spark, d):
+    return _round(R.ols(_t(spark, d, "lineitem"), _OLS_CAT).coefficients(spark), _COEF)
+
+
+def q_ols_categorical_estimates(spark, d):
     res = R.ols(_t(spark, d, "lineitem"), _OLS_CAT)
     return _round(res.coefficients(spark).select("term", "coef", "se", "t"), {"coef": 4, "se": 4, "t": 4})
 
@@ -502,9 +533,14 @@ def _li_target(spark, d):
 
 
 def q_logit_coefficients(spark, d):
+    res = L.logit(_li_target(spark, d), "is_return", _LOGIT_X)
+    return _round(res.coefficients(spark), {"coef": 8, "se": 8, "z": 6, "p": 8, "odds_ratio": 8})
+
+
+def q_logit_estimates(spark, d):
     res = L.logit(_li_target(spark, d), "is_return", _LOGIT_X)
     out = res.coefficients(spark).select("term", "coef", "se", "z", "odds_ratio", "significant")
-    return _round(out, {"coef": 6, "se": 6, "z": 4, "odds_ratio": 6})  # p has no SQL form
+    return _round(out, {"coef": 6, "se": 6, "z": 4, "odds_ratio": 6})
 
 
 def q_logit_fit_stats(spark, d):
@@ -855,18 +891,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "chi2_expected": q_chi2_expected,
         "anova_oneway": q_anova_oneway,
         "anova_twoway": q_anova_twoway,
+        "anova_twoway_sums": q_anova_twoway_sums,
+        "anova_twoway_interaction_sums": q_anova_twoway_interaction_sums,
         "anova_twoway_interaction": q_anova_twoway_interaction,
         "anova_threeway": q_anova_threeway,
         "group_means": q_group_means,
         "posthoc_tukey": q_posthoc_tukey,
+        "posthoc_tukey_spans": q_posthoc_tukey_spans,
         "posthoc_scheffe": q_posthoc_scheffe,
         "posthoc_bonferroni": q_posthoc_bonferroni,
         "ols_coefficients": q_ols_coefficients,
+        "ols_estimates": q_ols_estimates,
         "ols_fit_stats": q_ols_fit_stats,
         "ols_residuals": q_ols_residuals,
         "ols_square": q_ols_square,
         "ols_log": q_ols_log,
         "ols_categorical": q_ols_categorical,
+        "ols_categorical_estimates": q_ols_categorical_estimates,
         "check_positive": q_check_positive,
         "qq_points": q_qq_points,
         "resid_histogram": q_resid_histogram,
@@ -877,6 +918,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "holdout_rmse": q_holdout_rmse,
         "compare_square": q_compare_square,
         "logit_coefficients": q_logit_coefficients,
+        "logit_estimates": q_logit_estimates,
         "logit_fit_stats": q_logit_fit_stats,
         "logit_score_profile": q_logit_score_profile,
         "logit_holdout": q_logit_holdout,
@@ -924,7 +966,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kfold_rmse": q_kfold_rmse,
     }
     if _llm is not None:
-        out |= _llm.queries() | {"pipeline": corpus_pipeline.run}
+        out |= _llm.queries()
+    if corpus_pipeline is not None:
+        out["pipeline"] = corpus_pipeline.run
     return out
 
 
@@ -1441,9 +1485,13 @@ def _anova_sql(interaction: bool) -> str:
     src = "(SELECT l_returnflag, l_linestatus, l_quantity - (SELECT avg(l_quantity) FROM lineitem) AS y FROM lineitem)"
     a = [_flag("l_returnflag = 'N'"), _flag("l_returnflag = 'R'")]
     b = [_flag("l_linestatus = 'O'")]
-    both = [f"({x}) * ({z})" for x in a for z in b]
-    fits = {"fa": a, "fb": b, "fab": a + b} | ({"full": a + b + both} if interaction else {})
+    fits = {"fa": a, "fb": b, "fab": a + b}
     ctes = ", ".join(_rss_cte(k, src, ["1.0", *xs], "y") for k, xs in fits.items())
+    if interaction:
+        # the crossed model fits every cell by its mean: what is left is the spread inside cells
+        fits["full"] = []
+        ctes += (f", full AS (SELECT sum(ss) AS rss, sum(k) AS n, count(*) AS p FROM (SELECT count(*) AS k, "
+                 f"sum(y * y) - sum(y) * sum(y) / count(*) AS ss FROM {src} GROUP BY l_returnflag, l_linestatus))")
     full = "full" if interaction else "fab"
     rows = [("l_returnflag", "fb.rss - fab.rss", "fab.p - fb.p"), ("l_linestatus", "fa.rss - fab.rss", "fab.p - fa.p")]
     if interaction:
@@ -1503,7 +1551,7 @@ def _logit_sql(kind: str) -> str:
         return with_ + """, d AS (SELECT count(*) AS n, avg(y) AS b, -2 * sum(y * ln(p) + (1 - y) * ln(1 - p)) AS dev FROM scored),
             e AS (SELECT *, -2 * n * (b * ln(b) + (1 - b) * ln(1 - b)) AS nul FROM d)
             SELECT n, round(b, 8) AS base_rate, round(1 - dev / nul, 8) AS pseudo_r2, round(dev, 3) AS deviance,
-                   round(nul, 3) AS null_deviance, true AS converged FROM e"""
+                   round(nul, 3) AS null_deviance, true AS converged, 'ok' AS status FROM e"""
     med = ", ".join(f"quantile_cont({x}, 0.5) AS {x}" for x in _LOGIT_X)
     lin = " + ".join(["c0", *[f"c{i} * {x}" for i, x in enumerate(_LOGIT_X, 1)]])
     return with_ + f", m AS (SELECT {med} FROM lineitem) SELECT {', '.join(_LOGIT_X)}, round(1.0 / (1.0 + exp(-({lin}))), 6) AS probability FROM m, fit"
@@ -1627,7 +1675,7 @@ def oracle_sql() -> dict[str, str]:
         "group_means": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 8) AS mean
                           FROM lineitem GROUP BY ALL""",
         "posthoc_scheffe": _SCHEFFE_SQL,
-        "ols_coefficients": _ols2_coef_sql(_LI2, ("l_quantity", "l_discount")),
+        "ols_estimates": _ols2_coef_sql(_LI2, ("l_quantity", "l_discount")),
         "ols_fit_stats": f"""WITH {_ols2_ctes(_LI2)}
             SELECT round(1 - rss / syy, 10) AS r2, round(1 - (rss / syy) * (n - 1) / (n - 3), 10) AS adj_r2,
                    round(((syy - rss) / 2) / s2, 6) AS f, round(pow(1 + 2 * (((syy - rss) / 2) / s2) / (n - 3), -(n - 3) / 2), 10) AS f_p,
@@ -1721,12 +1769,12 @@ def oracle_sql() -> dict[str, str]:
                              FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     }
     out |= {
-        "anova_twoway": _anova_sql(False), "anova_twoway_interaction": _anova_sql(True), "ols_categorical": _ols_cat_sql(),
-        "posthoc_tukey": _TUKEY_SQL, "logit_coefficients": _logit_sql("coefficients"), "logit_fit_stats": _logit_sql("fit"),
+        "anova_twoway_sums": _anova_sql(False), "anova_twoway_interaction_sums": _anova_sql(True),
+        "ols_categorical_estimates": _ols_cat_sql(), "posthoc_tukey_spans": _TUKEY_SQL, "logit_estimates": _logit_sql("coefficients"), "logit_fit_stats": _logit_sql("fit"),
         "logit_score_profile": _logit_sql("profile"), "logit_holdout": _logit_holdout_sql(),
     }
     if _llm is not None:
         out |= _llm.oracle_sql()
-        if corpus_pipeline.ORACLE_SQL:
-            out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out

@@ -63,9 +63,11 @@ def gaussian_nb(data: DataFrame, xs: Sequence[str], y: str, key: str, var_smooth
     """Gaussian naive Bayes: per-class priors, means and population variances
     (plus ``var_smoothing`` x the largest feature variance) from one
     ``groupBy(class)``; the test rows are scored by a JVM expression against
-    the broadcast class table.  (key, truth, pred)."""
+    the broadcast class table.  ``y`` is numeric.  (key, truth, pred); without
+    training rows pred is NULL."""
     train = data.where("_train")
-    eps = train.agg(F.greatest(*[F.var_pop(clean_num(x)) for x in xs]).alias("e")).collect()[0]["e"] * var_smoothing
+    spread = train.agg(*[F.var_pop(clean_num(x)).alias(f"v{i}") for i, x in enumerate(xs)]).first()
+    eps = max((v for v in spread if v is not None), default=0.0) * var_smoothing
     stats = train.groupBy(F.col(y).alias("_cls")).agg(
         F.count("*").alias("_nc"), *[F.avg(clean_num(x)).alias(f"_m{i}") for i, x in enumerate(xs)],
         *[(F.var_pop(clean_num(x)) + F.lit(eps)).alias(f"_v{i}") for i, x in enumerate(xs)])

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from custlens.functions.columns import clean_num, kurt_g2, skew_g1
 from custlens.plans.common import attach
-from custlens.plans.quantiles import exact_quantiles, mode_of_counts, quantiles_of_counts
-from custlens.plans.ranks import average_rank, value_counts
+from custlens.plans.quantiles import exact_quantiles, mode_of_counts
+from custlens.plans.ranks import average_rank
 
 # fixed values: measure names and their order in the summary table
 MEASURES = [
@@ -38,14 +38,10 @@ def summary_wide(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     keys = list(by)
     mom = _moments(df, col, keys).persist()  # one row per group
     rows = df.select(*keys, clean_num(col).alias("_x")).where(F.col("_x").isNotNull())
-    # one (value, count) table answers the quantiles, the mode and the mean
-    # absolute deviation about the group mean
-    counts = value_counts(rows, "_x", keys)
-    q = quantiles_of_counts(counts, "_x", [0.5, 0.25, 0.75], keys, names=["median", "p25", "p75"])
-    mode = mode_of_counts(counts, "_x", keys)
-    mad = attach(counts, mom.select(*keys, F.col("mean").alias("_mean")), keys).groupBy(*keys).agg(
-        (F.sum(F.abs(F.col("_x") - F.col("_mean")) * F.col("_cnt")) / F.sum("_cnt")).alias("mean_abs_dev")
-    )
+    q = exact_quantiles(rows, "_x", [0.5, 0.25, 0.75], keys, names=["median", "p25", "p75"])
+    mode = mode_of_counts(rows.groupBy(*keys, "_x").agg(F.count("*").alias("_cnt")), "_x", keys)
+    mad = attach(rows, mom.select(*keys, F.col("mean").alias("_mean")), keys).groupBy(*keys).agg(
+        F.avg(F.abs(F.col("_x") - F.col("_mean"))).alias("mean_abs_dev"))
     joined = mom
     for part in (q, mode, mad):
         joined = joined.join(part, keys, "left") if keys else joined.join(part, F.lit(True), "left")

@@ -13,28 +13,30 @@ from pyspark.sql import functions as F
 
 from custlens.functions import dist
 from custlens.functions.columns import clean_num
-from custlens.plans.common import one_row
+from custlens.plans.common import judged, one_row, stat_frame
 from custlens.plans.quantiles import exact_quantiles
 
 ALPHA = 0.05
 
 
 def _frame(df: DataFrame, row: dict, schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([tuple(row[k.split()[0]] for k in schema.split(", "))], schema)
+    return stat_frame(df.sparkSession, [[row[k.split()[0]] for k in schema.split(", ")]], schema)
 
 
 def ttest_1samp(df: DataFrame, col: str, mu: float | None = None) -> DataFrame:
     """One-sample t-test of the mean against ``mu`` (default: the exact median).
 
-    One row (n, mean, mu, t, df, p, significant)."""
+    One row (n, mean, mu, t, df, p, significant); what is undefined (no or one
+    value, no spread) is NULL."""
     x = clean_num(col)
     st = one_row(df.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")))
     if mu is None:
-        mu = one_row(exact_quantiles(df, col, [0.5], names=["m"]))["m"]
+        found = exact_quantiles(df, col, [0.5], names=["m"]).collect()  # no row without values
+        mu = found[0]["m"] if found else math.nan
     n, mean, sd = st["n"], st["mean"], st["sd"]
     t = (mean - mu) / (sd / math.sqrt(n)) if n and n > 1 and sd else math.nan
     p = dist.t_two_sided(t, n - 1) if not math.isnan(t) else math.nan
-    row = dict(n=n, mean=mean, mu=float(mu), t=t, df=float(n - 1), p=p, significant=bool(p < ALPHA))
+    row = dict(n=n, mean=mean, mu=float(mu), t=t, df=float(n - 1) if n else math.nan, p=p, significant=judged(p, ALPHA))
     return _frame(df, row, "n bigint, mean double, mu double, t double, df double, p double, significant boolean")
 
 
@@ -62,14 +64,15 @@ def ttest_welch(df: DataFrame, col: str, group: str, a, b) -> DataFrame:
     t, dof = _welch(ra["n"], ra["m"], ra["v"] or 0.0, rb["n"], rb["m"], rb["v"] or 0.0)
     p = dist.t_two_sided(t, dof) if not math.isnan(t) else math.nan
     row = dict(group_a=str(a), group_b=str(b), n_a=ra["n"], n_b=rb["n"], mean_a=ra["m"], mean_b=rb["m"],
-               t=t, df=dof, p=p, significant=bool(p < ALPHA))
+               t=t, df=dof, p=p, significant=judged(p, ALPHA))
     return _frame(df, row, "group_a string, group_b string, n_a bigint, n_b bigint, mean_a double, mean_b double, "
                            "t double, df double, p double, significant boolean")
 
 
 def ttest_paired(df: DataFrame, a: str, b: str) -> DataFrame:
     """Paired t-test on rows with both values.  ``t`` is of a - b; ``mean_change``
-    is b - a.  One row (n, mean_a, mean_b, mean_change, t, df, p, significant)."""
+    is b - a.  One row (n, mean_a, mean_b, mean_change, t, df, p, significant);
+    what is undefined is NULL."""
     xa, xb = clean_num(a), clean_num(b)
     both = df.where(xa.isNotNull() & xb.isNotNull())
     st = one_row(both.agg(F.count("*").alias("n"), F.avg(xa).alias("ma"), F.avg(xb).alias("mb"),
@@ -78,7 +81,7 @@ def ttest_paired(df: DataFrame, a: str, b: str) -> DataFrame:
     t = st["md"] / (st["sd"] / math.sqrt(n)) if n and n > 1 and st["sd"] else math.nan
     p = dist.t_two_sided(t, n - 1) if not math.isnan(t) else math.nan
     row = dict(n=n, mean_a=st["ma"], mean_b=st["mb"], mean_change=(st["mb"] - st["ma"]) if n else None,
-               t=t, df=float(n - 1), p=p, significant=bool(p < ALPHA))
+               t=t, df=float(n - 1) if n else math.nan, p=p, significant=judged(p, ALPHA))
     return _frame(df, row, "n bigint, mean_a double, mean_b double, mean_change double, t double, df double, "
                            "p double, significant boolean")
 
@@ -108,21 +111,22 @@ def chi2_independence(df: DataFrame, a: str, b: str, yates: bool = True) -> Data
 
     One row (chi2, dof, p, n, cramers_v, strength, min_expected, low_expected)
     - Yates' correction when dof = 1 (as the usual library default), Cramér's V
-    from the same statistic, and a flag when any expected count is below 5."""
+    from the same statistic, and a flag when any expected count is below 5.
+    What is undefined (no rows, one level) is NULL; an empty table has dof 0."""
     cells = chi2_expected(df, a, b, yates)
     st = one_row(cells.agg(
         F.sum("contribution").alias("chi2"), F.sum("observed").alias("n"), F.countDistinct(a).alias("r"),
         F.countDistinct(b).alias("c"), F.min("expected").alias("min_expected"),
     ))
-    r, c, n, chi2 = st["r"], st["c"], st["n"], st["chi2"]
-    dof = (r - 1) * (c - 1)
+    r, c, n, chi2 = st["r"], st["c"], st["n"] or 0, st["chi2"]
+    dof = (r - 1) * (c - 1) if n else 0
     p = dist.chi2_sf(chi2, dof) if dof > 0 else math.nan
     v = math.sqrt(chi2 / (n * (min(r, c) - 1))) if n and min(r, c) > 1 else math.nan
     # fixed values: Cramér's V strength scale
     strength = None if math.isnan(v) else ("negligible" if v < 0.1 else "weak" if v < 0.3 else
                                            "moderate" if v < 0.5 else "strong")
     row = dict(chi2=chi2, dof=dof, p=p, n=n, cramers_v=v, strength=strength, min_expected=st["min_expected"],
-               low_expected=bool(st["min_expected"] is not None and st["min_expected"] < 5),
-               significant=bool(p < ALPHA))
+               low_expected=None if st["min_expected"] is None else bool(st["min_expected"] < 5),
+               significant=judged(p, ALPHA))
     return _frame(df, row, "chi2 double, dof bigint, p double, n bigint, cramers_v double, strength string, "
                            "min_expected double, low_expected boolean, significant boolean")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import clean_num
+from custlens.plans.common import judged, stat_frame
 from custlens.plans.quantiles import exact_quantiles
 from custlens.plans.split import stratified_flag
 from custlens.operators.regression import complete_rows
@@ -33,21 +34,31 @@ class LogitResult:
     deviance: float
     null_deviance: float
     converged: bool
+    separated: bool = False  # a linear score parts the classes: no finite maximum exists
 
     def coefficients(self, spark) -> DataFrame:
         """(term, coef, se, z, p, odds_ratio, significant)."""
         rows = []
         for name, b, se, z, p in zip(("Intercept", *self.xs), self.coef, self.se, self.z, self.p):
-            rows.append((name, b, se, z, p, math.exp(b) if b < 700 else math.inf, bool(p < ALPHA)))
-        return spark.createDataFrame(rows, "term string, coef double, se double, z double, p double, "
+            rows.append((name, b, se, z, p, math.inf if b >= 700 else math.exp(b), judged(p, ALPHA)))
+        return stat_frame(spark, rows, "term string, coef double, se double, z double, p double, "
                                            "odds_ratio double, significant boolean")
 
     def fit_stats(self, spark) -> DataFrame:
-        """(n, base_rate, pseudo_r2 (McFadden), deviance, null_deviance, converged)."""
+        """(n, base_rate, pseudo_r2 (McFadden), deviance, null_deviance, converged, status);
+        status is ok, separated, one class, not converged or no rows."""
         r2 = 1 - self.deviance / self.null_deviance if self.null_deviance > 0 else math.nan
-        return spark.createDataFrame([(self.n, self.base_rate, r2, self.deviance, self.null_deviance, self.converged)],
-                                     "n bigint, base_rate double, pseudo_r2 double, deviance double, "
-                                     "null_deviance double, converged boolean")
+        return stat_frame(spark, [(self.n, self.base_rate, r2, self.deviance, self.null_deviance, self.converged, self.status)],
+                          "n bigint, base_rate double, pseudo_r2 double, deviance double, null_deviance double, "
+                          "converged boolean, status string")
+
+    @property
+    def status(self) -> str:
+        if not self.n:
+            return "no rows"
+        if self.base_rate in (0.0, 1.0):
+            return "one class"
+        return "separated" if self.separated else "ok" if self.converged else "not converged"
 
     def linear_expr(self) -> Column:
         e = F.lit(self.coef[0])
@@ -72,11 +83,21 @@ class LogitResult:
 def logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 100, tol: float = 1e-10) -> LogitResult:
     """Unpenalised logistic regression by IRLS (``GeneralizedLinearRegression``,
     binomial/logit) on complete rows.  Each iteration is one distributed
-    weighted least-squares pass; standard errors from the Fisher information."""
+    weighted least-squares pass; standard errors from the Fisher information.
+
+    Where the fitted score parts the two classes (one pass over score ranges) or
+    only one class is there, the likelihood has no maximum: the coefficients are
+    those of the last step, ``converged`` is false and no errors, z or p are
+    given.  Without rows all estimates are missing."""
     xs = tuple(xs)
     data = complete_rows(df, [y, *xs]).select(clean_num(y).alias("_label"), *[clean_num(x).alias(x) for x in xs])
     # each IRLS iteration reads these rows again
     feats = VectorAssembler(inputCols=list(xs), outputCol="_features").transform(data).persist()
+    base = feats.agg(F.avg("_label").alias("b"), F.count("*").alias("n")).first()
+    if not base["n"]:
+        feats.unpersist()
+        none = (math.nan,) * (len(xs) + 1)
+        return LogitResult(y, xs, none, none, none, none, 0, math.nan, math.nan, math.nan, False)
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_features", labelCol="_label",
                                       maxIter=max_iter, tol=tol, regParam=0.0)
     model = glr.fit(feats)
@@ -91,8 +112,15 @@ def logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 100, tol: fl
     coef = (float(model.intercept), *[float(c) for c in model.coefficients])
     # Spark lists the intercept last in its summary vectors
     order = [len(xs), *range(len(xs))]
-    base = data.agg(F.avg("_label").alias("b"), F.count("*").alias("n")).collect()[0]
-    converged = s.numIterations < max_iter  # the solver stopped by itself
+    score = F.lit(coef[0])
+    for b, x in zip(coef[1:], xs):
+        score = score + F.lit(b) * F.col(x)
+    ends = feats.agg(F.min(F.when(F.col("_label") == 1, score)).alias("one"), F.max(F.when(F.col("_label") == 0, score)).alias("zero")).first()
+    separated = ends["one"] is not None and ends["zero"] is not None and ends["one"] >= ends["zero"]
+    converged = s.numIterations < max_iter and not separated and None not in (ends["one"], ends["zero"])
+    if not converged:
+        se, zv, pv = ([math.nan] * (len(xs) + 1) for _ in range(3))
+    feats.unpersist()
     # the intercept-only fit of 0/1 outcomes has the base rate as its
     # probability, so its deviance is closed form (no second IRLS run)
     pb, n = float(base["b"]), int(base["n"])
@@ -100,6 +128,7 @@ def logit(df: DataFrame, y: str, xs: Sequence[str], max_iter: int = 100, tol: fl
     return LogitResult(
         y, xs, coef, tuple(float(se[i]) for i in order), tuple(float(zv[i]) for i in order),
         tuple(float(pv[i]) for i in order), n, pb, float(s.deviance), float(null_dev), bool(converged),
+        bool(separated),
     )
 
 

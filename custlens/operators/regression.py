@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from custlens.functions import dist
 from custlens.functions.columns import clean_num
-from custlens.plans.common import one_row
+from custlens.plans.common import judged, one_row, stat_frame
 from custlens.plans.quantiles import exact_quantiles
 from custlens.plans.split import fold_id, split_flag
 from custlens.plans.suffstats import LinearFit, Moments, column_means, moments, solve, sse_on
@@ -124,12 +124,12 @@ class OlsResult:
             t = b / se if se > 0 else math.nan
             p = dist.t_two_sided(t, self.df_resid) if not math.isnan(t) else math.nan
             rows.append((name, float(b), float(se), float(t), float(p), float(b - tcrit * se), float(b + tcrit * se),
-                         bool(p < ALPHA)))
+                         judged(p, ALPHA)))
         return rows
 
     def coefficients(self, spark) -> DataFrame:
         """(term, coef, se, t, p, ci_low, ci_high, significant)."""
-        return spark.createDataFrame(self.coef_table(), "term string, coef double, se double, t double, p double, "
+        return stat_frame(spark, self.coef_table(), "term string, coef double, se double, t double, p double, "
                                                         "ci_low double, ci_high double, significant boolean")
 
     def fit_stats_row(self) -> dict:
@@ -144,7 +144,7 @@ class OlsResult:
 
     def fit_stats(self, spark) -> DataFrame:
         r = self.fit_stats_row()
-        return spark.createDataFrame([tuple(r.values())], "r2 double, adj_r2 double, f double, f_p double, n bigint, "
+        return stat_frame(spark, [tuple(r.values())], "r2 double, adj_r2 double, f double, f_p double, n bigint, "
                                                           "df_model double, df_resid double, rmse double")
 
     def fitted_expr(self, df: DataFrame) -> Column:
@@ -187,7 +187,8 @@ def _prepare(df: DataFrame, spec: OlsSpec):
 
 def ols(df: DataFrame, spec: OlsSpec) -> OlsResult:
     """Fit OLS with intercept on complete rows: one pass for column means,
-    one for centred cross-products; the solve is p x p on the driver."""
+    one for centred cross-products; the solve is p x p on the driver.  Without
+    complete rows all estimates are missing (NULL in the tables)."""
     data, names, exprs, lv = _prepare(df, spec)
     center = column_means(data, exprs)
     mom = moments(data, exprs, center)[None]

@@ -21,8 +21,9 @@ from custlens.plans.kmeans import Run, assign_expr, best_of, fit_many
 
 def scale_for_clustering(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Complete rows with ``<c>_z`` columns (population sd), as distance-based
-    models expect."""
-    return standardize(complete_rows(df, cols), cols, ddof=0)
+    models expect; a column without spread is 0 everywhere."""
+    z = standardize(complete_rows(df, cols), cols, ddof=0)
+    return z.withColumns({f"{c}_z": F.coalesce(F.col(f"{c}_z"), F.lit(0.0)) for c in cols})
 
 
 def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -33,7 +34,7 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 8), r
           seed: int = 42) -> DataFrame:
     """(k, inertia) on the standardised columns, best of ``restarts`` runs for
     every k; all k and restarts advance together in shared passes.  k = 1 is
-    the total sum of squares about the mean."""
+    the total sum of squares about the mean.  Without rows every inertia is 0."""
     z = [f"{c}_z" for c in cols]
     data = scale_for_clustering(df, cols).select(*z)
     runs, owner = [], {}
@@ -76,18 +77,9 @@ def kmeans_segments(df: DataFrame, cols: Sequence[str], k: int, restarts: int =
     return Segmentation(data.withColumn(label, assign_expr(z, centers)), centers, inertia)
 
 
-def kmeans_ml(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, label: str = "cluster") -> DataFrame:
-    """Single ``pyspark.ml`` k-means (k-means|| seeding) on standardised columns."""
-    z = [f"{c}_z" for c in cols]
-    data = _vectors(scale_for_clustering(df, cols), z)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=label, maxIter=100, tol=1e-4).fit(data)
-    return model.transform(data).drop("_features")
-
-
 # ---------------------------------------------------------------- Ward
 def _ward_merges(cent: np.ndarray, sizes: np.ndarray):
-    """Ward agglomeration of m weighted centroids on the driver (m <= cap),
-    by the nearest-neighbour chain with Lance-Williams updates, O(m^2).
+    """Ward agglomeration of the m weighted centres of a codebook, by the nearest-neighbour chain with Lance-Williams updates, O(m^2).
 
     Returns merges [(left, right, height, size)] sorted by height with
     linkage-matrix ids (leaves 0..m-1, merge t gets id m+t)."""
@@ -131,7 +123,6 @@ def _ward_merges(cent: np.ndarray, sizes: np.ndarray):
         n[a] = na + nb
     # order by height and give linkage ids (union-find over slots)
     order = sorted(range(len(raw)), key=lambda t: raw[t][2])
-    slot_id = list(range(m))
     parent = list(range(m))
 
     def find(v):
@@ -149,7 +140,6 @@ def _ward_merges(cent: np.ndarray, sizes: np.ndarray):
         parent[rb] = ra
         cluster_of_root[ra] = m + t
         out.append((min(ia, ib), max(ia, ib), h, sz))
-    del slot_id
     return out
 
 
@@ -172,10 +162,25 @@ def _cut(merges, m: int, k: int) -> np.ndarray:
 
 
 def _codebook(data: DataFrame, z: Sequence[str], centres: int, seed: int):
-    """(k-means model, rows with their centre, centres (m x d), rows per centre)."""
-    model = KMeans(k=centres, seed=seed, featuresCol="_features", predictionCol="_centre").fit(_vectors(data, z))
+    """(rows with their centre, centres in use, their places (m x d), rows per
+    centre); nothing in use without rows."""
+    if data.isEmpty():
+        return data.withColumn("_centre", F.lit(None).cast("int")), [], np.empty((0, len(z))), np.empty(0)
+    # equal rows are one weighted point; few points are the codebook themselves
+    points = data.groupBy(*z).agg(F.count("*").alias("_n")).persist()
+    few = points.limit(centres + 1).collect()
+    if len(few) <= centres:
+        points.unpersist()
+        few.sort()
+        book = data.sparkSession.createDataFrame([(*(r[c] for c in z), i) for i, r in enumerate(few)],
+                                                 [*z, "_centre"]).withColumn("_centre", F.col("_centre").cast("int"))
+        return (data.join(F.broadcast(book), list(z), "left").select(*data.columns, "_centre"), list(range(len(few))),
+                np.array([[r[c] for c in z] for r in few], float), np.array([r["_n"] for r in few], float))
+    model = KMeans(k=centres, seed=seed, featuresCol="_features", predictionCol="_centre", weightCol="_n").fit(_vectors(points, z))
+    placed = model.transform(_vectors(points, z)).groupBy("_centre").agg(F.sum("_n").alias("n")).collect()
+    found = {r["_centre"]: r["n"] for r in placed}
+    points.unpersist()
     coded = model.transform(_vectors(data, z)).drop("_features")
-    found = {r["_centre"]: r["n"] for r in coded.groupBy("_centre").agg(F.count("*").alias("n")).collect()}
     used = sorted(found)
     points = np.array([model.clusterCenters()[i] for i in used], dtype=float).reshape(len(used), len(z))
     return coded, used, points, np.array([found[i] for i in used], dtype=float)

@@ -205,7 +205,7 @@ def topics(df: DataFrame, text: str, k: int = 3, min_df: int = 5, top: int = 8,
            max_iter: int = 20) -> DataFrame:
     """LDA topics: (topic, rank, term, weight) for the ``top`` terms of each of
     ``k`` topics.  Tokens of two or more word characters, English stop words
-    removed, terms in at least ``min_df`` documents."""
+    removed, terms in at least ``min_df`` documents; no topics without such terms."""
     docs = df.select(text).where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
     tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="\\b\\w\\w+\\b", gaps=False,
                          toLowercase=True).transform(docs)
@@ -214,6 +214,8 @@ def topics(df: DataFrame, text: str, k: int = 3, min_df: int = 5, top: int = 8,
     # reads every document
     terms = clean.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").count().where(
         F.col("count") >= min_df).count()
+    if not terms:
+        return df.sparkSession.createDataFrame([], "topic int, rank int, term string, weight double")
     cv = CountVectorizer(inputCol="_words", outputCol="_counts", minDF=float(min_df), vocabSize=max(1, terms)).fit(clean)
     vec = cv.transform(clean).select("_counts").persist()
     model = LDA(k=k, seed=seed, featuresCol="_counts", maxIter=max_iter, subsamplingRate=1.0).fit(vec)

@@ -28,6 +28,17 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataF
     return rows.join(stats, keys, "inner")
 
 
+def stat_frame(spark, rows: Sequence[Sequence], schema: str) -> DataFrame:
+    """A small table of statistics; an undefined one (NaN) is NULL."""
+    clean = [tuple(None if isinstance(v, float) and v != v else v for v in r) for r in rows]
+    return spark.createDataFrame(clean, schema)
+
+
+def judged(p: float | None, alpha: float = 0.05) -> bool | None:
+    """p < alpha; NULL where the test is undefined."""
+    return None if p is None or p != p else bool(p < alpha)
+
+
 def one_row(df: DataFrame) -> dict:
     """Collect a single aggregated row (never row-level data) as a dict."""
     rows = df.limit(2).collect()

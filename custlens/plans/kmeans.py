@@ -36,7 +36,9 @@ class Run:
 
 def assign_expr(cols: Sequence[str], centers: np.ndarray) -> Column:
     """0-based index of the nearest centre (smallest index on ties), as a JVM
-    expression for labelling rows once the centres are final."""
+    expression for labelling rows once the centres are final; NULL without centres."""
+    if not len(centers):
+        return F.lit(None).cast("int")
     d = F.array(*[sum(((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(cols, ctr)), F.lit(0.0))
                   for ctr in centers])
     return (F.array_position(d, F.array_min(d)) - 1).cast("int")
@@ -133,13 +135,16 @@ def fit_many(df: DataFrame, cols: Sequence[str], runs: Sequence[Run], max_iter:
     scaled) feature columns.  Equal rows are one weighted point, so repeated
     rows keep their weight in the seeding; runs that have settled leave the
     passes.  A run that has not settled after ``max_iter`` passes is reported
-    as it stands, with a warning."""
+    as it stands, with a warning.  Without rows there are no centres."""
     cols = list(cols)
     points = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).groupBy(*cols).agg(F.count("*").alias("_w"))
     data = points.withColumn("_h", F.xxhash64(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
     mean = [F.sum(F.col(c) * F.col("_w")) / F.sum("_w") for c in cols]
     var = data.agg(*[(F.sum(F.col(c) * F.col(c) * F.col("_w")) / F.sum("_w") - m * m).alias(c)
                      for c, m in zip(cols, mean)]).collect()[0]
+    if all(var[c] is None for c in cols):
+        data.unpersist()
+        return {r.run: (np.empty((0, len(cols))), 0.0) for r in runs}
     thresh = tol * float(np.mean([var[c] or 0.0 for c in cols]))
     seeds = _seed_pp(data, cols, runs)
     centers = {r.run: np.array(seeds[r.run]) for r in runs}

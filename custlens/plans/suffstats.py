@@ -64,6 +64,8 @@ def moments(
             for j in range(i, p):
                 m[i, j] = m[j, i] = r[f"_m{i}_{j}"]
         out[r["_g"] if group is not None else None] = Moments(float(r["_n"]), s, m)
+    if group is None and not out:
+        out[None] = Moments(0.0, np.zeros(p), np.zeros((p, p)))
     return out
 
 
@@ -87,8 +89,12 @@ class LinearFit:
 
 
 def solve(mom: Moments, center: Sequence[float]) -> LinearFit:
+    """Least squares from the moments; without rows every estimate is NaN."""
+    k = len(mom.s) - 1
+    if not mom.n:
+        nan = float("nan")
+        return LinearFit(np.full(k, nan), nan, np.full((k, k), nan), np.full(k, nan), 0.0, nan, nan, 0)
     mean, c = mom.centred()
-    k = len(mean) - 1
     cxx, cxy = c[:k, :k], c[:k, k]
     inv = np.linalg.pinv(cxx) if k else np.zeros((0, 0))
     beta = inv @ cxy if k else np.zeros(0)

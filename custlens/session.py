@@ -38,8 +38,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins.  Only a local session without one gets a
-    fresh private folder; on a cluster its absence is an error, since other
-    nodes cannot read the driver's disk.
+    fresh private folder (of the context, since the option is fixed once a
+    session runs); on a cluster its absence is an error, since other nodes
+    cannot read the driver's disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
@@ -48,7 +49,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         current = tempfile.mkdtemp(prefix="custlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -39,7 +39,7 @@ def test_matrix_of_columns_with_odd_names(spark):
 def test_welch_with_a_group_of_one_row(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0)], "g string, x double")
     row = H.ttest_welch(df, "x", "g", "a", "b").collect()[0]
-    assert math.isnan(row["t"]) and not row["significant"]
+    assert row["t"] is None and row["significant"] is None
 
 
 @pytest.mark.parametrize("method", ["tukey", "scheffe", "bonferroni"])
