@@ -27,10 +27,12 @@ result; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,13 +136,14 @@ def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_c
     most = max(0, int(np.log2(max(1, len(x) / 8))))
     depth = min(most, max(8, int(np.ceil(np.log2(max(1, n / leaf_rows))))))
     share = min(1.0, max(search_share, least_rows / n))
-    forest = spark.sparkContext.broadcast(Forest(x, trees, depth, seed))
+    # bytes: a worker that cannot import this package still reads them
+    forest = spark.sparkContext.broadcast(cloudpickle.dumps(Forest(x, trees, depth, seed)))
 
     def unit(m: np.ndarray) -> np.ndarray:
         return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = forest.value
+        f = pickle.loads(forest.value)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -151,7 +154,7 @@ def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_c
                      b.column(1)], names=["tree", "leaf", "ids", "v"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = forest.value
+        f = pickle.loads(forest.value)
         for b in batches:
             if not b.num_rows:
                 continue
