@@ -4,7 +4,7 @@ weights, dictionary polarity, aspect sentiment and LDA topics."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.ml.clustering import LDA
@@ -155,17 +155,18 @@ def polarity_summary(df: DataFrame, pol: str = "polarity") -> DataFrame:
                   F.avg(p).alias("mean_polarity"), F.count(p).alias("n"))
 
 
-MAX_ASPECT_ROWS = 10_000
+ASPECT_KEYWORDS = 1_000_000
 
 
 def _aspect_list(aspects) -> list[tuple[int, str, list[str]]]:
     """Aspects as (index, name, keywords): from a dict, a list of pairs, or a
     DataFrame (aspect, keywords array) - a dictionary table of checked size."""
     if isinstance(aspects, DataFrame):
-        rows = aspects.select("aspect", "keywords").limit(MAX_ASPECT_ROWS + 1).collect()
-        if len(rows) > MAX_ASPECT_ROWS:
-            raise ValueError(f"aspect table larger than {MAX_ASPECT_ROWS} rows")
-        aspects = [(r["aspect"], list(r["keywords"] or [])) for r in rows]
+        rows = aspects.select("aspect", "keywords").where("aspect IS NOT NULL")
+        size = rows.agg(F.sum(F.greatest(F.size(F.coalesce("keywords", F.array())), F.lit(1)))).first()[0] or 0
+        if size > ASPECT_KEYWORDS:
+            raise ValueError(f"aspect table with more than {ASPECT_KEYWORDS} keywords")
+        aspects = [(r["aspect"], list(r["keywords"] or [])) for r in rows.collect()]
     items = list(aspects.items()) if isinstance(aspects, Mapping) else list(aspects)
     out = []
     for i, (name, kws) in enumerate(items):
@@ -175,30 +176,63 @@ def _aspect_list(aspects) -> list[tuple[int, str, list[str]]]:
     return out
 
 
+def aspect_tagger(listed: Sequence[tuple[int, str, list[str]]], whole_word: bool = False):
+    """A function from a lower-cased text column to the numbers of the aspects it
+    mentions: one automaton over all keywords reads each text once, however many
+    keywords there are."""
+    owners: dict[str, list[int]] = {}
+    for i, _, kws in listed:
+        for k in set(kws):
+            owners.setdefault(k, []).append(i)
+
+    def word(text: str, at: int) -> bool:
+        return 0 <= at < len(text) and (text[at].isalnum() or text[at] == "_")
+
+    def bounded(text: str, start: int, end: int) -> bool:
+        return word(text, start - 1) != word(text, start) and word(text, end - 1) != word(text, end)
+
+    @F.pandas_udf("array<int>")
+    def tagged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, numbers in owners.items():
+            automaton.add_word(k, (len(k), numbers))
+        automaton.make_automaton()
+
+        def mentioned(text: str | None) -> list[int]:
+            found: set[int] = set()
+            for last, (length, numbers) in automaton.iter(text or ""):
+                if not whole_word or bounded(text, last + 1 - length, last + 1):
+                    found.update(numbers)
+            return sorted(found)
+
+        for texts in batches:
+            yield pd.Series([mentioned(t) for t in texts], index=texts.index, dtype=object)
+
+    return tagged
+
+
 def aspect_sentiment(df: DataFrame, text: str, pol: str = "polarity", aspects=DEFAULT_ASPECTS,
                      whole_word: bool = False) -> DataFrame:
     """(aspect, n, mean_polarity) ascending by mean polarity.
 
     A text mentions an aspect when any keyword is a substring of the lower-cased
-    text (``whole_word=True`` asks for word boundaries).  Each row gets the
-    array of aspects it mentions from literal expressions (no join with the
-    aspect list), then one ``groupBy``.  Aspects without a mention are left
-    out; an aspect listed twice gives two rows."""
-    low = F.col("_low")
-    hits = []
-    for i, name, kws in _aspect_list(aspects):
-        cond = F.lit(False)
-        for k in kws:
-            if whole_word:
-                cond = cond | low.rlike(r"\b" + re.escape(k) + r"\b")
-            else:
-                cond = cond | low.contains(k)
-        hits.append(F.when(cond, F.struct(F.lit(i).alias("i"), F.lit(name).alias("aspect"))))
-    # lower-case once per row; one codegen'd OR of substring tests per aspect
-    lowered = df.where(F.col(text).isNotNull()).select(F.lower(F.col(text)).alias("_low"), F.col(pol).alias("_pol"))
-    tagged = lowered.select(F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("_a"), "_pol")
-    out = tagged.groupBy("_a.i", "_a.aspect").agg(F.count("*").alias("n"), F.avg("_pol").alias("mean_polarity"))
-    return out.select("aspect", "n", "mean_polarity").orderBy("mean_polarity", "aspect")
+    text (``whole_word=True`` asks for word boundaries).  Texts are scanned where
+    they are read and only the aspects' numbers go on; the dictionary (at most
+    ``ASPECT_KEYWORDS`` keywords, else an error) travels with the function, so
+    the plan does not grow with it.  Aspects without a mention are left out; an
+    aspect listed twice gives two rows; without keywords there are none."""
+    listed = _aspect_list(aspects)
+    schema = "aspect string, n long, mean_polarity double"
+    if not listed:
+        return df.sparkSession.createDataFrame([], schema)
+    tagged = aspect_tagger(listed, whole_word)
+    rows = df.where(F.col(text).isNotNull()).select(tagged(F.lower(F.col(text))).alias("_i"), F.col(pol).alias("_pol"))
+    found = rows.select(F.explode("_i").alias("_i"), "_pol").groupBy("_i").agg(
+        F.count("*").alias("n"), F.avg("_pol").alias("mean_polarity"))
+    names = df.sparkSession.createDataFrame([(i, name) for i, name, _ in listed], "_i int, aspect string")
+    return found.join(names, "_i").select("aspect", "n", "mean_polarity").orderBy("mean_polarity", "aspect")
 
 
 def topics(df: DataFrame, text: str, k: int = 3, min_df: int = 5, top: int = 8, seed: int = 42,
