@@ -18,7 +18,12 @@ ODD = ["", " ", "a", " a", "a ", "\n", "x  y", "x \ny", "don't  's", "a▁b", "a
 
 @pytest.fixture(scope="module")
 def pair():
-    return alignment.TokenizerPair(A, B, 100_000)
+    from tokenizers import Tokenizer
+
+    made = alignment.TokenizerPair(A, B, 100_000)
+    made.a = Tokenizer.from_file(A)  # the plain encoder that results are held against
+    made.a.encode_special_tokens = True
+    return made
 
 
 def _walk(pair, text):
