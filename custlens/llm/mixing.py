@@ -22,6 +22,14 @@ sizes (the least ratio that will do) share a stream; its blocks are in order of
 the stream, r being the ratio of the weights in it.  That order is worked out
 by arithmetic over the stream's sizes, so no block is sorted for it.
 
+The plan has one row per stream: its slots once (at most 2 * PLANNED numbers
+over all streams) and its sizes once; it is broadcast up to ``BROADCAST_BYTES``
+and joined beyond.  What a source has of its own reaches its rows with the
+distributed table of sources.  Weights whose ratio is one of whole numbers that
+fit the planned slots are taken exactly, at any number of slots; others are
+rounded to 1/period, with a period as long as the schedule up to PLANNED /
+streams slots.
+
 Defined results: a null source counts as the empty name; ties in the hash are
 ordered by id and row hash; repeated rows take places of their own; an empty
 table gives an empty result; extra columns are kept by ``mixed``.
@@ -30,7 +38,9 @@ table gives an empty result; extra columns are kept by ``mixed``.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +51,7 @@ MAX_SOURCES = 256
 PERIOD = 840
 PLANNED = 1 << 20  # slots that the driver works out at most, over all phases
 BUCKET_ROWS = 1 << 12  # rows that one rank window holds on average
+BROADCAST_BYTES = 32 << 20  # a larger plan of the streams is joined, not broadcast
 _SEGMENT = ("array<struct<k0:bigint,k1:bigint,slot0:bigint,a:bigint,q:bigint,phase_k:bigint,phase_slot:bigint,"
             "slots:array<int>>>")
 _PEER = "struct<i:int,m:bigint,b:bigint,w:double>"  # a kind of sources: its place, sources, blocks and weight of each
@@ -62,6 +73,19 @@ def integer_weights(weights: Mapping[str, float], period: int = PERIOD) -> dict[
     return out
 
 
+def whole_weights(weights: Mapping[str, float], most: int) -> dict[str, int] | None:
+    """Whole numbers in exactly the ratio of the weights, where their sum is at
+    most ``most``; else None."""
+    ratios = {s: Fraction(w).limit_denominator(10 ** 6) for s, w in weights.items()}
+    if any(float(r) != w or r <= 0 for r, w in zip(ratios.values(), weights.values())):
+        return None
+    scale = math.lcm(*(r.denominator for r in ratios.values()))
+    out = {s: int(r * scale) for s, r in ratios.items()}
+    least = math.gcd(*out.values())
+    out = {s: a // least for s, a in out.items()}
+    return out if sum(out.values()) <= most else None
+
+
 def earliest_deadlines(weights: Mapping[str, int], slots: int) -> list[str]:
     """The source of each of the first ``slots`` slots of a phase."""
     q = sum(weights.values())
@@ -127,7 +151,7 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: Mapping[str,
             period: int) -> tuple[DataFrame, dict[str, str], int]:
     """All columns of ``docs`` with its place; the names of the added columns; the number of slots."""
     names = ["source", "h", "bucket", "rank", "before", "block", "turn", "slot", "release", "deadline", "part", "seg",
-             "low", "kind", "member", "peers", "self"]
+             "low", "stream", "member", "peers", "self"]
     c = dict(zip(names, fresh(docs, *[f"_{n}" for n in names])))
     src = F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(""))
     rows, kinds, sources = _sources(docs.select(src.alias("s")), weights)
@@ -139,28 +163,24 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: Mapping[str,
     keys = [c["source"], c["bucket"]]
     counted = docs.select(src.alias(c["source"]), bucket.alias(c["bucket"])).groupBy(*keys).agg(
         F.count("*").alias("n"))
+    of_kind = docs.sparkSession.createDataFrame(
+        [(kind, name, (i, m, -(-n // block_rows), w)) for name, own in streams.items()
+         for i, (kind, m, n, w) in enumerate(own)], f"kind string, {c['stream']} string, {c['self']} {_PEER}")
     before = counted.withColumn(c["before"], F.sum("n").over(
         _window([c["source"]], [c["bucket"]]).rowsBetween(Window.unboundedPreceding, -1))).drop("n").join(
-        sources.select(F.col("s").alias(c["source"]), F.col("kind").alias(c["kind"]), F.col("member").alias(c["member"])),
-        c["source"])
+        sources.join(of_kind, "kind").select(F.col("s").alias(c["source"]), F.col("member").alias(c["member"]),
+                                             c["stream"], c["self"]), c["source"])
     marked = docs.withColumns({c["source"]: src, c["bucket"]: bucket, c["h"]: h, c["low"]: row_key(docs)})
     ranked = marked.withColumn(c["rank"], F.row_number().over(_window(keys, [c["h"], f"`{id_col}`", c["low"]])))
     ranked = ranked.join(before, keys).withColumn(
         c["rank"], F.col(c["rank"]) - 1 + F.coalesce(c["before"], F.lit(0)))
 
-    blocks = {name: sum(m * -(-n // block_rows) for _, m, n, _ in own) for name, own in streams.items()}
-    target = {name: sum(m * w for _, m, _, w in own) for name, own in streams.items()}
-    # a period as long as all slots rounds by less than a block; bounded by what the driver works out
-    period = max(period, min(PLANNED // max(1, len(target)), sum(blocks.values())))
-    plan = phases(integer_weights(target, period), blocks) if target else {}
-    table = []
-    for name, own in streams.items():
-        peers = [(i, m, -(-n // block_rows), w) for i, (_, m, n, w) in enumerate(own)]
-        table += [(kind, plan[name], peers, peers[i]) for i, (kind, *_) in enumerate(own)]
+    table, slots, size = _plan(streams, block_rows, period)
     table = docs.sparkSession.createDataFrame(
-        table, f"{c['kind']} string, {c['seg']} {_SEGMENT}, {c['peers']} array<{_PEER}>, {c['self']} {_PEER}")
+        table, f"{c['stream']} string, {c['seg']} {_SEGMENT}, {c['peers']} array<{_PEER}>")
+    table = F.broadcast(table) if size <= BROADCAST_BYTES else table
     block = F.floor(F.col(c["rank"]) / block_rows)
-    placed = ranked.join(F.broadcast(table), c["kind"]).withColumn(c["block"], block).withColumn(
+    placed = ranked.join(table, c["stream"]).withColumn(c["block"], block).withColumn(
         c["turn"], _turn(F.col(c["block"]), F.col(c["self"]), F.col(c["peers"]), F.col(c["member"]))).withColumn(
         c["seg"], F.filter(c["seg"], lambda s: (s["k0"] <= F.col(c["turn"])) & (F.col(c["turn"]) < s["k1"]))[0])
     seg, k = F.col(c["seg"]), F.col(c["turn"])
@@ -172,13 +192,30 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: Mapping[str,
         c["release"]: seg["phase_slot"] + _div(j * seg["q"], seg["a"]).cast("long"),
         c["deadline"]: seg["phase_slot"] + _div((j + 1) * seg["q"] + seg["a"] - 1, seg["a"]).cast("long"),
     })
-    return placed, c, sum(blocks.values())
+    return placed, c, slots
+
+
+def _plan(streams: dict[str, list[tuple]], block_rows: int, period: int) -> tuple[list[tuple], int, int]:
+    """Per stream (name, segments, peers); the number of slots; about how many bytes the rows take."""
+    blocks = {name: sum(m * -(-n // block_rows) for _, m, n, _ in own) for name, own in streams.items()}
+    target = {name: sum(m * w for _, m, _, w in own) for name, own in streams.items()}
+    if not target:
+        return [], 0, 0
+    # a period as long as all slots rounds by less than a block; bounded by what the driver works out
+    planned = PLANNED // len(target)
+    plan = phases(whole_weights(target, planned) or integer_weights(
+        target, max(period, min(planned, sum(blocks.values())))), blocks)
+    table = [(name, plan[name], [(i, m, -(-n // block_rows), w) for i, (_, m, n, w) in enumerate(own)])
+             for name, own in streams.items()]
+    size = sum(64 * len(segs) + 4 * sum(len(s[-1]) for s in segs) + 48 * len(peers) for _, segs, peers in table)
+    return table, sum(blocks.values()), size
 
 
 def _sources(src: DataFrame, weights: Mapping[str, float] | None) -> tuple[int, list[tuple], DataFrame]:
     """Number of rows; the kinds of sources (kind, sources, rows of each),
-    collected: one per name in ``weights`` and one per size; all sources (s,
-    kind, member): ``member`` counts the sources of a kind from 0."""
+    collected: one per name in ``weights`` and one per size (sizes that differ
+    add up to the rows, so there are at most the root of twice the rows); all
+    sources (s, kind, member): ``member`` counts the sources of a kind from 0."""
     kind = F.concat(F.lit("n:"), F.col("n").cast("string"))
     if weights:
         kind = F.when(F.col("s").isin(*weights), F.concat(F.lit("s:"), F.col("s"))).otherwise(kind)

@@ -53,3 +53,33 @@ def test_more_sizes_than_streams(spark, weights):
 def test_together():
     assert [len(r) for r in mixing.together([1, 2, 4, 8], 4)] == [1, 1, 1, 1]
     assert mixing.together([10, 11, 100, 101, 1000], 3) == [range(0, 2), range(2, 4), range(4, 5)]
+
+
+def test_plan_of_thousands_of_sizes_stays_small():
+    kinds = [(f"n:{n}", 1, n) for n in range(1, 6_001)]  # 18 million rows
+    table, slots, size = mixing._plan(mixing._streams(kinds, None), 4, mixing.PERIOD)
+    assert slots == sum(-(-n // 4) for n in range(1, 6_001)) and len(table) < mixing.MAX_SOURCES
+    assert sum(len(peers) for _, _, peers in table) == 6_000
+    assert sum(len(s[-1]) for _, segs, _ in table for s in segs) <= 2 * mixing.PLANNED and size < 10 << 20
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9995, "b": 0.0005}, {"a": 7.0, "b": 0.25, "c": 1 / 3}])
+def test_ratios_of_whole_numbers_are_exact_at_any_length(weights):
+    kinds = [(f"s:{s}", 1, int(w * 80_000_000)) for s, w in weights.items()]
+    table, slots, _ = mixing._plan(mixing._streams(kinds, weights), 4, mixing.PERIOD)
+    assert slots > 5_000_000
+    total = sum(weights.values())
+    for name, segs, _ in table:
+        share = weights[name[2:]] / total
+        for k0, k1, slot0, a, q, phase_k, _, at in segs:
+            if phase_k:  # the first phase, up to the first source that ends
+                continue
+            for k in {*range(k0, min(k1, k0 + 500)), *range(max(k0, k1 - 500), k1)}:
+                slot = slot0 + (k - k0) // a * q + at[(k - k0) % a]
+                assert abs(k - slot * share) < 1 and abs(k + 1 - (slot + 1) * share) < 1
+
+
+def test_whole_weights():
+    assert mixing.whole_weights({"a": 0.7, "b": 0.3}, 100) == {"a": 7, "b": 3}
+    assert mixing.whole_weights({"a": 2 ** 0.5, "b": 1.0}, 10 ** 9) is None
+    assert mixing.whole_weights({"a": 0.999, "b": 0.001}, 999) is None
