@@ -23,6 +23,7 @@ of label 1 among them (0 without any); extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +42,7 @@ from custlens.llm.quality import fold, training_labels
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 HEADS = range(4, 10)  # lengths of the word beginnings
+HELD_ENTRIES = 200_000  # entries that a task counts before it passes them on
 LEXICON_VOTERS, PATTERN_VOTERS = 10, 8
 COUNTS = (1, 2, 3, 5)  # voters and inputs: at least so many different entries
 
@@ -65,8 +67,10 @@ def _sketch(text: str) -> int:
 
 def learn_entries(docs: DataFrame, train: DataFrame, sample_rows: int, entries: int, least_docs: int,
                   least_g2: float, least_ratio: float) -> list[str]:
-    """Entries with the strongest link to label 1, strongest first.  ``docs``
-    has (id, text); the sample is broadcast, so only its texts are counted."""
+    """The ``entries`` entries with the strongest link to label 1 (G2), strongest
+    first; both classes of the sample are counted and compared by Spark, and the
+    driver reads the sorted result only until it has enough.  ``docs`` has (id,
+    text); the sample is broadcast, so only its texts are counted."""
     sample = F.broadcast(train.orderBy(F.xxhash64("id"), "id").limit(sample_rows))
     texts = docs.join(sample, "id").select("label", F.coalesce("text", F.lit("")).alias("text"))
 
@@ -83,49 +87,54 @@ def learn_entries(docs: DataFrame, train: DataFrame, sample_rows: int, entries:
     if not n1 or not n0:
         return []
 
-    def counted(only: frozenset[str] | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: Counter[str] = Counter()
-            for b in sliced(batches):
-                for t in b.column(0).to_pylist():
-                    found = _entries_of(_distinct_words(t))
-                    counts.update(found if only is None else found & only)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
-                                              pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
-
-        return run
-
-    toxic = one.where("label = 1").select("text").mapInArrow(counted(None), "entry string, n long")
-    often = {r["entry"]: r["n"] for r in toxic.groupBy("entry").agg(F.sum("n").alias("n")).where(
-        F.col("n") >= least_docs).orderBy(F.desc("n"), "entry").limit(100 * entries).collect()}
-    clean = one.where("label = 0").select("text").mapInArrow(counted(frozenset(often)), "entry string, n long")
-    other = {r["entry"]: r["n"] for r in clean.groupBy("entry").agg(F.sum("n").alias("n")).collect()}
-
-    def g2(a: int, b: int) -> float:
-        cells = np.array([[a, n1 - a], [b, n0 - b]], float)
-        expected = cells.sum(1, keepdims=True) * cells.sum(0, keepdims=True) / cells.sum()
-        return 2 * float((cells * np.log(np.maximum(cells, 1e-12) / np.maximum(expected, 1e-12))).sum())
-
-    ranked = []
-    for e, a in often.items():
-        b = other.get(e, 0)
-        if ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1)) >= least_ratio and (s := g2(a, b)) >= least_g2:
-            ranked.append((-round(s, 6), e[0] != "w", -len(e), e, a, b))
-    return [e for e, _, _ in _told_apart((e, a, b) for *_, e, a, b in sorted(ranked))][:entries]
-
-
-def _told_apart(ranked: Iterator[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
+            entry = list({**counts[0], **counts[1]})
+            out = pa.RecordBatch.from_arrays([pa.array(entry, pa.string()), *(
+                pa.array([counts[y][e] for e in entry], pa.int64()) for y in (1, 0))], names=["entry", "a", "b"])
+            counts[0].clear(), counts[1].clear()
+            return out
+
+        for b in sliced(batches):
+            for label, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                counts[label].update(_entries_of(_distinct_words(t)))
+                if len(counts[0]) + len(counts[1]) > HELD_ENTRIES:
+                    yield flush()
+        yield flush()
+
+    both = one.where("label IN (0, 1)").select("label", "text").mapInArrow(counted, "entry string, a long, b long").groupBy("entry").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= least_docs)
+    ratio = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
+    strong = both.withColumn("g2", _g2(F.col("a"), F.col("b"), n1, n0)).where(
+        (ratio >= least_ratio) & (F.col("g2") >= least_g2)).orderBy(
+        F.desc(F.round("g2", 6)), ~F.col("entry").startswith("w"), F.desc(F.length("entry")), "entry")
+    ranked = ((r["entry"], r["a"], r["b"]) for r in strong.toLocalIterator())
+    return [e for e, _, _ in itertools.islice(_told_apart(ranked), entries)]
+
+
+def _g2(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """Log-likelihood ratio of the two-by-two table (a of n1, b of n0)."""
+    def cell(seen: Column, column: Column, n: int) -> Column:
+        share = seen * (n1 + n0) / (column * F.lit(float(n)))
+        return F.when(seen > 0, seen * F.log(share)).otherwise(0.0)
+
+    with_entry, without = a + b, F.lit(n1 + n0) - a - b
+    return 2 * (cell(a, with_entry, n1) + cell(b, with_entry, n0)
+                + cell(n1 - a, without, n1) + cell(n0 - b, without, n0))
+
+
+def _told_apart(ranked: Iterator[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """Drops an entry whose documents are about those of a stronger entry with
     the same beginning, so that one word counts as one entry."""
-    kept: list[tuple[str, int, int]] = []
     by_head: dict[str, list[tuple[str, int, int]]] = {}
     alike = lambda x, y: abs(x - y) <= max(1, 0.1 * max(x, y))
     for e, a, b in ranked:
         word, same = e[2:], by_head.setdefault(e[2:2 + HEADS[0]], [])
         if not any(alike(a, c) and alike(b, d) and (word.startswith(k) or k.startswith(word)) for k, c, d in same):
             same.append((word, a, b))
-            kept.append((e, a, b))
-    return kept
+            yield e, a, b
 
 
 def entry_finder(entries: list[str]):
