@@ -104,8 +104,8 @@ def learn_entries(docs: DataFrame, train: DataFrame, sample_rows: int, entries:
                     yield flush()
         yield flush()
 
-    both = one.where("label IN (0, 1)").select("label", "text").mapInArrow(counted, "entry string, a long, b long").groupBy("entry").agg(
-        F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= least_docs)
+    both = one.where("label IN (0, 1)").select("label", "text").mapInArrow(counted, "entry string, a long, b long")
+    both = both.groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") >= least_docs)
     ratio = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
     strong = both.withColumn("g2", _g2(F.col("a"), F.col("b"), n1, n0)).where(
         (ratio >= least_ratio) & (F.col("g2") >= least_g2)).orderBy(
