@@ -787,6 +787,25 @@ def q_image_batch_summary(spark, d):
     return _round(out, {c: 8 for c in out.columns if c != "n_images"})
 
 
+def _images(spark, d):
+    """Images in the form of ``load_images`` from `embeddings`: a vector's
+    leading components are a row of blue, green and red bytes, 225 vectors an image."""
+    e = _t(spark, d, "embeddings").where(F.col("embedding").isNotNull())
+    width = F.floor(F.size("embedding") / 3).cast("int")
+    byte = lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1.0) * 127.5).cast("int") % 256), 2, "0")
+    row = F.array_join(F.transform(F.slice("embedding", F.lit(1), 3 * width), byte), "")
+    rows = e.groupBy(F.floor(F.col("vec_id") / 225).cast("string").alias("block")).agg(
+        F.count("*").cast("int").alias("height"), F.min(width).alias("width"),
+        F.array_sort(F.collect_list(F.struct("vec_id", row.alias("row")))).alias("rows"))
+    return rows.select(F.concat(F.lit("image-"), "block").alias("image"), "height", "width", F.lit(3).alias("channels"),
+                       F.lit(16).alias("mode"), F.unhex(F.array_join(F.col("rows.row"), "")).alias("data"),
+                       F.lit("ok").alias("status"))
+
+
+def q_image_resized_stats(spark, d):
+    return _round(I.image_stats(I.pixels(_images(spark, d), resample="cubic")), {"brightness": 8, "colorfulness": 8})
+
+
 def q_dominant_colors(spark, d):
     return _round(I.dominant_colors(_pixels(spark, d), k=5), {"share": 8})
 
@@ -956,6 +975,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "topics": q_topics,
         "image_stats": q_image_stats,
         "image_batch_summary": q_image_batch_summary,
+        "image_resized_stats": q_image_resized_stats,
         "dominant_colors": q_dominant_colors,
         "read_table": q_read_table,
         "catalog_default": q_catalog_default,

@@ -1,5 +1,9 @@
 """Porter's (1980) suffix-stripping stemmer, written from the published
-algorithm.  Used on the distinct vocabulary only (never per token row)."""
+algorithm, and its later extended variant: short words in -ies and -ied keep
+-ie, -y becomes -i after any consonant that is not the first letter, stems of a
+vowel and a consonant get their -e back, four changed suffixes (-bli, -alli
+followed by another rule, -fulli, -logi), and a list of irregular words.  Used
+on the distinct vocabulary only (never per token row)."""
 
 from __future__ import annotations
 
@@ -39,9 +43,9 @@ def _double_cons(w: str) -> bool:
     return len(w) >= 2 and w[-1] == w[-2] and _is_cons(w, len(w) - 1)
 
 
-def _cvc(w: str) -> bool:
+def _cvc(w: str, extended: bool = False) -> bool:
     if len(w) < 3:
-        return False
+        return extended and len(w) == 2 and not _is_cons(w, 0) and _is_cons(w, 1)
     return (_is_cons(w, len(w) - 3) and not _is_cons(w, len(w) - 2) and _is_cons(w, len(w) - 1)
             and w[-1] not in "wxy")
 
@@ -58,6 +62,15 @@ _STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ic
 _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou",
           "ism", "ate", "iti", "ous", "ive", "ize"]
 
+# fixed values: suffix rules of step 2 and irregular words of the extended variant
+_STEP2_EXTENDED = [(suf, rep) for suf, rep in _STEP2 if suf != "abli"] + [("bli", "ble"), ("fulli", "ful")]
+_IRREGULAR = {
+    "sky": "sky", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
+    "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
+    "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed",
+    "succeed": "succeed",
+}
+
 
 def _replace_longest(w: str, rules, min_m: int) -> str:
     best = None
@@ -70,12 +83,24 @@ def _replace_longest(w: str, rules, min_m: int) -> str:
     return stem + best[1] if _measure(stem) > min_m - 1 else w
 
 
-def stem(word: str) -> str:
+def _step2_extended(w: str) -> str:
+    if w.endswith("logi"):  # measured with its l
+        return w[:-1] if _measure(w[:-3]) > 0 else w
+    out = _replace_longest(w, _STEP2_EXTENDED, 1)
+    return _step2_extended(out) if w.endswith("alli") and out != w else out
+
+
+def stem(word: str, extended: bool = False) -> str:
+    """The word's stem; words of one or two letters are their own."""
     w = word.lower()
+    if extended and w in _IRREGULAR:
+        return _IRREGULAR[w]
     if len(w) <= 2:
         return w
     # step 1a
-    if w.endswith("sses"):
+    if extended and len(w) == 4 and w.endswith("ies"):
+        w = w[:-1]
+    elif w.endswith("sses"):
         w = w[:-2]
     elif w.endswith("ies"):
         w = w[:-2]
@@ -85,7 +110,9 @@ def stem(word: str) -> str:
         w = w[:-1]
     # step 1b
     extra = False
-    if w.endswith("eed"):
+    if extended and w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     elif w.endswith("ed") and _has_vowel(w[:-2]):
@@ -97,13 +124,13 @@ def stem(word: str) -> str:
             w += "e"
         elif _double_cons(w) and w[-1] not in "lsz":
             w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
+        elif _measure(w) == 1 and _cvc(w, extended):
             w += "e"
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
+    if w.endswith("y") and (len(w) > 2 and _is_cons(w, len(w) - 2) if extended else _has_vowel(w[:-1])):
         w = w[:-1] + "i"
     # steps 2 and 3
-    w = _replace_longest(w, _STEP2, 1)
+    w = _step2_extended(w) if extended else _replace_longest(w, _STEP2, 1)
     w = _replace_longest(w, _STEP3, 1)
     # step 4
     best = None
@@ -118,7 +145,7 @@ def stem(word: str) -> str:
     if w.endswith("e"):
         s = w[:-1]
         m = _measure(s)
-        if m > 1 or (m == 1 and not _cvc(s)):
+        if m > 1 or (m == 1 and not _cvc(s, extended)):
             w = s
     # step 5b
     if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):

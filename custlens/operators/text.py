@@ -3,6 +3,7 @@ weights, dictionary polarity, aspect sentiment and LDA topics."""
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
@@ -48,30 +49,26 @@ def tokens(df: DataFrame, key: str, text: str, stop: Iterable[str] | None = REVI
     return t.where(cond)
 
 
-_stem_udf = None
+@functools.cache
+def _stemmer(extended: bool):
+    @F.pandas_udf("string")
+    def _stem(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: porter_stem(w, extended))
 
-
-def _stemmer():
-    global _stem_udf
-    if _stem_udf is None:
-        @F.pandas_udf("string")
-        def _stem(words: pd.Series) -> pd.Series:
-            return words.map(porter_stem)
-
-        _stem_udf = _stem
-    return _stem_udf
+    return _stem
 
 
 def word_counts(df: DataFrame, text: str, stop: Iterable[str] | None = REVIEW_STOP_WORDS, stem: bool = True,
-                min_len: int = 3) -> DataFrame:
+                min_len: int = 3, extended: bool = True) -> DataFrame:
     """(word, count) over all texts.  Tokens are counted first (map-side
     combine); stemming then runs on the distinct vocabulary with an Arrow UDF
-    and counts are re-aggregated by stem."""
+    and counts are re-aggregated by stem: by the extended variant of Porter's
+    rules, or (``extended=False``) those of 1980."""
     t = tokens(df.select(F.lit(0).alias("_k"), text), "_k", text, stop, min_len)
     counts = t.groupBy("token").agg(F.count("*").alias("count"))
     if not stem:
         return counts.withColumnRenamed("token", "word")
-    return counts.select(_stemmer()("token").alias("word"), "count").groupBy("word").agg(
+    return counts.select(_stemmer(extended)("token").alias("word"), "count").groupBy("word").agg(
         F.sum("count").alias("count"))
 
 

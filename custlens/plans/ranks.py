@@ -179,13 +179,32 @@ def _apart(df: DataFrame, value: str, out: str, bounds: Sequence[float]) -> Data
     return b.withColumn(out, 2 * F.col(out) - F.when(at_bound, 1).otherwise(0))
 
 
+def _grid_sign_sum(cells: DataFrame, sides: int) -> DataFrame:
+    """One row ``s``: the signed weight of all pairs of cells (_bx, _by, g) that
+    differ in both buckets.  Two x buckets part at the highest bit in which they
+    differ, so every pair is seen at one bit: there the cells of one block (the
+    bits above) are the lower and the upper half, and running sums over y sign
+    the upper against the lower.  A block has at most ``sides`` rows."""
+    bits = cells.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, sides.bit_length() - 1)))).alias("bit"),
+                        "_bx", "_by", "g")
+    upper = F.expr("shiftright(_bx, bit) % 2 = 1")
+    halves = bits.groupBy("bit", F.expr("shiftright(_bx, bit + 1)").alias("block"), "_by").agg(
+        F.sum(F.when(~upper, F.col("g")).otherwise(0.0)).alias("lo"),
+        F.sum(F.when(upper, F.col("g")).otherwise(0.0)).alias("hi"))
+    block = Window.partitionBy("bit", "block")
+    upto = F.sum("lo").over(block.orderBy("_by").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # below minus above
+    signed = (upto - F.col("lo")) - (F.sum("lo").over(block) - upto)
+    return halves.select((F.col("hi") * signed).alias("s")).agg(F.sum("s").alias("s"))
+
+
 def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int | None = None) -> DataFrame:
     """Kendall's tau-b of two columns over rows with both present.
 
     One row: n, s (concordant minus discordant), tau_b.  Pairs are split by
     quantile buckets of x and y: pairs in different x and y buckets are signed
-    by the bucket grid (2-D prefix sums of a buckets x buckets table); pairs
-    sharing an x bucket, or a y bucket only, are counted exactly per bucket by
+    by the bucket grid (running sums in Spark, bit by bit of the x bucket; only
+    their sum is collected); pairs sharing an x bucket, or a y bucket only, are counted exactly per bucket by
     a vectorised inversion count (``applyInPandas``).  Every bound is a bucket
     of its own: a heavy value is a bound, so it shares its bucket with no other
     value, and buckets of one value are skipped (their inner pairs are ties).
@@ -210,25 +229,8 @@ def kendall_tau_b(df: DataFrame, a: str, b: str, buckets: int | None = None) ->
     n1 = float(tx.collect()[0]["v"] or 0.0)
     n2 = float(ty.collect()[0]["v"] or 0.0)
 
-    # grid part: bounded buckets x buckets table, finished on the driver
-    grid_rows = cb.groupBy("_bx", "_by").agg(F.sum("_c").alias("g")).collect()
-    g = np.zeros((sides, sides))
-    for r in grid_rows:
-        g[r["_bx"], r["_by"]] += float(r["g"])
-    cum = g.cumsum(0).cumsum(1)  # cum[i,j] = sum g[:i+1,:j+1]
-    pad = np.zeros((sides + 1, sides + 1))
-    pad[1:, 1:] = cum
-    rowtot = np.concatenate([[0.0], g.sum(1).cumsum()])  # rows with bx < i: rowtot[i]
-    s_grid = 0.0
-    for i in range(sides):
-        if not g[i].any():
-            continue
-        # for cell (i,j): weight with bx<i and by<j minus bx<i and by>j
-        lower_left = pad[i, :sides]  # sum over bx<i, by<j  (j index 0..B-1)
-        below_all = rowtot[i]
-        upto_j = pad[i, 1:]  # bx<i, by<=j
-        upper_left = below_all - upto_j
-        s_grid += float(np.sum(g[i] * (lower_left - upper_left)))
+    s_grid = _grid_sign_sum(cb.groupBy("_bx", "_by").agg(F.sum("_c").cast("double").alias("g")),
+                            sides).collect()[0]["s"] or 0.0
 
     # exact parts per bucket, skipping single-valued buckets
     sch = "s double"
