@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import clean_num
@@ -41,10 +41,15 @@ def prepare(df: DataFrame, xs: Sequence[str], y: str, key: str, frac: float = 0.
     return stratified_flag(data, key, y, frac, seed)
 
 
+def _label(data: DataFrame, y: str, value: Column) -> Column:
+    """A label as it is reported: text stays text, numbers are whole."""
+    return value if dict(data.dtypes)[y] == "string" else value.cast("int")
+
+
 def knn_classify(data: DataFrame, xs: Sequence[str], y: str, key: str, k: int = 5) -> DataFrame:
     """Exact k-NN (Euclidean on features scaled by the training mean and
-    population sd); majority vote, smallest label on a tie.  Rows of the test
-    part: (key, truth, pred)."""
+    population sd); majority vote, smallest label on a tie; labels are numbers
+    or text.  Rows of the test part: (key, truth, pred)."""
     train = data.where("_train")
     scaler = fit_scaler(train, xs)
     scaled = apply_scaler(data, scaler, xs)
@@ -53,9 +58,9 @@ def knn_classify(data: DataFrame, xs: Sequence[str], y: str, key: str, k: int =
     nb = knn(tr, te, xs, k)
     votes = nb.select("_tid", F.explode("neighbours").alias("n")).groupBy("_tid", F.col("n.label").alias("lab")).agg(
         F.count("*").alias("c"))
-    pred = votes.groupBy("_tid").agg(F.max(F.struct("c", (-F.col("lab")).alias("neg"))).alias("m")).select(
-        F.col("_tid").alias(key), (-F.col("m.neg")).cast("int").alias("pred"))
-    truth = data.where(~F.col("_train")).select(key, F.col(y).cast("int").alias("truth"))
+    pred = votes.groupBy("_tid").agg(F.min(F.struct((-F.col("c")).alias("less"), "lab")).alias("m")).select(
+        F.col("_tid").alias(key), _label(data, y, F.col("m.lab")).alias("pred"))
+    truth = data.where(~F.col("_train")).select(key, _label(data, y, F.col(y)).alias("truth"))
     return truth.join(pred, key, "left")
 
 
@@ -63,7 +68,7 @@ def gaussian_nb(data: DataFrame, xs: Sequence[str], y: str, key: str, var_smooth
     """Gaussian naive Bayes: per-class priors, means and population variances
     (plus ``var_smoothing`` x the largest feature variance) from one
     ``groupBy(class)``; the test rows are scored by a JVM expression against
-    the broadcast class table.  ``y`` is numeric.  (key, truth, pred); without
+    the broadcast class table.  Labels are numbers or text.  (key, truth, pred); without
     training rows pred is NULL."""
     train = data.where("_train")
     spread = train.agg(*[F.var_pop(clean_num(x)).alias(f"v{i}") for i, x in enumerate(xs)]).first()
@@ -81,10 +86,11 @@ def gaussian_nb(data: DataFrame, xs: Sequence[str], y: str, key: str, var_smooth
         ll = F.log(c["_nc"] / F.lit(float(tot)))
         for i, x in enumerate(xs):
             ll = ll - 0.5 * F.log(2 * F.lit(math.pi) * c[f"_v{i}"]) - (clean_num(x) - c[f"_m{i}"]) ** 2 / (2 * c[f"_v{i}"])
-        return F.struct(ll.alias("ll"), (-c["_cls"]).alias("neg"))
+        return F.struct(F.coalesce(-ll, F.lit(math.inf)).alias("less"), c["_cls"].alias("cls"))
 
-    best = F.array_max(F.transform("_classes", log_density))
-    return test.select(key, F.col(y).cast("int").alias("truth"), (-best["neg"]).cast("int").alias("pred"))
+    # the likeliest class, the smallest label on a tie
+    best = F.array_min(F.transform("_classes", log_density))
+    return test.select(key, _label(data, y, F.col(y)).alias("truth"), _label(data, y, best["cls"]).alias("pred"))
 
 
 def _assemble(data: DataFrame, xs: Sequence[str], y: str) -> DataFrame:
