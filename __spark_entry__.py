@@ -646,6 +646,15 @@ def q_kmeans_segments(spark, d):
     return seg.labels.select("c_custkey", "cluster")
 
 
+_FIRST_CENTRES = [[-1.0, -1.0, -1.0], [0.0, 0.0, 0.0], [1.0, 1.0, 1.0], [-1.0, 1.0, 1.0]]
+
+
+def q_kmeans_from(spark, d):
+    seg = G.kmeans_from(_customers(spark, d), _SEG_X, _FIRST_CENTRES, max_iter=3, tol=0.0)
+    out = G.cluster_profiles(seg.labels, [f"{c}_z" for c in _SEG_X], "cluster")
+    return _round(out, {f"{c}_z": 8 for c in _SEG_X})
+
+
 def q_ward_segments(spark, d):
     return G.ward_segments(_customers(spark, d), _SEG_X, 4).select("c_custkey", "cluster")
 
@@ -953,6 +962,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cluster_scaled": q_cluster_scaled,
         "elbow": q_elbow,
         "kmeans_segments": q_kmeans_segments,
+        "kmeans_from": q_kmeans_from,
         "ward_segments": q_ward_segments,
         "ward_merges": q_ward_merges,
         "silhouette": q_silhouette,
@@ -1385,6 +1395,26 @@ SELECT c_custkey, CAST(y AS INTEGER) AS truth, CAST(arg_max(cls, ll) AS INTEGER)
 
 _Z_SQL = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}_z" for c in _SEG_X)
 
+_Z_COLS = [f"{c}_z" for c in _SEG_X]
+_MEANS_SQL = ", ".join(f"avg({z}) AS {z}" for z in _Z_COLS)
+
+
+def _nearest_sql(name, centres):
+    d = " + ".join(f"pow(z.{c} - m.{c}, 2)" for c in _Z_COLS)
+    return (f"{name} AS (SELECT c_custkey, arg_min(cluster, {d}) AS cluster FROM z, {centres} m GROUP BY c_custkey)")
+
+
+# three steps: rows to their nearest centre, centres to the means of their rows
+_KMEANS_FROM_SQL = (
+    f"WITH z AS MATERIALIZED (SELECT c_custkey, {_Z_SQL} FROM {_CUST}),\n"
+    f"m0(cluster, {', '.join(_Z_COLS)}) AS (VALUES "
+    + ", ".join(f"({i}, {', '.join(f'CAST({v} AS DOUBLE)' for v in c)})" for i, c in enumerate(_FIRST_CENTRES)) + "),\n"
+    + ",\n".join(_nearest_sql(f"l{i}", f"m{i}") + f",\nm{i + 1} AS (SELECT cluster, {_MEANS_SQL} "
+                 f"FROM z JOIN l{i} USING (c_custkey) GROUP BY cluster)" for i in range(3))
+    + ",\n" + _nearest_sql("l3", "m3")
+    + f"\nSELECT cluster, count(*) AS n, {', '.join(f'round(avg({z}), 8) AS {z}' for z in _Z_COLS)}"
+    + " FROM z JOIN l3 USING (c_custkey) GROUP BY cluster")
+
 _SIL_SQL = f"""
 WITH z AS (SELECT c_mktsegment AS c, {_Z_SQL} FROM {_CUST}),
 x AS (SELECT c, c_acctbal_z x1, total_spend_z x2, n_orders_z x3, x1 * x1 + x2 * x2 + x3 * x3 AS q FROM z),
@@ -1735,6 +1765,7 @@ def oracle_sql() -> dict[str, str]:
         "cluster_scaled": f"""SELECT c_custkey, {", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 8) AS {c}_z" for c in _SEG_X)}
                               FROM {_CUST}""",
         "silhouette": _SIL_SQL,
+        "kmeans_from": _KMEANS_FROM_SQL,
         "cluster_sizes": f"SELECT c_mktsegment, count(*) AS n FROM {_CUST} GROUP BY 1",
         "cluster_profiles": f"""SELECT c_mktsegment, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _SEG_X)}
                                 FROM {_CUST} GROUP BY 1""",

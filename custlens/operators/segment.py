@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from custlens.functions.columns import clean_num
 from custlens.operators.describe import standardize
 from custlens.operators.regression import complete_rows
-from custlens.plans.kmeans import Run, assign_expr, best_of, fit_many
+from custlens.plans.kmeans import Run, assign_column, assign_expr, best_of, fit_many
 
 
 def scale_for_clustering(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -45,9 +44,9 @@ def elbow(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(1, 8), r
                 owner[runs[-1].run] = int(k)
     res = fit_many(data, z, runs) if runs else {}
     best: dict[int, float] = {}
-    for run, (_, inertia) in res.items():
+    for run, fit in res.items():
         k = owner[run]
-        best[k] = min(best.get(k, float("inf")), inertia)
+        best[k] = min(best.get(k, float("inf")), fit.inertia)
     rows = []
     for k in ks:
         if k == 1:
@@ -63,18 +62,30 @@ class Segmentation:
     labels: DataFrame  # input rows + cluster column
     centers: np.ndarray  # in standardised units
     inertia: float
+    settled: bool = True  # False: centres still moved after the last allowed pass
 
 
 def kmeans_segments(df: DataFrame, cols: Sequence[str], k: int, restarts: int = 10, seed: int = 42,
                     label: str = "cluster") -> Segmentation:
-    """K-means (k-means++ seeding, Lloyd iterations) on standardised columns,
-    best of ``restarts`` runs by within-cluster sum of squares.  The restarts
-    share their passes over the rows; labels come from a JVM expression with
-    the chosen centres."""
+    """K-means (seeds by shared oversampling rounds, Lloyd iterations) on
+    standardised columns, best of ``restarts`` runs by within-cluster sum of
+    squares.  The restarts share their passes over the rows; labels come from a
+    JVM expression with the chosen centres."""
     z = [f"{c}_z" for c in cols]
     data = scale_for_clustering(df, cols)
-    centers, inertia = best_of(data.select(*z), z, k, restarts, seed)
-    return Segmentation(data.withColumn(label, assign_expr(z, centers)), centers, inertia)
+    fit = best_of(data.select(*z), z, k, restarts, seed)
+    return Segmentation(data.withColumn(label, assign_expr(z, fit.centers)), fit.centers, fit.inertia, fit.settled)
+
+
+def kmeans_from(df: DataFrame, cols: Sequence[str], first: Sequence[Sequence[float]], max_iter: int = 300,
+                tol: float = 1e-4, label: str = "cluster") -> Segmentation:
+    """K-means from given first centres (in standardised units, one row each),
+    at most ``max_iter`` steps; ``settled`` says whether it came to rest."""
+    z = [f"{c}_z" for c in cols]
+    data = scale_for_clustering(df, cols)
+    fit = fit_many(data.select(*z), z, [Run(0, len(first), 0)], max_iter, tol,
+                   first={0: np.array(first, float)})[0]
+    return Segmentation(data.withColumn(label, assign_expr(z, fit.centers)), fit.centers, fit.inertia, fit.settled)
 
 
 # ---------------------------------------------------------------- Ward
@@ -176,21 +187,18 @@ def _codebook(data: DataFrame, z: Sequence[str], centres: int, seed: int):
                                                  [*z, "_centre"]).withColumn("_centre", F.col("_centre").cast("int"))
         return (data.join(F.broadcast(book), list(z), "left").select(*data.columns, "_centre"), list(range(len(few))),
                 np.array([[r[c] for c in z] for r in few], float), np.array([r["_n"] for r in few], float))
-    model = KMeans(k=centres, seed=seed, featuresCol="_features", predictionCol="_centre", weightCol="_n").fit(_vectors(points, z))
-    placed = model.transform(_vectors(points, z)).groupBy("_centre").agg(F.sum("_n").alias("n")).collect()
-    found = {r["_centre"]: r["n"] for r in placed}
+    fit = fit_many(points, z, [Run(0, centres, seed)], max_iter=20, weight="_n")[0]
     points.unpersist()
-    coded = model.transform(_vectors(data, z)).drop("_features")
-    used = sorted(found)
-    points = np.array([model.clusterCenters()[i] for i in used], dtype=float).reshape(len(used), len(z))
-    return coded, used, points, np.array([found[i] for i in used], dtype=float)
+    used = np.flatnonzero(fit.sizes)
+    return (data.withColumn("_centre", assign_column(z, fit.centers)), used.tolist(), fit.centers[used],
+            fit.sizes[used])
 
 
 def ward_segments(df: DataFrame, cols: Sequence[str], k: int, centres: int = 256, label: str = "cluster",
                   seed: int = 42) -> DataFrame:
     """Ward hierarchical clustering into k clusters on standardised columns, of
-    a codebook: Spark's k-means reduces the rows to ``centres`` weighted points
-    at every size, Ward's merges run on those (a table of that fixed size), and
+    a codebook: k-means (at most 20 passes) reduces the rows to ``centres``
+    weighted points at every size, Ward's merges run on those (a table of that fixed size), and
     rows take the cluster of their centre."""
     z = [f"{c}_z" for c in cols]
     coded, used, points, sizes = _codebook(scale_for_clustering(df, cols), z, centres, seed)

@@ -11,7 +11,7 @@ from custlens.operators import images as I
 from custlens.operators import segment as G
 from custlens.operators import text as T
 from custlens.operators.segment import _ward_merges
-from custlens.plans.kmeans import best_of
+from custlens.plans.kmeans import Run, best_of, fit_many
 from custlens.plans.neighbors import knn
 
 
@@ -46,12 +46,64 @@ def test_multi_run_kmeans_finds_separated_clusters(spark):
     rng = np.random.default_rng(1)
     pts = np.vstack([rng.normal(c, 0.1, size=(50, 2)) for c in ((0, 0), (5, 5), (0, 5))])
     df = spark.createDataFrame(pd.DataFrame(pts, columns=["a", "b"]))
-    centers, inertia = best_of(df, ["a", "b"], 3, restarts=4)
+    centers, inertia, settled, sizes = best_of(df, ["a", "b"], 3, restarts=4)
+    assert settled and sorted(sizes) == [50, 50, 50]
     assert sorted(map(tuple, np.round(centers).astype(int).tolist())) == [(0, 0), (0, 5), (5, 5)]
     assert inertia == pytest.approx(sum(((pts[i * 50:(i + 1) * 50] - pts[i * 50:(i + 1) * 50].mean(0)) ** 2).sum()
                                         for i in range(3)), rel=1e-9)
 
 
+def _lloyd(x, c, steps=10_000):
+    for _ in range(steps):
+        lab = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        new = np.array([x[lab == j].mean(0) if (lab == j).any() else c[j] for j in range(len(c))])
+        if np.allclose(new, c, atol=1e-12):
+            break
+        c = new
+    return c, ((x[:, None] - c[None]) ** 2).sum(-1).min(1).sum()
+
+
+def test_settled_centres_rest_on_all_rows(spark):
+    # no clusters at all: the slowest case, and the table of drawn points only resembles the rows
+    x = np.random.default_rng(5).random((6000, 3))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b", "c"])).persist()
+    fits = fit_many(df, ["a", "b", "c"], [Run(0, 4, 1), Run(1, 7, 2)], tol=1e-9)
+    for fit in fits.values():
+        assert fit.settled and fit.sizes.sum() == len(x)
+        rest, inertia = _lloyd(x, fit.centers)
+        assert np.abs(rest - fit.centers).max() < 1e-3 and fit.inertia == pytest.approx(inertia, rel=1e-5)
+    again = fit_many(df, ["a", "b", "c"], [Run(0, 4, 1), Run(1, 7, 2)], tol=1e-9)
+    assert all(np.allclose(again[r].centers, fits[r].centers) for r in fits)
+
+
+def test_restarts_are_as_good_as_plain_kmeans_plus_plus(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(rng.normal(size=2) * 6, 1.0, (150, 2)) for _ in range(8)])
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    best = best_of(df, ["a", "b"], 8, restarts=10)
+    tries = [_lloyd(x, x[np.random.default_rng(s).choice(len(x), 8, replace=False)])[1] for s in range(40)]
+    assert best.inertia <= min(tries) * 1.01
+
+
+def test_given_first_centres_take_plain_steps(spark):
+    x = np.random.default_rng(3).normal(size=(400, 2))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    first = np.array([[-1.0, 0.0], [1.0, 0.5], [0.0, 9.0]])
+    fit = fit_many(df, ["a", "b"], [Run(0, 3, 0)], max_iter=2, tol=0.0, first={0: first})[0]
+    want, inertia = _lloyd(x, first, 2)
+    assert not fit.settled and fit.inertia == pytest.approx(inertia)
+    assert np.allclose(fit.centers, want)
+
+
+def test_weights_stand_for_repeated_rows(spark):
+    x = [(float(i % 7), float(i % 3), 1 + i % 4) for i in range(21)]
+    weighted = spark.createDataFrame(x, "a double, b double, n int")
+    rows = spark.createDataFrame([(a, b) for a, b, n in x for _ in range(n)], "a double, b double")
+    one = fit_many(weighted, ["a", "b"], [Run(0, 3, 4)], weight="n")[0]
+    two = fit_many(rows, ["a", "b"], [Run(0, 3, 4)])[0]
+    assert np.allclose(one.centers, two.centers) and one.sizes.sum() == two.sizes.sum() == len(rows.collect())
+
+
 def test_grid_knn_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     tr = rng.normal(size=(300, 3)) * np.array([1.0, 5.0, 0.2])
