@@ -7,7 +7,9 @@ import math
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 from custlens.functions.columns import clean_num
 from custlens.operators.logistic import confusion
 from custlens.operators.regression import complete_rows
+from custlens.plans.forest import fit_predict
 from custlens.plans.neighbors import knn
 from custlens.plans.split import stratified_flag
+from custlens.session import cut_lineage
 
 
 def fit_scaler(train: DataFrame, cols: Sequence[str], ddof: int = 0) -> DataFrame:
@@ -110,9 +114,21 @@ def tree(data: DataFrame, xs: Sequence[str], y: str, key: str, depth: int = 3, s
     return model, pred
 
 
-def forest(data: DataFrame, xs: Sequence[str], y: str, key: str, trees: int = 200, seed: int = 1, depth: int = 15):
-    """Random forest (``trees`` trees of at most ``depth`` levels, sqrt features
-    per split; Spark allows up to 30); (model, predictions)."""
+@dataclass(frozen=True)
+class GrownForest:
+    importances: np.ndarray
+
+
+def forest(data: DataFrame, xs: Sequence[str], y: str, key: str, trees: int = 200, seed: int = 1,
+           depth: int | None = None):
+    """Random forest (sqrt features per split) whose trees grow until leaves are
+    pure or hold equal rows; with a ``depth`` (at most 30) Spark's own forest of
+    that many levels.  (model, predictions (key, truth, pred))."""
+    if depth is None:
+        plain = data.select(*[clean_num(x).alias(x) for x in xs], *[c for c in data.columns if c not in xs])
+        pred, importances = fit_predict(plain, xs, y, key, trees, seed)
+        return GrownForest(importances), pred.select(key, _label(data, y, F.col("truth")).alias("truth"),
+                                                     _label(data, y, F.col("pred")).alias("pred"))
     a = _assemble(data, xs, y)
     model = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees,
                                    featureSubsetStrategy="sqrt", seed=seed, maxDepth=depth).fit(a.where("_train"))
@@ -123,7 +139,7 @@ def forest(data: DataFrame, xs: Sequence[str], y: str, key: str, trees: int = 20
 
 def importance(spark, model, xs: Sequence[str]) -> DataFrame:
     """(feature, importance) sorted descending."""
-    imp = model.featureImportances.toArray()
+    imp = model.importances if isinstance(model, GrownForest) else model.featureImportances.toArray()
     rows = sorted(zip(xs, [float(v) for v in imp]), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
 
@@ -154,6 +170,8 @@ def tree_rules(spark, model, xs: Sequence[str]) -> DataFrame:
 def compare_classifiers(data: DataFrame, xs: Sequence[str], y: str, key: str, k: int = 9, depth: int = 4,
                         trees: int = 200, seed: int = 1) -> DataFrame:
     """(model, tp, fp, tn, fn, accuracy, sensitivity, specificity) per classifier."""
+    # split and scaled once, not once per classifier
+    data = cut_lineage(data.select(key, *xs, y, "_train"))
     preds = {
         "k-nearest neighbours": knn_classify(data, xs, y, key, k),
         "naive Bayes": gaussian_nb(data, xs, y, key),

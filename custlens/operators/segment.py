@@ -187,7 +187,7 @@ def _codebook(data: DataFrame, z: Sequence[str], centres: int, seed: int):
                                                  [*z, "_centre"]).withColumn("_centre", F.col("_centre").cast("int"))
         return (data.join(F.broadcast(book), list(z), "left").select(*data.columns, "_centre"), list(range(len(few))),
                 np.array([[r[c] for c in z] for r in few], float), np.array([r["_n"] for r in few], float))
-    fit = fit_many(points, z, [Run(0, centres, seed)], max_iter=20, weight="_n")[0]
+    fit = fit_many(points, z, [Run(0, centres, seed)], max_iter=5, weight="_n")[0]
     points.unpersist()
     used = np.flatnonzero(fit.sizes)
     return (data.withColumn("_centre", assign_column(z, fit.centers)), used.tolist(), fit.centers[used],
@@ -197,7 +197,7 @@ def _codebook(data: DataFrame, z: Sequence[str], centres: int, seed: int):
 def ward_segments(df: DataFrame, cols: Sequence[str], k: int, centres: int = 256, label: str = "cluster",
                   seed: int = 42) -> DataFrame:
     """Ward hierarchical clustering into k clusters on standardised columns, of
-    a codebook: k-means (at most 20 passes) reduces the rows to ``centres``
+    a codebook: k-means (at most 5 passes of corrected steps) reduces the rows to ``centres``
     weighted points at every size, Ward's merges run on those (a table of that fixed size), and
     rows take the cluster of their centre."""
     z = [f"{c}_z" for c in cols]
