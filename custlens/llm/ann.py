@@ -102,6 +102,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
+def _cosine(q: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, chunk: int = 100_000) -> np.ndarray:
+    """Cosines of the pairs (i, j), each summed in one order of its own two
+    vectors, so a pair has the same score in every leaf and batch; within -1 and 1."""
+    long_q, long_y = np.sqrt((q * q).sum(1)), np.sqrt((y * y).sum(1))
+    parts = [(q[i[s:s + chunk]] * y[j[s:s + chunk]]).sum(1) / (long_q[i[s:s + chunk]] * long_y[j[s:s + chunk]])
+             for s in range(0, len(i), chunk)]
+    return np.clip(np.concatenate([np.empty(0), *parts]), -1.0, 1.0)
+
+
 def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_col: str = "vec_id",
             vector_col: str = "embedding", trees: int = 16, sample_rows: int = 16_384, leaf_rows: int = 2048,
             search_share: float = 0.45, least_rows: int = 4096,
@@ -184,12 +193,13 @@ def nearest(vectors: DataFrame, k: int = 5, is_query: Column | None = None, id_c
         for s in range(0, len(q), step):
             part = q[s:s + step]
             cos = (part @ y.T) / (np.linalg.norm(part, axis=1)[:, None] * long_y)
-            # every candidate as near as the last one kept: ties are settled by id later
+            # every candidate as near as the last one kept, up to the product's rounding:
+            # scores are taken again one by one, ties are settled by id later
             least = -np.partition(-cos, top - 1, axis=1)[:, top - 1]
-            i, j = np.nonzero(cos >= least[:, None])
+            i, j = np.nonzero(cos >= least[:, None] - 1e-9)
             at_q.append(i + s)
             at_y.append(j)
-            score.append(cos[i, j])
+            score.append(_cosine(part, y, i, j))
         i, j = pa.array(np.concatenate(at_q)), pa.array(np.concatenate(at_y))
         return pa.table([queries.column("h1").take(i), queries.column("h2").take(i),
                          here.column("ids").take(j).combine_chunks(), pa.array(np.concatenate(score))], names=names)
