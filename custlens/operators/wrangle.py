@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from custlens.functions.columns import clean_num
-from custlens.plans.common import one_row
+from custlens.plans.common import BROADCAST_ROW_LIMIT, one_row
 from custlens.plans.quantiles import exact_quantiles
 
 
@@ -87,14 +88,16 @@ def pool_rare(df: DataFrame, col: str, n: int, name: str | None = None, other: s
     """Replace the ``n`` least frequent levels by ``other`` in ``<col>_reduced``.
 
     Level counts are a (levels x 2) table; ties in frequency are broken by the
-    level value.  The chosen levels ride to the rows as a broadcast (the table
-    is at most ``n`` rows).  NULL stays NULL.
+    level value.  The chosen levels ride to the rows as a broadcast up to
+    ``BROADCAST_ROW_LIMIT`` of them, beyond by a plain join.  NULL stays NULL.
     """
     counts = level_counts(df, col)
     rare = counts.orderBy(F.col("count").asc(), F.col(col).asc()).limit(int(n)).select(
         F.col(col).alias("_rare_level")
     )
-    j = df.join(F.broadcast(rare), F.col(col) == F.col("_rare_level"), "left")
+    if int(n) <= BROADCAST_ROW_LIMIT:
+        rare = F.broadcast(rare)
+    j = df.join(rare, F.col(col) == F.col("_rare_level"), "left")
     new = F.when(F.col(col).isNull(), F.lit(None).cast("string")).when(
         F.col("_rare_level").isNotNull(), F.lit(other)
     ).otherwise(F.col(col).cast("string"))
@@ -131,15 +134,25 @@ def equal_width_edges(lo: float, hi: float, n: int, precision: int = 3) -> tuple
     return [float(e) for e in edges], labels
 
 
+def _bin_number(inner: np.ndarray):
+    """1 + how many inner edges lie below a value."""
+    @F.pandas_udf("int")
+    def number(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(inner, v.to_numpy(float), side="left").astype(np.int32) + 1)
+
+    return number
+
+
 def bin_equal_width(df: DataFrame, col: str, n: int, name: str | None = None) -> DataFrame:
     """Append ``<col>_group`` (label), ``<col>_bin`` (1..n), ``<col>_lo`` and
     ``<col>_hi``.  Missing values stay missing.
 
     Only the global min/max (one aggregated row) reaches the driver, where the
     n+1 edges and labels are made; rows are then assigned with literal edge
-    comparisons inside codegen."""
-    if not 2 <= n <= 200:
-        raise ValueError("n must be between 2 and 200")
+    comparisons inside codegen, or for more than 200 bins by binary search in
+    Arrow batches."""
+    if n < 2:
+        raise ValueError("n must be at least 2")
     x = clean_num(col)
     mm = one_row(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")))
     name = name or f"{col}_group"
@@ -147,9 +160,12 @@ def bin_equal_width(df: DataFrame, col: str, n: int, name: str | None = None) ->
         return df.withColumns({name: F.lit(None).cast("string"), f"{col}_bin": F.lit(None).cast("int"),
                                f"{col}_lo": F.lit(None).cast("double"), f"{col}_hi": F.lit(None).cast("double")})
     edges, labels = equal_width_edges(mm["lo"], mm["hi"], n)
-    b = F.lit(1)
-    for e in edges[1:-1]:
-        b = b + F.when(x > F.lit(e), 1).otherwise(0)
+    if n <= 200:
+        b = F.lit(1)
+        for e in edges[1:-1]:
+            b = b + F.when(x > F.lit(e), 1).otherwise(0)
+    else:
+        b = _bin_number(np.array(edges[1:-1]))(x)
     b = F.when(x.isNotNull(), b)
     # element_at is guarded: with a NULL index it must give NULL
     lab = F.when(b.isNotNull(), F.element_at(F.array(*[F.lit(s) for s in labels]), b))

@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 200_000
 
 
-def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str] = (), how: str = "inner") -> DataFrame:
     """Attach per-group statistics to every row of its group.
 
     ``stats`` holds one row per group (or per group and target).  With no keys
     it is a one-row table and rides along as a broadcast; with keys it is
-    broadcast only after its size is checked.
+    broadcast only after its size is checked; ``how`` is the join with keys.
     """
     keys = list(keys)
     if not keys:
         return rows.crossJoin(F.broadcast(stats))
     if stats.count() <= BROADCAST_ROW_LIMIT:
-        return rows.join(F.broadcast(stats), keys, "inner")
-    return rows.join(stats, keys, "inner")
+        return rows.join(F.broadcast(stats), keys, how)
+    return rows.join(stats, keys, how)
 
 
 def stat_frame(spark, rows: Sequence[Sequence], schema: str) -> DataFrame:

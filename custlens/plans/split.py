@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.columns import hash_unit
+from custlens.plans.common import attach
 
 
 def split_flag(key: str, frac: float = 0.7, seed: int = 42) -> Column:
@@ -32,6 +33,5 @@ def stratified_flag(df: DataFrame, key: str, label: str, frac: float = 0.7, seed
 
     scored = df.withColumn("_score", hash_unit(key, seed))
     cuts = exact_quantiles(scored, "_score", [frac], [label], names=["_cut"])
-    # one row per class: bounded by the number of classes
-    j = scored.join(F.broadcast(cuts), [label], "left")
+    j = attach(scored, cuts, [label], "left")
     return j.withColumn("_train", F.col("_score") <= F.col("_cut")).drop("_score", "_cut")
