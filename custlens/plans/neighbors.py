@@ -1,32 +1,113 @@
 """Exact k-nearest neighbours without an all-pairs join.
 
-Points are placed on grids of doubling cell width.  At a level with width w,
-each query point looks only at training points in its own and adjacent cells
-(3^d cells).  Every training point closer than w lies in those cells, so a
-query whose k-th candidate distance is below w is answered exactly; the rest
-move to the next level.  When w exceeds the data's extent the adjacent cells
-hold every training point, so the last level is exact for whatever remains.
-Candidate counts stay local (about the points within a few cell widths), so
-no level forms the test x train product.  Meant for the low-dimensional,
-standardised feature spaces of the classifiers (d up to ~6).  Identical
-training points beyond the k with the smallest keys are dropped first (exact,
-see ``_drop_shadowed_copies``); a query next to a very dense spot of distinct
-points still sees all of that spot's points as candidates.
+The space is cut by a k-d tree into leaves of about ``leaf_rows`` training
+points.  The tree is fitted on a sample of about 64 points a leaf (at most
+``max_leaves`` leaves, so the driver's share is bounded); every training row is
+placed in it, and every leaf keeps the box of all its rows.  A query first looks
+at its own leaf.  The k-th distance found there bounds the rest: it then looks
+only at the other leaves whose box is as near, which makes the answer exact
+however dense or uneven the points lie.  A query costs about one leaf and a
+few neighbours; rows, not pairs, are shuffled, and a leaf asked by many queries
+is given to several tasks.  Identical training points beyond the k with the
+smallest keys are dropped first (exact, see ``_drop_shadowed_copies``), so a
+leaf does not fill up with copies.  Meant for the low-dimensional, standardised
+feature spaces of the classifiers (d up to ~6).
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custlens.session import cut_lineage
+SAMPLE_PER_LEAF = 64
 
 
-def _cells(cols: Sequence[str], w: float) -> list:
-    return [F.floor(F.col(c) / F.lit(w)).cast("long") for c in cols]
+@dataclass
+class Cells:
+    """A k-d tree: nodes in the order they were made, a child after its parent."""
+
+    feature: list[int] = field(default_factory=list)  # -1: leaf
+    cut: list[float] = field(default_factory=list)
+    left: list[int] = field(default_factory=list)
+    lo: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))  # boxes of the nodes' rows
+    hi: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+
+    @classmethod
+    def fit(cls, points: np.ndarray, most: int) -> Cells:
+        """Halve the widest side until a leaf holds at most ``most`` of the points."""
+        out, todo = cls([-1], [0.0], [-1]), [(0, points)]
+        while todo:
+            node, p = todo.pop()
+            if len(p) <= most:
+                continue
+            f = int(np.nanargmax(np.ptp(p, axis=0))) if not np.isnan(np.ptp(p, axis=0)).all() else 0
+            v = np.sort(p[:, f])
+            cut = v[(len(v) - 1) // 2]
+            if not cut < v[-1]:
+                below = v[v < v[-1]]
+                if not len(below):
+                    continue
+                cut = below[-1]
+            out.feature[node], out.cut[node], out.left[node] = f, float(cut), len(out.feature)
+            up = p[:, f] > cut
+            for part in (p[~up], p[up]):
+                todo.append((len(out.feature), part))
+                out.feature.append(-1)
+                out.cut.append(0.0)
+                out.left.append(-1)
+        return out
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
+        at = np.zeros(len(x), dtype=np.int64)
+        go = np.arange(len(x)) if feature[0] >= 0 else np.empty(0, dtype=np.int64)
+        while len(go):
+            n = at[go]
+            at[go] = left[n] + (x[go, feature[n]] > cut[n])
+            go = go[feature[at[go]] >= 0]
+        return at
+
+    def bound(self, boxes: dict[int, tuple[Sequence[float], Sequence[float]]], d: int) -> None:
+        """Set the boxes, from those of the leaves that hold rows."""
+        n = len(self.feature)
+        self.lo, self.hi = np.full((n, d), np.inf), np.full((n, d), -np.inf)
+        for node in range(n - 1, -1, -1):
+            if node in boxes:
+                self.lo[node], self.hi[node] = boxes[node]
+            elif self.feature[node] >= 0:
+                kids = [self.left[node], self.left[node] + 1]
+                self.lo[node], self.hi[node] = self.lo[kids].min(0), self.hi[kids].max(0)
+
+    def near(self, x: np.ndarray, home: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of the other leaves whose box is within a row's squared
+        distance ``r2``.  A box is never farther than its rows: the sums are taken in
+        the order of the distances, and each step of rounding keeps the order."""
+        rows, leaves = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            far = np.zeros(len(at))
+            for i in range(x.shape[1]):
+                q = x[at, i]
+                far = far + np.maximum(np.maximum(self.lo[node, i] - q, q - self.hi[node, i]), 0.0) ** 2
+            at = at[~(far > r2[at])]
+            if not len(at):
+                continue
+            if self.feature[node] >= 0:
+                todo += [(self.left[node], at), (self.left[node] + 1, at)]
+            else:
+                at = at[home[at] != node]
+                rows.append(at)
+                leaves.append(np.full(len(at), node))
+        return np.concatenate(rows), np.concatenate(leaves)
 
 
 def _drop_shadowed_copies(train: DataFrame, cols: Sequence[str], k: int, train_key: str,
@@ -49,58 +130,116 @@ def _drop_shadowed_copies(train: DataFrame, cols: Sequence[str], k: int, train_k
     return first.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") <= k).drop("_r", "_slice")
 
 
+def _cells_of(train: DataFrame, names: Sequence[str], leaf_rows: int, max_leaves: int) -> Cells:
+    n = train.count()
+    leaves = min(max_leaves, -(-n // leaf_rows))
+    if leaves <= 1:
+        return Cells.fit(np.empty((0, len(names))), 1)
+    want = leaves * SAMPLE_PER_LEAF
+    some = train.where(F.pmod(F.xxhash64("_rid", *names), F.lit(n)) < want).select(*names).toArrow()
+    points = np.column_stack([some.column(c).to_numpy() for c in names])
+    return Cells.fit(points, max(1, SAMPLE_PER_LEAF * 3 // 2))
+
+
+def _k_smallest(d2: np.ndarray, k: int, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of each row's k smallest values up to ``r2``, smallest
+    first, ties to the smaller column."""
+    least = np.minimum(np.partition(d2, k - 1, axis=1)[:, k - 1], r2) if d2.shape[1] > k else r2
+    i, j = np.nonzero(d2 <= least[:, None])
+    v = d2[i, j]
+    order = np.lexsort((j, v, i))
+    i, j, v = i[order], j[order], v[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], v[keep]
+
+
+def _search(train: DataFrame, asked: DataFrame, cells: Cells, names: Sequence[str], k: int, query_rows: int,
+            look_on: bool) -> DataFrame:
+    """Per query (row of ``asked`` with its leaf and the squared distance to stay
+    within) its nearest training points in that leaf, and with ``look_on`` the other
+    leaves that may hold nearer ones."""
+    names, d = list(names), len(names)
+    kinds = {f.name: f.dataType.simpleString() for f in [*train.schema, *asked.schema]}
+    load = asked.groupBy("_leaf").count().collect()
+    spark = asked.sparkSession
+    # small rows, much work: tasks by leaves, not by bytes
+    tasks = max(1, min(len(load), 4 * spark.sparkContext.defaultParallelism))
+    shares = spark.createDataFrame([(r["_leaf"], -(-r["count"] // query_rows)) for r in load],
+                                                "_leaf int, _shares int")
+    queries = asked.join(F.broadcast(shares), "_leaf").withColumn(
+        "_share", F.pmod(F.xxhash64("_tid", *names), F.col("_shares")).cast("int")).drop("_shares")
+    points = train.join(F.broadcast(shares), "_leaf").withColumn(
+        "_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+
+    def nearest(here: pa.Table, asks: pa.Table) -> pa.Table:
+        here = here.take(pc.sort_indices(here, sort_keys=[("_rid", "ascending")], null_placement="at_start"))
+        t = np.column_stack([here.column(c).to_numpy() for c in names])
+        q = np.column_stack([asks.column(c).to_numpy() for c in names])
+        r2 = asks.column("_r2").to_numpy()
+        got = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        step = max(1, (1 << 18) // max(1, len(t)))
+        for s in range(0, len(q) if len(t) else 0, step):
+            part, d2 = q[s:s + step], 0.0
+            for c in range(d):
+                d2 = d2 + (part[:, c:c + 1] - t[:, c]) ** 2
+            i, j, v = _k_smallest(np.where(np.isnan(d2), np.inf, d2), k, r2[s:s + step])
+            got.append((i + s, j, v))
+        i, j, v = (np.concatenate(c) for c in zip(*got))
+        n = np.bincount(i, minlength=len(q))
+        ends = np.cumsum(n)
+        near = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.StructArray.from_arrays(
+            [pa.array(v), here.column("_rid").take(pa.array(j)).combine_chunks(),
+             here.column("_label").take(pa.array(j)).combine_chunks()], names=["dist2", "rid", "label"]))
+        out = [asks.column("_tid"), near]
+        if look_on:
+            kth = np.full(len(q), np.inf)
+            kth[n == k] = v[ends[n == k] - 1]
+            row, leaf = cells.near(q, asks.column("_leaf").to_numpy(), kth)
+            order = np.argsort(row, kind="stable")
+            at = np.r_[0, np.cumsum(np.bincount(row, minlength=len(q)))].astype(np.int32)
+            out += [pa.ListArray.from_arrays(pa.array(at), pa.array(leaf[order].astype(np.int32))), pa.array(kth),
+                    *[asks.column(c) for c in names]]
+        return pa.table(out, names=["_tid", "near", *(["leaves", "_r2", *names] if look_on else [])])
+
+    schema = (f"_tid {kinds['_tid']}, near array<struct<dist2:double,rid:{kinds['_rid']},label:{kinds['_label']}>>"
+              + (", leaves array<int>, _r2 double, " + ", ".join(f"{c} double" for c in names) if look_on else ""))
+    points, queries = (t.repartition(tasks, "_leaf", "_share") for t in (points, queries))
+    return points.groupBy("_leaf", "_share").cogroup(queries.groupBy("_leaf", "_share")).applyInArrow(nearest, schema)
+
+
 def knn(train: DataFrame, test: DataFrame, cols: Sequence[str], k: int, key: str = "_tid", train_key: str = "_rid",
-        label: str = "_label", start_width: float | None = None) -> DataFrame:
+        label: str = "_label", leaf_rows: int = 2048, max_leaves: int = 8192, query_rows: int = 50_000) -> DataFrame:
     """(key, neighbours) with ``neighbours`` = array of struct(dist2, train key,
     label) of the k nearest training points, nearest first (ties by train key).
 
     ``train`` has (train_key, cols..., label); ``test`` has (key, cols...)."""
     cols = list(cols)
-    d = len(cols)
-    train = _drop_shadowed_copies(train, cols, k, train_key)
-    both = train.select(*cols).unionByName(test.select(*cols))
-    ext = both.agg(*[(F.max(c) - F.min(c)).alias(c) for c in cols]).collect()[0]
-    extent = max([float(ext[c] or 0.0) for c in cols] + [1e-12])
-    n_train = train.count()
-    if start_width is None:
-        # about k training points per cell if they were spread evenly
-        start_width = extent * (max(k, 1) / max(n_train, 1)) ** (1.0 / d)
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
-    off = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    pending = test.select(key, *[F.col(c).alias(f"_q{i}") for i, c in enumerate(cols)])
-    done = []
-    for lvl in itertools.count():
-        w = start_width * (2 ** lvl)
-        last = w > extent  # cells as wide as the data: every training point is a candidate
-        tr = train.select(train_key, label, *[F.col(c).alias(f"_t{i}") for i, c in enumerate(cols)],
-                          F.array(*_cells(cols, w)).alias("_cell"))
-        qcell = [F.floor(F.col(f"_q{i}") / F.lit(w)).cast("long") for i in range(d)]
-        q = pending.select("*", F.explode(off).alias("_o")).withColumn(
-            "_cell", F.array(*[qcell[i] + F.col("_o")[i] for i in range(d)])).drop("_o")
-        cand = q.join(tr, "_cell")
-        dist2 = sum(((F.col(f"_q{i}") - F.col(f"_t{i}")) ** 2 for i in range(d)), F.lit(0.0))
-        # the k nearest are picked on the map side first (window group limit), so
-        # a query never gathers more than a few times k candidates
-        near = Window.partitionBy(key).orderBy("dist2", "rid")
-        first = cand.select(key, dist2.alias("dist2"), F.col(train_key).alias("rid"), F.col(label).alias("label")).withColumn(
-            "_r", F.row_number().over(near)).where(F.col("_r") <= k)
-        best = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dist2", "rid", "label"))).alias("neighbours"))
-        if last:
-            done.append(best)
-            break
-        kth = F.element_at("neighbours", -1)["dist2"]
-        # cache the level's results; every few levels checkpoint them so the
-        # plan of later levels does not keep growing
-        ok = best.where((F.size("neighbours") >= k) & (kth < F.lit(w * w)))
-        pending = pending.join(ok.select(key), key, "left_anti")
-        if lvl % 4 == 3:
-            ok, pending = cut_lineage(ok), cut_lineage(pending)
-        else:
-            ok, pending = ok.cache(), pending.cache()
-        done.append(ok)
-        if pending.limit(1).count() == 0:
-            break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+    names = [f"_x{i}" for i in range(len(cols))]
+    xs = [F.col(c).cast("double").alias(n) for c, n in zip(cols, names)]
+    kept = _drop_shadowed_copies(train, cols, k, train_key).select(
+        F.col(train_key).alias("_rid"), F.col(label).alias("_label"), *xs).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = _cells_of(kept, names, leaf_rows, max_leaves)
+
+    @F.pandas_udf("int")
+    def leaf_of(*v: pd.Series) -> pd.Series:
+        return pd.Series(cells.route(np.column_stack([c.to_numpy(float) for c in v])).astype(np.int32))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_leaf", leaf_of(*names))
+
+    points = placed(kept).persist(StorageLevel.MEMORY_AND_DISK)
+    boxes = points.groupBy("_leaf").agg(*[f(c) for f in (F.min, F.max) for c in names]).collect()
+    cells.bound({r[0]: (r[1:1 + len(cols)], r[1 + len(cols):]) for r in boxes}, len(cols))
+    kept.unpersist()
+    asked = placed(test.select(F.col(key).alias("_tid"), *xs, F.lit(float("inf")).alias("_r2"))).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    first = _search(points, asked, cells, names, k, query_rows, True).persist(StorageLevel.MEMORY_AND_DISK)
+    on = first.select("_tid", "_r2", *names, F.explode("leaves").alias("_leaf"))
+    second = _search(points, on, cells, names, k, query_rows, False)
+    asked.unpersist()
+    found = first.select("_tid", F.explode("near").alias("n")).unionByName(
+        second.select("_tid", F.explode("near").alias("n")))
+    # the k nearest are picked on the map side first (window group limit)
+    best = Window.partitionBy("_tid").orderBy("n.dist2", "n.rid")
+    return found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy("_tid").agg(
+        F.sort_array(F.collect_list("n")).alias("neighbours")).withColumnRenamed("_tid", key)
