@@ -8,9 +8,10 @@ ranges are tight and thresholds lie between values that occur.  A large node
 without spread is a leaf at once, and its rows go nowhere.
 
 Rows of the other nodes are grouped by (tree, node), at most ``node_rows``
-training rows each, and a task grows the rest of that tree exactly, all nodes
-of a level by one sort per feature; the rows to be predicted that fall there
-are routed at the same time, so no tree has to be kept.  The rows to be
+training rows each, and a task grows the rest of that tree exactly, from one sort
+per feature that every split only deals to its children; the rows to be predicted
+that fall there are routed at the same time, so no tree has to be kept.  Rows
+travel packed, one record per (tree, node) of about 100,000 rows, and so do votes.  The rows to be
 predicted are the other part of a split: as many as the training rows, or fewer.
 
 A row's bootstrap weight is Poisson(1) by its hash and the tree, so it is the
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from custlens.plans.kmeans import _uniform
 from custlens.session import cut_lineage
 
+BUCKET_BITS = 13  # votes are added up for so many neighbouring rows at once
 _POISSON = np.cumsum([exp(-1.0) / factorial(i) for i in range(16)])
 
 
@@ -75,15 +77,26 @@ def _chance(tree: int, node: np.ndarray, feature: int, seed: int) -> np.ndarray:
 def _impurity(counts: np.ndarray) -> np.ndarray:
     """Gini impurity times weight, of class weights along the last axis."""
     n = counts.sum(-1)
-    return n - (counts ** 2).sum(-1) / np.where(n > 0, n, 1.0)
+    return n - np.einsum("...i,...i->...", counts, counts) / np.where(n > 0, n, 1.0)
+
+
+def _impurity_by_class(counts: np.ndarray) -> np.ndarray:
+    """The same of class weights along the first axis: long sums go along memory."""
+    n = counts.sum(0)
+    return n - (counts * counts).sum(0) / np.where(n > 0, n, 1.0)
+
+
+def _first(can: np.ndarray, rank: np.ndarray, tried: int) -> np.ndarray:
+    """Per node (row) the first ``tried`` features in its order that can be split."""
+    place = np.argsort(np.argsort(np.where(can, rank, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
+    return can & (place < tried)
 
 
 def _choose(gain: np.ndarray, rank: np.ndarray, tried: int) -> np.ndarray:
     """Per node (row) the best feature among the first ``tried`` in its order
     that can be split at all (gain not NaN); -1 where none can."""
     can = ~np.isnan(gain)
-    place = np.argsort(np.argsort(np.where(can, rank, np.inf), axis=1, kind="stable"), axis=1, kind="stable")
-    g = np.where(can & (place < tried), gain, -np.inf)
+    g = np.where(_first(can, rank, tried), gain, -np.inf)
     return np.where(can.any(1), g.argmax(1), -1)
 
 
@@ -92,39 +105,50 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, test: np.ndarray, classes:
     """(class shares of the leaf of each test row, impurity taken away by each feature)."""
     p = x.shape[1]
     out, won = np.zeros((len(test), classes)), np.zeros(p)
-    node, tnode = np.zeros(len(x), dtype=np.int64), np.zeros(len(test), dtype=np.int64)
-    rows, trows = np.arange(len(x)), np.arange(len(test))
+    tnode, trows = np.zeros(len(test), dtype=np.int64), np.arange(len(test))
+    # per feature the rows by (node, value): sorted once, then only dealt to the children
+    order = [np.argsort(x[:, f], kind="stable") for f in range(p)]
+    size = np.array([len(x)])
     level = 0
-    while len(rows):
-        m = int(node.max()) + 1
-        total = np.zeros((m, classes))
-        np.add.at(total, (node, y[rows]), w[rows])
+    while size.sum():
+        m = len(size)
+        ends = np.cumsum(size)
+        starts = ends - size
+        node = np.repeat(np.arange(m), size)
+        total = np.bincount(node * classes + y[order[0]], weights=w[order[0]], minlength=m * classes).reshape(m, classes)
         impure = (total > 0).sum(1) > 1
-        gain, cut = np.full((m, p), np.nan), np.zeros((m, p))
         own = _impurity(total)
-        work = np.flatnonzero(impure[node])
-        for f in range(p) if len(work) else ():
-            v = x[rows[work], f]
-            o = work[np.lexsort((v, node[work]))]
-            nd, v = node[o], x[rows[o], f]
-            onehot = np.zeros((len(o), classes))
-            onehot[np.arange(len(o)), y[rows[o]]] = w[rows[o]]
-            run = np.cumsum(onehot, axis=0)
-            ends = np.flatnonzero((nd[1:] == nd[:-1]) & (v[1:] > v[:-1]))
-            if not len(ends):
-                continue
-            starts = np.searchsorted(nd, nd[ends])
-            lower = run[ends] - np.where((starts > 0)[:, None], run[starts - 1], 0.0)
-            g = own[nd[ends]] - _impurity(lower) - _impurity(total[nd[ends]] - lower)
-            first = np.lexsort((np.arange(len(ends)), -g, nd[ends]))
-            first = first[np.r_[True, np.diff(nd[ends][first]) > 0]]
-            at = ends[first]
-            gain[nd[at], f] = g[first]
-            mid = (v[at] + v[at + 1]) / 2
-            cut[nd[at], f] = np.where(mid < v[at + 1], mid, v[at])
+        can = np.column_stack([impure & (x[o[starts], f] < x[o[ends - 1], f]) for f, o in enumerate(order)])
         ids = np.arange(m, dtype=np.int64) + level * 1_000_003 + root * 15_485_863
         rank = np.column_stack([_chance(tree, ids, f, seed) for f in range(p)])
-        best = _choose(gain, rank, tried)
+        use = _first(can, rank, tried)
+        gain, cut = np.full((m, p), np.nan), np.zeros((m, p))
+        for f in range(p):
+            some = use[:, f][node]
+            nd, rows = node[some], order[f][some]
+            if not len(rows):
+                continue
+            v = x[rows, f]
+            run, wr, yr = np.empty((classes, len(rows))), w[rows], y[rows]
+            for i in range(classes):
+                np.cumsum(wr * (yr == i), out=run[i])
+            first = np.flatnonzero(np.r_[True, nd[1:] != nd[:-1]])
+            before = np.zeros((classes, m))
+            before[:, nd[first[1:]]] = run[:, first[1:] - 1]
+            at = np.flatnonzero((nd[1:] == nd[:-1]) & (v[1:] > v[:-1]))
+            n = nd[at]
+            lower = run[:, at] - before[:, n]
+            g = own[n] - _impurity_by_class(lower) - _impurity_by_class(total.T[:, n] - lower)
+            block = np.flatnonzero(np.r_[True, n[1:] != n[:-1]])
+            most = np.full(m, np.nan)
+            most[n[block]] = np.maximum.reduceat(g, block)
+            top = np.flatnonzero(g == most[n])
+            top = top[np.r_[True, n[top][1:] != n[top][:-1]]]
+            n, at = n[top], at[top]
+            gain[n, f] = g[top]
+            mid = (v[at] + v[at + 1]) / 2
+            cut[n, f] = np.where(mid < v[at + 1], mid, v[at])
+        best = np.where(can.any(1), np.where(use, gain, -np.inf).argmax(1), -1)
         leaf = best < 0
         share = total / np.maximum(total.sum(1, keepdims=True), 1e-300)
         gone = leaf[tnode]
@@ -134,15 +158,38 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, test: np.ndarray, classes:
         np.add.at(won, best[split], gain[split, best[split]])
         child = np.zeros(m, dtype=np.int64)
         child[split] = 2 * np.arange(len(split))
+        c = cut[np.arange(m), np.maximum(best, 0)]
+        tnode = child[tnode] + (test[trows, best[tnode]] > c[tnode])
         stay = ~leaf[node]
-        rows, node = rows[stay], node[stay]
-        f, c = best, cut[np.arange(m), np.maximum(best, 0)]
-        node, tnode = (child[node] + (x[rows, f[node]] > c[node]),
-                       child[tnode] + (test[trows, f[tnode]] > c[tnode]))
+        nd = node[stay]
+        up = np.zeros(len(x), dtype=bool)
+        rows = order[0][stay]
+        up[rows] = x[rows, best[nd]] > c[nd]
+        size = np.bincount(child[nd] + up[rows], minlength=2 * len(split))
+        low = np.repeat(np.arange(2 * len(split)) % 2 == 0, size)
+        for f in range(p):
+            rows = order[f][stay]
+            right = up[rows]
+            dealt = np.empty_like(rows)
+            dealt[low], dealt[~low] = rows[~right], rows[right]
+            order[f] = dealt
         level += 1
     return out, won
 
 
+def _gathered(batches: Iterator[pd.DataFrame], rows: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Batches put together: what is added up or packed per batch gets fewer, larger parts."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _levels(train: DataFrame, xs: Sequence[str], tops: list[Top], won: np.ndarray, classes: int, tried: int,
             seed: int, node_rows: int, bins: int, ranges: np.ndarray) -> None:
     """Split every node of more than ``node_rows`` bootstrap rows."""
@@ -159,23 +206,31 @@ def _levels(train: DataFrame, xs: Sequence[str], tops: list[Top], won: np.ndarra
         lows, highs = np.array([live[s][:, 0] for s in slots]), np.array([live[s][:, 1] for s in slots])
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+            for pdf in _gathered(batches):
                 x, y = pdf[xs].to_numpy(float), pdf["_cls"].to_numpy()
                 h = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64)
+                order = [np.argsort(x[:, f], kind="stable") for f in range(p)]
                 for t, top in enumerate(tops):
-                    if (slot_of[t] < 0).all():
+                    mine = slot_of[t][slot_of[t] >= 0]
+                    if not len(mine):
                         continue
                     w, slot = _bootstrap(h, t, seed), slot_of[t][top.route(x)]
-                    use = np.flatnonzero((w > 0) & (slot >= 0))
+                    base, cells = int(mine.min()), (int(mine.max()) - int(mine.min()) + 1) * bins
                     for f in range(p):
+                        use = order[f][((w > 0) & (slot >= 0))[order[f]]]
                         s, v = slot[use], x[use, f]
                         width = np.maximum(highs[s, f] - lows[s, f], 1e-300)
-                        b = np.clip(((v - lows[s, f]) / width * bins), 0, bins - 1).astype(np.int32)
-                        part = pd.DataFrame({"slot": s.astype(np.int32), "f": np.int32(f), "bin": b, "lo": v, "hi": v})
-                        for i, n in enumerate(names):
-                            part[n] = np.where(y[use] == i, w[use], 0.0)
-                        yield part.groupby(["slot", "f", "bin"], as_index=False).agg(
-                            {"lo": "min", "hi": "max", **{n: "sum" for n in names}})
+                        b = np.clip(((v - lows[s, f]) / width * bins), 0, bins - 1).astype(np.int64)
+                        cell = (s - base) * bins + b
+                        sums = np.bincount(cell * classes + y[use], weights=w[use],
+                                           minlength=cells * classes).reshape(cells, classes)
+                        # rows come by value: the first and the last of a cell are its ends
+                        lo, hi = np.zeros(cells), np.zeros(cells)
+                        hi[cell], lo[cell[::-1]] = v, v[::-1]
+                        some = np.flatnonzero(sums.any(1))
+                        yield pd.DataFrame({"slot": (base + some // bins).astype(np.int32), "f": np.int32(f),
+                                            "bin": (some % bins).astype(np.int32), "lo": lo[some], "hi": hi[some],
+                                            **{n: sums[some, i] for i, n in enumerate(names)}})
 
         got = train.mapInPandas(count, schema).groupBy("slot", "f", "bin").agg(
             F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(n).alias(n) for n in names]).toPandas()
@@ -216,7 +271,7 @@ def _levels(train: DataFrame, xs: Sequence[str], tops: list[Top], won: np.ndarra
 
 
 def fit_predict(data: DataFrame, xs: Sequence[str], label: str, key: str, trees: int = 200, seed: int = 1,
-                node_rows: int = 50_000, bins: int = 64, max_classes: int = 1000) -> tuple[DataFrame, np.ndarray]:
+                node_rows: int = 400_000, bins: int = 64, max_classes: int = 1000) -> tuple[DataFrame, np.ndarray]:
     """(predictions (key, truth, pred) of the rows that are not ``_train``,
     importance by feature).  ``data`` holds complete rows.  A prediction is the
     class with the largest mean share over the trees, the smallest on a tie;
@@ -234,62 +289,93 @@ def fit_predict(data: DataFrame, xs: Sequence[str], label: str, key: str, trees:
         return rows.where(~F.col("_train")).select(F.col("_key").alias(key), F.col("_y").alias("truth"),
                                                    F.lit(None).cast(rows.schema["_y"].dataType).alias("pred")), np.zeros(p)
     number = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("_y")) - 1
-    rows = rows.withColumn("_cls", number.cast("int")).withColumn("_h", F.xxhash64("_key", "_y", *cols)).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    train = rows.where("_train")
+    # the row numbers are stored with the rows, so they stay the same
+    rows = cut_lineage(rows.withColumn("_cls", number.cast("int")).withColumn("_h", F.xxhash64("_key", "_y", *cols)).withColumn(
+        "_id", F.monotonically_increasing_id()))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    want = min(4 * cores, 1 + rows.count() // 2000)
+    placed_rows = rows.select("_id", "_cls", "_h", "_train", *cols)
+    if rows.rdd.getNumPartitions() < want:  # few rows, much work
+        placed_rows = placed_rows.repartition(want)
+    placed_rows = placed_rows.persist(StorageLevel.MEMORY_AND_DISK)
+    train = placed_rows.where("_train")
     size = train.agg(F.count("*").alias("n"), *[f(c) for c in cols for f in (F.min, F.max)]).first()
     tops, won = [Top() for _ in range(trees)], np.zeros((trees, p))
     tried = max(1, int(p ** 0.5))
     if size["n"] > node_rows * 0.9:
         _levels(train, cols, tops, won, len(labels), tried, seed, node_rows, bins,
                 np.array(size[1:], float).reshape(p, 2))
-    kind = rows.schema["_key"].dataType.simpleString()
 
     def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _gathered(batches):
             x, tr = pdf[cols].to_numpy(float), pdf["_train"].to_numpy(bool)
             h = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64)
+            y, ident = pdf["_cls"].to_numpy().astype(float), pdf["_id"].to_numpy()
             for t, top in enumerate(tops):
                 node = top.route(x)
                 w = np.where(tr, _bootstrap(h, t, seed), 0.0)
-                shut = np.isin(node, list(top.closed))
-                keep = np.where(tr, (w > 0) & ~shut, True)
-                # rows to be predicted in a closed leaf need no training rows: any slice will do
-                part = np.where(shut, h % np.uint64(997), 0).astype(np.int32)
-                yield pdf[keep][["_key", "_cls", "_train", *cols]].assign(
-                    tree=np.int32(t), node=node[keep], part=part[keep], w=w[keep])
-
-    names = [f"s{i}" for i in range(max(len(labels), p))]
-
-    def finish(ids: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        t, node = int(ids[0]), int(ids[1])
-        tr = pdf["_train"].to_numpy(bool)
-        x, test = pdf[cols].to_numpy(float)[tr], pdf[cols].to_numpy(float)[~tr]
+                keep = np.where(tr, (w > 0) & ~np.isin(node, list(top.closed)), True)
+                # one packed row per node: first its training rows, then those to be predicted
+                o = np.flatnonzero(keep)
+                o = o[np.lexsort((~tr[o], node[o]))]
+                first = np.flatnonzero(np.r_[True, node[o][1:] != node[o][:-1]]) if len(o) else o
+                out = []
+                for a, b in zip(first, [*first[1:], len(o)]):
+                    n = node[o[a]]
+                    mid = a + int(tr[o[a:b]].sum())
+                    low, high = o[a:mid], o[mid:b]
+                    # rows to be predicted in a closed leaf need no training rows: any slice will do
+                    part = int(h[o[a]] % np.uint64(997)) if n in top.closed else 0
+                    out.append((t, n, part, x[low].tobytes(), y[low].astype(np.int32).tobytes(),
+                                w[low].astype(np.uint8).tobytes(), x[high].tobytes(), ident[high].tobytes()))
+                yield pd.DataFrame(out, columns=["tree", "node", "part", "x", "y", "w", "test", "ids"])
+
+    def finish(at: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        t, node = int(at[0]), int(at[1])
+        x, y, w, test, ident = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (
+            ("x", float), ("y", np.int32), ("w", np.uint8), ("test", float), ("ids", np.int64)))
+        x, test = x.reshape(-1, p), test.reshape(-1, p)
         if node in tops[t].closed:
             share, got = np.tile(tops[t].closed[node], (len(test), 1)), np.zeros(p)
         else:
-            order = np.lexsort(x.T)
-            y, w = pdf["_cls"].to_numpy()[tr], pdf["w"].to_numpy()[tr]
-            share, got = grow(x[order], y[order].astype(int), w[order], test, len(labels), tried, t, seed, node)
-        out = pd.DataFrame(np.pad(share, ((0, 0), (0, len(names) - share.shape[1]))), columns=names)
-        out.insert(0, "_key", pdf["_key"][~tr].to_numpy())
-        out.insert(0, "tree", np.full(len(out), -1, dtype=np.int32))
-        imp = pd.DataFrame([[t, None, *np.pad(got, (0, len(names) - p))]], columns=["tree", "_key", *names])
-        return pd.concat([out, imp]) if len(out) else imp
-
-    placed = rows.mapInPandas(scatter, f"_key {kind}, _cls int, _train boolean, "
-                              + ", ".join(f"{c} double" for c in cols) + ", tree int, node bigint, part int, w double")
-    done = cut_lineage(placed.groupBy("tree", "node", "part").applyInPandas(
-        finish, f"tree int, _key {kind}, " + ", ".join(f"{n} double" for n in names)))
-    rows.unpersist()
-    for r in done.where("tree >= 0").groupBy("tree").agg(*[F.sum(n).alias(n) for n in names[:p]]).collect():
-        won[r["tree"]] += [r[n] for n in names[:p]]
+            share, got = grow(x, y.astype(np.int64), w.astype(float), test, len(labels), tried, t, seed, node)
+        out = [(t, None, None, None, None, got.tolist())]
+        # shares that are not 0, packed by the rows they belong to
+        by = np.argsort(ident, kind="stable")
+        ident, share = ident[by], share[by]
+        bucket = ident >> BUCKET_BITS
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(ident) else ident
+        for a, b in zip(first, [*first[1:], len(ident)]):
+            i, c = np.nonzero(share[a:b])
+            out.append((None, bucket[a], (ident[a:b][i] - (bucket[a] << BUCKET_BITS)).astype(np.int32).tobytes(),
+                        c.astype(np.int32).tobytes(), share[a:b][i, c].tobytes(), None))
+        return pd.DataFrame(out, columns=["tree", "bucket", "row", "cls", "share", "won"])
+
+    def add(at: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        row, cls, share = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (
+            ("row", np.int32), ("cls", np.int32), ("share", float)))
+        sums = np.bincount(row.astype(np.int64) * len(labels) + cls, weights=share,
+                           minlength=len(labels) << BUCKET_BITS).reshape(-1, len(labels))
+        seen = np.unique(row).astype(np.int64)
+        return pd.DataFrame(sums[seen], columns=names).assign(_id=seen + (int(at[0]) << BUCKET_BITS))
+
+    names = [f"s{i}" for i in range(len(labels))]
+    groups = placed_rows.mapInPandas(scatter, "tree int, node bigint, part int, x binary, y binary, w binary, test binary, ids binary")
+    tasks = max(1, min(sum(len(t.feature) for t in tops), max(4 * cores, int(size["n"]) * trees // 2_000_000)))
+    done = cut_lineage(groups.repartition(tasks, "tree", "node", "part").groupBy("tree", "node", "part").applyInPandas(
+        finish, "tree int, bucket bigint, row binary, cls binary, share binary, won array<double>"))
+    placed_rows.unpersist()
+    for r in done.where("tree IS NOT NULL").groupBy("tree").agg(
+            *[F.sum(F.col("won")[i]).alias(f"w{i}") for i in range(p)]).collect():
+        won[r["tree"]] += [r[f"w{i}"] for i in range(p)]
     total = won.sum(1, keepdims=True)
     shares = np.where(total > 0, won / np.where(total > 0, total, 1.0), 0.0)
     mean = shares.mean(0)
-    votes = done.where("tree < 0").groupBy("_key").agg(
-        *[F.round(F.sum(n), 9).alias(n) for n in names[:len(labels)]])
-    v = F.array(*names[:len(labels)])
+    summed = done.where("bucket IS NOT NULL").groupBy("bucket").applyInPandas(
+        add, ", ".join(f"{n} double" for n in names) + ", _id bigint")
+    votes = rows.where(~F.col("_train")).select("_id", "_key").join(summed, "_id").groupBy("_key").agg(
+        *[F.round(F.sum(n), 9).alias(n) for n in names])
+    v = F.array(*names)
     pred = votes.select(F.col("_key").alias(key), F.element_at(
         F.array(*[F.lit(c) for c in labels]), F.array_position(v, F.array_max(v)).cast("int")).alias("pred"))
     truth = data.where(~F.col("_train")).select(key, F.col(label).alias("truth"))

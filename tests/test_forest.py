@@ -113,3 +113,18 @@ def test_forest_of_text_labels_and_edge_tables(spark):
     model, pred = M.forest(constant, ["x"], "y", "k", trees=5)
     assert pred.count() == 20 and model.importances.tolist() == [0.0]
     assert M.forest(data.limit(0), ["x"], "y", "k", trees=5)[1].count() == 0
+
+
+def test_rows_are_counted_and_packed_by_many(spark, monkeypatch):
+    parts = [pd.DataFrame({"a": np.arange(n)}) for n in (3, 4, 1, 9, 2)]
+    got = list(P._gathered(iter(parts), rows=7))
+    assert [len(g) for g in got] == [7, 10, 2] and pd.concat(got)["a"].tolist() == pd.concat(parts)["a"].tolist()
+    # votes of rows in other partitions and of repeated keys meet again
+    data = spark.createDataFrame([(i % 50, float(i % 10), float(i // 20), int(i % 10 > 4), i % 3 > 0) for i in range(300)],
+                                 "k int, x double, z double, y int, _train boolean")
+    monkeypatch.setattr(P, "BUCKET_BITS", 2)
+    one, imp = P.fit_predict(data.coalesce(1), ["x", "z"], "y", "k", trees=6)
+    two, imp2 = P.fit_predict(data.repartition(7), ["x", "z"], "y", "k", trees=6, node_rows=30)
+    assert one.count() == two.count() == data.where("not _train").count()
+    assert one.where("truth = pred").count() == one.count() == two.where("truth = pred").count()
+    assert np.argmax(imp) == np.argmax(imp2) == 0
