@@ -78,8 +78,14 @@ def _d2(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x ** 2).sum(1)[:, None] - 2.0 * (x @ c.T) + (c ** 2).sum(1)[None, :], 0.0)
 
 
-def _nearest(x: np.ndarray, c: np.ndarray, chunk: int = 2048) -> np.ndarray:
-    return np.concatenate([np.empty(0, np.int64)] + [_d2(x[i:i + chunk], c).argmin(1) for i in range(0, len(x), chunk)])
+def _nearest(x: np.ndarray, c: np.ndarray, cells: int = 1 << 17) -> np.ndarray:
+    """Nearest centre (the first of equal ones).  A row's own square adds nothing to the
+    order, so one product gives it; chunks are small enough to stay in the processor's cache."""
+    out, step = np.empty(len(x), np.int64), max(1, cells // max(1, len(c)))
+    one, by = np.column_stack([x, np.ones(len(x))]), np.vstack([-2.0 * c.T, (c ** 2).sum(1)])
+    for i in range(0, len(x), step):
+        out[i:i + step] = (one[i:i + step] @ by).argmin(1)
+    return out
 
 
 def _draw(data: DataFrame, cols: Sequence[str], drawn: np.ndarray, take: int, seed: int, step: int) -> np.ndarray:
@@ -189,9 +195,8 @@ def _pass(data: DataFrame, cols: Sequence[str], centers: dict[int, np.ndarray]):
         acc = np.zeros((len(stacked), 2 + d))
         for pdf in batches:
             x, w = pdf[cols].to_numpy(float), pdf["_w"].to_numpy(float)
-            dist = _d2(x, stacked)
             for _, lo, hi in bounds:
-                lab = dist[:, lo:hi].argmin(1) + lo
+                lab = _nearest(x, stacked[lo:hi]) + lo
                 sq = ((x - stacked[lab]) ** 2).sum(1)
                 parts = [w, w * sq, *[w * x[:, j] for j in range(d)]]
                 for col, v in enumerate(parts):
@@ -234,10 +239,15 @@ def fit_many(df: DataFrame, cols: Sequence[str], runs: Sequence[Run], max_iter:
     data = points.withColumn("_h", F.xxhash64(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
     mean = [F.sum(F.col(c) * F.col("_w")) / F.sum("_w") for c in cols]
     var = data.agg(*[(F.sum(F.col(c) * F.col(c) * F.col("_w")) / F.sum("_w") - m * m).alias(c)
-                     for c, m in zip(cols, mean)]).collect()[0]
+                     for c, m in zip(cols, mean)], F.count("*").alias("_n")).collect()[0]
     if all(var[c] is None for c in cols):
         data.unpersist()
         return {r.run: Fit(np.empty((0, len(cols))), 0.0, True, np.empty(0)) for r in runs}
+    want = min(4 * df.sparkSession.sparkContext.defaultParallelism, var["_n"] // 10_000)
+    if data.rdd.getNumPartitions() < want:  # few bytes, much work in every pass: tasks by points
+        few, data = data, data.repartition(want).persist(StorageLevel.MEMORY_AND_DISK)
+        data.count()
+        few.unpersist()
     thresh = tol * float(np.mean([var[c] or 0.0 for c in cols]))
     cells = _sample_cells(data, cols, runs, rounds) if first is None else None
     start = first if first is not None else {r.run: _start(*cells, r.k, r.seed) for r in runs}
