@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
 from pyspark.sql import DataFrame
@@ -233,11 +234,16 @@ def aspect_sentiment(df: DataFrame, text: str, pol: str = "polarity", aspects=DE
 
 
 def topics(df: DataFrame, text: str, k: int = 3, min_df: int = 5, top: int = 8, seed: int = 42,
-           max_iter: int = 20) -> DataFrame:
+           max_iter: int = 20, texts_per_task: int = 2000) -> DataFrame:
     """LDA topics: (topic, rank, term, weight) for the ``top`` terms of each of
     ``k`` topics.  Tokens of two or more word characters, English stop words
     removed, terms in at least ``min_df`` documents; no topics without such terms."""
     docs = df.select(text).where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
+    # the work is in the iterations, not in the bytes read: a file of few row groups
+    # must not leave it to as many tasks
+    tasks = min(2 * df.sparkSession.sparkContext.defaultParallelism, docs.count() // texts_per_task)
+    if docs.rdd.getNumPartitions() < tasks:
+        docs = docs.repartition(tasks).persist(StorageLevel.DISK_ONLY)
     tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="\\b\\w\\w+\\b", gaps=False,
                          toLowercase=True).transform(docs)
     clean = StopWordsRemover(inputCol="_tok", outputCol="_words").transform(tok)
@@ -250,6 +256,8 @@ def topics(df: DataFrame, text: str, k: int = 3, min_df: int = 5, top: int = 8,
     cv = CountVectorizer(inputCol="_words", outputCol="_counts", minDF=float(min_df), vocabSize=max(1, terms)).fit(clean)
     vec = cv.transform(clean).select("_counts").persist()
     model = LDA(k=k, seed=seed, featuresCol="_counts", maxIter=max_iter, subsamplingRate=1.0).fit(vec)
+    vec.unpersist()
+    docs.unpersist()
     desc = model.describeTopics(top)
     spark = df.sparkSession
     vocab = spark.createDataFrame([(i, w) for i, w in enumerate(cv.vocabulary)], "_idx int, term string")
