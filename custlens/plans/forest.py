@@ -7,12 +7,17 @@ together.  Every bin also reports its smallest and largest value, so the next
 ranges are tight and thresholds lie between values that occur.  A large node
 without spread is a leaf at once, and its rows go nowhere.
 
-Rows of the other nodes are grouped by (tree, node), at most ``node_rows``
-training rows each, and a task grows the rest of that tree exactly, from one sort
-per feature that every split only deals to its children; the rows to be predicted
-that fall there are routed at the same time, so no tree has to be kept.  Rows
-travel packed, one record per (tree, node) of about 100,000 rows, and so do votes.  The rows to be
+The other nodes, at most ``node_rows`` training rows each, are dealt to groups:
+nodes of many trees that lie near each other (see ``_dealt``).  A group gets every
+row that any of its nodes needs once, not once per tree: which rows a tree uses
+follows from its top and its bootstrap, so the task finds them again, and grows
+the rest of each tree exactly, from one sort per feature that every split only
+deals to its children; the rows to be predicted that fall there are routed at the
+same time, so no tree has to be kept.  What is shuffled grows with the rows and
+the groups, not with the trees.  Rows travel packed, one record per group of about
+100,000 rows, and so do votes, added up over the group's trees.  The rows to be
 predicted are the other part of a split: as many as the training rows, or fewer.
+Those in a large leaf are answered where they are.
 
 A row's bootstrap weight is Poisson(1) by its hash and the tree, so it is the
 same after a task retry.  Only class counts and the tops of the trees travel
@@ -47,6 +52,7 @@ class Top:
     cut: list[float] = field(default_factory=lambda: [0.0])
     left: list[int] = field(default_factory=lambda: [-1])
     closed: dict[int, np.ndarray] = field(default_factory=dict)  # large leaves: class shares
+    small: dict[int, tuple[float, np.ndarray]] = field(default_factory=dict)  # nodes to grow: rows, middle of their ranges
 
     def route(self, x: np.ndarray) -> np.ndarray:
         feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
@@ -177,6 +183,12 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, test: np.ndarray, classes:
     return out, won
 
 
+def _summed(cells: list[np.ndarray], votes: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The votes added up by cell, cells in order."""
+    cell, at = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *cells]), return_inverse=True)
+    return [cell], [np.bincount(at, weights=np.concatenate([np.empty(0), *votes]), minlength=len(cell))]
+
+
 def _gathered(batches: Iterator[pd.DataFrame], rows: int = 100_000) -> Iterator[pd.DataFrame]:
     """Batches put together: what is added up or packed per batch gets fewer, larger parts."""
     held, n = [], 0
@@ -241,9 +253,10 @@ def _levels(train: DataFrame, xs: Sequence[str], tops: list[Top], won: np.ndarra
                 continue
             g = {f: q for f, q in found[i].groupby("f")}
             total = g[0][names].to_numpy().sum(0)
+            tight = np.array([[g[f]["lo"].min(), g[f]["hi"].max()] for f in range(p)])
             if total.sum() <= node_rows:
+                tops[t].small[n] = float(total.sum()), tight.mean(1)
                 continue
-            tight = np.array([[g[f]["lo"].min(), g[f]["hi"].max()] for f in range(p)])
             if (total > 0).sum() < 2 or (tight[:, 0] == tight[:, 1]).all():
                 tops[t].closed[n] = total / total.sum()
                 continue
@@ -264,20 +277,52 @@ def _levels(train: DataFrame, xs: Sequence[str], tops: list[Top], won: np.ndarra
             won[t, f] += gain[0, f]
             kids = tops[t].split(n, f, float(cut[f]))
             for kid, size in zip(kids, (side[f], total.sum() - side[f])):
+                box = tight.copy()
+                box[f, 1 if kid == kids[0] else 0] = cut[f]
                 if size > node_rows:
-                    nxt[(t, kid)] = tight.copy()
-                    nxt[(t, kid)][f, 1 if kid == kids[0] else 0] = cut[f]
+                    nxt[(t, kid)] = box
+                else:
+                    tops[t].small[kid] = float(size), box.mean(1)
         live = nxt
 
 
+def _dealt(tops: list[Top], ranges: np.ndarray, least: int, most: int, region: int) -> list[list[tuple[int, int]]]:
+    """Groups of (tree, node), about ``least`` of them or more, each of about ``most``
+    bootstrap rows or fewer.  The space is halved by the middles of the nodes until
+    a part holds about ``region`` rows per tree; a group is made of some trees' nodes
+    in one part, so its nodes need much the same rows."""
+    nodes = [(t, n) for t, top in enumerate(tops) for n in sorted(top.small)]
+    if not nodes:
+        return []
+    size = np.array([tops[t].small[n][0] for t, n in nodes])
+    wide = np.maximum(ranges[:, 1] - ranges[:, 0], 1e-300)
+    middle = np.array([tops[t].small[n][1] for t, n in nodes]) / wide
+    most = max(1.0, min(most, size.sum() / least))
+    out, todo = [], [np.arange(len(nodes))]
+    while todo:
+        at = todo.pop()
+        if size[at].sum() > region * len(tops) and len(at) > 1:
+            at = at[np.argsort(middle[at, np.ptp(middle[at], axis=0).argmax()], kind="stable")]
+            half = int(np.clip(np.searchsorted(np.cumsum(size[at]), size[at].sum() / 2), 1, len(at) - 1))
+            todo += [at[:half], at[half:]]
+            continue
+        at = np.sort(at)  # by tree
+        parts = max(1, -(-size[at].sum() // most))
+        part = ((np.cumsum(size[at]) - size[at] / 2) * parts / max(size[at].sum(), 1.0)).astype(int)
+        out += [[nodes[i] for i in at[part == k]] for k in np.unique(part)]
+    return out
+
+
 def fit_predict(data: DataFrame, xs: Sequence[str], label: str, key: str, trees: int = 200, seed: int = 1,
-                node_rows: int = 400_000, bins: int = 64, max_classes: int = 1000) -> tuple[DataFrame, np.ndarray]:
+                node_rows: int = 400_000, bins: int = 64, max_classes: int = 1000, group_rows: int = 10_000_000,
+                region_rows: int = 1_000_000) -> tuple[DataFrame, np.ndarray]:
     """(predictions (key, truth, pred) of the rows that are not ``_train``,
     importance by feature).  ``data`` holds complete rows.  A prediction is the
     class with the largest mean share over the trees, the smallest on a tie;
     NULL without training rows.  Importance: impurity taken away, as shares per
     tree, averaged; 0 where nothing was split.  Each split tries sqrt(features)
-    of those that can be split.  Equal rows share their bootstrap weights."""
+    of those that can be split.  Equal rows share their bootstrap weights.
+    ``group_rows`` and ``region_rows`` only deal the work (see ``_dealt``)."""
     xs, p = list(xs), len(xs)
     rows = data.select(F.col(key).alias("_key"), F.col(label).alias("_y"), "_train",
                        *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs)])
@@ -302,55 +347,75 @@ def fit_predict(data: DataFrame, xs: Sequence[str], label: str, key: str, trees:
     size = train.agg(F.count("*").alias("n"), *[f(c) for c in cols for f in (F.min, F.max)]).first()
     tops, won = [Top() for _ in range(trees)], np.zeros((trees, p))
     tried = max(1, int(p ** 0.5))
+    ranges = np.array(size[1:], float).reshape(p, 2)
     if size["n"] > node_rows * 0.9:
-        _levels(train, cols, tops, won, len(labels), tried, seed, node_rows, bins,
-                np.array(size[1:], float).reshape(p, 2))
+        _levels(train, cols, tops, won, len(labels), tried, seed, node_rows, bins, ranges)
+    else:
+        for top in tops:
+            top.small[0] = float(size["n"]), ranges.mean(1)
+
+    groups = _dealt(tops, ranges, 2 * cores, group_rows, region_rows)
+    group_of = [np.full(len(top.feature), -1) for top in tops]
+    for g, nodes in enumerate(groups):
+        for t, n in nodes:
+            group_of[t][n] = g
 
     def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _gathered(batches):
             x, tr = pdf[cols].to_numpy(float), pdf["_train"].to_numpy(bool)
             h = pdf["_h"].to_numpy().astype(np.int64).view(np.uint64)
-            y, ident = pdf["_cls"].to_numpy().astype(float), pdf["_id"].to_numpy()
+            y, ident = pdf["_cls"].fillna(-1).to_numpy().astype(np.int32), pdf["_id"].to_numpy()
+            need = np.zeros((len(groups), len(x)), dtype=bool)
             for t, top in enumerate(tops):
-                node = top.route(x)
-                w = np.where(tr, _bootstrap(h, t, seed), 0.0)
-                keep = np.where(tr, (w > 0) & ~np.isin(node, list(top.closed)), True)
-                # one packed row per node: first its training rows, then those to be predicted
-                o = np.flatnonzero(keep)
-                o = o[np.lexsort((~tr[o], node[o]))]
-                first = np.flatnonzero(np.r_[True, node[o][1:] != node[o][:-1]]) if len(o) else o
-                out = []
-                for a, b in zip(first, [*first[1:], len(o)]):
-                    n = node[o[a]]
-                    mid = a + int(tr[o[a:b]].sum())
-                    low, high = o[a:mid], o[mid:b]
-                    # rows to be predicted in a closed leaf need no training rows: any slice will do
-                    part = int(h[o[a]] % np.uint64(997)) if n in top.closed else 0
-                    out.append((t, n, part, x[low].tobytes(), y[low].astype(np.int32).tobytes(),
-                                w[low].astype(np.uint8).tobytes(), x[high].tobytes(), ident[high].tobytes()))
-                yield pd.DataFrame(out, columns=["tree", "node", "part", "x", "y", "w", "test", "ids"])
+                to = group_of[t][top.route(x)]
+                o = np.flatnonzero((to >= 0) & (~tr | (_bootstrap(h, t, seed) > 0)))
+                need[to[o], o] = True
+            for g in np.flatnonzero(need.any(1)):
+                low, high = np.flatnonzero(need[g] & tr), np.flatnonzero(need[g] & ~tr)
+                yield pd.DataFrame([(g, x[low].T.tobytes(), y[low].tobytes(), h[low].tobytes(), x[high].T.tobytes(),
+                                     ident[high].tobytes())], columns=["part", "x", "y", "h", "test", "ids"])
 
     def finish(at: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        t, node = int(at[0]), int(at[1])
-        x, y, w, test, ident = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (
-            ("x", float), ("y", np.int32), ("w", np.uint8), ("test", float), ("ids", np.int64)))
-        x, test = x.reshape(-1, p), test.reshape(-1, p)
-        if node in tops[t].closed:
-            share, got = np.tile(tops[t].closed[node], (len(test), 1)), np.zeros(p)
-        else:
-            share, got = grow(x, y.astype(np.int64), w.astype(float), test, len(labels), tried, t, seed, node)
-        out = [(t, None, None, None, None, got.tolist())]
-        # shares that are not 0, packed by the rows they belong to
+        y, h, ident = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (
+            ("y", np.int32), ("h", np.uint64), ("ids", np.int64)))
+        x, test = (np.concatenate([np.frombuffer(b, float).reshape(p, -1) for b in pdf[c]], axis=1).T for c in ("x", "test"))
         by = np.argsort(ident, kind="stable")
-        ident, share = ident[by], share[by]
-        bucket = ident >> BUCKET_BITS
-        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(ident) else ident
-        for a, b in zip(first, [*first[1:], len(ident)]):
-            i, c = np.nonzero(share[a:b])
-            out.append((None, bucket[a], (ident[a:b][i] - (bucket[a] << BUCKET_BITS)).astype(np.int32).tobytes(),
-                        c.astype(np.int32).tobytes(), share[a:b][i, c].tobytes(), None))
+        ident, test = ident[by], test[by]
+        out, cells, votes, held = [], [], [], 0
+        last, node, asked, w = -1, np.empty(0), np.empty(0), np.empty(0)
+        for t, n in groups[int(at[0])]:
+            if t != last:
+                last, node, asked, w = t, tops[t].route(x), tops[t].route(test), _bootstrap(h, t, seed)
+            mine, asks = np.flatnonzero((node == n) & (w > 0)), np.flatnonzero(asked == n)
+            share, got = grow(x[mine], y[mine].astype(np.int64), w[mine], test[asks], len(labels), tried, t, seed, n)
+            out.append((t, None, None, None, None, got.tolist()))
+            i, c = np.nonzero(share)  # shares that are not 0
+            cells.append(asks[i] * len(labels) + c)
+            votes.append(share[i, c])
+            held += len(i)
+            if held > 4_000_000:
+                cells, votes = _summed(cells, votes)
+                held = 0
+        # sums of shares, packed by the rows they belong to
+        (cell,), (share,) = _summed(cells, votes)
+        row, cls = ident[cell // len(labels)], cell % len(labels)
+        bucket = row >> BUCKET_BITS
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(row) else row
+        for a, b in zip(first, [*first[1:], len(row)]):
+            out.append((None, bucket[a], (row[a:b] - (bucket[a] << BUCKET_BITS)).astype(np.int32).tobytes(),
+                        cls[a:b].astype(np.int32).tobytes(), share[a:b].tobytes(), None))
         return pd.DataFrame(out, columns=["tree", "bucket", "row", "cls", "share", "won"])
 
+    def closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, sums = pdf[cols].to_numpy(float), np.zeros((len(pdf), len(labels)))
+            for top in tops:
+                if top.closed:
+                    node = top.route(x)
+                    for n, share in top.closed.items():
+                        sums[node == n] += share
+            yield pd.DataFrame(sums, columns=names).assign(_id=pdf["_id"].to_numpy())
+
     def add(at: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         row, cls, share = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (
             ("row", np.int32), ("cls", np.int32), ("share", float)))
@@ -360,9 +425,10 @@ def fit_predict(data: DataFrame, xs: Sequence[str], label: str, key: str, trees:
         return pd.DataFrame(sums[seen], columns=names).assign(_id=seen + (int(at[0]) << BUCKET_BITS))
 
     names = [f"s{i}" for i in range(len(labels))]
-    groups = placed_rows.mapInPandas(scatter, "tree int, node bigint, part int, x binary, y binary, w binary, test binary, ids binary")
-    tasks = max(1, min(sum(len(t.feature) for t in tops), max(4 * cores, int(size["n"]) * trees // 2_000_000)))
-    done = cut_lineage(groups.repartition(tasks, "tree", "node", "part").groupBy("tree", "node", "part").applyInPandas(
+    packed = placed_rows.mapInPandas(scatter, "part int, x binary, y binary, h binary, test binary, ids binary")
+    # few large groups: with more partitions than groups hardly two of them share a task
+    tasks = max(1, len(groups), min(32 * len(groups), 2000))
+    done = cut_lineage(packed.repartition(tasks, "part").groupBy("part").applyInPandas(
         finish, "tree int, bucket bigint, row binary, cls binary, share binary, won array<double>"))
     placed_rows.unpersist()
     for r in done.where("tree IS NOT NULL").groupBy("tree").agg(
@@ -373,6 +439,8 @@ def fit_predict(data: DataFrame, xs: Sequence[str], label: str, key: str, trees:
     mean = shares.mean(0)
     summed = done.where("bucket IS NOT NULL").groupBy("bucket").applyInPandas(
         add, ", ".join(f"{n} double" for n in names) + ", _id bigint")
+    if any(top.closed for top in tops):
+        summed = summed.unionByName(rows.where(~F.col("_train")).select("_id", *cols).mapInPandas(closed, summed.schema))
     votes = rows.where(~F.col("_train")).select("_id", "_key").join(summed, "_id").groupBy("_key").agg(
         *[F.round(F.sum(n), 9).alias(n) for n in names])
     v = F.array(*names)
