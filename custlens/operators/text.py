@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custlens.functions.porter import stem as porter_stem
+from custlens.plans import lda
 
 # fixed values: stop words dropped before counting review words (the original list, in its order)
 REVIEW_STOP_WORDS = """the a an and my is was for of to in from at this that with such very i me it be so
@@ -233,20 +234,34 @@ def aspect_sentiment(df: DataFrame, text: str, pol: str = "polarity", aspects=DE
     return found.join(names, "_i").select("aspect", "n", "mean_polarity").orderBy("mean_polarity", "aspect")
 
 
+# texts of up to so many characters in all are fitted by Spark's LDA, whose tasks and driver
+# hold tables of all terms; more by ``plans.lda``, which holds none
+LDA_CHARS = 32_000_000
+
+
 def topics(df: DataFrame, text: str, k: int = 3, min_df: int = 5, top: int = 8, seed: int = 42,
-           max_iter: int = 20, texts_per_task: int = 2000) -> DataFrame:
+           max_iter: int = 20, texts_per_task: int = 2000, lda_chars: int = LDA_CHARS) -> DataFrame:
     """LDA topics: (topic, rank, term, weight) for the ``top`` terms of each of
     ``k`` topics.  Tokens of two or more word characters, English stop words
-    removed, terms in at least ``min_df`` documents; no topics without such terms."""
+    removed, terms in at least ``min_df`` documents; no topics without such terms.
+    Texts of more than ``lda_chars`` characters in all go through ``plans.lda``:
+    the same estimate (draws differ), with the terms dealt to shards."""
     docs = df.select(text).where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
     # the work is in the iterations, not in the bytes read: a file of few row groups
     # must not leave it to as many tasks
-    tasks = min(2 * df.sparkSession.sparkContext.defaultParallelism, docs.count() // texts_per_task)
+    n, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    tasks = min(2 * df.sparkSession.sparkContext.defaultParallelism, n // texts_per_task)
+    many = chars > lda_chars
     if docs.rdd.getNumPartitions() < tasks:
-        docs = docs.repartition(tasks).persist(StorageLevel.DISK_ONLY)
+        docs = docs.repartition(tasks)
+        if not many:
+            docs = docs.persist(StorageLevel.DISK_ONLY)
     tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern="\\b\\w\\w+\\b", gaps=False,
                          toLowercase=True).transform(docs)
     clean = StopWordsRemover(inputCol="_tok", outputCol="_words").transform(tok)
+    if many:
+        return lda.topics(clean.select(F.concat_ws(" ", "_words").alias("_words")),
+                          min_df if min_df >= 1 else min_df * n, chars, k, top, seed, max_iter)
     # the vocabulary holds every term that reaches min_df, and every iteration
     # reads every document
     terms = clean.select(F.explode(F.array_distinct("_words")).alias("w")).groupBy("w").count().where(
